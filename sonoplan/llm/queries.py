@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import OP2_SQL, op2_mix
+from .secrets import OP9_SQL, op9_secrets
 
-QUERIES = {"op2_mix": op2_mix}
-ORACLE_SQL = {"op2_mix": OP2_SQL}
+QUERIES = {"op2_mix": op2_mix, "op9_secrets": op9_secrets}
+ORACLE_SQL = {"op2_mix": OP2_SQL, "op9_secrets": OP9_SQL}
