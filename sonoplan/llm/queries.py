@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from .linededup import OP8_SQL, op8_line_dedup
 from .mixing import OP2_SQL, op2_mix
 from .secrets import OP9_SQL, op9_secrets
 
-QUERIES = {"op2_mix": op2_mix, "op9_secrets": op9_secrets}
-ORACLE_SQL = {"op2_mix": OP2_SQL, "op9_secrets": OP9_SQL}
+QUERIES = {
+    "op2_mix": op2_mix,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_secrets": op9_secrets,
+}
+ORACLE_SQL = {
+    "op2_mix": OP2_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op9_secrets": OP9_SQL,
+}
