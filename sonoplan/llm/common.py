@@ -34,14 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the scanned input as the optimizer estimates it (file sizes for Parquet)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Bytes of the files that a DataFrame scans; sources of unknown size don't count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 12, most: int = 200_000) -> int:
     """Number of partitions so that each holds about ``bytes_each`` of the input."""
-    size = input_bytes(df)
-    return max(least, min(most, -(-size // bytes_each))) if size < 1 << 60 else least
+    return max(least, min(most, -(-input_bytes(df) // bytes_each)))
 
 
 def n_words(text: Column) -> Column:

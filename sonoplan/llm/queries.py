@@ -6,11 +6,13 @@ from .language import op7_language
 from .lengths import op4_token_counts
 from .linededup import OP8_SQL, op8_line_dedup
 from .mixing import OP2_SQL, op2_mix
+from .ngramlm import op5_lm_score
 from .secrets import OP9_SQL, op9_secrets
 
 QUERIES = {
     "op2_mix": op2_mix,
     "op4_token_counts": op4_token_counts,
+    "op5_lm_score": op5_lm_score,
     "op7_language": op7_language,
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _SEP = np.zeros(256, bool)
@@ -103,7 +104,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each (one text at least)."""
     texts = batch.column(batch.schema.get_field_index(column))
-    sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
     part = (np.cumsum(sizes) - sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
