@@ -8,8 +8,10 @@ from .linededup import OP8_SQL, op8_line_dedup
 from .mixing import OP2_SQL, op2_mix
 from .ngramlm import op5_lm_score
 from .secrets import OP9_SQL, op9_secrets
+from .substrings import op1_substrings
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_mix": op2_mix,
     "op4_token_counts": op4_token_counts,
     "op5_lm_score": op5_lm_score,
