@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import cut, text_key
 
 LEADING = 2
 BANDS = 3
@@ -26,8 +26,10 @@ VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 def line_tokens(text: Column) -> Column:
     """Tokens of every line, variable ones as ``<*>``: array<array<string>>."""
-    masked = F.regexp_replace(F.regexp_replace(text, VARIABLE, "<*>"), r"[ \t\x0B\f\r]+", " ")
-    return F.transform(F.split(masked, "\n", -1), lambda line: F.split(F.trim(line), " ", -1))
+    lines = F.split(F.regexp_replace(text, r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " "), "\n", -1)
+    # The costlier expression is for lines with a digit alone.
+    masked = lambda line: F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+    return F.transform(lines, lambda line: F.split(F.trim(masked(line)), " ", -1))
 
 
 def _template(t: Column, band: int) -> Column:
@@ -56,16 +58,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, general
     others. Empty table: empty result. Columns besides doc_id and text pass through.
     """
     rows = docs.withColumn("ld_key", text_key(F.col("doc_id"), F.col("text")))
-    rows = rows.withColumn("ld_tokens", line_tokens(F.col("text")))
-    rows = rows.withColumn("ld_ids", line_templates(F.col("ld_tokens"), min_tokens, general_from)).drop("ld_tokens")
+    ids = line_templates(line_tokens(F.col("text")), min_tokens, general_from)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("ld_key").alias("key"))
-    seen = rows.select(order.alias("row"), F.explode(F.array_distinct(F.flatten("ld_ids"))).alias("id"))
+    # Read twice below; written once, as parsing the lines is the costly part.
+    seen = cut(rows.select(order.alias("row"), F.explode(F.array_distinct(F.flatten(ids))).alias("id")))
     many = seen.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("keeper")).where(F.col("n") >= min_docs)
     gone = seen.join(many.select("id", "keeper"), "id").where(F.col("row")["key"] != F.col("keeper")["key"])
     gone = gone.groupBy(F.col("row")["key"].alias("ld_key")).agg(F.collect_set("id").alias("ld_gone"))
     both = rows.join(gone, "ld_key", "left")
     lines = F.split("text", "\n", -1)
-    dropped = F.transform("ld_ids", lambda ids: F.arrays_overlap(ids, F.col("ld_gone")))
+    dropped = F.transform(ids, lambda own: F.arrays_overlap(own, F.col("ld_gone")))
     both = both.withColumn("ld_flags", F.when(F.col("ld_gone").isNotNull(), dropped))
     kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), F.col("ld_flags").alias("flag")), lambda z: ~z["flag"]), lambda z: z["line"])
     none = F.col("ld_flags").isNull()
