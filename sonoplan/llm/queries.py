@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op3_jaccard
 from .language import op7_language
 from .lengths import op4_token_counts
 from .linededup import OP8_SQL, op8_line_dedup
@@ -13,6 +14,7 @@ from .substrings import op1_substrings
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_mix": op2_mix,
+    "op3_jaccard": op3_jaccard,
     "op4_token_counts": op4_token_counts,
     "op5_lm_score": op5_lm_score,
     "op7_language": op7_language,
