@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
 from .jaccard import op3_jaccard
 from .language import op7_language
 from .lengths import op4_token_counts
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {
     "op2_mix": OP2_SQL,

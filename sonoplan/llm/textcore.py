@@ -21,6 +21,9 @@ _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: For plain words: ASCII punctuation separates too.
+_PLAIN_SEP = _SEP.copy()
+_PLAIN_SEP[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
 _LONG_WORD = 256
 BLOCK_BYTES = 4 << 20
@@ -75,8 +78,12 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Word spans of an Arrow string array; a null text has no words."""
+def words_of(texts: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """Word spans of an Arrow string array; a null text has no words.
+
+    lower: A-Z become a-z. plain: that, the accented capitals of Latin-1 as well, and ASCII
+    punctuation separates words.
+    """
     if texts.null_count:
         texts = texts.fill_null("")
     large = pa.types.is_large_string(texts.type)
@@ -85,9 +92,12 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     lo, hi = int(offsets[0]), int(offsets[-1])
     data = np.frombuffer(buf, np.uint8, hi - lo, lo) if hi > lo else np.zeros(0, np.uint8)
     offsets = offsets - lo
-    if lower:
+    if lower or plain:
         data = _LOWER[data]
-    sep = _SEP[data]
+    if plain and len(data):
+        capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        data[1:][capital] += 0x20
+    sep = (_PLAIN_SEP if plain else _SEP)[data]
     edge = np.ones(len(data) + 1, bool)
     edge[1:] = np.append(sep[:-1], True) if len(data) else True
     edge[offsets[:-1]] = True
