@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -24,6 +26,8 @@ FILTERS = 16
 DOCS_PER_LANG = 600
 WINDOWS_PER_DOC = 4
 UNKNOWN = "und"
+#: More labels than this are joined by a shuffle instead of a broadcast.
+BROADCAST_LANGS = 10_000
 
 
 @dataclass
@@ -118,6 +122,9 @@ def training_sample(docs: DataFrame, learn: Column) -> list[tuple[str, list[str]
     labels per language, so rare languages are all taken; both numbers bound the sample."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rates = labelled.groupBy(F.col("lang").alias("l")).agg((F.lit(float(DOCS_PER_LANG)) / F.count(F.lit(1))).alias("rate"))
+    rates = cut(rates)
+    if rates.count() <= BROADCAST_LANGS:
+        rates = F.broadcast(rates)
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
     chosen = labelled.join(rates, F.col("lang") == F.col("l")).where(draw < F.col("rate"))
     start = lambda k: F.pmod(F.xxhash64("text", F.lit(100 + k)), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
