@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
+from .images import op6_image_copies
 from .jaccard import op3_jaccard
 from .language import op7_language
 from .lengths import op4_token_counts
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op4_token_counts": op4_token_counts,
     "op5_lm_score": op5_lm_score,
+    "op6_image_copies": op6_image_copies,
     "op7_language": op7_language,
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
