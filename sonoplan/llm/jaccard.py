@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_key
 from .graph import components, forest
 from .textcore import U64, blocks, mix, ngrams, words_of
 
@@ -125,7 +125,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in blocks(b, "text"):
             elements, first = shingle_sets(s.column(1))
-            yield pa.RecordBatch.from_arrays([s.column(0), pa.array(np.diff(first)), pa.array(class_keys(elements, first))], names=["doc_id", "n", "class"])
+            yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(np.diff(first)), pa.array(class_keys(elements, first))], names=["doc_id", "key", "n", "class"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,14 +277,17 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) for every row.
+    """doc_id, key (of the row), n_shingles, component_id (least doc_id reachable by links), root.
+
+    One row for every row of ``docs``; rows of a component share ``root``.
 
     Null or wordless text: no shingles, linked with nothing, component_id is its own doc_id.
     Rows with equal sets are linked; a null doc_id is never the least unless all are null.
     Rows that share a doc_id are judged by their own texts. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    rows = cut(docs.mapInArrow(_classes, "doc_id bigint, n bigint, class bigint"))
+    keyed = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
+    rows = cut(keyed.mapInArrow(_classes, "doc_id bigint, key bigint, n bigint, class bigint"))
     one = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
     sent = docs.select("text").mapInArrow(_candidates, "s bigint, c bigint, edge boolean")
     edges = sent.repartition("s").mapInArrow(_meet, "u bigint, v bigint")
@@ -308,12 +311,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not split.isEmpty():
         found = found.unionByName(components(split))
     named = one.select("class", "least").join(found, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "root", "component_id")
     out = rows.join(named.hint("shuffle_hash"), "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), alone.alias("component_id"), "root")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the one of least doc_id (then key; null ids last).
+
+    Rows without shingles all stay. Rows that repeat exactly, id and text, count as one.
+    """
+    found = near_duplicates(docs)
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select("f.key")
+    kept = first.unionByName(found.where("n_shingles = 0").select("key")).select(F.col("key").alias("jj_key"))
+    rows = docs.withColumn("jj_row", text_key(F.col("doc_id"), F.col("text")))
+    return rows.join(kept, F.col("jj_row") == F.col("jj_key"), "left_semi").dropDuplicates(["jj_row"]).drop("jj_row")
+
+
 
 
 def op3_jaccard(spark, sf_dir):
     from .common import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -181,7 +181,7 @@ def predict(docs: DataFrame, net: ByteCnn | None, keep: tuple[str, ...] = ("doc_
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*keep, "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return docs.select(*keep, F.col("text").alias("lang_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
 
 
 def fold(id_col: Column, n: int) -> Column:
