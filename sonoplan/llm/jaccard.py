@@ -33,7 +33,7 @@ from .textcore import U64, blocks, mix, ngrams, words_of
 SHINGLE = 3
 PERCENT = 90
 #: Bounds of a trie: sets and n-grams in one block.
-BLOCK_SETS, BLOCK_GRAMS = 1_000, 1_500_000
+BLOCK_SETS, BLOCK_GRAMS = 500, 500_000
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
