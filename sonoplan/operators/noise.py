@@ -1,4 +1,4 @@
-"""Density-based noise flags, song by song: reach rule natively, HDBSCAN and OPTICS in numpy.
+"""Density-based noise flags, song by song: reach rule, HDBSCAN and OPTICS in numpy.
 
 A song's chunks are a bounded set (files over 20 minutes are not analysed by default), so
 one Arrow group per song is the unit; songs are spread over the cluster.
@@ -11,10 +11,8 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import vectors
 from . import reads
 
 LEAST_VECTORS, MOST_VECTORS, LEAST_TRACK_CHUNKS = 20, 1_000_000, 6
@@ -24,15 +22,19 @@ NEIGHBOURS, REACH_FACTOR = 4, 2.0
 def knn_reach(rows: DataFrame) -> DataFrame:
     """track_id, chunk_id, reach: mean distance to the nearest ``NEIGHBOURS`` chunks of the song.
 
-    ``rows``: track_id, chunk_id, v of one dataset. Songs pair their own chunks only.
+    ``rows``: track_id, chunk_id, v of one dataset; a song of one chunk has no reach. A song's
+    distances are one matrix product, so a song is an Arrow group.
     """
-    u = rows.select("track_id", "chunk_id", vectors.unit("v").alias("u"))
-    other = u.select("track_id", F.col("chunk_id").alias("other"), F.col("u").alias("w"))
-    gap = F.zip_with("u", "w", lambda x, y: (x - y) * (x - y))
-    pair = u.join(other, "track_id").where("chunk_id != other").select("track_id", "chunk_id", "other", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)).alias("d"))
-    r = F.row_number().over(W.partitionBy("track_id", "chunk_id").orderBy("d", "other"))
-    near = pair.withColumn("r", r).where(F.col("r") <= NEIGHBOURS)
-    return near.groupBy("track_id", "chunk_id").agg(F.avg("d").alias("reach"))
+
+    def song(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        v = t.column("v").to_pylist()
+        if len(v) < 2 or len({len(a) for a in v}) != 1:
+            t, reach = t.slice(0, 0), []
+        else:
+            reach = reach_of(unit_rows(np.array(v, np.float64)))
+        return pa.table({"track_id": t.column("track_id"), "chunk_id": t.column("chunk_id"), "reach": pa.array(reach, pa.float64())})
+
+    return rows.select("track_id", "chunk_id", "v").groupBy("track_id").applyInArrow(song, "track_id bigint, chunk_id bigint, reach double")
 
 
 def reach_outliers(rows: DataFrame) -> DataFrame:
@@ -53,10 +55,18 @@ def distances(x: np.ndarray) -> np.ndarray:
     return d
 
 
-def reach_rule(x: np.ndarray) -> np.ndarray:
-    d = distances(x)
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def reach_of(x: np.ndarray) -> np.ndarray:
     k = max(1, min(NEIGHBOURS, len(x) - 1))
-    reach = np.sort(d, 1)[:, 1 : k + 1].mean(1)
+    return np.sort(distances(x), 1)[:, 1 : k + 1].mean(1)
+
+
+def reach_rule(x: np.ndarray) -> np.ndarray:
+    reach = reach_of(x)
     return reach > REACH_FACTOR * np.median(reach) if np.median(reach) > 0 else np.zeros(len(x), bool)
 
 
@@ -179,13 +189,11 @@ def optics_labels(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
 def noise_of(x: np.ndarray, method: str) -> np.ndarray:
     """Noise of one song: unlabelled by the clustering and an outlier by reach."""
     n = len(x)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    x = unit_rows(x)
     if method == "hdbscan":
         labels = hdbscan_labels(x, max(3, min(5, n - 2)))
     elif method == "optics":
-        k = max(1, min(NEIGHBOURS, n - 1))
-        eps = 2 * float(np.median(np.sort(distances(x), 1)[:, 1 : k + 1].mean(1)))
+        eps = 2 * float(np.median(reach_of(x)))
         labels = optics_labels(x, eps, max(2, min(3, n - 2)))
     else:
         raise ValueError(f"unknown noise method {method!r}")

@@ -1,13 +1,15 @@
 """Searches: rank tracks by similarity to a seed track or to several.
 
 Seeds and references are stated, bounded sets (one track, at most a few hundred): their
-vectors form one broadcast row, and every other chunk is met by them where it is stored.
-All scans keep only the columns and models they need; metadata joins after the top k.
+vectors travel with the plan, and every other chunk is met by them where it is stored.
+All scans keep only the columns and models they need; metadata joins after the top k. Sets of
+chunks meet the seed's as matrix products over Arrow batches (vectors have hundreds of
+components, for which array expressions are far slower); everything else is expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -76,12 +78,6 @@ def centroid_matrix(aggregates: DataFrame, model: str) -> DataFrame:
     return a.join(b, ["i", "j"]).where("a < b").select("a", "b", vectors.dot("x", "y").alias("score"))
 
 
-def seed_rows(rows: DataFrame, seed: int, keep: Sequence[str] = ()) -> DataFrame:
-    """The seed's unit vectors per model as one array: model, s (array of (chunk_id, v))."""
-    own = rows.where(F.col("track_id") == seed).select("model", F.struct("chunk_id", vectors.unit("v").alias("v")).alias("z"))
-    return F.broadcast(own.groupBy("model").agg(F.sort_array(F.collect_list("z")).alias("s")))
-
-
 def objectives(track_vectors: DataFrame, aggregates: DataFrame, track_id: int) -> DataFrame:
     """Cosine of each chunk of a track to its centroid, one value per model of the track in the
     order of names; -1 where the chunk lacks the model: chunk_id, objectives."""
@@ -113,34 +109,77 @@ def surface_single(track_vectors: DataFrame, aggregates: DataFrame, track_id: in
     return cos.withColumn("r", F.rank().over(W.orderBy(F.col("score").desc()))).where("r = 1").drop("r")
 
 
-def _against_seed(rows: DataFrame, s: DataFrame, value) -> DataFrame:
-    """For each chunk and model: ``values``, one per seed vector of that model."""
-    u = rows.select("track_id", "chunk_id", "model", vectors.unit("v").alias("u"))
-    return u.join(s, "model").select("track_id", "chunk_id", "model", F.transform("s", lambda z: value(F.col("u"), z["v"])).alias("values"))
+def seed_matrices(rows: DataFrame, seed: int) -> dict[str, list[tuple[int, np.ndarray]]]:
+    """Unit vectors of one track on the driver, per model as (size, matrix) for each size that occurs."""
+    by: dict[str, dict[int, list]] = {}
+    for r in rows.where(F.col("track_id") == seed).select("model", vectors.unit("v").alias("v"), "chunk_id").orderBy("model", "chunk_id").collect():
+        by.setdefault(r["model"], {}).setdefault(len(r["v"]), []).append(r["v"])
+    return {m: [(d, np.asarray(v, np.float64)) for d, v in sorted(sizes.items())] for m, sizes in by.items()}
+
+
+_MET = "track_id bigint, model string, n bigint, low double, misfit boolean, best array<double>"
 
 
-def _fits(u: Column, v: Column, x: Column, otherwise: float) -> Column:
-    return F.when(F.size(u) == F.size(v), x).otherwise(otherwise)
+def _meet(rows: DataFrame, own: dict[str, list[tuple[int, np.ndarray]]]) -> DataFrame:
+    """Cosines of all chunks with the seed's vectors, block by block as matrix products.
+
+    A row per batch, track and model: n chunks, ``low`` the sum of their least costs, ``best``
+    the highest cosine that each seed vector meets, ``misfit`` if some sizes differ (those
+    cosines are 0). What leaves a batch doesn't grow with its pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            track, model = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), object)
+            off = b.column(2).offsets.to_numpy()
+            flat = b.column(2).values.to_numpy(zero_copy_only=False)
+            out = []
+            for m, parts in own.items():
+                mine = np.flatnonzero(model == m)
+                if not len(mine):
+                    continue
+                size = np.diff(off)[mine]
+                cos = np.zeros((len(mine), sum(len(s) for _, s in parts)))
+                at = 0
+                for d, s in parts:
+                    k = np.flatnonzero(size == d)
+                    v = flat[off[mine[k]][:, None] + np.arange(d)].astype(np.float64)
+                    norm = np.linalg.norm(v, axis=1, keepdims=True)
+                    cos[k, at : at + len(s)] = np.clip(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ s.T, -1, 1)
+                    at += len(s)
+                misfit = np.ones(len(mine), bool) if len(parts) > 1 else size != parts[0][0]
+                order = np.argsort(track[mine], kind="stable")
+                t = track[mine][order]
+                for g in np.split(order, np.flatnonzero(np.diff(t)) + 1):
+                    c = cos[g]
+                    out.append((int(track[mine[g[0]]]), m, len(g), float((1 - c.max(1)).sum()), bool(misfit[g].any()), c.max(0).tolist()))
+            cols = list(zip(*out)) or [()] * 6
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _MET.split(", ")])
+
+    mine = rows.where(F.col("model").isin(list(own))) if own else rows.limit(0)
+    return mine.select("track_id", "model", "v").mapInArrow(run, _MET)
+
+
+def _best_mean(met: DataFrame, value) -> DataFrame:
+    """Per track and model the mean over the seed's vectors of what they meet best."""
+    best = met.select("track_id", "model", F.posexplode("best").alias("k", "x")).groupBy("track_id", "model", "k").agg(F.max("x").alias("x"))
+    return best.groupBy("track_id", "model").agg(F.avg(value(F.col("x"))).alias("x"))
 
 
 def psvi_scores(rows: DataFrame, seed: int, surface: DataFrame) -> DataFrame:
     """Per candidate: over the common models the mean of (mean over the seed's surface chunks of
     the best cosine any chunk of the candidate reaches). Unequal sizes give 0."""
-    own = rows.join(surface.select("chunk_id"), "chunk_id", "left_semi")
-    s = seed_rows(own, seed)
-    value = lambda u, v: _fits(u, v, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vectors.dot(u, v))), 0.0)
-    best = _against_seed(rows.where(F.col("track_id") != seed), s, value).select("track_id", "model", F.posexplode("values").alias("k", "x")).groupBy("track_id", "model", "k").agg(F.max("x").alias("x"))
-    return best.groupBy("track_id", "model").agg(F.avg("x").alias("x")).groupBy("track_id").agg(F.avg("x").alias("score"))
+    own = seed_matrices(rows.join(F.broadcast(surface.select("chunk_id")), "chunk_id", "left_semi"), seed)  # chunks of one track
+    met = _meet(rows.where(F.col("track_id") != seed), own)
+    return _best_mean(met, lambda x: x).groupBy("track_id").agg(F.avg("x").alias("score"))
 
 
 def chamfer_scores(rows: DataFrame, seed: int) -> DataFrame:
     """1 / (1 + mean over common models of the chamfer distance); models of unequal size drop out."""
-    s = seed_rows(rows, seed)
-    value = lambda u, v: _fits(u, v, vectors.unit_cost(u, v), float("nan"))
-    costs = _against_seed(rows.where(F.col("track_id") != seed), s, value).where(~F.exists("values", F.isnan))
-    mine = costs.select("track_id", "model", F.array_min("values").alias("x")).groupBy("track_id", "model").agg(F.avg("x").alias("a"))
-    theirs = costs.select("track_id", "model", F.posexplode("values").alias("k", "x")).groupBy("track_id", "model", "k").agg(F.min("x").alias("x")).groupBy("track_id", "model").agg(F.avg("x").alias("b"))
-    d = mine.join(theirs, ["track_id", "model"]).groupBy("track_id").agg(F.avg((F.col("a") + F.col("b")) / 2).alias("d"))
+    met = _meet(rows.where(F.col("track_id") != seed), seed_matrices(rows, seed))
+    mine = met.groupBy("track_id", "model").agg((F.sum("low") / F.sum("n")).alias("a"), F.bool_or("misfit").alias("misfit")).where(~F.col("misfit"))
+    d = mine.join(_best_mean(met, lambda x: 1 - x), ["track_id", "model"]).groupBy("track_id").agg(F.avg((F.col("a") + F.col("x")) / 2).alias("d"))
     return d.select("track_id", (1 / (1 + F.col("d"))).alias("score"))
 
 
@@ -182,7 +221,7 @@ def earth_movers(a: Sequence, b: Sequence, reg: float = 0.05) -> float:
 
 def emd_scores(rows: DataFrame, seed: int, reg: float = 0.05) -> DataFrame:
     """As chamfer_scores by earth mover's distance, a candidate and model at a time (Arrow)."""
-    own = {r["model"]: [z["v"] for z in r["s"]] for r in seed_rows(rows, seed).collect()}  # one track
+    own = {m: parts[0][1].tolist() for m, parts in seed_matrices(rows, seed).items() if len(parts) == 1}
 
     def distance(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         mine, theirs = own.get(key[1].as_py()), t.column("v").to_pylist()
