@@ -23,7 +23,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Bounds of the training sample: documents per language (expected), windows per document.
-DOCS_PER_LANG = 600
+DOCS_PER_LANG = 400
 WINDOWS_PER_DOC = 4
 UNKNOWN = "und"
 #: More labels than this are joined by a shuffle instead of a broadcast.
@@ -62,7 +62,7 @@ class ByteCnn:
         return z / z.sum(1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 6, batch: int = 64, seed: int = 5, rate: float = 0.003) -> ByteCnn:
+def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, batch: int = 64, seed: int = 5, rate: float = 0.003) -> ByteCnn:
     """Adam on cross entropy; classes weigh the same whatever their share of the sample."""
     rng = np.random.default_rng(seed)
     f = len(WIDTHS) * FILTERS
@@ -120,7 +120,7 @@ def training_sample(docs: DataFrame, learn: Column) -> list[tuple[str, list[str]
     """Labelled windows: about DOCS_PER_LANG documents of each language, chosen by hash of the
     text, WINDOWS_PER_DOC windows of each at places chosen by hash. The rate follows a count of
     labels per language, so rare languages are all taken; both numbers bound the sample."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     rates = labelled.groupBy(F.col("lang").alias("l")).agg((F.lit(float(DOCS_PER_LANG)) / F.count(F.lit(1))).alias("rate"))
     rates = cut(rates)
     if rates.count() <= BROADCAST_LANGS:
@@ -151,8 +151,8 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def predict(docs: DataFrame, net: ByteCnn | None, keep: tuple[str, ...] = ("doc_id",), block: int = 2048) -> DataFrame:
-    """``keep`` columns with lang_pred and score (mean probability of the predicted language).
+def predict(docs: DataFrame, net: ByteCnn | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score"), block: int = 2048) -> DataFrame:
+    """``keep`` columns with lang_pred and score (mean probability of the predicted language), under ``names``.
 
     Only the text is looked at. ``und`` with score 0 where the text is null or has no letter
     (or nothing could be learned). Whole texts, in blocks of ``block`` windows.
@@ -178,10 +178,10 @@ def predict(docs: DataFrame, net: ByteCnn | None, keep: tuple[str, ...] = ("doc_
                 lang[group] = np.array(net.langs, object)[total.argmax(1)]
                 score[group] = total.max(1)
                 group, held = [], 0
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*keep, *names])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, F.col("text").alias("lang_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return docs.select(*keep, F.col("text").alias("lang_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def fold(id_col: Column, n: int) -> Column:
