@@ -23,7 +23,8 @@ from sonoplan.llm.mixing import mix_sources
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which the network reads a language (not ``und``)."""
     net = train_on(docs, fold(F.col("doc_id"), 5) != 0)
-    return predict(docs, net, tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    found = predict(docs, net, tuple(docs.columns), ("stage_lang", "stage_score"))
+    return found.where(F.col("stage_lang") != UNKNOWN).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

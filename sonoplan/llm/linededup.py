@@ -6,10 +6,12 @@ tokens at most positions and leaves a run of positions variable: the tokens afte
 leading ones are cut into three bands, and each template of the line has one band open.
 Two lines of a leaf that differ within one band thus share a template, as similar as two
 thirds of their tokens; no pair of lines is ever compared. Lines of fewer than
-``general_from`` tokens have the one template without an open band.
+``general_from`` tokens, or with under two thirds of their tokens constant, have the one
+template without an open band; lines of which less than half is constant are data (rows of
+a table, say) and have none.
 
 A template that occurs in ``min_docs`` documents or more is boilerplate: its lines stay in
-the first of these documents (least doc_id) and go from all others.
+the document of least doc_id and go from all others.
 """
 
 from __future__ import annotations
@@ -42,10 +44,11 @@ def _template(t: Column, band: int) -> Column:
 def line_templates(tokens: Column, min_tokens: int, general_from: int) -> Column:
     """Template ids of every line: array<array<long>>; lines under ``min_tokens`` tokens have none."""
     none = F.array().cast("array<bigint>")
+    constant = lambda t: F.size(F.filter(t, lambda x: x != "<*>"))
     return F.transform(
         tokens,
-        lambda t: F.when(F.size(t) < min_tokens, none)
-        .when(F.size(t) < general_from, F.array(F.xxhash64(F.lit(-1), F.size(t), t)))
+        lambda t: F.when((F.size(t) < min_tokens) | (constant(t) * 2 < F.size(t)), none)
+        .when((F.size(t) < general_from) | (constant(t) * 3 < F.size(t) * 2), F.array(F.xxhash64(F.lit(-1), F.size(t), t)))
         .otherwise(F.array(*[_template(t, band) for band in range(BANDS)])),
     )
 
@@ -53,17 +56,19 @@ def line_templates(tokens: Column, min_tokens: int, general_from: int) -> Column
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, general_from: int = 9) -> DataFrame:
     """``docs`` with text replaced by its kept lines, plus ld_lines and ld_dropped (line counts).
 
-    Null text stays null with 0 lines; an empty text is one empty line, which stays. Rows that
-    repeat exactly share their fate and each count as a document. A null doc_id comes after all
-    others. Empty table: empty result. Columns besides doc_id and text pass through.
+    Null text stays null with 0 lines; an empty text is one empty line, which stays. Each row
+    counts as a document, but rows that share a doc_id drop nothing from one another. A null
+    doc_id comes after all others. Empty table: empty result. Columns besides doc_id and text
+    pass through, but for those called ld_..., which give way.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("ld_")])
     rows = docs.withColumn("ld_key", text_key(F.col("doc_id"), F.col("text")))
     ids = line_templates(line_tokens(F.col("text")), min_tokens, general_from)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("ld_key").alias("key"))
     # Read twice below; written once, as parsing the lines is the costly part.
     seen = cut(rows.select(order.alias("row"), F.explode(F.array_distinct(F.flatten(ids))).alias("id")))
     many = seen.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = seen.join(many.select("id", "keeper"), "id").where(F.col("row")["key"] != F.col("keeper")["key"])
+    gone = seen.join(many.select("id", "keeper"), "id").where(~F.col("row")["id"].eqNullSafe(F.col("keeper")["id"]))
     gone = gone.groupBy(F.col("row")["key"].alias("ld_key")).agg(F.collect_set("id").alias("ld_gone"))
     both = rows.join(gone, "ld_key", "left")
     lines = F.split("text", "\n", -1)
@@ -89,12 +94,12 @@ OP8_SQL = r"""
 WITH d AS (SELECT doc_id, text, row_number() OVER () AS k FROM documents),
 l AS (SELECT k, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
 m AS (SELECT *, list_transform(string_split(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g')), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
-b AS (SELECT *, len(t) AS n FROM m WHERE len(t) >= 3),
-g AS (SELECT k, doc_id, pos, -1 AS band, n, t AS a, []::VARCHAR[] AS z FROM b WHERE n < 9
- UNION ALL SELECT k, doc_id, pos, band, n, t[1:2 + (n - 2) * band // 3], t[2 + (n - 2) * (band + 1) // 3 + 1:] FROM b, (VALUES (0), (1), (2)) v(band) WHERE n >= 9),
+b AS (SELECT *, len(t) AS n, len(list_filter(t, lambda x: x <> '<*>')) AS c FROM m WHERE len(t) >= 3 AND len(list_filter(t, lambda x: x <> '<*>')) * 2 >= len(t)),
+g AS (SELECT k, doc_id, pos, -1 AS band, n, t AS a, []::VARCHAR[] AS z FROM b WHERE n < 9 OR c * 3 < n * 2
+ UNION ALL SELECT k, doc_id, pos, band, n, t[1:2 + (n - 2) * band // 3], t[2 + (n - 2) * (band + 1) // 3 + 1:] FROM b, (VALUES (0), (1), (2)) v(band) WHERE n >= 9 AND c * 3 >= n * 2),
 s AS (SELECT DISTINCT k, doc_id, band, n, a, z FROM g),
-r AS (SELECT band, n, a, z, min(k) FILTER (doc_id IS NOT DISTINCT FROM first_id) AS keeper FROM (SELECT *, min(doc_id) OVER (PARTITION BY band, n, a, z) AS first_id FROM s) GROUP BY band, n, a, z HAVING count(*) >= 3),
-gone AS (SELECT DISTINCT g.k, g.pos FROM g JOIN r ON g.band = r.band AND g.n = r.n AND g.a = r.a AND g.z = r.z WHERE g.k <> r.keeper),
+r AS (SELECT band, n, a, z, min(doc_id) AS keeper FROM s GROUP BY band, n, a, z HAVING count(*) >= 3),
+gone AS (SELECT DISTINCT g.k, g.pos FROM g JOIN r ON g.band = r.band AND g.n = r.n AND g.a = r.a AND g.z = r.z WHERE g.doc_id IS DISTINCT FROM r.keeper),
 o AS (SELECT l.k, count(*) AS n_lines, count(gone.pos) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL), '') AS kept FROM l LEFT JOIN gone ON l.k = gone.k AND l.pos = gone.pos GROUP BY l.k)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (k)
 """

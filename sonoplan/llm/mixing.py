@@ -60,7 +60,9 @@ def mix_plan(docs: DataFrame, seed: int = 17, size: Column | None = None, weight
 
     Null text: size 0. A source without words has target 0 and no copies. Null sources
     form one source. Rows that share an id share the decision. Empty table: empty result.
+    Columns of ``docs`` that are called mix_... give way.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     sized = docs.withColumn("mix_size", n_words(F.col("text")) if size is None else size)
     targets = cut(source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, max_repeat))
     targets = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
@@ -77,7 +79,7 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the mix takes it, with mix_copy 1, 2, ..."""
     planned = mix_plan(docs, **options)
     taken = planned.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-    return taken.select(*docs.columns, "mix_copy")
+    return taken.select(*[c for c in docs.columns if not c.startswith("mix_")], "mix_copy")
 
 
 def op2_mix(spark, sf_dir):
