@@ -1,7 +1,12 @@
-"""Vector arithmetic as Column expressions over array columns (doubles inside)."""
+"""Vector arithmetic as Column expressions over array columns (doubles inside), and grouped means."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +57,44 @@ def component(v: Column | str, k: int) -> Column:
     return F.get(_c(v), F.lit(k))
 
 
+def partial_sums(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
+    """``keys``, n and the component-wise sum of the vectors: one row per Arrow batch, group and
+    vector size. Hundreds of components per vector leave a batch as one array per group, not as
+    hundreds of rows per vector."""
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.is_valid(b.column(len(keys))))
+            if not b.num_rows:
+                continue
+            code = np.zeros(b.num_rows, np.int64)
+            for c in b.columns[:-1]:
+                d = c.dictionary_encode(null_encoding="encode")
+                code = code * len(d.dictionary) + d.indices.to_numpy()
+            x = b.column(len(keys))
+            off, flat = x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False)
+            size = np.diff(off)
+            first, n, sums = [], [], []
+            for dim in np.unique(size):
+                own = np.flatnonzero(size == dim)
+                group, rep, back, count = np.unique(code[own], return_index=True, return_inverse=True, return_counts=True)
+                order = np.argsort(back, kind="stable")
+                rows = flat[off[own[order]][:, None] + np.arange(dim)]
+                first += own[rep].tolist()
+                n += count.tolist()
+                sums += list(np.add.reduceat(rows, np.cumsum(count) - count, axis=0)) if dim else [np.zeros(0)] * len(group)
+            at = pa.array(first)
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:-1]), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=[*keys, "n", "sum"])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n bigint, sum array<double>"])
+    return df.select(*keys, doubles(v).alias("v")).mapInArrow(run, schema)
+
+
 def average(df: DataFrame, keys: list[str], v: str = "v", out: str = "mean") -> DataFrame:
-    """Component-wise mean per group, in component order, with map-side partial sums."""
-    long = df.select(*keys, F.posexplode(v).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg("x").alias("x"))
+    """Component-wise mean per group, in component order, from partial sums."""
+    long = partial_sums(df, keys, v).select(*keys, "n", F.posexplode("sum").alias("pos", "x"))
+    long = long.groupBy(*keys, "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
     got = long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("z"))
     return got.select(*keys, F.transform("z", lambda z: z["x"]).alias(out))
 
