@@ -6,10 +6,10 @@ of at most 2 * LENGTH - GRAM words. The shards of the FM-index hold pieces by an
 every occurrence of a window lies in one shard, and a document streams each of its pieces
 through one shard, not the whole corpus through all.
 
-Documents are dealt to chunks by id; chunks and shards exchange packed arrays:
+Rows are dealt to chunks by hash; chunks and shards exchange packed arrays:
 
-1. a chunk sends its distinct anchors; the shard answers with one bit each: in two
-   documents or more? The others' windows are unique and drop out here.
+1. a chunk sends its distinct anchors; the shard answers with one bit each: in two chunks or
+   in two documents of one? The others' windows are in one document and drop out here.
 2. a chunk sends its distinct pieces under repeated anchors, with the least document of
    each. A shard builds the index over all its distinct pieces, streams them through it by
    backward search, and finds for each window its rows and the least document among them.
@@ -281,7 +281,8 @@ def dedup_substrings(docs: DataFrame, chunk_bytes: int = 8 << 20, shard_bytes: i
     """
     docs = docs.select("doc_id", "text")
     chunks, shards = parts_for(docs, chunk_bytes), parts_for(docs, shard_bytes)
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    # By id and text: rows that repeat an id, or lack one, spread like all others.
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
     sent = docs.groupBy("chunk").applyInArrow(_send_anchors(shards), _SENT)
     bits = sent.groupBy("bucket").applyInArrow(_answer_anchors, _SENT)
     pieces = docs.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(_send_pieces(shards), _SENT)
