@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .textcore import blocks
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -151,7 +152,7 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def predict(docs: DataFrame, net: ByteCnn | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score"), block: int = 2048) -> DataFrame:
+def predict(docs: DataFrame, net: ByteCnn | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score"), block: int = 512) -> DataFrame:
     """``keep`` columns with lang_pred and score (mean probability of the predicted language), under ``names``.
 
     Only the text is looked at. ``und`` with score 0 where the text is null or has no letter
@@ -160,25 +161,20 @@ def predict(docs: DataFrame, net: ByteCnn | None, keep: tuple[str, ...] = ("doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() if t.is_valid else "" for t in b.column(len(keep))]
-            live = [i for i, t in enumerate(texts) if net is not None and has_letter(t)]
-            lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            group, held = [], 0
-            for n, i in enumerate(live):
-                group.append(i)
-                held += len(texts[i])
-                if held < 4_000_000 and n + 1 < len(live):
-                    continue
-                x, owner, size = windows_of([texts[k].encode() for k in group])
-                total = np.zeros((len(group), len(net.langs)))
-                for a in range(0, len(x), block):
-                    p = net.probabilities(x[a : a + block]) * size[a : a + block, None]
-                    np.add.at(total, owner[a : a + block], p)
-                total /= total.sum(1, keepdims=True)
-                lang[group] = np.array(net.langs, object)[total.argmax(1)]
-                score[group] = total.max(1)
-                group, held = [], 0
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*keep, *names])
+            for s in blocks(b, "lang_text", 1 << 20):  # some texts at a time, whole ones
+                texts = [t.as_py() if t.is_valid else "" for t in s.column(len(keep))]
+                live = [i for i, t in enumerate(texts) if net is not None and has_letter(t)]
+                lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+                if live:
+                    x, owner, size = windows_of([texts[i].encode() for i in live])
+                    total = np.zeros((len(live), len(net.langs)))
+                    for a in range(0, len(x), block):
+                        p = net.probabilities(x[a : a + block]) * size[a : a + block, None]
+                        np.add.at(total, owner[a : a + block], p)
+                    total /= total.sum(1, keepdims=True)
+                    lang[live] = np.array(net.langs, object)[total.argmax(1)]
+                    score[live] = total.max(1)
+                yield pa.RecordBatch.from_arrays([*s.columns[:-1], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*keep, *names])
 
     kinds = dict(docs.dtypes)
     return docs.select(*keep, F.col("text").alias("lang_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"]))

@@ -176,6 +176,8 @@ def fit(texts: DataFrame, bytes_each: int = 16 << 20) -> KneserNey:
     rows = max(2, -(-parts_for(texts, bytes_each, 24) // COLUMNS))
     parts = rows * COLUMNS
     base = shared_dir(spark)
+    if base.startswith("file:/"):
+        base = "/" + base.removeprefix("file:").lstrip("/")
     root = (base if "://" in base else f"file://{os.path.abspath(base)}").rstrip("/") + f"/ngrams-{uuid.uuid4().hex}"
     if root.startswith("file:/"):
         os.makedirs(root.removeprefix("file://"), exist_ok=True)
@@ -306,7 +308,7 @@ def score(docs: DataFrame, model: KneserNey, keep: tuple[str, ...] = ("doc_id",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in blocks(b, "text", 8 << 20):
+            for s in blocks(b, "text", 4 << 20):
                 u, w, text = token_pairs(words_of(s.column(len(keep)), lower=True))
                 logp, c = log_probabilities(model, u, w)
                 base = np.log10((c + 1) / (model.tokens + model.vocabulary + 1))

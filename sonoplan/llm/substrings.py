@@ -43,10 +43,12 @@ class Pieces:
         full = np.full(len(h), np.iinfo(np.uint64).max, np.uint64)
         full[at] = g
         _, begin = ngrams(h, words.first, LENGTH)
-        if len(begin):
-            best = np.lib.stride_tricks.sliding_window_view(full, span)[begin].argmin(1) + begin
-        else:
-            best = begin
+        best, least = begin.copy(), full[begin]
+        for k in range(1, span):  # the leftmost least hash of each window
+            v = full[begin + k]
+            lower = v < least
+            least[lower] = v[lower]
+            best[lower] = begin[lower] + k
         new = np.ones(len(begin), bool)
         new[1:] = (best[1:] != best[:-1]) | (begin[1:] != begin[:-1] + 1)
         cut = np.flatnonzero(new)

@@ -26,7 +26,7 @@ _PLAIN_SEP = _SEP.copy()
 _PLAIN_SEP[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
 _LONG_WORD = 256
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
