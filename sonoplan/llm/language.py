@@ -159,10 +159,14 @@ def predict(docs: DataFrame, net: ByteCnn | None, keep: tuple[str, ...] = ("doc_
     (or nothing could be learned). Whole texts, in blocks of ``block`` windows.
     """
 
+    # The text travels once, also where it is kept.
+    at = keep.index("text") if "text" in keep else len(keep)
+    column, extra = ("text", []) if "text" in keep else ("lang_text", [F.col("text").alias("lang_text")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in blocks(b, "lang_text", 1 << 20):  # some texts at a time, whole ones
-                texts = [t.as_py() if t.is_valid else "" for t in s.column(len(keep))]
+            for s in blocks(b, column, 1 << 20):  # some texts at a time, whole ones
+                texts = [t.as_py() if t.is_valid else "" for t in s.column(at)]
                 live = [i for i, t in enumerate(texts) if net is not None and has_letter(t)]
                 lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
                 if live:
@@ -174,10 +178,10 @@ def predict(docs: DataFrame, net: ByteCnn | None, keep: tuple[str, ...] = ("doc_
                     total /= total.sum(1, keepdims=True)
                     lang[live] = np.array(net.langs, object)[total.argmax(1)]
                     score[live] = total.max(1)
-                yield pa.RecordBatch.from_arrays([*s.columns[:-1], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*s.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*keep, *names])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, F.col("text").alias("lang_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"]))
+    return docs.select(*keep, *extra).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def fold(id_col: Column, n: int) -> Column:
