@@ -1,8 +1,9 @@
-"""N-gram Jaccard join: documents whose shingle sets agree to 90 % or more, as components.
+"""N-gram Jaccard join: documents whose shingle sets agree to ``percent`` or more, as components.
 
 1. Documents with equal sets fall into one class at once (a hash of the set).
 2. Candidates. Sets within the threshold differ in at most H elements (H follows from the
-   sizes). Elements are dealt to H + 2 parts by hash, so two parts at least agree in full; the
+   sizes). Elements are dealt to H + 2 parts by hash (and some more where many would stay
+   empty), so two parts at least agree in full; the
    hashes of a set's parts are its signatures. Sets that share a signature may be similar;
    their components bound where links can lie. Copies of a signature within a batch are
    joined on the spot, so a signature of a third of all documents reaches the shuffle once a
@@ -20,6 +21,7 @@ written out. The result of a group is a spanning forest.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,28 +32,29 @@ from .common import cut, text_key
 from .graph import components, forest
 from .textcore import U64, blocks, mix, ngrams, words_of
 
+#: op3's shingle length and least similarity; the operators below take others.
 SHINGLE = 3
 PERCENT = 90
 #: Bounds of a trie: sets and n-grams in one block.
 BLOCK_SETS, BLOCK_GRAMS = 500, 500_000
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(elements, first): distinct 56-bit shingle hashes of each text, sorted.
 
-    Fewer than three words: the whole sequence is the one element. No words: none.
+    Fewer than ``shingle`` words: the whole sequence is the one element. No words: none.
     """
     words = words_of(texts, lower=True)
     h, n = words.hashes(), words.counts()
-    g, at = ngrams(h, words.first, SHINGLE)
+    g, at = ngrams(h, words.first, shingle)
     doc = np.searchsorted(words.first, at, side="right") - 1
-    for k in range(1, SHINGLE):
+    for k in range(1, shingle):
         own = np.flatnonzero(n == k)
         s = np.full(len(own), k, U64)
         for j in range(k):
             s = mix(s * U64(0x9E3779B97F4A7C15) + h[words.first[own] + j])
         g, doc = np.append(g, s), np.append(doc, own)
-    if len(own := np.flatnonzero(n < SHINGLE)):
+    if len(own := np.flatnonzero(n < shingle)):
         order = np.argsort(doc, kind="stable")
         g, doc = g[order], doc[order]
     cuts = np.searchsorted(doc, np.arange(0, len(n) + 256, 256))
@@ -76,18 +79,29 @@ def class_keys(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(total ^ (n.astype(U64) * U64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
-def size_classes(most: int) -> np.ndarray:
+def size_classes(most: int, percent: int = PERCENT) -> np.ndarray:
     """Lower bounds of size classes: sets that can be linked are in one class or in neighbours."""
     low = [1, 2]
     while low[-1] <= most:
-        low.append(max(low[-1] + 1, (low[-1] - 1) * 100 // PERCENT + 1))
-    return np.array([*low, max(low[-1] + 1, (low[-1] - 1) * 100 // PERCENT + 1)])
+        low.append(max(low[-1] + 1, (low[-1] - 1) * 100 // percent + 1))
+    return np.array([*low, max(low[-1] + 1, (low[-1] - 1) * 100 // percent + 1)])
 
 
-def signatures(elements: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spare_share(percent: int) -> float:
+    """Parts to add, as a share, so that the thinnest sets have fewer empty parts than must agree."""
+    load = (100 + percent) / (2 * (100 - percent)) * (percent / 100) ** 2 if percent < 100 else np.inf
+    share = np.exp(-load)
+    if share < 1e-3:
+        return 0.0
+    for _ in range(50):
+        share = min(np.exp(-load * (1 - share)), 0.5)
+    return 1.3 * share
+
+
+def signatures(elements: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set) of the non-empty parts, for the set's size class and the next."""
     n = np.diff(first)
-    low = size_classes(int(n.max(initial=1)) + 1)
+    low = size_classes(int(n.max(initial=1)) + 1, percent)
     own = np.searchsorted(low, n, side="right") - 1
     sigs, sets = [], []
     doc = np.repeat(np.arange(len(n)), n)
@@ -95,9 +109,10 @@ def signatures(elements: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     for up in (0, 1):
         k = own + up
         top = low[np.minimum(k + 1, len(low) - 1)] - 1
-        differ = top * 2 * (100 - PERCENT) // (100 + PERCENT)
+        differ = top * 2 * (100 - percent) // (100 + percent)
         use = (n > 0) & (differ > 0)  # else only equal sets are linked
-        parts = np.where(use, differ + 2, 0)
+        agree = 2 + (differ * spare_share(percent)).astype(np.int64)  # so many parts at least
+        parts = np.where(use, differ + agree, 0)
         begin = np.cumsum(parts) - parts
         total = np.zeros(int(parts.sum()), U64)
         many = np.zeros(len(total), np.int32)
@@ -113,7 +128,8 @@ def signatures(elements: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
         sets.append(of[full])
         # Only empty parts may agree: then at least two do, and their pair is a signature.
         empty = np.flatnonzero(many == 0)
-        for d in np.unique(of[empty]):
+        lacks = np.bincount(of[empty], minlength=len(n))
+        for d in np.flatnonzero(use & (lacks >= agree)):
             t = tag[empty[of[empty] == d]]
             i, j = np.triu_indices(len(t), 1)
             sigs.append(mix(t[i] * U64(3) + t[j]))
@@ -121,23 +137,23 @@ def signatures(elements: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(sigs), np.concatenate(sets)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _classes(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in blocks(b, "text"):
-            elements, first = shingle_sets(s.column(1))
+            elements, first = shingle_sets(s.column(1), shingle)
             yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(np.diff(first)), pa.array(class_keys(elements, first))], names=["doc_id", "key", "n", "class"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (sig, class), and rows (null, u, v) for classes joined within the block."""
     for b in batches:
         for s in blocks(b, "text"):
-            elements, first = shingle_sets(s.column(0))
+            elements, first = shingle_sets(s.column(0), shingle)
             keys = class_keys(elements, first)
             _, one = np.unique(keys, return_index=True)  # one of each class
             pick = np.zeros(len(keys), bool)
             pick[one] = True
-            sig, of = signatures(elements, first)
+            sig, of = signatures(elements, first, percent)
             keep = pick[of]
             sig, c = sig[keep], keys[of[keep]]
             order = np.lexsort((c, sig))
@@ -170,11 +186,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[a : a + (1 << 16)]), pa.array(v[a : a + (1 << 16)])], names=["u", "v"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """The set of each wanted class, packed; rows of other classes with the same id drop out."""
     for b in batches:
         for s in blocks(b, "text"):
-            elements, first = shingle_sets(s.column(s.schema.get_field_index("text")))
+            elements, first = shingle_sets(s.column(s.schema.get_field_index("text")), shingle)
             keys = class_keys(elements, first)
             want = s.column(s.schema.get_field_index("class")).to_numpy()
             own = np.flatnonzero(keys == want)
@@ -182,7 +198,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([packed if k == "set" else s.column(s.schema.get_field_index(k)).take(pa.array(own)) for k in ("root", "blocks", "class", "set")], names=["root", "blocks", "class", "set"])
 
 
-def trie_links(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that span the components of the sets; only between different sides if there are two."""
     count = len(sets)
     size = np.array([len(s) for s in sets])
@@ -229,7 +245,7 @@ def trie_links(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np
             end = int(common[lo + 1 : hi].min())
         # The largest overlap the subtree can reach must do for its smallest set.
         path, reach = paths[by[lo]], length[lo:hi].max()
-        need = (PERCENT * (size[q_sets] + least_below(lo, hi)) + 99 + PERCENT) // (100 + PERCENT)
+        need = (percent * (size[q_sets] + least_below(lo, hi)) + 99 + percent) // (100 + percent)
         for a in range(depth, end, 128):
             if not len(q):
                 break
@@ -241,7 +257,7 @@ def trie_links(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np
             continue
         if hi - lo == 1:
             y = by[lo]
-            linked = 100 * got >= PERCENT * (size[q_sets] + size[y] - got)
+            linked = 100 * got >= percent * (size[q_sets] + size[y] - got)
             for x in q_sets[linked]:
                 if comp[x] != comp[y]:
                     left.append(int(x)), right.append(int(y))
@@ -253,14 +269,14 @@ def trie_links(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Spanning links of each group of rows (root, i, j), which come one group after the other."""
     held: list[tuple] = []
     now = None
 
     def out() -> pa.RecordBatch:
         keys = np.array([h[0] for h in held], np.int64)
-        left, right = trie_links([np.frombuffer(h[2], np.uint64) for h in held], np.array([h[1] for h in held]))
+        left, right = trie_links([np.frombuffer(h[2], np.uint64) for h in held], np.array([h[1] for h in held]), percent)
         u, v = forest(keys[left], keys[right])
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), now[1] is not None))], names=["u", "v", "split"])
 
@@ -276,10 +292,11 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, key (of the row), n_shingles, component_id (least doc_id reachable by links), root.
 
-    One row for every row of ``docs``; rows of a component share ``root``.
+    One row for every row of ``docs``; rows of a component share ``root``. Rows are linked whose
+    sets of ``shingle`` words agree to ``percent`` or more.
 
     Null or wordless text: no shingles, linked with nothing, component_id is its own doc_id.
     Rows with equal sets are linked; a null doc_id is never the least unless all are null.
@@ -287,9 +304,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     keyed = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
-    rows = cut(keyed.mapInArrow(_classes, "doc_id bigint, key bigint, n bigint, class bigint"))
+    rows = cut(keyed.mapInArrow(partial(_classes, shingle=shingle), "doc_id bigint, key bigint, n bigint, class bigint"))
     one = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    sent = docs.select("text").mapInArrow(_candidates, "s bigint, c bigint, edge boolean")
+    sent = docs.select("text").mapInArrow(partial(_candidates, shingle=shingle, percent=percent), "s bigint, c bigint, edge boolean")
     edges = sent.repartition("s").mapInArrow(_meet, "u bigint, v bigint")
     groups = components(edges)
     members = groups.join(one, groups["node"] == one["class"]).select("root", "class", "least", "n")
@@ -297,14 +314,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     amount = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     members = members.join(sizes.select("root", amount.alias("blocks")), "root").select("root", "blocks", "class", "least")
     sets = docs.join(members, F.col("doc_id").eqNullSafe(F.col("least")))
-    sets = sets.select("text", "root", "blocks", "class").mapInArrow(_sets, "root bigint, blocks int, class bigint, set binary").dropDuplicates(["root", "class"])
+    sets = sets.select("text", "root", "blocks", "class").mapInArrow(partial(_sets, shingle=shingle), "root bigint, blocks int, class bigint, set binary").dropDuplicates(["root", "class"])
     # A set of block b meets every block: as the first of pairs with later ones, the second with earlier ones.
     b = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     whole = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"), F.lit(0).alias("side")))
     dealt = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j"), b.alias("side")))
     dealt = sets.withColumn("to", F.explode(F.when(F.col("blocks") == 1, whole).otherwise(dealt)))
     dealt = dealt.select("root", "to.i", "to.j", "to.side", "class", "set").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = cut(dealt.mapInArrow(_join_blocks, "u bigint, v bigint, split boolean"))
+    links = cut(dealt.mapInArrow(partial(_join_blocks, percent=percent), "u bigint, v bigint, split boolean"))
     found = links.where("not split").select(F.col("u").alias("node"), F.col("v").alias("root"))
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     split = links.where("split").select("u", "v")
@@ -317,12 +334,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), alone.alias("component_id"), "root")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: the one of least doc_id (then key; null ids last).
 
     Rows without shingles all stay. Rows that repeat exactly, id and text, count as one.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, shingle, percent)
     first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select("f.key")
     kept = first.unionByName(found.where("n_shingles = 0").select("key")).select(F.col("key").alias("jj_key"))
     rows = docs.withColumn("jj_row", text_key(F.col("doc_id"), F.col("text")))

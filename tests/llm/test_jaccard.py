@@ -66,6 +66,36 @@ def test_equals_all_pairs(spark, tmp_path, monkeypatch, seed, block):
     assert got == sorted(brute(rows), key=str)
 
 
+@pytest.mark.parametrize(("shingle", "percent"), [(5, 80), (2, 60), (3, 100)])
+def test_other_lengths_and_similarities(spark, shingle, percent):
+    rows = [(i, t) for i, t in corpus(3) if i is not None]
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(3000)]  # parts of it stay empty
+    rows += [(4000, " ".join(long)), (4001, " ".join(["x"] * 9 + long[:2700]))]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").replace("É", "é").lower().replace("é", "É")) for _, t in rows]
+    sets = [{tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} or ({tuple(w)} if w else set()) for w in words]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r)) for r in set(root)}
+    want = sorted((d, len(sets[i]), least[root[i]] if sets[i] else d) for i, (d, _) in enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.near_duplicates(df, shingle, percent).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == want
+    kept = jaccard.keep_one(df, shingle, percent)
+    alone = {rows[i] for i in range(len(rows)) if not sets[i]}
+    assert kept.count() == len({root[i] for i in range(len(rows)) if sets[i]}) + len(alone)
+
+
+def test_empty_parts_stay_few():
+    elements = jaccard.mix(jaccard.np.arange(20_000).astype(jaccard.U64))
+    first = jaccard.np.array([0, len(elements)])
+    sig, _ = jaccard.signatures(elements, first, 80)
+    assert len(sig) < len(elements)
+
+
 def test_empty(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
