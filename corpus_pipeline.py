@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 from sonoplan.llm.common import shared_dir, table
 from sonoplan.llm.decontaminate import drop_leaks
 from sonoplan.llm.jaccard import keep_one
-from sonoplan.llm.language import UNKNOWN, fold, predict, train_on
+from sonoplan.llm.language import UNKNOWN, fold, lettered, predict, train_on
 from sonoplan.llm.linededup import dedup_lines
 from sonoplan.llm.mixing import mix_sources
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which the network reads a language (not ``und``)."""
+    """Keeps the documents in which the network reads a language (not ``und``).
+
+    Without labels to learn from there is no network: then all texts with a letter stay.
+    """
     net = train_on(docs, fold(F.col("doc_id"), 5) != 0)
+    if net is None:
+        return lettered(docs)
     found = predict(docs, net, tuple(docs.columns), ("stage_lang", "stage_score"))
     return found.where(F.col("stage_lang") != UNKNOWN).select(*docs.columns)
 

@@ -184,6 +184,18 @@ def predict(docs: DataFrame, net: ByteCnn | None, keep: tuple[str, ...] = ("doc_
     return docs.select(*keep, *extra).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter, the ones that ``predict`` can name a language for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in blocks(b, "text", 1 << 20):
+                texts = s.column(s.schema.get_field_index("text"))
+                yield s.filter(pa.array([t.is_valid and has_letter(t.as_py()) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

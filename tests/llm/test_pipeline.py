@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import corpus_pipeline as pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from .test_decontaminate import smith_waterman
@@ -140,6 +142,19 @@ def test_empty_tables(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("labelled", [None, 0], ids=["none", "held out only"])
+def test_unlabelled_texts_stay(spark, labelled):
+    rows = [r for r in corpus()[0] if r[0] is not None]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    rows = [(i, t, lang if labelled == 0 and held(i) else None, s, n) for i, t, lang, s, n in rows]
+    assert labelled is None or any(r[2] for r in rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = pipeline.language(spark, docs, "")
+    assert got.columns == COLUMNS
+    want = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    assert len(want) > 180 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_columns_that_clash(spark, tmp_path):
     df = spark.createDataFrame([(i, f"some words that are quite different {'x' * i} and {i * 7} more", "en", "s", 1) for i in range(1, 9)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for c in ("score", "lang_pred", "key", "root", "class", "n", "l", "rate"):
