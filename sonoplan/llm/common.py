@@ -34,15 +34,30 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files that a DataFrame scans; sources of unknown size don't count."""
+    """Bytes of the files that a DataFrame scans; sources of unknown size don't count (all unknown: 0)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     return sum(s for s in sizes if s < 1 << 60)
 
 
-def parts_for(df: DataFrame, bytes_each: int, least: int = 12, most: int = 200_000) -> int:
-    """Number of partitions so that each holds about ``bytes_each`` of the input."""
-    return max(least, min(most, -(-input_bytes(df) // bytes_each)))
+def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
+    """Number of partitions so that each holds about ``bytes_each`` of the input.
+
+    A source that reports no size (an RDD, a JDBC table) is measured by a pass over its texts.
+    """
+    size = input_bytes(df)
+    if not size:
+        held = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in df.columns else F.lit(64)
+        size = df.agg(F.sum(held.cast("long"))).first()[0] or 0
+    return max(least, -(-size // bytes_each))
+
+
+def free_name(columns: list[str], wish: str) -> str:
+    """``wish``, with underscores after it until no column is called so (case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
 
 
 def n_words(text: Column) -> Column:
@@ -51,5 +66,6 @@ def n_words(text: Column) -> Column:
 
 
 def text_key(id_col: Column, text: Column) -> Column:
-    """Row key that tolerates null and repeated ids: equal keys mean equal (id, text)."""
-    return F.xxhash64(id_col, text, F.lit(1))
+    """Row key of 128 bits (binary) that tolerates null and repeated ids: equal keys mean equal (id, text)."""
+    held = F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.when(text.isNull(), "-").otherwise("+"), F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(held.cast("binary")))

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MOST_ROUNDS = 60
-
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (node, least node of its component) with the components of the given edges."""
@@ -61,9 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     e = cut(e.mapInArrow(_local, "u bigint, v bigint").distinct())
-    for _ in range(MOST_ROUNDS):
+    while True:  # the stars settle in a number of rounds that grows with the square of the logarithm
         # Done when every edge is a star edge: no centre is itself a leaf.
         if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         e = cut(_stars(cut(_stars(e, small=False)), small=True))
-    raise RuntimeError("components did not settle")

@@ -11,8 +11,12 @@
 3. Prefix-tree join. The sets of a candidate component are put in one global order (most
    frequent n-gram first) and stored in a trie. All sets walk the trie together, so that a
    shared beginning is intersected once; a set leaves a subtree when the n-grams that remain
-   can't bring the overlap to the threshold, or when it is linked to the leaf already. Large
-   components are dealt to blocks, and each pair of blocks is one trie.
+   can't bring the overlap to the threshold, or when it is linked to the leaf already.
+
+Large components are parted first: linked sets share an element among the rarest of each, so
+many as the threshold allows to differ and one more; passages that many texts share don't tie
+those together. What is large still goes to random blocks, each one trie, cut in two ways; only
+sets that the largest component found so far doesn't hold then meet all blocks.
 
 Every link between different sets is found or implied by links found; no pair of a group is
 written out. The result of a group is a spanning forest.
@@ -25,10 +29,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key
+from .common import cut, free_name, parts_for, text_key
 from .graph import components, forest
 from .textcore import U64, blocks, mix, ngrams, words_of
 
@@ -36,7 +40,13 @@ from .textcore import U64, blocks, mix, ngrams, words_of
 SHINGLE = 3
 PERCENT = 90
 #: Bounds of a trie: sets and n-grams in one block.
-BLOCK_SETS, BLOCK_GRAMS = 500, 500_000
+BLOCK_SETS, BLOCK_GRAMS = 200, 500_000
+#: Text whose signatures meet in one partition.
+MEET_BYTES = 8 << 20
+#: Counters of the frequency order, and how many travel in one row.
+COUNTER_BITS, SLICE = 20, 1 << 16
+#: More candidate sets than this (16 bytes and some each) meet the texts in a shuffle instead of a broadcast.
+BROADCAST_SETS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +154,12 @@ def _classes(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(np.diff(first)), pa.array(class_keys(elements, first))], names=["doc_id", "key", "n", "class"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, class), and rows (null, u, v) for classes joined within the block."""
+def _candidates(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (p, s, class, null) of signatures, and rows (p, 0, u, v) for classes joined within the block.
+
+    A signature is cut to its bucket p and 32 bits s: two that fall together only make one more
+    candidate.
+    """
     for b in batches:
         for s in blocks(b, "text"):
             elements, first = shingle_sets(s.column(0), shingle)
@@ -156,46 +170,141 @@ def _candidates(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -
             sig, of = signatures(elements, first, percent)
             keep = pick[of]
             sig, c = sig[keep], keys[of[keep]]
-            order = np.lexsort((c, sig))
-            sig, c = sig[order], c[order]
-            new = np.append(True, sig[1:] != sig[:-1]) if len(sig) else np.zeros(0, bool)
-            lead = c[np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))] if len(c) else c
-            u, v = forest(c[~new], lead[~new])
-            n, m = int(new.sum()), len(u)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(sig[new].view(np.int64), u)), pa.array(np.append(c[new], v)), pa.array(np.append(np.zeros(n, bool), np.ones(m, bool)))], names=["s", "c", "edge"]
-            )
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of the classes that share a signature; a partition holds all rows of its signatures."""
-    s, c, u, v = [], [], [], []
-    for b in batches:
-        edge = b.column(2).to_numpy(zero_copy_only=False)
-        x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
-        s.append(x[~edge]), c.append(y[~edge]), u.append(x[edge]), v.append(y[edge])
-    if not s:
-        return
-    s, c = np.concatenate(s), np.concatenate(c)
-    order = np.argsort(s)
-    s, c = s[order], c[order]
-    new = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
+            yield from _signature_rows(sig, c, buckets)
+
+
+def _signature_rows(sig: np.ndarray, c: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a block: each signature once, and edges for the classes that share one."""
+    order = np.lexsort((c, sig))
+    sig, c = sig[order], c[order]
+    new = np.append(True, sig[1:] != sig[:-1]) if len(sig) else np.zeros(0, bool)
     lead = c[np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))] if len(c) else c
-    u, v = forest(np.concatenate([*u, c[~new]]), np.concatenate([*v, lead[~new]]))
-    for a in range(0, len(u), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(u[a : a + (1 << 16)]), pa.array(v[a : a + (1 << 16)])], names=["u", "v"])
+    u, v = forest(c[~new], lead[~new])
+    sig, c, m = sig[new], c[new], len(u)
+    bucket = np.append(sig, mix(u.view(U64))) & U64(0xFFFFFFFF)
+    rest = (sig >> U64(32)).astype(np.uint32).view(np.int32)
+    no_edge = np.append(np.ones(len(c), bool), np.zeros(m, bool))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array((bucket % U64(buckets)).astype(np.int32)), pa.array(np.append(rest, np.zeros(m, np.int32))), pa.array(np.append(c, u)), pa.array(np.append(np.zeros(len(c), np.int64), v), mask=no_edge)],
+        names=["p", "s", "c", "v"],
+    )
+
+
+def _meet(batches: Iterator[pa.RecordBatch], held_edges: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Stars of the classes that share a signature. Rows come sorted by (p, s), so a signature of any
+    number of rows streams through; what is held are the last lead and ``held_edges`` edges or so."""
+    last, lead = None, 0
+    us, vs, n = [], [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        u, v = forest(np.concatenate(us), np.concatenate(vs))
+        for a in range(0, len(u), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(u[a : a + (1 << 16)]), pa.array(v[a : a + (1 << 16)])], names=["u", "v"])
+
+    for b in batches:
+        edge = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+        c = b.column(2).to_numpy()
+        if edge.any():
+            us.append(c[edge]), vs.append(b.column(3).drop_null().to_numpy())
+        key = (b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy().view(np.uint32))[~edge]
+        c = c[~edge]
+        if len(c):
+            new = np.append(key[0] != last, key[1:] != key[:-1])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(c)), -1))
+            leads = np.where(at >= 0, c[at], lead)
+            last, lead = key[-1], leads[-1]
+            other = c != leads
+            us.append(c[other]), vs.append(leads[other])
+        n += len(us[-1]) if us else 0
+        if n > held_edges:
+            yield from out()
+            us, vs, n = [], [], 0
+    if us:
+        yield from out()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """The set of each wanted class, packed; rows of other classes with the same id drop out."""
+    """The set of each wanted class, packed; a class that a block has twice leaves it once."""
     for b in batches:
         for s in blocks(b, "text"):
-            elements, first = shingle_sets(s.column(s.schema.get_field_index("text")), shingle)
-            keys = class_keys(elements, first)
-            want = s.column(s.schema.get_field_index("class")).to_numpy()
+            elements, first = shingle_sets(s.column(0), shingle)
+            keys, want = class_keys(elements, first), s.column(2).to_numpy()
             own = np.flatnonzero(keys == want)
+            own = own[np.unique(want[own], return_index=True)[1]]
             packed = pa.array([elements[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed if k == "set" else s.column(s.schema.get_field_index(k)).take(pa.array(own)) for k in ("root", "blocks", "class", "set")], names=["root", "blocks", "class", "set"])
+            take = pa.array(own)
+            yield pa.RecordBatch.from_arrays([s.column(1).take(take), s.column(2).take(take), packed], names=["root", "class", "set"])
+
+
+# --- large candidate components: prefixes in order of frequency ---------------------------
+
+
+def _place(x: np.ndarray) -> np.ndarray:
+    return (mix(x ^ U64(0xA0761D6478BD642F)) >> U64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _unpacked(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements and offsets of a column of packed sets."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(at)]
+    return np.concatenate(sets) if sets else np.zeros(0, U64), np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int64)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << COUNTER_BITS, np.int64)
+    for b in batches:
+        total += np.bincount(_place(_unpacked(b, 0)[0]), minlength=len(total))
+    if total.any():
+        yield _slices(total, np.arange(0, len(total), SLICE))
+
+
+def _slices(total: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows (at, n) of the counters from ``at`` on, each in as few bytes as its largest needs."""
+    parts = [x.astype(np.min_scalar_type(int(x.max()))) for x in total.reshape(len(at), SLICE)]
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in parts], pa.binary())], names=["at", "n"])
+
+
+def _counters(raw: pa.Scalar) -> np.ndarray:
+    x = raw.as_buffer()
+    return np.frombuffer(x, f"<u{x.size // SLICE}").astype(np.int64)
+
+
+def _add_slices(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_slices(sum(map(_counters, rows.column("n"))), np.array([key[0].as_py()]))])
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many elements of ``sets`` fall to each of 2 ** COUNTER_BITS counters: of one size at any input."""
+    # Summed slice by slice before anything reaches the driver: one row for each slice of the counters.
+    whole = sets.select("set").mapInArrow(_frequencies, "at bigint, n binary").groupBy("at").applyInArrow(_add_slices, "at bigint, n binary")
+    total = np.zeros(1 << COUNTER_BITS, np.uint32)
+    for b in whole.toArrow().to_batches():
+        for at, n in zip(b.column(0).to_pylist(), b.column(1)):
+            total[at : at + SLICE] = np.minimum(_counters(n), np.iinfo(np.uint32).max)
+    return total
+
+
+def prefixes(elements: np.ndarray, first: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set): the rarest elements of each set, so many that linked sets share one; for
+    the set's size class and the next. Elements that are alone under their counter have no partner."""
+    n = np.diff(first)
+    low = size_classes(int(n.max(initial=1)) + 1, percent)
+    own = np.searchsorted(low, n, side="right") - 1
+    of = np.repeat(np.arange(len(n)), n)
+    often = counts[_place(elements)]
+    order = np.lexsort((elements, often, of))
+    rank = np.arange(len(order)) - first[of[order]]
+    # Two linked sets share percent of the larger one at least, so more than what lies behind the prefix.
+    keep = order[(rank < (n - (percent * n + 99) // 100 + 1)[of[order]]) & (often[order] > 1)]
+    x, of = elements[keep], of[keep]
+    sig = [mix(x ^ mix((own[of] + up).astype(U64) << U64(32))) for up in (0, 1)]
+    return np.concatenate(sig), np.concatenate([of, of])
+
+
+def _rare(batches: Iterator[pa.RecordBatch], counts, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        elements, first = _unpacked(b, 1)
+        sig, of = prefixes(elements, first, counts.value, percent)
+        yield from _signature_rows(sig, b.column(0).to_numpy()[of], buckets)
 
 
 def trie_links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -287,11 +396,60 @@ def _join_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
                 yield out()
                 held = []
             now = key
+            if held and held[-1][0] == c.as_py():  # a class that several blocks of texts sent
+                continue
             held.append((c.as_py(), mine.as_py() or 0, s.as_buffer()))
     if held:
         yield out()
 
 
+_SIGNED = "p int, s int, c bigint, v bigint"
+
+
+def _with_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (root, class, n) with the number of blocks that their group is cut to."""
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
+    amount = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    return members.join(sizes.select("root", amount.alias("blocks")), "root")
+
+
+def _first_deal() -> Column:
+    """A small group is one trie. A set of a large group goes to two random blocks of it: copies of one
+    text are linked within every block, and two ways to cut the group tie the blocks together."""
+    none = F.lit(None).cast("int")
+    block = lambda salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col("blocks")).cast("int")
+    to = lambda i, j: F.struct(i.alias("i"), j.alias("j"), F.lit(0).cast("bigint").alias("side"))
+    return F.when(F.col("blocks") == 1, F.array(to(none, none))).otherwise(F.array(*[to(F.lit(salt), block(salt)) for salt in (0, 1)]))
+
+
+def _tries(dealt: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Links (u, v, split) of the tries, one for each (root, i, j) of ``dealt`` (root, to, class, set)."""
+    rows = dealt.select("root", "to.i", "to.j", "to.side", "class", "set").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "class")
+    return cut(rows.mapInArrow(partial(_join_blocks, percent=percent), "u bigint, v bigint, split boolean"))
+
+
+def _rest_links(sets: DataFrame, joined: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Links (u, v) between sets of a large group that ``joined`` (node, root) hasn't connected yet.
+
+    The largest component of a group needs no look inside, so only the rest meets all blocks.
+    """
+    comp = joined.select(F.col("node").alias("class"), F.col("root").alias("comp"))
+    rows = cut(sets.select("root", "class", "blocks", (F.length("set") / 8).cast("bigint").alias("n")).dropDuplicates(["class"]).join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class")))
+    size = rows.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("root").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
+    rows = rows.join(size, "root")
+    rest = rows.where("comp != most")
+    amount = _with_blocks(rest.select("root", "class", "n")).groupBy("root").agg(F.max("blocks").alias("rest_blocks"))
+    rows = cut(rows.join(amount, "root").select("class", "comp", "most", "rest_blocks"))
+    if rows.isEmpty():
+        return sets.sparkSession.createDataFrame([], "u bigint, v bigint")
+    own, mine = F.pmod(F.xxhash64("class", F.lit(0)), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("class", F.lit(2)), F.col("rest_blocks")).cast("int")
+    to = lambda i, j: F.struct(i.alias("i"), j.alias("j"), F.col("comp").alias("side"))
+    with_all = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda i: to(i, own))
+    with_rest = F.when(F.col("comp") != F.col("most"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: to(mine, j))).otherwise(F.array().cast("array<struct<i:int,j:int,side:bigint>>"))
+    dealt = sets.join(rows, "class").select("root", F.explode(F.concat(with_all, with_rest)).alias("to"), "class", "set")
+    return _tries(dealt, parts, percent).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, key (of the row), n_shingles, component_id (least doc_id reachable by links), root.
 
@@ -302,31 +460,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Rows with equal sets are linked; a null doc_id is never the least unless all are null.
     Rows that share a doc_id are judged by their own texts. Other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     keyed = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
-    rows = cut(keyed.mapInArrow(partial(_classes, shingle=shingle), "doc_id bigint, key bigint, n bigint, class bigint"))
-    one = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    sent = docs.select("text").mapInArrow(partial(_candidates, shingle=shingle, percent=percent), "s bigint, c bigint, edge boolean")
-    edges = sent.repartition("s").mapInArrow(_meet, "u bigint, v bigint")
+    rows = cut(keyed.mapInArrow(partial(_classes, shingle=shingle), "doc_id bigint, key binary, n bigint, class bigint"))
+    one = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min("key").alias("rep"))
+    parts = parts_for(docs, MEET_BYTES)
+    sent = docs.select("text").mapInArrow(partial(_candidates, shingle=shingle, percent=percent, buckets=8 * parts), _SIGNED)
+    edges = sent.repartition(parts, "p").sortWithinPartitions("p", "s").mapInArrow(_meet, "u bigint, v bigint")
     groups = components(edges)
-    members = groups.join(one, groups["node"] == one["class"]).select("root", "class", "least", "n")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
-    amount = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    members = members.join(sizes.select("root", amount.alias("blocks")), "root").select("root", "blocks", "class", "least")
-    sets = docs.join(members, F.col("doc_id").eqNullSafe(F.col("least")))
-    sets = sets.select("text", "root", "blocks", "class").mapInArrow(partial(_sets, shingle=shingle), "root bigint, blocks int, class bigint, set binary").dropDuplicates(["root", "class"])
-    # A set of block b meets every block: as the first of pairs with later ones, the second with earlier ones.
-    b = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    whole = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"), F.lit(0).alias("side")))
-    dealt = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j"), b.alias("side")))
-    dealt = sets.withColumn("to", F.explode(F.when(F.col("blocks") == 1, whole).otherwise(dealt)))
-    dealt = dealt.select("root", "to.i", "to.j", "to.side", "class", "set").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = cut(dealt.mapInArrow(partial(_join_blocks, percent=percent), "u bigint, v bigint, split boolean"))
+    members = cut(groups.join(one, groups["node"] == one["class"]).select("root", "class", "rep", "n"))
+    few = members.count() <= BROADCAST_SETS
+    wanted = members.select("root", "class", "rep")
+    # Where the texts are dealt by row, each goes once, however often its row repeats; a class is read from one row.
+    texts = keyed.select("key", "text") if few else keyed.groupBy("key").agg(F.first("text").alias("text"))
+    found = texts.join(F.broadcast(wanted) if few else wanted, F.col("key") == F.col("rep")).select("text", "root", "class")
+    sets = cut(found.mapInArrow(partial(_sets, shingle=shingle), "root bigint, class bigint, set binary"))
+    members = _with_blocks(members.select("root", "class", "n"))
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        # Passages that many texts share tie large groups together; the rarest elements part them again.
+        counts = spark.sparkContext.broadcast(frequencies(sets.join(large.select("class"), "class", "left_semi")))
+        rare = sets.join(large.select("class"), "class", "left_semi").select("class", "set")
+        rare = rare.mapInArrow(partial(_rare, counts=counts, percent=percent, buckets=8 * parts), _SIGNED)
+        groups = components(rare.repartition(parts, "p").sortWithinPartitions("p", "s").mapInArrow(_meet, "u bigint, v bigint"))
+        parted = groups.join(large.select("class", "n"), groups["node"] == F.col("class")).select("root", "class", "n")
+        members = cut(members.where("blocks = 1").unionByName(_with_blocks(parted)))
+    sets = sets.drop("root").join(members.select("root", "blocks", "class"), "class")
+    links = _tries(sets.select("root", F.explode(_first_deal()).alias("to"), "class", "set"), parts, percent)
     found = links.where("not split").select(F.col("u").alias("node"), F.col("v").alias("root"))
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    split = links.where("split").select("u", "v")
-    if not split.isEmpty():
-        found = found.unionByName(components(split))
+    if not large.isEmpty():
+        links = links.where("split").select("u", "v")
+        found = found.unionByName(components(links.unionByName(_rest_links(sets.where("blocks > 1"), components(links), parts, percent))))
     named = one.select("class", "least").join(found, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "root", "component_id")
     out = rows.join(named.hint("shuffle_hash"), "class", "left")
@@ -335,20 +500,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component: the one of least doc_id (then key; null ids last).
+    """``docs`` with one row of each component: the one of least doc_id (null ids last), then least
+    row key, then, among rows of equal id and text, the one whose other columns come first as JSON.
 
-    Rows without shingles all stay. Rows that repeat exactly, id and text, count as one.
+    Rows without shingles are linked with nothing and all stay, repeated ones too. Empty table:
+    empty result. Columns of any name pass through.
     """
-    found = near_duplicates(docs, shingle, percent)
-    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select("f.key")
-    kept = first.unionByName(found.where("n_shingles = 0").select("key")).select(F.col("key").alias("jj_key"))
-    rows = docs.withColumn("jj_row", text_key(F.col("doc_id"), F.col("text")))
-    return rows.join(kept, F.col("jj_row") == F.col("jj_key"), "left_semi").dropDuplicates(["jj_row"]).drop("jj_row")
-
-
+    key, row, whole = (free_name(docs.columns, n) for n in ("jj_key", "jj_row", "jj_whole"))
+    spoken = near_duplicates(docs, shingle, percent).where("n_shingles > 0")
+    first = spoken.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select("f.key")
+    # What isn't the plain case, one row for each key: a row that goes, or one that repeats and stays once.
+    many = spoken.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).join(first.withColumn("stays", F.lit(True)), "key", "left")
+    odd = cut(many.where("stays IS NULL OR rows > 1").select(F.col("key").alias(key), F.col("stays").isNotNull().alias(whole)))
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_SETS else odd
+    rows = docs.withColumn(row, text_key(F.col("doc_id"), F.col("text"))).join(odd, F.col(row) == F.col(key), "left")
+    plain = rows.where(F.col(key).isNull()).select(*docs.columns)
+    tie = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]), {"ignoreNullFields": "false"})
+    once = rows.where(F.col(whole)).groupBy(row).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), tie).alias(whole))
+    return plain.unionByName(once.select(*[F.col(whole)[c].alias(c) for c in docs.columns]))
 
 
 def op3_jaccard(spark, sf_dir):
+    """doc_id, n_shingles, component_id of every document, by 3-word shingles at 90 %.
+
+    Nulls, empty and very long texts, repeated rows, empty tables: as in near_duplicates.
+    """
     from .common import table
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -2,8 +2,8 @@
 
 Every rule is a regular expression. A Boolean query over trigrams that any match must
 contain is derived from its syntax tree; the postings of the needed trigrams are built
-over all texts, intersected per row, and only candidate rows are verified with the
-expression itself. Rules without mandatory trigrams scan every text.
+over all texts, intersected per row, and a rule's expression runs only on the rows that the
+index leaves for it. Rules without mandatory trigrams scan every text.
 """
 
 from __future__ import annotations
@@ -147,60 +147,69 @@ def postings(docs: DataFrame, grams: set[str]) -> DataFrame:
     return low.select("key", F.explode(held).alias("gram"))
 
 
-def _spans(rows: DataFrame, rule: Rule, n: int) -> DataFrame:
-    """(key, n, kind, start, end) of the rule's matches: text between matches gives the offsets."""
+def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(key, fits): the rules whose trigram query the postings of a row satisfy; rows without any are left out."""
+    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    grams = set().union(*(grams_of(q) for q in queries.values()))
+    held = postings(docs, grams).groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    fits = F.array_compact(F.array(*[F.when(_holds(q, F.col("grams")), F.lit(k)) for k, q in queries.items() if q != ALL], F.lit(None).cast("string")))
+    return held.select("key", fits.alias("fits")).where(F.size("fits") > 0)
+
+
+def _matches(rule: Rule) -> Column:
+    """Matches of a rule in ``text``: (gap before, found, part) lengths; a last gap without a match ends them."""
     pattern = F.lit(rule.pattern)
-    hit = rows.where(F.col("text").rlike(rule.pattern)).select(
-        "key",
-        F.arrays_zip(
-            F.split("text", rule.pattern, -1).alias("gap"),
-            F.regexp_extract_all("text", pattern, F.lit(0)).alias("found"),
-            F.regexp_extract_all("text", pattern, F.lit(rule.group)).alias("part"),
-        ).alias("z"),
-    )
-    # The row number only keeps repeated rows apart inside one explode; it is compared with nothing else.
-    hit = hit.withColumn("row", F.monotonically_increasing_id())
-    each = hit.select("key", "row", F.posexplode("z").alias("pos", "z"))
-    each = each.select("key", "row", "pos", "z.gap", "z.found", "z.part")
-    so_far = W.partitionBy("key", "row").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    size = F.coalesce(F.length("found"), F.lit(0))
-    each = each.withColumn("end", F.sum(F.length("gap") + size).over(so_far))
-    return each.where(F.col("found").isNotNull() & (F.length("part") >= rule.least)).select(
-        "key", F.lit(n).alias("n"), F.lit(rule.kind).alias("kind"), (F.col("end") - size).alias("start"), "end"
-    )
+    found = F.regexp_extract_all("text", pattern, F.lit(0))
+    part = found if rule.group == 0 else F.regexp_extract_all("text", pattern, F.lit(rule.group))
+    zipped = F.arrays_zip(F.split("text", rule.pattern, -1).alias("gap"), found.alias("found"), part.alias("part"))
+    lengths = lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["found"]).alias("found"), F.length(z["part"]).alias("part"))
+    return F.transform(zipped, lengths)
 
 
 def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Spans (key, n, kind, start, end) in code points, end exclusive, over whole texts.
 
-    ``docs`` has key and text (no nulls in text). Equal keys mean equal texts; a key that
-    repeats repeats its spans. Matches of one rule don't overlap (leftmost first).
+    ``docs`` has key and text (no nulls in text). Equal keys mean equal texts and give their
+    spans once. Matches of one rule don't overlap (leftmost first).
     """
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    grams = set().union(*(grams_of(q) for q in queries.values()))
-    out = [_spans(docs, r, n) for n, r in enumerate(rules) if queries[r.kind] == ALL]
-    if grams:
-        index = postings(docs, grams)
-        held = index.groupBy("key").agg(F.collect_set("gram").alias("grams"))
-        fits = F.filter(F.array(*[F.when(_holds(q, F.col("grams")), F.lit(k)) for k, q in queries.items() if q != ALL]), lambda x: x.isNotNull())
-        held = held.select("key", fits.alias("fits")).where(F.size("fits") > 0)
-        rows = docs.join(held.hint("shuffle_hash"), "key")
-        out += [_spans(rows.where(F.array_contains("fits", r.kind)), r, n) for n, r in enumerate(rules) if queries[r.kind] != ALL]
-    return reduce(DataFrame.unionByName, out)
+    return _scan(docs.withColumn("doc_id", F.lit(None).cast("bigint")), rules).select("key", F.inline("spans")).select("key", "n", "kind", "start", "end")
+
+
+def _scan(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """One row per key of ``docs`` (key, doc_id, text): key, doc_id, copies and spans.
+
+    The texts are dealt by key once; the candidates of the index, the verification and the sums
+    of lengths that give the offsets follow in that partitioning. A rule's expression runs only
+    where the index lets it, or everywhere if the rule has no mandatory trigram.
+    """
+    rows = docs.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    indexed = [r.kind for r in rules if trigram_query(r.pattern) != ALL]
+    if indexed:
+        rows = rows.join(candidates(docs, rules).hint("shuffle_hash"), "key", "left")
+    none = F.array().cast("array<struct<gap:int,found:int,part:int>>")
+    may = lambda r: F.array_contains("fits", r.kind) if r.kind in indexed else F.col("text").rlike(r.pattern)
+    hits = [F.when(may(r), _matches(r)).otherwise(none) for r in rules]
+    tagged = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), h.alias("z")) for n, (r, h) in enumerate(zip(rules, hits))])
+    each = rows.select("key", "doc_id", "copies", F.explode_outer(F.filter(tagged, lambda t: F.size(t["z"]) > 1)).alias("t"))
+    each = each.select("key", "doc_id", "copies", "t.n", "t.kind", "t.least", F.posexplode_outer("t.z").alias("pos", "z"))
+    so_far = W.partitionBy("key", "n").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("z.gap") + F.coalesce("z.found", F.lit(0))).over(so_far))
+    span = F.struct((F.col("end") - F.col("z.found")).alias("start"), "n", "end", "kind")
+    good = F.when(F.col("z.found").isNotNull() & (F.col("z.part") >= F.col("least")), span)
+    return each.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.sort_array(F.collect_list(good)).alias("spans"))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with its secrets: an array of (start, n, end, kind).
 
-    Null text counts as empty and has none. Rows that repeat get the same answer each. Other
-    columns are not read, so clashing names can't arise. Empty table: empty result.
+    Null text counts as empty and has none. Rows that repeat get the same answer each; they are
+    scanned once. Other columns are not read, so clashing names can't arise. Empty table: empty
+    result. Very long texts are scanned whole.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", text_key(F.col("doc_id"), F.col("text")))
-    spans = find_spans(rows.select("key", "text"), rules).groupBy("key")
-    spans = spans.agg(F.sort_array(F.collect_set(F.struct("start", "n", "end", "kind"))).alias("spans"))
-    none = F.array().cast("array<struct<start:bigint,n:int,end:bigint,kind:string>>")
-    return rows.select("doc_id", "key").join(spans, "key", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    found = _scan(rows, rules)
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("doc_id", "spans")
 
 
 def _listed(spans: Column) -> Column:
@@ -208,6 +217,10 @@ def _listed(spans: Column) -> Column:
 
 
 def op9_secrets(spark, sf_dir):
+    """doc_id, counts of the base kinds, the hash of the base spans and all spans, for every document.
+
+    Nulls, empty and very long texts, repeated rows, empty tables: as in scan_secrets.
+    """
     from .common import table
 
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
