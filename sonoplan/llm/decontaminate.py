@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import cut, free_name, text_key
 from .textcore import U64, blocks, ngrams, words_of
 
 GRAM = 3
@@ -139,10 +140,13 @@ def _aligned(items: Items, rare: np.ndarray, h: np.ndarray, first: np.ndarray) -
     return [(t, i, *f) for (t, i), f in best.items()]
 
 
+def block_count(benchmark: DataFrame) -> int:
+    return max(1, -(-(benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+
+
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
     """The items, in blocks of about BLOCK_BYTES of text; one block is on the driver at a time."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
+    n = block_count(benchmark)
     for k in range(n):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield [(r[0], r[1]) for r in part.select("item_id", "text").orderBy("item_id", "text").collect()]
@@ -180,7 +184,7 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    return rows.mapInArrow(search, "doc_id bigint, key bigint, item_id bigint, score double, start_word bigint, end_word bigint")
+    return rows.mapInArrow(search, "doc_id bigint, key binary, item_id bigint, score double, start_word bigint, end_word bigint")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -191,20 +195,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing, items of fewer than three words match nothing. Repeated rows are found each,
     repeated items too. Other columns are not read. Empty tables: empty result.
     """
-    docs, out = docs.select("doc_id", "text"), None
-    for rows in item_blocks(benchmark):
-        found = _one_block(docs, make_items(rows))
-        out = found if out is None else out.unionByName(found)
-    return out
+    docs = docs.select("doc_id", "text")
+    found = (_one_block(docs, make_items(rows)) for rows in item_blocks(benchmark))
+    # Several blocks: the leaks of each are written before the next is read, so the driver holds one.
+    return next(found) if block_count(benchmark) == 1 else reduce(DataFrame.unionByName, map(cut, found))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a test item."""
-    bad = find_leaks(docs, benchmark).select(F.col("key").alias("leak_key")).distinct()
-    return docs.join(bad, text_key(F.col("doc_id"), F.col("text")) == F.col("leak_key"), "left_anti")
+    """``docs`` without the rows that hold a test item.
+
+    Null and empty texts hold none and stay; repeated rows go or stay together; columns of any name
+    pass through. Empty tables: nothing goes.
+    """
+    key = free_name(docs.columns, "leak_key")
+    bad = find_leaks(docs, benchmark).select(F.col("key").alias(key)).distinct()
+    return docs.join(bad, text_key(F.col("doc_id"), F.col("text")) == F.col(key), "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir):
+    """doc_id, item_id, score and word range of every leak.
+
+    Nulls, empty and very long texts, repeated rows, empty tables: as in find_leaks.
+    """
     from .common import table
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")

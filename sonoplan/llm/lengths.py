@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import lru_cache
 
 import numpy as np
@@ -47,7 +48,11 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str
 
 
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(n_tokens, n_docs), exact over all documents; pre-aggregated batch by batch."""
+    """(n_tokens, n_docs), exact over all documents; pre-aggregated batch by batch.
+
+    A null or empty text has 0 tokens, a very long one is encoded whole, repeated rows count each.
+    Other columns are not read. Empty table: empty result.
+    """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
@@ -65,7 +70,8 @@ def limit_table(histogram: DataFrame) -> DataFrame:
     docs_over: documents longer than the limit; quantile: share of documents not longer;
     tokens_over: tokens of documents longer than the limit; cut_total: tokens left when each
     document is cut at the limit. Between two lengths cut_total grows by docs_over of the
-    lower one per token, so every limit can be answered. One row per distinct length.
+    lower one per token, so every limit can be answered. One row per distinct length; an empty
+    histogram gives none.
     """
     longer = W.orderBy(F.col("n_tokens").desc()).rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy(F.lit(0))
@@ -77,7 +83,7 @@ def limit_table(histogram: DataFrame) -> DataFrame:
         F.sum("n_docs").over(every).alias("total_docs"), F.sum(tokens).over(every).alias("total_tokens"),
     )
     return out.withColumn("cut_total", F.col("total_tokens") - F.col("tokens_over") + F.col("docs_over") * F.col("n_tokens")).withColumn(
-        "quantile", 1 - F.col("docs_over") / F.col("total_docs")
+        "quantile", (F.col("total_docs") - F.col("docs_over")) / F.col("total_docs")
     )
 
 
@@ -90,11 +96,19 @@ def cut_total(limits: DataFrame, limit: int) -> DataFrame:
 
 
 def quantile(limits: DataFrame, q: float) -> DataFrame:
-    """The least length that a share ``q`` of the documents doesn't exceed: one row (q, n_tokens)."""
-    return limits.where(F.col("quantile") >= q).agg(F.min("n_tokens").alias("n_tokens")).select(F.lit(q).alias("q"), "n_tokens")
+    """The least length that a share ``q`` of the documents doesn't exceed: one row (q, n_tokens), null
+    for an empty table."""
+    # Whole documents against an exact decimal: no rounding decides.
+    wanted = F.ceil(F.lit(Decimal(str(q))) * F.col("total_docs").cast("decimal(20,0)"))
+    return limits.where(F.col("total_docs") - F.col("docs_over") >= wanted).agg(F.min("n_tokens").alias("n_tokens")).select(F.lit(q).alias("q"), "n_tokens")
 
 
 def op4_token_counts(spark, sf_dir):
+    """The limit table of all documents, by the vocabulary that ``spark.sonoplan.vocabulary`` names.
+
+    Nulls, empty and very long texts, repeated rows, empty tables: as in length_histogram.
+    """
     from .common import table
 
-    return limit_table(length_histogram(table(spark, sf_dir, "documents")))
+    named = spark.conf.get("spark.sonoplan.vocabulary", VOCABULARY)
+    return limit_table(length_histogram(table(spark, sf_dir, "documents"), named))

@@ -8,10 +8,13 @@ Two lines of a leaf that differ within one band thus share a template, as simila
 thirds of their tokens; no pair of lines is ever compared. Lines of fewer than
 ``general_from`` tokens, or with under two thirds of their tokens constant, have the one
 template without an open band; lines of which less than half is constant are data (rows of
-a table, say) and have none.
+a table, say) and have none, nor have lines under ``min_tokens`` tokens.
 
-A template that occurs in ``min_docs`` documents or more is boilerplate: its lines stay in
-the document of least doc_id and go from all others.
+Besides, every line but a blank one is the leaf of its own tokens, digits and all.
+
+A template that occurs in ``min_docs`` documents or more is boilerplate, and so is a line that
+occurs as it is in ``min_same`` documents: it stays in the document of least doc_id and goes
+from all others.
 """
 
 from __future__ import annotations
@@ -19,19 +22,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key
+from .common import cut
 
 LEADING = 2
 BANDS = 3
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 
-def line_tokens(text: Column) -> Column:
-    """Tokens of every line, variable ones as ``<*>``: array<array<string>>."""
-    lines = F.split(F.regexp_replace(text, r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " "), "\n", -1)
+def text_lines(text: Column) -> Column:
+    """Lines with white space as single blanks: array<string>."""
+    return F.split(F.regexp_replace(text, r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " "), "\n", -1)
+
+
+def line_tokens(line: Column) -> Column:
+    """Tokens of a line, variable ones as ``<*>``."""
     # The costlier expression is for lines with a digit alone.
-    masked = lambda line: F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
-    return F.transform(lines, lambda line: F.split(F.trim(masked(line)), " ", -1))
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+    return F.split(F.trim(masked), " ", -1)
 
 
 def _template(t: Column, band: int) -> Column:
@@ -41,36 +48,43 @@ def _template(t: Column, band: int) -> Column:
     return F.xxhash64(F.lit(band), n, F.slice(t, F.lit(1), low), F.slice(t, high + 1, n))
 
 
-def line_templates(tokens: Column, min_tokens: int, general_from: int) -> Column:
-    """Template ids of every line: array<array<long>>; lines under ``min_tokens`` tokens have none."""
+def line_templates(text: Column, min_tokens: int, general_from: int) -> Column:
+    """Ids of the leaf and the templates of every line: array<array<long>>; a leaf's id is odd, blank
+    lines have none. 63 bits of a hash: at 10^13 lines some in a million may fall together."""
     none = F.array().cast("array<bigint>")
+    even = lambda h: h.bitwiseAND(F.lit(-2).cast("bigint"))
     constant = lambda t: F.size(F.filter(t, lambda x: x != "<*>"))
-    return F.transform(
-        tokens,
-        lambda t: F.when((F.size(t) < min_tokens) | (constant(t) * 2 < F.size(t)), none)
-        .when((F.size(t) < general_from) | (constant(t) * 3 < F.size(t) * 2), F.array(F.xxhash64(F.lit(-1), F.size(t), t)))
-        .otherwise(F.array(*[_template(t, band) for band in range(BANDS)])),
+    general = lambda t: (
+        F.when((F.size(t) < min_tokens) | (constant(t) * 2 < F.size(t)), none)
+        .when((F.size(t) < general_from) | (constant(t) * 3 < F.size(t) * 2), F.array(even(F.xxhash64(F.lit(-1), F.size(t), t))))
+        .otherwise(F.array(*[even(_template(t, band)) for band in range(BANDS)]))
     )
+    own = lambda line: F.array(F.xxhash64(F.lit(-2), F.trim(line)).bitwiseOR(F.lit(1).cast("bigint")))
+    return F.transform(text_lines(text), lambda line: F.when(F.trim(line) == "", none).otherwise(F.concat(own(line), general(line_tokens(line)))))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, general_from: int = 9) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_same: int = 2, min_tokens: int = 3, general_from: int = 9) -> DataFrame:
     """``docs`` with text replaced by its kept lines, plus ld_lines and ld_dropped (line counts).
 
-    Null text stays null with 0 lines; an empty text is one empty line, which stays. Each row
-    counts as a document, but rows that share a doc_id drop nothing from one another. A null
-    doc_id comes after all others. Empty table: empty result. Columns besides doc_id and text
-    pass through, but for those called ld_..., which give way.
+    Null text stays null with 0 lines; an empty text is one empty line, which stays, as all blank
+    lines do. Each row counts as a document, but rows that share a doc_id drop nothing from one
+    another. A null doc_id comes after all others. Very long texts are parsed whole. Empty table:
+    empty result. Columns besides doc_id and text pass through, but for those called ld_..., which
+    give way.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("ld_")])
-    rows = docs.withColumn("ld_key", text_key(F.col("doc_id"), F.col("text")))
-    ids = line_templates(line_tokens(F.col("text")), min_tokens, general_from)
+    # A row is known by its id and 64 bits of its text.
+    rows = docs.withColumn("ld_key", F.xxhash64("text"))
+    ids = line_templates(F.col("text"), min_tokens, general_from)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("ld_key").alias("key"))
     # Read twice below; written once, as parsing the lines is the costly part.
     seen = cut(rows.select(order.alias("row"), F.explode(F.array_distinct(F.flatten(ids))).alias("id")))
-    many = seen.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("keeper")).where(F.col("n") >= min_docs)
+    many = seen.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("keeper"))
+    many = many.where(F.col("n") >= F.when(F.col("id").bitwiseAND(F.lit(1).cast("bigint")) == 1, min_same).otherwise(min_docs))
     gone = seen.join(many.select("id", "keeper"), "id").where(~F.col("row")["id"].eqNullSafe(F.col("keeper")["id"]))
-    gone = gone.groupBy(F.col("row")["key"].alias("ld_key")).agg(F.collect_set("id").alias("ld_gone"))
-    both = rows.join(gone, "ld_key", "left")
+    gone = gone.groupBy(F.col("row")["key"].alias("ld_key"), F.col("row")["id"].alias("ld_id")).agg(F.collect_set("id").alias("ld_gone"))
+    rows = rows.withColumnRenamed("ld_key", "ld_row")
+    both = rows.join(gone, (F.col("ld_row") == F.col("ld_key")) & F.col("doc_id").eqNullSafe(F.col("ld_id")), "left")
     lines = F.split("text", "\n", -1)
     dropped = F.transform(ids, lambda own: F.arrays_overlap(own, F.col("ld_gone")))
     both = both.withColumn("ld_flags", F.when(F.col("ld_gone").isNotNull(), dropped))
@@ -84,6 +98,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, general
 
 
 def op8_line_dedup(spark, sf_dir):
+    """doc_id, n_lines, n_dropped and the hash of the kept text, for every document.
+
+    Nulls, empty and very long texts, repeated rows, empty tables: as in dedup_lines.
+    """
     from .common import table
 
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -93,12 +111,14 @@ def op8_line_dedup(spark, sf_dir):
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, text, row_number() OVER () AS k FROM documents),
 l AS (SELECT k, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
-m AS (SELECT *, list_transform(string_split(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g')), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
+w AS (SELECT *, string_split(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g')), ' ') AS raw FROM l),
+m AS (SELECT *, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM w WHERE raw <> ['']),
 b AS (SELECT *, len(t) AS n, len(list_filter(t, lambda x: x <> '<*>')) AS c FROM m WHERE len(t) >= 3 AND len(list_filter(t, lambda x: x <> '<*>')) * 2 >= len(t)),
 g AS (SELECT k, doc_id, pos, -1 AS band, n, t AS a, []::VARCHAR[] AS z FROM b WHERE n < 9 OR c * 3 < n * 2
- UNION ALL SELECT k, doc_id, pos, band, n, t[1:2 + (n - 2) * band // 3], t[2 + (n - 2) * (band + 1) // 3 + 1:] FROM b, (VALUES (0), (1), (2)) v(band) WHERE n >= 9 AND c * 3 >= n * 2),
+ UNION ALL SELECT k, doc_id, pos, band, n, t[1:2 + (n - 2) * band // 3], t[2 + (n - 2) * (band + 1) // 3 + 1:] FROM b, (VALUES (0), (1), (2)) v(band) WHERE n >= 9 AND c * 3 >= n * 2
+ UNION ALL SELECT k, doc_id, pos, -2, len(raw), raw, []::VARCHAR[] FROM m),
 s AS (SELECT DISTINCT k, doc_id, band, n, a, z FROM g),
-r AS (SELECT band, n, a, z, min(doc_id) AS keeper FROM s GROUP BY band, n, a, z HAVING count(*) >= 3),
+r AS (SELECT band, n, a, z, min(doc_id) AS keeper FROM s GROUP BY band, n, a, z HAVING count(*) >= CASE WHEN band = -2 THEN 2 ELSE 3 END),
 gone AS (SELECT DISTINCT g.k, g.pos FROM g JOIN r ON g.band = r.band AND g.n = r.n AND g.a = r.a AND g.z = r.z WHERE g.doc_id IS DISTINCT FROM r.keeper),
 o AS (SELECT l.k, count(*) AS n_lines, count(gone.pos) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL), '') AS kept FROM l LEFT JOIN gone ON l.k = gone.k AND l.pos = gone.pos GROUP BY l.k)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (k)

@@ -10,10 +10,10 @@ import pytest
 from sonoplan.llm import graph, jaccard
 
 
-def shingles(text):
+def shingles(text, size=3):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
-    return {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+    return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
 
 def brute(rows):
@@ -96,6 +96,50 @@ def test_empty_parts_stay_few():
     assert len(sig) < len(elements)
 
 
+def test_keep_one_breaks_ties_and_passes_columns(spark):
+    rows = [(1, "a b c d", "y", "k"), (1, "a b c d", "x", "k"), (2, "A B c d", "w", "k"), (None, "a b c d", "v", "k"), (5, None, "s", "k"), (5, None, "s", "k"), (None, None, None, "k"), (None, None, None, "k"), (6, " ", "t", "k"), (None, "z z", "p", "k"), (None, "z z", None, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, jj_key string").withColumn("JJ_ROW", jaccard.F.lit(1)).withColumn("jj_whole", jaccard.F.lit(2))
+    got = jaccard.keep_one(df)
+    assert got.columns == df.columns
+    want = [rows[1], *rows[4:9], rows[9]]
+    assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == sorted(want, key=str)
+    assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["none", "one"])
+def test_rows_without_ids_meet_by_their_text(spark, monkeypatch, ids):
+    """Null or equal ids: no text meets another for the sake of its id; the shuffle path as well."""
+    monkeypatch.setattr(jaccard, "BROADCAST_SETS", 0)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(60)) for _ in range(150)]
+    rows = [(None if ids == "none" else 7, t + x) for t in texts for x in ("", " one more")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.select("root").distinct().count() == len(texts) and got.count() == len(rows)
+    kept = jaccard.keep_one(spark.createDataFrame(rows + rows[:5], "doc_id long, text string"))
+    assert kept.count() == len(texts)
+
+
+def test_a_large_group_and_the_rest(spark, monkeypatch):
+    """Blocks of 20: near copies of one text, a far chain tied to it, and texts that share a passage alone."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 20)
+    rng = random.Random(9)
+    base, passage = [f"w{rng.randrange(10**6)}" for _ in range(300)], [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    chain = list(base)
+    for k in range(25):
+        for _ in range(2):
+            chain[rng.randrange(len(chain))] = f"y{rng.randrange(10**6)}"
+        rows.append((200 + k, " ".join(chain)))
+    rows += [(300 + k, " ".join([*passage, *(f"z{rng.randrange(10**6)}" for _ in range(rng.randint(10, 40)))])) for k in range(120)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows))
+
+
 def test_empty(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -27,6 +27,9 @@ def test_lengths_and_limits(spark, tmp_path):
     assert limits.count() == len(set(n))
     for limit in (0, 1, 17, 60, 10_000):
         assert lengths.cut_total(limits, limit).first()["cut_total"] == sum(min(x, limit) for x in n)
+    ten = lengths.limit_table(spark.range(1, 11).select(F.col("id").alias("n_tokens"), F.lit(1).cast("bigint").alias("n_docs")))
+    assert [lengths.quantile(ten, k / 10).first()["n_tokens"] for k in range(1, 11)] == list(range(1, 11))
+    assert lengths.quantile(ten.limit(0), 0.5).first()["n_tokens"] is None
     for q in (0.1, 0.5, 0.99, 1.0):
         got = lengths.quantile(limits, q).first()["n_tokens"]
         assert sum(x <= got for x in n) >= q * len(n) and (got == n[0] or sum(x < got for x in n) < q * len(n))
@@ -65,3 +68,67 @@ def test_nothing_to_learn_from(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["lang_pred"] for r in language.op7_language(spark, str(tmp_path)).collect()} == {"und"}
     assert language.predict(df.limit(0), None).count() == 0
+
+
+def plain_forward(net, window):
+    """One window through the network, filter by filter and byte by byte."""
+    import numpy as np
+
+    pooled = []
+    for table in net.tables:
+        for f in range(table.shape[2]):
+            best = max(sum(float(table[j, window[at + j], f]) for j in range(len(table))) for at in range(len(window) - len(table) + 1))
+            pooled.append(max(best + float(net.bias[len(pooled)]), 0.0))
+    z = [sum(p * float(w) for p, w in zip(pooled, net.out[:, k])) + float(net.out_bias[k]) for k in range(net.out.shape[1])]
+    e = np.exp(np.array(z) - max(z))
+    return e / e.sum()
+
+
+def test_prediction_equals_a_plain_forward_pass(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    kinds = {"aa": "abcde", "ee": "eéèfg"}
+    rows = [(i, speech(rng, kinds[k], rng.randint(3, 90)), k) for i in range(60) for k in kinds]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.train_on(df, F.lit(True))
+    some = rows[:6] + [(900, "qXz9+/" * 30, None), (901, "é" * 300, None)]
+    got = language.predict(spark.createDataFrame(some, "doc_id long, text string, lang string"), net, ("doc_id",), ("p", "s", "n")).collect()
+    for (_, text, _), r in zip(some, sorted(got, key=lambda r: [x[0] for x in some].index(r["doc_id"]))):
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), language.WINDOW):
+            w = raw[at : at + language.WINDOW]
+            total += plain_forward(net, w.ljust(language.WINDOW, b"\0")) * len(w)
+        total /= len(raw)
+        langs = total[:2] / total[:2].sum()
+        assert r["p"] == net.langs[int(langs.argmax())]
+        assert abs(r["s"] - langs.max()) < 1e-4 and abs(r["n"] - total[2]) < 1e-4
+
+
+def test_gradients_equal_finite_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    f = len(language.WIDTHS) * language.FILTERS
+    x, y, weight = rng.integers(97, 101, (5, 40)).astype(np.uint8), np.array([0, 1, 2, 1, 0]), np.array([1, 2, 0.5, 1, 1.0])
+    net = language.ByteCnn(["a", "b"], [rng.normal(0, 0.3, (w, 256, language.FILTERS)) for w in language.WIDTHS], rng.normal(0, 0.1, f), rng.normal(0, 0.3, (f, 3)), rng.normal(0, 0.1, 3))
+    loss = lambda: float((-np.log(net.probabilities(x)[np.arange(5), y]) * weight).mean())
+    for p, g in zip([*net.tables, net.bias, net.out, net.out_bias], language.gradients(net, x, y, weight)):
+        for at in [np.unravel_index(k, p.shape) for k in np.argsort(-np.abs(g).ravel())[:4]]:
+            old = p[at]
+            p[at] = old + 1e-6
+            up = loss()
+            p[at] = old - 1e-6
+            down = loss()
+            p[at] = old
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-5
+
+
+def test_the_sample_has_a_bound_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(language, "DOCS_PER_LANG", 20)
+    rows = [("one text", "aa")] * 3000 + [(f"text {i}", "aa") for i in range(300)] + [(f"text {i}", "bb") for i in range(7)] + [(None, "aa"), ("x", None)]
+    sample = language.training_sample(spark.createDataFrame(rows, "text string, lang string"), F.lit(True))
+    n = [lang for lang, _ in sample].count("aa")
+    assert 12 <= n <= 20 and len(sample) == n + 7 and len({(a, tuple(b)) for a, b in sample}) == len(sample)
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 2)
+    assert len(language.training_sample(spark.createDataFrame(rows, "text string, lang string"), F.lit(True))) == 2

@@ -100,6 +100,24 @@ def test_trigram_queries_hold_for_every_match():
     assert secrets.trigram_query("x+abc.*def") == ("and", ("gram", "abc"), ("gram", "def"))
 
 
+def test_lines_as_they_are_go_from_two_documents_on(spark):
+    rows = [(1, "Tel 030 1234567 Fax 030 1234568\nRead more\n\nown line of one"), (2, "Tel 030 1234567  Fax 030 1234568\nRead more\n\nTel 030 99 Fax 030 77"), (3, "nothing else")]
+    out = [r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out == [rows[0][1], "\nTel 030 99 Fax 030 77", "nothing else"]
+
+
+def test_the_index_gates_the_expressions(spark, tmp_path):
+    """No expression of a rule stands below the join with the postings, and the texts are read twice."""
+    spark.createDataFrame(awkward(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = secrets.op9_secrets(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(k for k, line in enumerate(plan) if "Join" in line)
+    below = "\n".join(plan[join:])
+    assert "RLIKE" not in below and "regexp" not in below and below.count("Relation") == 2 == "\n".join(plan).count("Relation")
+    docs = spark.createDataFrame([(0, "password = hunter2hunter2"), (1, "nothing here"), (2, "eyJ" * 20000)], "key long, text string")
+    fits = {r["key"]: r["fits"] for r in secrets.candidates(docs).collect()}
+    assert fits == {0: ["assign"]}
+
+
 @pytest.mark.parametrize("f", [linededup.op8_line_dedup, secrets.op9_secrets], ids=["lines", "secrets"])
 def test_no_python_in_the_plan(spark, tmp_path, f):
     spark.createDataFrame(awkward(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
