@@ -12,24 +12,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoplan.llm.common import shared_dir, table
+from sonoplan.llm.common import free_name, shared_dir, table
 from sonoplan.llm.decontaminate import drop_leaks
 from sonoplan.llm.jaccard import keep_one
-from sonoplan.llm.language import UNKNOWN, fold, lettered, predict, train_on
+from sonoplan.llm.language import LEAST_NOISE, UNKNOWN, fold, lettered, predict, train_on
 from sonoplan.llm.linededup import dedup_lines
 from sonoplan.llm.mixing import mix_sources
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which the network reads a language (not ``und``).
+    """Keeps the documents that the network reads as one of the languages it learned.
 
-    Without labels to learn from there is no network: then all texts with a letter stay.
+    It rejects what is null or has no letter (``und``), and what it finds to be noise for a share of
+    LEAST_NOISE or more. Without labels to learn from there is no network: then all texts with a
+    letter stay. Empty and very long texts, ties, repeated rows and extra columns: as in predict;
+    every row is judged alone. Empty table: empty result.
     """
     net = train_on(docs, fold(F.col("doc_id"), 5) != 0)
     if net is None:
         return lettered(docs)
-    found = predict(docs, net, tuple(docs.columns), ("stage_lang", "stage_score"))
-    return found.where(F.col("stage_lang") != UNKNOWN).select(*docs.columns)
+    names = tuple(free_name(docs.columns, n) for n in ("stage_lang", "stage_score", "stage_noise"))
+    found = predict(docs, net, tuple(docs.columns), names)
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[2]) < LEAST_NOISE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
