@@ -1,22 +1,20 @@
 """N-gram Jaccard join: documents whose shingle sets agree to ``percent`` or more, as components.
 
 1. Documents with equal sets fall into one class at once (a hash of the set).
-2. Candidates. Sets within the threshold differ in at most H elements (H follows from the
-   sizes). Elements are dealt to H + 2 parts by hash (and some more where many would stay
-   empty), so two parts at least agree in full; the
-   hashes of a set's parts are its signatures. Sets that share a signature may be similar;
-   their components bound where links can lie. Copies of a signature within a batch are
-   joined on the spot, so a signature of a third of all documents reaches the shuffle once a
-   batch.
-3. Prefix-tree join. The sets of a candidate component are put in one global order (most
+2. Frequencies. Documents are dealt to chunks, elements to buckets, and the two exchange packed
+   arrays: a chunk sends its distinct elements, the bucket answers in how many sets of the corpus
+   each occurs. A set with too many elements of its own can't be linked and drops out.
+3. Candidates. In the order of frequency, rarest first, linked sets share an element of the
+   first few, so many as the threshold allows to differ and one more. Sets that share one may be
+   similar; their components bound where links can lie. Elements meet in sorted partitions as a
+   stream, so that one which a third of all documents has is no group to be held.
+4. Prefix-tree join. The sets of a candidate component are put in one global order (most
    frequent n-gram first) and stored in a trie. All sets walk the trie together, so that a
    shared beginning is intersected once; a set leaves a subtree when the n-grams that remain
    can't bring the overlap to the threshold, or when it is linked to the leaf already.
 
-Large components are parted first: linked sets share an element among the rarest of each, so
-many as the threshold allows to differ and one more; passages that many texts share don't tie
-those together. What is large still goes to random blocks, each one trie, cut in two ways; only
-sets that the largest component found so far doesn't hold then meet all blocks.
+A large component goes to random blocks, each one trie, cut in two ways; only sets that the
+largest component found so far doesn't hold then meet all blocks.
 
 Every link between different sets is found or implied by links found; no pair of a group is
 written out. The result of a group is a spanning forest.
@@ -32,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, parts_for, text_key
+from .common import chunk_bytes, cut, free_name, in_chunks, parts_for, text_key
 from .graph import components, forest
 from .textcore import U64, blocks, mix, ngrams, words_of
 
@@ -41,12 +39,10 @@ SHINGLE = 3
 PERCENT = 90
 #: Bounds of a trie: sets and n-grams in one block.
 BLOCK_SETS, BLOCK_GRAMS = 200, 500_000
-#: Text whose signatures meet in one partition.
+#: Input whose elements meet in one partition, or make up a bucket, and the least of a chunk.
 MEET_BYTES = 8 << 20
-#: Counters of the frequency order, and how many travel in one row.
-COUNTER_BITS, SLICE = 20, 1 << 16
-#: More candidate sets than this (16 bytes and some each) meet the texts in a shuffle instead of a broadcast.
-BROADCAST_SETS = 1_000_000
+#: More rows than this (17 bytes and some each) meet the texts in a shuffle instead of a broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -97,80 +93,119 @@ def size_classes(most: int, percent: int = PERCENT) -> np.ndarray:
     return np.array([*low, max(low[-1] + 1, (low[-1] - 1) * 100 // percent + 1)])
 
 
-def spare_share(percent: int) -> float:
-    """Parts to add, as a share, so that the thinnest sets have fewer empty parts than must agree."""
-    load = (100 + percent) / (2 * (100 - percent)) * (percent / 100) ** 2 if percent < 100 else np.inf
-    share = np.exp(-load)
-    if share < 1e-3:
-        return 0.0
-    for _ in range(50):
-        share = min(np.exp(-load * (1 - share)), 0.5)
-    return 1.3 * share
+# --- frequencies: chunks of documents and buckets of elements -----------------------------
 
 
-def signatures(elements: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set) of the non-empty parts, for the set's size class and the next."""
-    n = np.diff(first)
-    low = size_classes(int(n.max(initial=1)) + 1, percent)
-    own = np.searchsorted(low, n, side="right") - 1
-    sigs, sets = [], []
-    doc = np.repeat(np.arange(len(n)), n)
-    x = mix(elements ^ U64(0x5DEECE66D1234567))
-    for up in (0, 1):
-        k = own + up
-        top = low[np.minimum(k + 1, len(low) - 1)] - 1
-        differ = top * 2 * (100 - percent) // (100 + percent)
-        use = (n > 0) & (differ > 0)  # else only equal sets are linked
-        agree = 2 + (differ * spare_share(percent)).astype(np.int64)  # so many parts at least
-        parts = np.where(use, differ + agree, 0)
-        begin = np.cumsum(parts) - parts
-        total = np.zeros(int(parts.sum()), U64)
-        many = np.zeros(len(total), np.int32)
-        e = np.flatnonzero(use[doc])
-        place = begin[doc[e]] + (x[e] % parts[doc[e]].astype(U64)).astype(np.int64)
-        np.add.at(total, place, mix(elements[e]))
-        np.add.at(many, place, 1)
-        of = np.repeat(np.arange(len(n)), parts)
-        part = np.arange(len(of)) - begin[of]
-        tag = mix((k[of].astype(U64) << U64(32)) + part.astype(U64))
-        full = np.flatnonzero(many > 0)
-        sigs.append(mix(total[full] ^ tag[full]))
-        sets.append(of[full])
-        # Only empty parts may agree: then at least two do, and their pair is a signature.
-        empty = np.flatnonzero(many == 0)
-        lacks = np.bincount(of[empty], minlength=len(n))
-        for d in np.flatnonzero(use & (lacks >= agree)):
-            t = tag[empty[of[empty] == d]]
-            i, j = np.triu_indices(len(t), 1)
-            sigs.append(mix(t[i] * U64(3) + t[j]))
-            sets.append(np.full(len(i), d))
-    return np.concatenate(sigs), np.concatenate(sets)
-
-
-def _classes(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+def _chunk_sets(texts: pa.Table, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements, first, class) of the texts of a chunk."""
+    elements, sizes, keys = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in texts.select(["text"]).to_batches():
         for s in blocks(b, "text"):
-            elements, first = shingle_sets(s.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(np.diff(first)), pa.array(class_keys(elements, first))], names=["doc_id", "key", "n", "class"])
+            e, first = shingle_sets(s.column(0), shingle)
+            elements.append(e), sizes.append(np.diff(first)), keys.append(class_keys(e, first))
+    return np.concatenate(elements), np.append(0, np.cumsum(np.concatenate(sizes))), np.concatenate(keys)
+
 
+def _places(elements: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket, and 32 more bits: elements that fall together count as one, which only adds candidates."""
+    x = mix(elements ^ U64(0x5DEECE66D1234567))
+    return (x & U64(0xFFFFFFFF)) % U64(buckets) << U64(32) | x >> U64(32)
 
-def _candidates(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (p, s, class, null) of signatures, and rows (p, 0, u, v) for classes joined within the block.
 
-    A signature is cut to its bucket p and 32 bits s: two that fall together only make one more
-    candidate.
-    """
+def _one_of_each(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The first text of each class of the chunk that has shingles."""
+    pick = np.zeros(len(keys), bool)
+    pick[np.unique(keys, return_index=True)[1]] = True
+    return pick & (n > 0)
+
+
+def _by_bucket(place: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted places."""
+    bucket = (place >> U64(32)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield int(bucket[a]), a, b
+
+
+_SENT = "chunk int, bucket int, payload binary"
+_MOST = np.iinfo(np.uint16).max
+
+
+def _sent(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    c, b, x = zip(*rows) if rows else ((), (), ())
+    return pa.table([pa.array(c, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.binary())], names=["chunk", "bucket", "payload"])
+
+
+def _send_elements(shingle: int, buckets: int):
+    def send(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+        elements, first, keys = _chunk_sets(docs, shingle)
+        n = np.diff(first)
+        own = elements[np.repeat(_one_of_each(keys, n), n)]
+        place, count = np.unique(_places(own, buckets), return_counts=True)
+        rest, count = place.astype(np.uint32), np.minimum(count, _MOST).astype(np.uint16)
+        return _sent([(key[0].as_py(), k, rest[a:b].tobytes() + count[a:b].tobytes()) for k, a, b in _by_bucket(place)])
+
+    return send
+
+
+def _count_elements(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+    raw = [x.as_buffer() for x in sent.column("payload")]
+    sizes = [x.size // 6 for x in raw]
+    rest = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(raw, sizes)])
+    count = np.concatenate([np.frombuffer(x, np.uint16, n, 4 * n) for x, n in zip(raw, sizes)])
+    _, back = np.unique(rest, return_inverse=True)
+    total = np.minimum(np.bincount(back, count), _MOST).astype(np.uint16)[back]
+    cuts = np.cumsum(sizes)[:-1]
+    return pa.table([sent.column("chunk"), sent.column("bucket"), pa.array([x.tobytes() for x in np.split(total, cuts)], pa.binary())], names=["chunk", "bucket", "payload"])
+
+
+_ROWS = "doc_id bigint, key binary, n bigint, class bigint, set binary, rare binary"
+
+
+def _judge(shingle: int, percent: int, buckets: int):
+    """Rows of a chunk; a set that may be linked comes along, packed, and its rarest elements."""
+
+    def judge(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
+        elements, first, keys = _chunk_sets(docs, shingle)
+        n = np.diff(first)
+        own = _one_of_each(keys, n)
+        place = _places(elements, buckets)
+        known = np.unique(place[np.repeat(own, n)])
+        held = dict(zip(answers.column("bucket").to_pylist(), answers.column("payload")))
+        often = [np.frombuffer(held[k].as_buffer(), np.uint16) for k, _, _ in _by_bucket(known)]
+        often = np.concatenate(often)[np.searchsorted(known, place)] if often else np.zeros(0, np.uint16)
+        shared = np.add.reduceat(np.append(often > 1, False).astype(np.int64), np.minimum(first[:-1], len(often))) if len(n) else n
+        may = np.flatnonzero(own & (shared >= (percent * n + 99) // 100))
+        sets, rare = np.full(len(n), None, object), np.full(len(n), None, object)
+        for i in may:
+            e, f = elements[first[i] : first[i + 1]], often[first[i] : first[i + 1]]
+            order = np.lexsort((e, f))[: n[i] - (percent * n[i] + 99) // 100 + 1]
+            sets[i], rare[i] = e.tobytes(), e[order[f[order] > 1]].tobytes()
+        return pa.table([docs.column("doc_id"), docs.column("key"), pa.array(n), pa.array(keys), pa.array(sets, pa.binary()), pa.array(rare, pa.binary())], names=["doc_id", "key", "n", "class", "set", "rare"])
+
+    return judge
+
+
+# --- candidates: rare elements that sets share --------------------------------------------
+
+
+def _rare_signatures(batches: Iterator[pa.RecordBatch], percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (p, s, class, null): rare elements (class, n, rare), for the set's size class and the next;
+    and rows (p, 0, u, v) for classes joined within the batch."""
     for b in batches:
-        for s in blocks(b, "text"):
-            elements, first = shingle_sets(s.column(0), shingle)
-            keys = class_keys(elements, first)
-            _, one = np.unique(keys, return_index=True)  # one of each class
-            pick = np.zeros(len(keys), bool)
-            pick[one] = True
-            sig, of = signatures(elements, first, percent)
-            keep = pick[of]
-            sig, c = sig[keep], keys[of[keep]]
-            yield from _signature_rows(sig, c, buckets)
+        n = b.column(1).to_numpy()
+        elements, first = _unpacked(b, 2)
+        own = np.searchsorted(size_classes(int(n.max(initial=1)) + 1, percent), n, side="right") - 1
+        of = np.repeat(np.arange(len(n)), np.diff(first))
+        sig = [mix(elements ^ mix((own[of] + up).astype(U64) << U64(32))) for up in (0, 1)]
+        yield from _signature_rows(np.concatenate(sig), b.column(0).to_numpy()[np.append(of, of)], buckets)
+
+
+def _unpacked(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements and offsets of a column of packed sets."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(at)]
+    return np.concatenate(sets) if sets else np.zeros(0, U64), np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int64)
 
 
 def _signature_rows(sig: np.ndarray, c: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -223,88 +258,7 @@ def _meet(batches: Iterator[pa.RecordBatch], held_edges: int = 1 << 20) -> Itera
         yield from out()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """The set of each wanted class, packed; a class that a block has twice leaves it once."""
-    for b in batches:
-        for s in blocks(b, "text"):
-            elements, first = shingle_sets(s.column(0), shingle)
-            keys, want = class_keys(elements, first), s.column(2).to_numpy()
-            own = np.flatnonzero(keys == want)
-            own = own[np.unique(want[own], return_index=True)[1]]
-            packed = pa.array([elements[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())
-            take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([s.column(1).take(take), s.column(2).take(take), packed], names=["root", "class", "set"])
-
-
-# --- large candidate components: prefixes in order of frequency ---------------------------
-
-
-def _place(x: np.ndarray) -> np.ndarray:
-    return (mix(x ^ U64(0xA0761D6478BD642F)) >> U64(64 - COUNTER_BITS)).astype(np.int64)
-
-
-def _unpacked(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
-    """Elements and offsets of a column of packed sets."""
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(at)]
-    return np.concatenate(sets) if sets else np.zeros(0, U64), np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int64)
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << COUNTER_BITS, np.int64)
-    for b in batches:
-        total += np.bincount(_place(_unpacked(b, 0)[0]), minlength=len(total))
-    if total.any():
-        yield _slices(total, np.arange(0, len(total), SLICE))
-
-
-def _slices(total: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Rows (at, n) of the counters from ``at`` on, each in as few bytes as its largest needs."""
-    parts = [x.astype(np.min_scalar_type(int(x.max()))) for x in total.reshape(len(at), SLICE)]
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in parts], pa.binary())], names=["at", "n"])
-
-
-def _counters(raw: pa.Scalar) -> np.ndarray:
-    x = raw.as_buffer()
-    return np.frombuffer(x, f"<u{x.size // SLICE}").astype(np.int64)
-
-
-def _add_slices(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    return pa.Table.from_batches([_slices(sum(map(_counters, rows.column("n"))), np.array([key[0].as_py()]))])
-
-
-def frequencies(sets: DataFrame) -> np.ndarray:
-    """How many elements of ``sets`` fall to each of 2 ** COUNTER_BITS counters: of one size at any input."""
-    # Summed slice by slice before anything reaches the driver: one row for each slice of the counters.
-    whole = sets.select("set").mapInArrow(_frequencies, "at bigint, n binary").groupBy("at").applyInArrow(_add_slices, "at bigint, n binary")
-    total = np.zeros(1 << COUNTER_BITS, np.uint32)
-    for b in whole.toArrow().to_batches():
-        for at, n in zip(b.column(0).to_pylist(), b.column(1)):
-            total[at : at + SLICE] = np.minimum(_counters(n), np.iinfo(np.uint32).max)
-    return total
-
-
-def prefixes(elements: np.ndarray, first: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set): the rarest elements of each set, so many that linked sets share one; for
-    the set's size class and the next. Elements that are alone under their counter have no partner."""
-    n = np.diff(first)
-    low = size_classes(int(n.max(initial=1)) + 1, percent)
-    own = np.searchsorted(low, n, side="right") - 1
-    of = np.repeat(np.arange(len(n)), n)
-    often = counts[_place(elements)]
-    order = np.lexsort((elements, often, of))
-    rank = np.arange(len(order)) - first[of[order]]
-    # Two linked sets share percent of the larger one at least, so more than what lies behind the prefix.
-    keep = order[(rank < (n - (percent * n + 99) // 100 + 1)[of[order]]) & (often[order] > 1)]
-    x, of = elements[keep], of[keep]
-    sig = [mix(x ^ mix((own[of] + up).astype(U64) << U64(32))) for up in (0, 1)]
-    return np.concatenate(sig), np.concatenate([of, of])
-
-
-def _rare(batches: Iterator[pa.RecordBatch], counts, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        elements, first = _unpacked(b, 1)
-        sig, of = prefixes(elements, first, counts.value, percent)
-        yield from _signature_rows(sig, b.column(0).to_numpy()[of], buckets)
+# --- the prefix tree ----------------------------------------------------------------------
 
 
 def trie_links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -403,9 +357,6 @@ def _join_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         yield out()
 
 
-_SIGNED = "p int, s int, c bigint, v bigint"
-
-
 def _with_blocks(members: DataFrame) -> DataFrame:
     """``members`` (root, class, n) with the number of blocks that their group is cut to."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
@@ -460,41 +411,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Rows with equal sets are linked; a null doc_id is never the least unless all are null.
     Rows that share a doc_id are judged by their own texts. Other columns are not read.
     """
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    keyed = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
-    rows = cut(keyed.mapInArrow(partial(_classes, shingle=shingle), "doc_id bigint, key binary, n bigint, class bigint"))
-    one = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min("key").alias("rep"))
-    parts = parts_for(docs, MEET_BYTES)
-    sent = docs.select("text").mapInArrow(partial(_candidates, shingle=shingle, percent=percent, buckets=8 * parts), _SIGNED)
-    edges = sent.repartition(parts, "p").sortWithinPartitions("p", "s").mapInArrow(_meet, "u bigint, v bigint")
-    groups = components(edges)
-    members = cut(groups.join(one, groups["node"] == one["class"]).select("root", "class", "rep", "n"))
-    few = members.count() <= BROADCAST_SETS
-    wanted = members.select("root", "class", "rep")
-    # Where the texts are dealt by row, each goes once, however often its row repeats; a class is read from one row.
-    texts = keyed.select("key", "text") if few else keyed.groupBy("key").agg(F.first("text").alias("text"))
-    found = texts.join(F.broadcast(wanted) if few else wanted, F.col("key") == F.col("rep")).select("text", "root", "class")
-    sets = cut(found.mapInArrow(partial(_sets, shingle=shingle), "root bigint, class bigint, set binary"))
-    members = _with_blocks(members.select("root", "class", "n"))
-    large = members.where("blocks > 1")
-    if not large.isEmpty():
-        # Passages that many texts share tie large groups together; the rarest elements part them again.
-        counts = spark.sparkContext.broadcast(frequencies(sets.join(large.select("class"), "class", "left_semi")))
-        rare = sets.join(large.select("class"), "class", "left_semi").select("class", "set")
-        rare = rare.mapInArrow(partial(_rare, counts=counts, percent=percent, buckets=8 * parts), _SIGNED)
-        groups = components(rare.repartition(parts, "p").sortWithinPartitions("p", "s").mapInArrow(_meet, "u bigint, v bigint"))
-        parted = groups.join(large.select("class", "n"), groups["node"] == F.col("class")).select("root", "class", "n")
-        members = cut(members.where("blocks = 1").unionByName(_with_blocks(parted)))
-    sets = sets.drop("root").join(members.select("root", "blocks", "class"), "class")
+    docs = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
+    chunks, buckets = parts_for(docs, chunk_bytes(docs, MEET_BYTES)), parts_for(docs, MEET_BYTES)
+    docs = in_chunks(docs, chunks)
+    sent = docs.groupBy("chunk").applyInArrow(_send_elements(shingle, buckets), _SENT)
+    counts = sent.groupBy("bucket").applyInArrow(_count_elements, _SENT)
+    rows = cut(docs.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_judge(shingle, percent, buckets), _ROWS))
+    one = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    packed = rows.where("set IS NOT NULL")
+    rare = packed.select("class", "n", "rare").mapInArrow(partial(_rare_signatures, percent=percent, buckets=8 * buckets), "p int, s int, c bigint, v bigint")
+    groups = components(rare.repartition(buckets, "p").sortWithinPartitions("p", "s").mapInArrow(_meet, "u bigint, v bigint"))
+    members = packed.select("class", "n").dropDuplicates(["class"]).join(groups, groups["node"] == F.col("class")).select("root", "class", "n")
+    members = cut(_with_blocks(members))
+    sets = packed.select("class", "set").join(members.select("root", "blocks", "class"), "class")
+    parts = buckets
     links = _tries(sets.select("root", F.explode(_first_deal()).alias("to"), "class", "set"), parts, percent)
     found = links.where("not split").select(F.col("u").alias("node"), F.col("v").alias("root"))
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    if not large.isEmpty():
+    if not members.where("blocks > 1").isEmpty():
         links = links.where("split").select("u", "v")
         found = found.unionByName(components(links.unionByName(_rest_links(sets.where("blocks > 1"), components(links), parts, percent))))
     named = one.select("class", "least").join(found, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "root", "component_id")
-    out = rows.join(named.hint("shuffle_hash"), "class", "left")
+    out = rows.select("doc_id", "key", "n", "class").join(named.hint("shuffle_hash"), "class", "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), alone.alias("component_id"), "root")
 
@@ -512,7 +451,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     # What isn't the plain case, one row for each key: a row that goes, or one that repeats and stays once.
     many = spoken.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).join(first.withColumn("stays", F.lit(True)), "key", "left")
     odd = cut(many.where("stays IS NULL OR rows > 1").select(F.col("key").alias(key), F.col("stays").isNotNull().alias(whole)))
-    odd = F.broadcast(odd) if odd.count() <= BROADCAST_SETS else odd
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd
     rows = docs.withColumn(row, text_key(F.col("doc_id"), F.col("text"))).join(odd, F.col(row) == F.col(key), "left")
     plain = rows.where(F.col(key).isNull()).select(*docs.columns)
     tie = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]), {"ignoreNullFields": "false"})

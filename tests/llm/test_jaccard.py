@@ -89,13 +89,6 @@ def test_other_lengths_and_similarities(spark, shingle, percent):
     assert kept.count() == len({root[i] for i in range(len(rows)) if sets[i]}) + len(alone)
 
 
-def test_empty_parts_stay_few():
-    elements = jaccard.mix(jaccard.np.arange(20_000).astype(jaccard.U64))
-    first = jaccard.np.array([0, len(elements)])
-    sig, _ = jaccard.signatures(elements, first, 80)
-    assert len(sig) < len(elements)
-
-
 def test_keep_one_breaks_ties_and_passes_columns(spark):
     rows = [(1, "a b c d", "y", "k"), (1, "a b c d", "x", "k"), (2, "A B c d", "w", "k"), (None, "a b c d", "v", "k"), (5, None, "s", "k"), (5, None, "s", "k"), (None, None, None, "k"), (None, None, None, "k"), (6, " ", "t", "k"), (None, "z z", "p", "k"), (None, "z z", None, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, jj_key string").withColumn("JJ_ROW", jaccard.F.lit(1)).withColumn("jj_whole", jaccard.F.lit(2))
@@ -109,7 +102,7 @@ def test_keep_one_breaks_ties_and_passes_columns(spark):
 @pytest.mark.parametrize("ids", ["none", "one"])
 def test_rows_without_ids_meet_by_their_text(spark, monkeypatch, ids):
     """Null or equal ids: no text meets another for the sake of its id; the shuffle path as well."""
-    monkeypatch.setattr(jaccard, "BROADCAST_SETS", 0)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     rng = random.Random(6)
     texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(60)) for _ in range(150)]
     rows = [(None if ids == "none" else 7, t + x) for t in texts for x in ("", " one more")]
