@@ -59,8 +59,10 @@ def line_templates(text: Column, min_tokens: int, general_from: int) -> Column:
         .when((F.size(t) < general_from) | (constant(t) * 3 < F.size(t) * 2), F.array(even(F.xxhash64(F.lit(-1), F.size(t), t))))
         .otherwise(F.array(*[even(_template(t, band)) for band in range(BANDS)]))
     )
-    own = lambda line: F.array(F.xxhash64(F.lit(-2), F.trim(line)).bitwiseOR(F.lit(1).cast("bigint")))
-    return F.transform(text_lines(text), lambda line: F.when(F.trim(line) == "", none).otherwise(F.concat(own(line), general(line_tokens(line)))))
+    own = lambda line: F.array(F.xxhash64(F.lit(-2), line).bitwiseOR(F.lit(1).cast("bigint")))
+    # Each part is computed once and then referred to, so the lambda below holds no expression twice.
+    parsed = F.transform(text_lines(text), lambda line: F.struct(F.trim(line).alias("line"), line_tokens(line).alias("t")))
+    return F.transform(parsed, lambda x: F.when(x["line"] == "", none).otherwise(F.concat(own(x["line"]), general(x["t"]))))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_same: int = 2, min_tokens: int = 3, general_from: int = 9) -> DataFrame:
