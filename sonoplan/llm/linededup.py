@@ -48,9 +48,14 @@ def _template(t: Column, band: int) -> Column:
     return F.xxhash64(F.lit(band), n, F.slice(t, F.lit(1), low), F.slice(t, high + 1, n))
 
 
+def leaf_id(line: Column) -> Column:
+    """Id of a line as it is (odd); 63 bits of a hash: at 10^13 lines some in a million may fall together."""
+    return F.xxhash64(F.lit(-2), line).bitwiseOR(F.lit(1).cast("bigint"))
+
+
 def line_templates(text: Column, min_tokens: int, general_from: int) -> Column:
-    """Ids of the leaf and the templates of every line: array<array<long>>; a leaf's id is odd, blank
-    lines have none. 63 bits of a hash: at 10^13 lines some in a million may fall together."""
+    """array<struct<id, leaf>> of a text, sorted: the leaf and the templates (even ids) of every
+    different line; blank lines have none."""
     none = F.array().cast("array<bigint>")
     even = lambda h: h.bitwiseAND(F.lit(-2).cast("bigint"))
     constant = lambda t: F.size(F.filter(t, lambda x: x != "<*>"))
@@ -59,10 +64,11 @@ def line_templates(text: Column, min_tokens: int, general_from: int) -> Column:
         .when((F.size(t) < general_from) | (constant(t) * 3 < F.size(t) * 2), F.array(even(F.xxhash64(F.lit(-1), F.size(t), t))))
         .otherwise(F.array(*[even(_template(t, band)) for band in range(BANDS)]))
     )
-    own = lambda line: F.array(F.xxhash64(F.lit(-2), line).bitwiseOR(F.lit(1).cast("bigint")))
-    # Each part is computed once and then referred to, so the lambda below holds no expression twice.
-    parsed = F.transform(text_lines(text), lambda line: F.struct(F.trim(line).alias("line"), line_tokens(line).alias("t")))
-    return F.transform(parsed, lambda x: F.when(x["line"] == "", none).otherwise(F.concat(own(x["line"]), general(x["t"]))))
+    # Each part is computed once and then referred to, so no lambda holds an expression twice.
+    lines = F.array_remove(F.array_distinct(F.transform(text_lines(text), lambda line: F.trim(line))), "")
+    parsed = F.transform(lines, lambda line: F.struct(leaf_id(line).alias("leaf"), line_tokens(line).alias("t")))
+    pairs = lambda x: F.transform(F.concat(F.array(x["leaf"]), general(x["t"])), lambda i: F.struct(i.alias("id"), x["leaf"].alias("leaf")))
+    return F.sort_array(F.flatten(F.transform(parsed, pairs)))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_same: int = 2, min_tokens: int = 3, general_from: int = 9) -> DataFrame:
@@ -77,18 +83,20 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_same: int = 2, min_token
     docs = docs.drop(*[c for c in docs.columns if c.startswith("ld_")])
     # A row is known by its id and 64 bits of its text.
     rows = docs.withColumn("ld_key", F.xxhash64("text"))
-    ids = line_templates(F.col("text"), min_tokens, general_from)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("ld_key").alias("key"))
+    found = rows.select(order.alias("row"), line_templates(F.col("text"), min_tokens, general_from).alias("e"))
+    # A document counts once for a template, at the first of the lines that share it.
+    new = lambda x, i: F.struct(x["id"].alias("id"), x["leaf"].alias("leaf"), F.when((i > 0) & (F.get(F.col("e"), i - 1)["id"] == x["id"]), 0).otherwise(1).alias("new"))
     # Read twice below; written once, as parsing the lines is the costly part.
-    seen = cut(rows.select(order.alias("row"), F.explode(F.array_distinct(F.flatten(ids))).alias("id")))
-    many = seen.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("keeper"))
+    seen = cut(found.select("row", F.explode(F.transform("e", new)).alias("x")).select("row", "x.id", "x.leaf", "x.new"))
+    many = seen.groupBy("id").agg(F.sum("new").alias("n"), F.min("row").alias("keeper"))
     many = many.where(F.col("n") >= F.when(F.col("id").bitwiseAND(F.lit(1).cast("bigint")) == 1, min_same).otherwise(min_docs))
     gone = seen.join(many.select("id", "keeper"), "id").where(~F.col("row")["id"].eqNullSafe(F.col("keeper")["id"]))
-    gone = gone.groupBy(F.col("row")["key"].alias("ld_key"), F.col("row")["id"].alias("ld_id")).agg(F.collect_set("id").alias("ld_gone"))
+    gone = gone.groupBy(F.col("row")["key"].alias("ld_key"), F.col("row")["id"].alias("ld_id")).agg(F.collect_set("leaf").alias("ld_gone"))
     rows = rows.withColumnRenamed("ld_key", "ld_row")
     both = rows.join(gone, (F.col("ld_row") == F.col("ld_key")) & F.col("doc_id").eqNullSafe(F.col("ld_id")), "left")
     lines = F.split("text", "\n", -1)
-    dropped = F.transform(ids, lambda own: F.arrays_overlap(own, F.col("ld_gone")))
+    dropped = F.transform(text_lines(F.col("text")), lambda line: F.array_contains("ld_gone", leaf_id(F.trim(line))))
     both = both.withColumn("ld_flags", F.when(F.col("ld_gone").isNotNull(), dropped))
     kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), F.col("ld_flags").alias("flag")), lambda z: ~z["flag"]), lambda z: z["line"])
     none = F.col("ld_flags").isNull()
