@@ -46,17 +46,19 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
 
     A source that reports no size (an RDD, a JDBC table) is measured by a pass over its texts.
     """
-    size = input_bytes(df)
-    if not size:
-        held = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in df.columns else F.lit(64)
-        size = df.agg(F.sum(held.cast("long"))).first()[0] or 0
-    return max(least, -(-size // bytes_each))
+    return max(least, -(-(input_bytes(df) or text_bytes(df)) // bytes_each))
 
 
-def chunk_bytes(df: DataFrame, least: int, most: int = 64 << 20) -> int:
-    """Input of a chunk that exchanges arrays with as many buckets: it grows with the square root of
-    the input, so that an array keeps some entries (8 MB up to 1.6 TB, 64 MB at 100 TB)."""
-    return max(least, min(most, math.isqrt(40 * input_bytes(df))))
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all texts, by a pass over them: a file of copies may hold many times its own size."""
+    return df.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
+
+
+def chunks_for(size: int, bytes_each: int, most: int = 64 << 20, least: int = 12) -> int:
+    """Number of chunks of a corpus of ``size`` that exchange arrays with as many buckets. A chunk has
+    ``bytes_each`` and grows with the square root of the corpus, so that an array keeps some entries
+    (8 MB up to 1.6 TB, 64 MB at 100 TB)."""
+    return max(least, -(-size // max(bytes_each, min(most, math.isqrt(40 * size)))))
 
 
 def in_chunks(df: DataFrame, chunks: int) -> DataFrame:

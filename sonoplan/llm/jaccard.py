@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_bytes, cut, free_name, in_chunks, parts_for, text_key
+from .common import chunks_for, cut, free_name, in_chunks, text_bytes, text_key
 from .graph import components, forest
 from .textcore import U64, blocks, mix, ngrams, words_of
 
@@ -39,7 +39,7 @@ SHINGLE = 3
 PERCENT = 90
 #: Bounds of a trie: sets and n-grams in one block.
 BLOCK_SETS, BLOCK_GRAMS = 200, 500_000
-#: Input whose elements meet in one partition, or make up a bucket, and the least of a chunk.
+#: Text whose elements meet in one partition, or make up a bucket, and the least of a chunk.
 MEET_BYTES = 8 << 20
 #: More rows than this (17 bytes and some each) meet the texts in a shuffle instead of a broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -412,8 +412,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Rows that share a doc_id are judged by their own texts. Other columns are not read.
     """
     docs = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
-    chunks, buckets = parts_for(docs, chunk_bytes(docs, MEET_BYTES)), parts_for(docs, MEET_BYTES)
-    docs = in_chunks(docs, chunks)
+    size = text_bytes(docs)
+    buckets = max(12, -(-size // MEET_BYTES))
+    docs = in_chunks(docs, chunks_for(size, MEET_BYTES))
     sent = docs.groupBy("chunk").applyInArrow(_send_elements(shingle, buckets), _SENT)
     counts = sent.groupBy("bucket").applyInArrow(_count_elements, _SENT)
     rows = cut(docs.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_judge(shingle, percent, buckets), _ROWS))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_bytes, in_chunks, parts_for
+from .common import chunks_for, in_chunks, text_bytes
 from .fmindex import FmIndex
 from .ngramlm import _pack, _unpack
 from .textcore import U64, Words, mix, ngrams, words_of
@@ -273,7 +273,7 @@ def _kept_table(words: Words, keep: np.ndarray, ids: pa.ChunkedArray) -> pa.Tabl
     return pa.table([ids, pa.array(texts, pa.string()), pa.array(counts), pa.array(counts - kept_n), spans], names=["doc_id", "kept_text", "n_words", "n_removed", "removed"])
 
 
-def dedup_substrings(docs: DataFrame, least_chunk: int = 8 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least_chunk: int = 12 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, kept_text, n_words, n_removed and removed (word ranges, last included).
 
     A word goes if a window of 13 words that holds it also starts in a document with a
@@ -282,8 +282,9 @@ def dedup_substrings(docs: DataFrame, least_chunk: int = 8 << 20, shard_bytes: i
     are joined by one space. Other columns are not read. Empty table: empty result.
     """
     docs = docs.select("doc_id", "text")
-    chunks, shards = parts_for(docs, chunk_bytes(docs, least_chunk)), parts_for(docs, shard_bytes)
-    docs = in_chunks(docs, chunks)
+    size = text_bytes(docs)
+    shards = max(12, -(-size // shard_bytes))
+    docs = in_chunks(docs, chunks_for(size, least_chunk))
     sent = docs.groupBy("chunk").applyInArrow(_send_anchors(shards), _SENT)
     bits = sent.groupBy("bucket").applyInArrow(_answer_anchors, _SENT)
     pieces = docs.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(_send_pieces(shards), _SENT)
