@@ -115,32 +115,53 @@ def amplitudes(x: np.ndarray) -> np.ndarray:
     return a
 
 
+#: The smallest window and the number of window sizes of the rescaled-range fit.
+HURST_LEAST, HURST_SIZES = 8, 6
+
+
+def rescaled_range(x: np.ndarray, size: int) -> float:
+    """Mean of R / S over the whole windows of ``size`` samples that aren't flat; nan without any.
+
+    R is the span of the summed deviations from the window's mean, S the deviation.
+    """
+    n = len(x) // size
+    sums = np.concatenate([[0.0], np.cumsum(x[: n * size])])
+    edges = sums[::size]
+    slope = np.diff(edges) / size
+    inside = sums[1:].reshape(n, size) - edges[:-1, None] - slope[:, None] * np.arange(1, size + 1)
+    spread = np.array([w.std() for w in np.split(x[: n * size], n)])
+    live = spread > 0
+    return float(np.mean((inside.max(1) - inside.min(1))[live] / spread[live])) if live.any() else np.nan
+
+
 def hurst(x: np.ndarray) -> float:
-    """Hurst exponent by rescaled range; 0.5 where it can't be told."""
+    """Hurst exponent, 0 to 1: how log(R / S) grows with log(window size); 0.5 where it can't be told."""
     x = np.asarray(x, np.float64)
-    n = len(x)
-    if n < 8 or not x.std() > 0:
+    if len(x) < HURST_LEAST or np.ptp(x) == 0:
         return 0.5
-    at, value = [], []
-    for m in sorted({int(round(s)) for s in np.geomspace(8, max(8, n // 2), 6)}):
-        k = n // m
-        if k < 2:
-            continue
-        seg = x[: k * m].reshape(k, m)
-        walk, std = (seg - seg.mean(1, keepdims=True)).cumsum(1), seg.std(1)
-        ok = std > 0
-        if ok.any():
-            at.append(m)
-            value.append((np.ptp(walk, axis=1)[ok] / std[ok]).mean())
-    if len(at) < 2:
+    ladder = np.unique(np.rint(np.geomspace(HURST_LEAST, max(HURST_LEAST, len(x) // 2), HURST_SIZES)).astype(int))
+    points = np.log([(m, rescaled_range(x, m)) for m in ladder if 2 * m <= len(x)] or [(1.0, np.nan)])
+    points = points[np.isfinite(points).all(1)]
+    if len(points) < 2:
         return 0.5
-    slope = np.polyfit(np.log(at), np.log(value), 1)[0]
-    return float(np.clip(slope, 0, 1)) if np.isfinite(slope) else 0.5
-
-
-def _moments(b: np.ndarray) -> tuple[float, float]:
-    d, var = b - b.mean(), b.var()
-    return (float((d**3).mean() / var**1.5), float((d**4).mean() / var**2 - 3)) if var > 0 else (0.0, 0.0)
+    dx, dy = (points - points.mean(0)).T
+    return float(min(max(dx @ dy / (dx @ dx), 0.0), 1.0))
+
+
+def _band_table(a: np.ndarray, f: np.ndarray, loud: float) -> np.ndarray:
+    """(bands, statistics): all bands at once, as sums over the band number of each frequency."""
+    band = np.searchsorted([lo for lo, _ in BANDS], f, side="right") - 1
+    total = lambda w: np.bincount(band, w, len(BANDS))
+    n = np.bincount(band, minlength=len(BANDS))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = total(a) / n
+        d = a - mean[band]
+        var, third, fourth = (total(d**k) / n for k in (2, 3, 4))
+        rms = np.sqrt(total(a * a) / n)
+        top = np.zeros(len(BANDS))
+        np.maximum.at(top, band, a)
+        table = np.stack([mean / loud, np.sqrt(var) / loud, third / var**1.5, fourth / var**2 - 3, rms / loud, top / rms], 1)
+    return np.where(np.isfinite(table), table, 0.0)
 
 
 def window_features(x: np.ndarray, rate: int) -> np.ndarray:
@@ -148,24 +169,17 @@ def window_features(x: np.ndarray, rate: int) -> np.ndarray:
 
     The entropy is that of the squared power shares, as stored vectors of this kind have it.
     """
-    out = np.zeros(FEATURES)
     x = np.asarray(x, np.float64)
-    if len(x) < 2 or rate <= 0:
-        return out
-    a, loud = amplitudes(x), np.sqrt((x * x).mean())
-    if not a.sum() > 0 or not loud > 0:
-        return out
-    f, top = np.fft.rfftfreq(len(x), 1 / rate), rate / 2
-    for k, (lo, hi) in enumerate(BANDS):
-        b = a[(f >= lo) & (True if hi is None else f < hi)]
-        if len(b):
-            rms = np.sqrt((b * b).mean())
-            out[6 * k : 6 * k + 6] = b.mean() / loud, b.std() / loud, *_moments(b), rms / loud, b.max() / rms if rms > 0 else 0
-    share = a**2 / (a**2).sum()
-    power = share**2 / (share**2).sum()
-    power = power[power > 0]
-    out[-4:] = f[a.argmax()] / top, (f @ a) / a.sum() / top, -(power * np.log2(power)).sum() / np.log2(max(2, len(a))), hurst(np.log10(a + LOG_FLOOR))
-    return np.where(np.isfinite(out), out, 0)
+    a = amplitudes(x) if len(x) >= 2 and rate > 0 else np.zeros(1)
+    if not (a > 0).any():
+        return np.zeros(FEATURES)
+    f = np.fft.rfftfreq(len(x), 1 / rate)
+    share = (a / a.max()) ** 4
+    share = share[share > 0] / share.sum()
+    bits = -(share @ np.log2(share)) / np.log2(max(2, len(a)))
+    whole = [f[a.argmax()] * 2 / rate, np.average(f, weights=a) * 2 / rate, bits, hurst(np.log10(a + LOG_FLOOR))]
+    out = np.concatenate([_band_table(a, f, float(np.linalg.norm(x) / np.sqrt(len(x)))).ravel(), whole])
+    return np.where(np.isfinite(out), out, 0.0)
 
 
 def chunk_features(x: np.ndarray, rate: int, window_sec: float = 1.0) -> np.ndarray:

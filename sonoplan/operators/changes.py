@@ -61,7 +61,7 @@ def remove_tracks(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Da
     """Deletes tracks with all that hangs on them; playlists lose only their seed."""
     out = dict(tables)
     chunks = tables["chunks"].join(gone.select("track_id").distinct(), "track_id", "left_semi").select("chunk_id")
-    for name in ("tracks", "chunks", "centroids", "playlist_items"):
+    for name in ("tracks", "chunks", "centroids", "playlist_items", "noise_run_tracks"):
         if name in out:
             out[name] = without(out[name], gone, "track_id")
     for name in ("vectors", "tags", "reduced", "noise"):
@@ -124,6 +124,86 @@ def canonical_pairs(pairs: DataFrame) -> DataFrame:
     return p.groupBy("track_a", "track_b").agg(F.min("pair_id").alias("pair_id")).select("pair_id", "track_a", "track_b")
 
 
+def next_id(rows: DataFrame, column: str) -> int:
+    return (rows.agg(F.max(column)).first()[0] or 0) + 1
+
+
+def _row(like: DataFrame, **values) -> DataFrame:
+    """One row with the columns of ``like``; those not given are null."""
+    return like.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) if not isinstance(values.get(f.name), Column) else values[f.name].alias(f.name) for f in like.schema])
+
+
+# --- playlists ---------------------------------------------------------------------------
+
+
+def create_playlist(playlists: DataFrame, name: str, seed_track_id: int | None = None, method: str | None = None) -> tuple[DataFrame, int]:
+    i = next_id(playlists, "playlist_id")
+    return playlists.unionByName(_row(playlists, playlist_id=i, name=name, created_at=F.current_timestamp(), seed_track_id=seed_track_id, method=method)), i
+
+
+def replace_items(items: DataFrame, playlist_id: int, new: DataFrame) -> DataFrame:
+    """``new`` (track_id, similarity, ord) as the items of a playlist, at places 1, 2, ... by ``ord``."""
+    place = F.row_number().over(W.orderBy("ord"))  # the items of one playlist
+    new = new.select(F.lit(playlist_id).cast("bigint").alias("playlist_id"), "track_id", place.alias("position"), "similarity")
+    return items.where(F.col("playlist_id") != playlist_id).unionByName(new.select(*items.columns))
+
+
+def delete_playlist(tables: dict[str, DataFrame], playlist_id: int) -> dict[str, DataFrame]:
+    return tables | {k: tables[k].where(F.col("playlist_id") != playlist_id) for k in ("playlists", "playlist_items") if k in tables}
+
+
+# --- reductions and noise runs -----------------------------------------------------------
+
+
+def put_reduction(reductions: DataFrame, name: str, source_model: str, method: str, params: dict, n_components: int, reduction_id: int | None = None) -> tuple[DataFrame, int]:
+    """A new reduction, or a known one overwritten under its id; a name that another has is refused."""
+    import json
+
+    if not reductions.where((F.col("name") == name) & (F.col("reduction_id") != (reduction_id or -1))).isEmpty():
+        raise ValueError(f"a dataset named {name!r} already exists")
+    values = {"name": name, "method": method, "params": json.dumps(params, ensure_ascii=False), "n_components": n_components}
+    if reduction_id is None:
+        i = next_id(reductions, "reduction_id")
+        return reductions.unionByName(_row(reductions, reduction_id=i, source_model=source_model, created_at=F.current_timestamp(), **values)), i
+    own = F.col("reduction_id") == reduction_id
+    return reductions.withColumns({k: F.when(own, F.lit(v)).otherwise(F.col(k)).cast(dict(reductions.dtypes)[k]) for k, v in values.items()}), reduction_id
+
+
+def reduction_result(reductions: DataFrame, reduction_id: int, n_vectors: int, explained: Sequence[float] | None) -> DataFrame:
+    import json
+
+    own, shares = F.col("reduction_id") == reduction_id, None if explained is None else json.dumps([float(x) for x in explained])
+    return reductions.withColumn("n_vectors", F.when(own, F.lit(n_vectors)).otherwise(F.col("n_vectors"))).withColumn("explained_variance", F.when(own, F.lit(shares).cast("string")).otherwise(F.col("explained_variance")))
+
+
+def delete_reduction(tables: dict[str, DataFrame], reduction_id: int) -> dict[str, DataFrame]:
+    """Takes its vectors, the centroids made from them and its noise runs along."""
+    out, dataset = dict(tables), f"red:{reduction_id}"
+    keep = {"reductions": F.col("reduction_id") != reduction_id, "reduced": F.col("reduction_id") != reduction_id, "centroids": F.col("model") != dataset}
+    keep |= dict.fromkeys(("noise_filters", "noise", "noise_run_tracks"), F.col("dataset") != dataset)
+    return out | {k: out[k].where(c) for k, c in keep.items() if k in out}
+
+
+def store_noise_run(tables: dict[str, DataFrame], dataset: str, method: str, flags: DataFrame, signatures: DataFrame, params: str = "{}", n_vectors: int = 0, in_place: bool = False) -> dict[str, DataFrame]:
+    """A run of a method over a dataset: its flags (chunk_id) replace the former ones, and the tracks
+    it saw (``signatures``) are recorded. ``in_place`` keeps the id and the other tracks' records."""
+    other = (F.col("dataset") != dataset) | (F.col("method") != method)
+    mine = lambda df: df.select(F.lit(dataset).alias("dataset"), F.lit(method).alias("method"), *df.columns)
+    flags, filters, runs = flags.select("chunk_id").distinct(), tables["noise_filters"], tables["noise_run_tracks"]
+    old = filters.where(~other).agg(F.max("filter_id")).first()[0]
+    i = old if in_place and old is not None else next_id(filters, "filter_id")
+    row = _row(filters, filter_id=i, dataset=dataset, method=method, params=params, n_vectors=n_vectors, created_at=F.current_timestamp())
+    row = row.drop("n_noise").crossJoin(flags.agg(F.count(F.lit(1)).alias("n_noise"))).select(*filters.columns)  # one row each
+    seen = mine(signatures.select("track_id", "n_chunks", "chunk_sum", "vector_sum")).select(*[F.col(f.name).cast(f.dataType) for f in runs.schema])
+    kept = runs.where(other) if not in_place else runs.where(other).unionByName(runs.where(~other).join(signatures.select("track_id"), "track_id", "left_anti").select(*runs.columns))
+    return tables | {"noise_filters": filters.where(other).unionByName(row), "noise": tables["noise"].where(other).unionByName(mine(flags)), "noise_run_tracks": kept.unionByName(seen)}
+
+
+def delete_noise_run(tables: dict[str, DataFrame], dataset: str, method: str) -> dict[str, DataFrame]:
+    other = (F.col("dataset") != dataset) | (F.col("method") != method)
+    return tables | {k: tables[k].where(other) for k in ("noise_filters", "noise", "noise_run_tracks") if k in tables}
+
+
 def put_setting(settings: DataFrame, key: str, value: str) -> DataFrame:
     new = settings.sparkSession.createDataFrame([(key, value)], "key string, value string")
     return replace_rows(settings, new, ["key"])

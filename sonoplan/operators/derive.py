@@ -20,11 +20,41 @@ FLAT = 1e-9
 TSNE_MOST, UMAP_MOST = 15_000, 200_000
 
 
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Vectors of one size as a matrix, without a Python object per component."""
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _largest(rows: DataFrame) -> tuple[DataFrame, list[float] | None]:
+    """(the vectors of the largest size, one of them)."""
+    best = rows.where("v IS NOT NULL").agg(F.max(F.struct(F.size("v").alias("d"), F.col("v"))).alias("m")).first()["m"]
+    return (rows.limit(0), None) if best is None else (rows.where(F.size("v") == best["d"]), best["v"])
+
+
 def component_stats(rows: DataFrame) -> DataFrame:
-    """Mean and population deviation of every component, over the vectors of the largest size."""
-    d = rows.select(F.size("v").alias("d")).agg(F.max("d").alias("d"))
-    own = rows.join(F.broadcast(d), F.size("v") == F.col("d"))  # one row
-    return own.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count(F.lit(1)).alias("n"))
+    """pos, mean, std (population) and n of every component, over the vectors of the largest size.
+
+    A task sends one row: sums and sums of squares of the distances from one stated vector, so
+    that equal components have no deviation at all.
+    """
+    own, pivot = _largest(rows)
+    at = np.array(pivot or [], np.float64)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q = 0, np.zeros(len(at)), np.zeros(len(at))
+        for b in batches:
+            if b.num_rows:
+                x = matrix_of(b.column(0)) - at
+                n, s, q = n + len(x), s + x.sum(0), q + (x * x).sum(0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s]), pa.array([q])], names=["n", "s", "q"])
+
+    sent = own.select("v").mapInArrow(part, "n bigint, s array<double>, q array<double>")
+    each = sent.select("n", F.posexplode(F.arrays_zip("s", "q")).alias("pos", "z")).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("z.s").alias("s"), F.sum("z.q").alias("q"))
+    base = F.get(F.array(*map(F.lit, at.tolist())) if len(at) else F.array().cast("array<double>"), F.col("pos"))
+    var = F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2.0)))
+    return each.select("pos", (base + F.col("s") / F.col("n")).alias("mean"), F.sqrt(var).alias("std"), "n")
 
 
 def zscore(rows: DataFrame, flat: float = FLAT) -> DataFrame:
@@ -68,25 +98,30 @@ def learn_weights(pairs: DataFrame, aggregates: DataFrame, l2: float | None = No
 
 
 def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, sum and sum of outer products of the vectors; each task sends one (d, d) block."""
+    """Count, sum and sum of outer products of the vectors of the largest size, in one pass over them.
+
+    Each task sends the rows of one (d, d) block; these are summed by row in the cluster.
+    """
+    own, pivot = _largest(rows)
+    if pivot is None:
+        raise ValueError("there are no vectors to reduce")
+    d = len(pivot)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, ss = 0, None, None
+        block, n = np.zeros((d + 1, d + 1)), 0
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(0).to_pylist(), np.float64)
-                n, s, ss = n + len(x), x.sum(0) + (0 if s is None else s), x.T @ x + (0 if ss is None else ss)
+                x = np.pad(matrix_of(b.column(0)), ((0, 0), (0, 1)), constant_values=1.0)
+                block, n = block + x.T @ x, n + len(x)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s.tolist()]), pa.array([ss.ravel().tolist()])], names=["n", "s", "ss"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 1)), pa.array(list(block))], names=["k", "x"])
 
-    got = rows.select("v").mapInArrow(part, "n bigint, s array<double>, ss array<double>")
-    # Summed by component in the cluster; what comes back is one (d, d) block.
-    total = got.agg(F.sum("n").alias("n")).first()["n"] or 0
-    if not total:
-        raise ValueError("there are no vectors to reduce")
-    add = lambda c: [r["x"] for r in got.select(F.posexplode(c).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()]
-    s = np.array(add("s"))
-    return total, s, np.array(add("ss")).reshape(len(s), len(s))
+    def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        return pa.table({"k": [key[0].as_py()], "x": [matrix_of(t.column("x").combine_chunks()).sum(0).tolist()]})
+
+    got = own.select("v").mapInArrow(part, "k bigint, x array<double>").groupBy("k").applyInArrow(add, "k bigint, x array<double>")
+    block = np.array([r["x"] for r in sorted(got.collect(), key=lambda r: r["k"])])  # d + 1 rows
+    return round(block[d, d]), block[d, :d], block[:d, :d]
 
 
 def pca(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
@@ -109,12 +144,13 @@ def pca(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("v")
-            x = np.array(b.column(at).to_pylist(), np.float64).reshape(b.num_rows, len(mean))
+            x = matrix_of(b.column(at)).reshape(b.num_rows, len(mean))
             flat = ((x - mean) @ axes).ravel()
             v = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * axes.shape[1], pa.int32()), pa.array(flat))
             yield b.set_column(at, pa.field("v", v.type), v)
 
-    return rows.mapInArrow(project, rows.schema), shares
+    # Vectors of other sizes have no place on these axes.
+    return rows.where(F.size("v") == len(mean)).mapInArrow(project, rows.schema), shares
 
 
 def _matrix(rows: DataFrame, most: int, what: str) -> tuple[list[int], np.ndarray]:

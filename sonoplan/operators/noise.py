@@ -212,13 +212,17 @@ def song_flags(rows: DataFrame, method: str) -> DataFrame:
     return rows.select("track_id", "chunk_id", "v").groupBy("track_id").applyInArrow(song, "track_id bigint, chunk_id bigint, noise boolean")
 
 
-def fit(rows: DataFrame, dataset: str, method: str) -> DataFrame:
-    """Full fit of a dataset: its flags as (dataset, method, chunk_id)."""
+def fit(rows: DataFrame, dataset: str, method: str, most: int | None = MOST_VECTORS) -> DataFrame:
+    """Full fit of a dataset: its flags as (dataset, method, chunk_id).
+
+    More than ``most`` vectors are refused, as an interactive user would wait long; None takes any
+    number, since songs are fitted one by one.
+    """
     n = rows.count()
     if n < LEAST_VECTORS:
         raise ValueError(f"{dataset} has {n} vectors; {LEAST_VECTORS} are needed")
-    if n > MOST_VECTORS:
-        raise ValueError(f"{dataset} has {n} vectors; at most {MOST_VECTORS} are fitted by default")
+    if most is not None and n > most:
+        raise ValueError(f"{dataset} has {n} vectors; at most {most} are fitted by default")
     return song_flags(rows, method).where("noise").select(F.lit(dataset).alias("dataset"), F.lit(method).alias("method"), "chunk_id")
 
 

@@ -296,7 +296,7 @@ def tree_order(nodes: DataFrame) -> DataFrame:
 
 def subsample(df: DataFrame, cap: int, id_column: str = "chunk_id") -> DataFrame:
     """A fixed sample of at most ``cap`` rows, by hash of the id, in id order."""
-    return df.orderBy(F.xxhash64(F.lit(0), id_column), id_column).limit(cap).orderBy(id_column)
+    return df.orderBy(F.md5(F.col(id_column).cast("string").cast("binary")), id_column).limit(cap).orderBy(id_column)
 
 
 def nearest_point(points: DataFrame, x: float, y: float, radius: float = 10.0) -> DataFrame:

@@ -244,6 +244,8 @@ def _scores(lib: Library, seed: int, dataset: str, algorithm: str, methods: Sequ
         rows = rows.where(F.col("model") == dataset)
     noise = reads.noise_union(lib.noise, dataset, methods) if methods and lib.noise is not None and d.kind != "text" else None
     clean = rows if noise is None else reads.without_noise(rows, noise)
+    if noise is not None and clean.where(F.col("track_id") == seed).isEmpty() and not rows.where(F.col("track_id") == seed).isEmpty():
+        raise ValueError(f"noise filtering leaves nothing: every chunk of the seed {seed} is noise")
     stored = lib.centroids if lib.centroids is not None else centroids(rows)
     if d.kind == "text" or algorithm == "centroid":
         return centroid_scores(stored if noise is None else centroids(clean), seed, dataset, lib.weights)

@@ -27,6 +27,11 @@ class Library:
     playlist_items: DataFrame | None = None
     reduced: DataFrame | None = None
 
+    @classmethod
+    def of(cls, tables: dict[str, DataFrame]) -> Library:
+        """The relations of ``tables`` that searches read."""
+        return cls(**{f.name: tables[f.name] for f in fields(cls) if f.name in tables})
+
     def track_vectors(self) -> DataFrame:
         """track_id, chunk_id, idx, model, v; vectors whose chunk is gone drop out."""
         return self.vectors.join(self.chunks.select("chunk_id", "track_id", "idx"), "chunk_id")

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import plugins
 from ..functions import scalars, signal, vectors
-from ..operators import changes, derive, noise, reads, similarity
-from ..sources import audio, playlists, text
+from ..operators import changes, derive, jobs, noise, reads, similarity
+from ..schema import SCHEMAS
+from ..sources import audio, playlists, store, text
 from .library import DUCK_TABLES, Library, from_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,9 +138,9 @@ def q_track_tags(lib, spark, d):
     return reads.track_tags(lib, 2)
 
 
-@query(f"SELECT chunk_id, track_id, round(v[1], {DIGITS}) + 0.0 AS x FROM reduced JOIN chunks USING (chunk_id) WHERE reduction_id = 1")
+@query(f"SELECT chunk_id, track_id, (generate_subscripts(v, 1) - 1)::INT AS pos, round(unnest(v), {DIGITS}) + 0.0 AS x FROM reduced JOIN chunks USING (chunk_id) WHERE reduction_id = 1")
 def q_reduced_vectors(lib, spark, d):
-    return reads.reduced_rows(lib, 1).select("chunk_id", "track_id", r(vectors.component("v", 0)).alias("x"))
+    return long(reads.reduced_rows(lib, 1), "v", "chunk_id", "track_id")
 
 
 @query("SELECT playlist_id, position, track_id, path, title, similarity FROM items JOIN tracks USING (track_id)")
@@ -173,9 +174,9 @@ def q_cross_model_points(lib, spark, d):
     return reads.cross_model_points(lib, "lo", 2, "hi", 4).select("chunk_id", "track_id", r("x").alias("x"), r("y").alias("y"))
 
 
-@query(f"SELECT a.chunk_id, len(list_concat(a.v, b.v))::INT AS dim, round(list_concat(a.v, b.v)[33], {DIGITS}) + 0.0 AS x FROM vectors a JOIN vectors b USING (chunk_id) WHERE a.model = 'hi' AND b.model = 'lo'")
+@query(f"SELECT chunk_id, (generate_subscripts(v, 1) - 1)::INT AS pos, round(unnest(v), {DIGITS}) + 0.0 AS x FROM (SELECT a.chunk_id, list_concat(a.v, b.v) AS v FROM vectors a JOIN vectors b USING (chunk_id) WHERE a.model = 'hi' AND b.model = 'lo')")
 def q_hstack_models(lib, spark, d):
-    return reads.joint_vectors(lib, ["lo", "hi"]).select("chunk_id", F.size("v").alias("dim"), r(vectors.component("v", 32)).alias("x"))
+    return long(reads.joint_vectors(lib, ["lo", "hi"]), "v", "chunk_id")
 
 
 @query("SELECT track_id, path FROM tracks WHERE folder_id = 2 AND track_id % 4 = 0")
@@ -341,7 +342,7 @@ def q_tree_order(lib, spark, d):
     return reads.tree_order(nodes).withColumn("place", F.row_number().over(W.orderBy("is_file", F.lower("name"), "name")))
 
 
-@query()
+@query("SELECT chunk_id, track_id FROM chunks ORDER BY md5(chunk_id::VARCHAR), chunk_id LIMIT 100")
 def q_subsample(lib, spark, d):
     return reads.subsample(lib.chunks.select("chunk_id", "track_id"), 100)
 
@@ -677,9 +678,9 @@ def q_zscore(lib, spark, d):
     return long(derive.zscore(lib.vectors.where("model = 'full'")), "v", "chunk_id")
 
 
-@query(_Z + f"SELECT chunk_id, (pos - 1)::INT AS pos, round(x, {DIGITS}) + 0.0 AS x FROM z WHERE pos <= 3")
+@query(_Z + f"SELECT chunk_id, (pos - 1)::INT AS pos, round(x, {DIGITS}) + 0.0 AS x FROM z")
 def q_standardize(lib, spark, d):
-    return long(derive.standardize(lib.vectors.where("model = 'full'")).withColumn("v", F.slice("v", 1, 3)), "v", "chunk_id")
+    return long(derive.standardize(lib.vectors.where("model = 'full'")), "v", "chunk_id")
 
 
 @query(_Z + f""", za AS (SELECT track_id, pos, avg(x) AS x FROM z GROUP BY ALL), zn AS (SELECT track_id, sqrt(sum(x * x)) AS n FROM za GROUP BY ALL)
@@ -726,12 +727,12 @@ def q_similar_reduced(lib, spark, d):
 
 @query()
 def q_tsne(lib, spark, d):
-    return long(derive.tsne(lib.vectors.where("model = 'lo'"), 2, steps=120), "v", "chunk_id")
+    return long(derive.tsne(lib.vectors.where("model = 'lo'"), 2), "v", "chunk_id")
 
 
 @query()
 def q_umap(lib, spark, d):
-    return long(derive.umap(lib.vectors.where("model = 'lo'"), 2, steps=60), "v", "chunk_id")
+    return long(derive.umap(lib.vectors.where("model = 'lo'"), 2), "v", "chunk_id")
 
 
 @query()
@@ -865,8 +866,12 @@ def q_spectral_whole(lib, spark, d):
     return f.groupBy("user_id").agg(F.max_by("k", "a").alias("dominant"), r(F.sum(F.col("k") * F.col("a")) / F.sum("a") * 2 / F.first("n")).alias("centroid"), r(bits).alias("entropy"))
 
 
+#: Samples a second of the queries' signals: the highest band begins at 15 kHz.
+RATE = 48_000
+
+
 def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return series(spark, d).select(F.col("user_id").alias("chunk_id"), F.lit(8).alias("rate"), F.col("x").cast("array<float>").alias("samples"))
+    return series(spark, d).select(F.col("user_id").alias("chunk_id"), F.lit(RATE).alias("rate"), F.col("x").cast("array<float>").alias("samples"))
 
 
 @query()
@@ -900,7 +905,7 @@ def _waves(spark: SparkSession, d: str) -> DataFrame:
         def one(v):
             f = io.BytesIO()
             with wave.open(f, "wb") as w:
-                w.setnchannels(1), w.setsampwidth(2), w.setframerate(8)
+                w.setnchannels(1), w.setsampwidth(2), w.setframerate(RATE)
                 w.writeframes((np.clip(np.asarray(v) / 100, -1, 1) * 32767).astype("<i2").tobytes())
             return f.getvalue()
 
@@ -909,13 +914,14 @@ def _waves(spark: SparkSession, d: str) -> DataFrame:
     return series(spark, d).select(F.concat(F.lit("/waves/"), F.col("user_id").cast("string"), F.lit(".wav")).alias("path"), render("x").alias("content"))
 
 
-@query()
+@query(_SERIES + """, y AS (SELECT user_id, unnest(x) AS v FROM s)
+SELECT '/waves/' || user_id || '.wav' AS path, count(*)::INT AS n, round(sum((trunc(greatest(-1, least(1, v / 100)) * 32767) / 32768)::FLOAT::DOUBLE), 6) + 0.0 AS total FROM y GROUP BY user_id""")
 def q_wav_decode(lib, spark, d):
     c = audio.decode_chunks(_waves(spark, d), 1e9, 0)
     return c.select("path", F.size("samples").alias("n"), r(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x.cast("double"))).alias("total"))
 
 
-@query()
+@query(_SERIES + """SELECT '/waves/' || user_id || '.wav' AS path, 'wav' AS container, 'pcm' AS codec, 48000 AS sample_rate, 1 AS channels, 16 AS bit_depth, 768.0::DOUBLE AS bitrate_kbps, len(x) / 48000.0::DOUBLE AS duration_sec, NULL::VARCHAR AS error FROM s""")
 def q_probe(lib, spark, d):
     return audio.probe_files(_waves(spark, d))
 
@@ -923,7 +929,141 @@ def q_probe(lib, spark, d):
 @query()
 def q_analyze_pipeline(lib, spark, d):
     """Files to chunks to feature vectors to centroids, in one plan."""
-    c = audio.decode_chunks(_waves(spark, d), 4.0, 50.0).where("error IS NULL")
+    c = audio.decode_chunks(_waves(spark, d), 32 / RATE, 50.0).where("error IS NULL")
     c = c.withColumn("chunk_id", F.xxhash64("path", "idx")).withColumn("track_id", F.xxhash64("path"))
     v = plugins.embed_chunks(c, plugins.get_plugin("fft"))
     return long(similarity.centroids(v.join(c.select("chunk_id", "track_id"), "chunk_id")), "v", "track_id", "model")
+
+
+# --- state changes -----------------------------------------------------------------------
+
+
+def _counts(tables: dict[str, DataFrame], *names: str) -> DataFrame:
+    out = None
+    for n in names:
+        one = tables[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT playlist_id, track_id, position, round(similarity, 6) AS similarity FROM items WHERE playlist_id <> 1
+UNION ALL SELECT 1, track_id, row_number() OVER (ORDER BY track_id DESC)::INT, 0.25 FROM tracks WHERE track_id < 9""")
+def q_playlist_replace(lib, spark, d):
+    new = lib.tracks.where("track_id < 9").select("track_id", F.lit(0.25).alias("similarity"), (-F.col("track_id")).alias("ord"))
+    return changes.replace_items(lib.playlist_items, 1, new).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT 'playlists' AS name, count(*) - 1 AS n FROM playlists UNION ALL SELECT 'playlist_items', count(*) FROM items WHERE playlist_id <> (SELECT max(playlist_id) FROM playlists)")
+def q_playlist_delete(lib, spark, d):
+    """A playlist is made, one that was there goes."""
+    last = changes.next_id(lib.playlists, "playlist_id") - 1
+    p, i = changes.create_playlist(lib.playlists, "new", 3, "full")
+    t = changes.delete_playlist({"playlists": p, "playlist_items": lib.playlist_items}, last)
+    t = changes.delete_playlist(t, i)
+    return _counts(t, "playlists", "playlist_items")
+
+
+@query("SELECT playlist_id, name, row_number() OVER (ORDER BY created_at DESC, playlist_id DESC)::INT AS place FROM playlists")
+def q_newest_playlists(lib, spark, d):
+    return reads.newest_first(lib.playlists, "playlist_id").select("playlist_id", "name", F.row_number().over(W.orderBy(F.col("created_at").desc(), F.col("playlist_id").desc())).alias("place"))
+
+
+@query("SELECT path FROM (SELECT DISTINCT regexp_extract(path, '^/[^/]+/[^/]+') AS path FROM tracks) UNION SELECT '/music/PROMO'")
+def q_folder_insert(lib, spark, d):
+    """Known folders are left alone, new ones come in once."""
+    top = lib.tracks.select(F.regexp_extract("path", "^/[^/]+/[^/]+", 0).alias("path"))
+    known = spark.createDataFrame([(1, "/music/PROMO", None)], "folder_id bigint, path string, added_at timestamp")
+    return changes.add_folders(known, top.unionAll(top)).select("path")
+
+
+@query("""SELECT c.chunk_id, c.track_id, c.idx FROM chunks c WHERE track_id <> 3 UNION ALL SELECT 900000 + chunk_id, track_id, idx FROM chunks WHERE track_id = 3 AND idx % 2 = 0""")
+def q_chunk_replace(lib, spark, d):
+    own = ["chunk_id", "track_id", "idx"]
+    new = lib.chunks.where("track_id = 3 AND idx % 2 = 0").select((F.col("chunk_id") + 900000).alias("chunk_id"), "track_id", "idx")
+    return changes.replace_rows(lib.chunks.select(*own), new, ["track_id"])
+
+
+@query("SELECT track_id, CASE WHEN track_id = 4 THEN 'analyzed' WHEN track_id = 5 THEN 'error' ELSE status END AS status, CASE WHEN track_id = 5 THEN 'lost' WHEN track_id <> 4 THEN status_message END AS status_message, track_id = 4 AS stamped FROM tracks")
+def q_status_transition(lib, spark, d):
+    t = lib.tracks.select("track_id", "status", "status_message", F.lit(None).cast("timestamp").alias("last_analyzed_at"))
+    t = changes.set_status(changes.set_status(t, 4, "analyzed"), 5, "error", "lost")
+    return t.select("track_id", "status", "status_message", F.col("last_analyzed_at").isNotNull().alias("stamped"))
+
+
+@query("""SELECT event_type AS key, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'set' ELSE 'old' END AS value FROM (SELECT DISTINCT event_type FROM events) UNION ALL SELECT 'ollama_models', '["a", "b"]'""")
+def q_settings_upsert(lib, spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("key")).distinct().withColumn("value", F.lit("old"))
+    s = changes.put_setting(e, e.agg(F.min("key")).first()[0], "set")
+    return changes.save_text_models(s, changes.text_models(changes.save_text_models(s, ["a", "b"])))
+
+
+@query("SELECT chunk_id, (generate_subscripts(v, 1) - 1)::INT AS pos, round(unnest(v), 6) + 0.0 AS x FROM e")
+def q_vector_codec(lib, spark, d):
+    """Vectors of an imported library: packed as bytes, and unpacked again."""
+    packed = lib.vectors.where("model = 'full'").select("chunk_id", store.pack_vector(F.col("v")).alias("blob"))
+    return long(packed.select("chunk_id", store.unpack_vector(F.col("blob")).alias("v")), "v", "chunk_id")
+
+
+def _state(lib: Library) -> dict[str, DataFrame]:
+    """The relations as a store has them, without runs and with one reduction."""
+    empty = lambda n: lib.spark.createDataFrame([], SCHEMAS[n])
+    t = {"tracks": lib.tracks, "chunks": lib.chunks, "vectors": lib.vectors, "reduced": lib.reduced, "noise": lib.noise, "pairs": lib.pairs, "weights": lib.weights}
+    t |= {n: empty(n) for n in ("noise_filters", "noise_run_tracks")}
+    t["centroids"] = similarity.centroids(lib.track_vectors())
+    t["reductions"] = changes.put_reduction(empty("reductions"), "halves", "full", "pca", {}, 3)[0]
+    return t
+
+
+@query("""SELECT 1::BIGINT AS reduction_id, 'halves again' AS name, 'full' AS source_model, 4 AS n_components, (SELECT count(*) FROM e) AS n_vectors, 4 AS shares, (SELECT count(*) FROM e) AS stored, (SELECT count(DISTINCT track_id) FROM e) AS centroids""")
+def q_reduction_refresh(lib, spark, d):
+    """A reduction fitted anew under its id: record, vectors and centroids."""
+    t = _state(lib)
+    out, i = jobs.reduce_dataset(t, "halves again", "full", "pca", 4, refresh=1)
+    n, c = (x.agg(F.count(F.lit(1)).alias(a)) for x, a in ((out["reduced"], "stored"), (out["centroids"].where(F.col("model") == f"red:{i}"), "centroids")))
+    red = out["reductions"].select("reduction_id", "name", "source_model", "n_components", "n_vectors", F.size(F.from_json("explained_variance", "array<double>")).alias("shares"))
+    return red.crossJoin(n).crossJoin(c)  # one row each
+
+
+@query("SELECT 'reductions' AS name, 0::BIGINT AS n UNION ALL SELECT 'reduced', 0 UNION ALL SELECT 'centroids', (SELECT count(*) FROM (SELECT DISTINCT track_id, model FROM tv)) UNION ALL SELECT 'noise', (SELECT count(*) FROM noise) UNION ALL SELECT 'noise_filters', 0")
+def q_reduction_delete(lib, spark, d):
+    """A reduction goes with its vectors, centroids and noise runs."""
+    t = _state(lib)
+    t["centroids"] = t["centroids"].unionByName(t["centroids"].where("model = 'lo'").withColumn("model", F.lit("red:1")))
+    rows = jobs.dataset_rows(t, "red:1")
+    t = changes.store_noise_run(t, "red:1", "optics", rows.where("chunk_id % 3 = 0"), reads.signatures(rows))
+    return _counts(changes.delete_reduction(t, 1), "reductions", "reduced", "centroids", "noise", "noise_filters")
+
+
+@query("""SELECT 'full' AS dataset, 'hdbscan' AS method, 1::BIGINT AS filter_id, (SELECT count(*) FROM e) AS n_vectors, (SELECT count(*) FROM e WHERE chunk_id % 5 = 0) AS n_noise, (SELECT count(DISTINCT track_id) FROM e) AS tracks, (SELECT count(*) FROM noise WHERE dataset <> 'full' OR method <> 'hdbscan') AS others""")
+def q_noise_store(lib, spark, d):
+    """A run replaces the one before; flags of other runs stay."""
+    t, v = _state(lib), jobs.dataset_rows(_state(lib), "full")
+    t = changes.store_noise_run(t, "full", "hdbscan", v.where("chunk_id % 2 = 0"), reads.signatures(v.where("track_id < 3")), n_vectors=1)
+    t = changes.store_noise_run(t, "full", "hdbscan", v.where("chunk_id % 5 = 0"), reads.signatures(v), n_vectors=v.count(), in_place=True)
+    other = t["noise"].where("dataset != 'full' OR method != 'hdbscan'").agg(F.count(F.lit(1)).alias("others"))
+    seen = t["noise_run_tracks"].agg(F.count(F.lit(1)).alias("tracks"))
+    return t["noise_filters"].select("dataset", "method", "filter_id", "n_vectors", "n_noise").crossJoin(seen).crossJoin(other)  # one row each
+
+
+_PAIRS = """, pr AS (SELECT DISTINCT least(track_a, track_b) AS a, greatest(track_a, track_b) AS b FROM pairs WHERE track_a <> track_b), has AS (SELECT DISTINCT track_id FROM e WHERE track_id <> 4)
+SELECT 'full' AS model, count(*) AS pairs_stored, count(*) FILTER (a IN (SELECT track_id FROM has) AND b IN (SELECT track_id FROM has)) AS pairs_used FROM pr"""
+
+
+@query(_PAIRS)
+def q_learn_and_store(lib, spark, d):
+    """How many pairs a model's weights were learned from; track 4 has no centroid."""
+    t = _state(lib)
+    t["centroids"] = t["centroids"].where("track_id != 4")
+    _, said = jobs.learn_and_store(t, "full")
+    return spark.createDataFrame([(said["model"], said["pairs_stored"], said["pairs_used"])], "model string, pairs_stored bigint, pairs_used bigint")
+
+
+@query("SELECT track_id, count(*) AS n FROM chunks WHERE track_id IN (1, 2) GROUP BY track_id")
+def q_noise_sweep(lib, spark, d):
+    """Only tracks without a valid record are fitted; then none is pending."""
+    t, v = _state(lib), jobs.dataset_rows(_state(lib), "full")
+    v = v.where("track_id IN (1, 2)")
+    t["vectors"] = v.select("chunk_id", F.lit("full").alias("model"), "v")
+    t = changes.store_noise_run(t, "full", "hdbscan", v.limit(0), reads.signatures(v.where("track_id = 1")))
+    t = t | jobs.noise_sweep(t, "hdbscan")
+    return t["noise_run_tracks"].select("track_id", F.col("n_chunks").alias("n"))

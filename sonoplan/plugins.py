@@ -106,31 +106,68 @@ def plugin_info() -> list[dict]:
     return [{"name": p.name, "display_name": p.title, "dim": p.dim, "available": p.is_available(), "error": p.availability_error()} for p in list_plugins()]
 
 
-def embed_chunks(samples: DataFrame, plugin: Plugin, batch: int = 16) -> DataFrame:
-    """``samples`` (chunk_id, rate, samples array<float>) to (chunk_id, model, v)."""
+def embed_chunks(samples: DataFrame, plugin: Plugin, batch: int = 16, errors: bool = False) -> DataFrame:
+    """``samples`` (chunk_id, rate, samples array<float>) to (chunk_id, model, v); with ``errors`` a
+    failing batch has null vectors and its error instead of failing the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 s = b.slice(at, batch)
-                vs = [plugin.embed([np.asarray(x, np.float32)], int(r))[0] for x, r in zip(s.column(2).to_pylist(), s.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([plugin.name] * len(vs)), pa.array([v.astype(np.float64).tolist() for v in vs], pa.list_(pa.float64()))], names=["chunk_id", "model", "v"])
-
-    return samples.select("chunk_id", "rate", "samples").mapInArrow(run, "chunk_id bigint, model string, v array<double>")
-
-
-def describe_chunks(samples: DataFrame, plugin: Plugin, top_k: int = 3) -> DataFrame:
+                vs, error = _in_batches(s, lambda x, r: plugin.embed(x, r), errors)
+                lists = pa.array([None if v is None else np.asarray(v, np.float64).tolist() for v in vs], pa.list_(pa.float64()))
+                out = [s.column(0), pa.array([plugin.name] * len(vs)), lists]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(error, pa.string())][: 4 if errors else 3], names=["chunk_id", "model", "v", "error"][: 4 if errors else 3])
+
+    return samples.select("chunk_id", "rate", "samples").mapInArrow(run, "chunk_id bigint, model string, v array<double>" + (", error string" if errors else ""))
+
+
+def _in_batches(s: pa.RecordBatch, call: Callable, errors: bool) -> tuple[list, list[str | None]]:
+    """``call`` on the chunks of each rate together; a failure is the error of that rate's chunks."""
+    rates = s.column(1).to_numpy()
+    out: list = [None] * s.num_rows
+    error: list[str | None] = [None] * s.num_rows
+    for rate in np.unique(rates):
+        own = np.flatnonzero(rates == rate).tolist()
+        chunks = [s.column(2)[i].values.to_numpy().astype(np.float32) for i in own]
+        try:
+            for i, v in zip(own, call(chunks, int(rate))):
+                out[i] = v
+        except Exception as e:  # noqa: BLE001
+            if not errors:
+                raise
+            for i in own:
+                error[i] = str(e)[:200]
+    return out, error
+
+
+def describe_chunks(samples: DataFrame, plugin: Plugin, top_k: int = 3, batch: int = 16) -> DataFrame:
     """``samples`` to (chunk_id, model, text, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(i, plugin.name, t, float(s)) for i, r, x in zip(*(c.to_pylist() for c in b.columns)) for t, s in plugin.describe([np.asarray(x, np.float32)], int(r), top_k)[0]]
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.float64()))], names=["chunk_id", "model", "text", "score"])
+            for at in range(0, b.num_rows, batch):
+                s = b.slice(at, batch)
+                tags, _ = _in_batches(s, lambda x, r: plugin.describe(x, r, top_k), False)
+                out = [(i, plugin.name, t, float(p)) for i, found in zip(s.column(0).to_pylist(), tags) for t, p in found or ()]
+                cols = list(zip(*out)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.float64()))], names=["chunk_id", "model", "text", "score"])
 
     return samples.select("chunk_id", "rate", "samples").mapInArrow(run, "chunk_id bigint, model string, text string, score double")
 
 
+class Captions(Plugin):
+    """A plugin whose texts are captions: each is a tag of score 1. Override ``_embed`` and ``_captions``."""
+
+    describes = True
+
+    def _captions(self, chunks, rate) -> list[list[str]]:
+        raise NotImplementedError
+
+    def _describe(self, chunks, rate, top_k):
+        return [[(text, 1.0) for text in found] for found in self._captions(chunks, rate)]
+
+
 def zero_shot_tags(vectors_df: DataFrame, tags: DataFrame, top_k: int = 3) -> DataFrame:
     """The ``top_k`` tags of every vector: softmax of 100 times the cosines to the tags' vectors.
 

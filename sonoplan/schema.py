@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-#: Model names in the order in which "auto" prefers them, with the size of their vectors.
+#: Model names in the order in which "auto" prefers them, with the size of their vectors.
 MODEL_DIMS = {"clap": 512, "mert": 768, "mert330": 1024, "m2dclap": 768, "muq": 1024, "muqlan": 512, "lpmc": 768, "qwen2audio": 1280, "openl3": 512, "fft": 40}
 MODEL_ORDER = tuple(MODEL_DIMS)
 AUDIO_EXTENSIONS = (".mp3", ".wav", ".flac", ".ape", ".aac", ".m4a")
@@ -37,7 +37,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "reduced_vectors": _schema(reduction_id=_L, chunk_id=_L, dim=_I, vector=_V, norm=_D, created_at=_TS),
     "noise_filters": _schema(filter_id=_L, dataset=_S, method=_S, params=_S, n_vectors=_L, n_noise=_L, created_at=_TS),
     "noise_chunks": _schema(dataset=_S, method=_S, chunk_id=_L),
-    "noise_run_tracks": _schema(dataset=_S, method=_S, track_id=_L, n_chunks=_L, chunk_sum=_L, vector_sum=_L),
+    "noise_run_tracks": _schema(dataset=_S, method=_S, track_id=_L, n_chunks=_L, chunk_sum=_L, vector_sum=T.DecimalType(38, 0)),
     "learning_pairs": _schema(pair_id=_L, track_a=_L, track_b=_L),
     "learning_weights": _schema(model=_S, component_index=_I, weight=_D),
 }

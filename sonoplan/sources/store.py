@@ -1,35 +1,60 @@
-"""Tables of a library on disk: versions that are swapped in as a whole.
+"""Tables of a library in any store that Hadoop reaches: versions that are swapped in as a whole.
 
-A table is a folder of version folders and a pointer file. A writer writes the next version
-and then replaces the pointer in one rename, so readers see the old rows or the new ones, and
-a plan may read a table while its next version is written.
+A table is a folder of version folders; one manifest names the current version of every table.
+A writer writes the next versions and then replaces the manifest in one rename, so readers see
+all old tables or all new ones, and a plan may read tables while their next versions are
+written. A version is deleted by the change after the one that replaced it.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..schema import SCHEMAS
 
+#: Relations that a Library calls otherwise than the store.
+FIELDS = {"pairs": "learning_pairs", "weights": "learning_weights", "noise": "noise_chunks", "reduced": "reduced_vectors"}
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path())
 
-    def _pointer(self, name: str) -> str:
-        return os.path.join(self.root, name, "CURRENT")
+    def _path(self, *names: str):
+        return self._hadoop.Path("/".join((self.root, *names)))
 
-    def path(self, name: str) -> str | None:
+    def manifest(self) -> dict:
+        p = self._path("MANIFEST")
+        if not self._fs.exists(p):
+            return {"tables": {}, "old": []}
+        stream = self._fs.open(p)
         try:
-            with open(self._pointer(name), encoding="utf-8") as f:
-                return os.path.join(self.root, name, f.read().strip())
-        except FileNotFoundError:
-            return None
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _swap(self, manifest: dict) -> None:
+        tmp = self._path(f".MANIFEST-{uuid.uuid4().hex}")
+        out = self._fs.create(tmp, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        over = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 1)
+        over[0] = getattr(self._hadoop, "Options$Rename").OVERWRITE
+        self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(tmp), self._fs.makeQualified(self._path("MANIFEST")), over)
+
+    def path(self, name: str) -> str | None:
+        version = self.manifest()["tables"].get(name)
+        return version and f"{self.root}/{name}/{version}"
 
     def read(self, name: str) -> DataFrame:
         """The current rows; an empty table of the known schema where nothing was written. Columns
@@ -40,20 +65,60 @@ class Store:
         df = self.spark.read.parquet(p)
         if name not in SCHEMAS:
             return df
-        from pyspark.sql import functions as F
-
         return df.select(*df.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name] if f.name not in df.columns])
 
     def write(self, name: str, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        old, version = self.path(name), uuid.uuid4().hex
-        rows.write.partitionBy(*partition_by).parquet(os.path.join(self.root, name, version))
-        tmp = self._pointer(name) + f".{version}"
-        with open(tmp, "w", encoding="utf-8") as f:
-            f.write(version)
-        os.replace(tmp, self._pointer(name))
-        if old:
-            shutil.rmtree(old, ignore_errors=True)
-
-    def write_all(self, tables: dict[str, DataFrame]) -> None:
+        self.write_all({name: rows}, partition_by)
+
+    def write_all(self, tables: dict[str, DataFrame], partition_by: tuple[str, ...] = ()) -> None:
+        """All tables change at once, or none: every version is written before the manifest turns."""
+        before = self.manifest()
+        after = {"tables": dict(before["tables"]), "old": []}
         for name, rows in tables.items():
-            self.write(name, rows)
+            version = uuid.uuid4().hex
+            rows.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/{version}")
+            if name in before["tables"]:
+                after["old"].append(f"{name}/{before['tables'][name]}")
+            after["tables"][name] = version
+        self._swap(after)
+        for gone in before["old"]:
+            self._fs.delete(self._path(*gone.split("/")), True)
+
+    def tables(self) -> dict[str, DataFrame]:
+        """All relations by the names that operators use, vectors as ``v`` (array<double>)."""
+        back = {v: k for k, v in FIELDS.items()}
+        out = {}
+        for name in SCHEMAS:
+            df = self.read(name)
+            out[back.get(name, name)] = df.withColumn("v", vectors.doubles("vector")).drop("vector") if "vector" in df.columns else df
+        return out
+
+    def put(self, tables: dict[str, DataFrame]) -> None:
+        """``write_all`` of relations as ``tables`` has them."""
+        self.write_all({FIELDS.get(k, k): stored(FIELDS.get(k, k), df) for k, df in tables.items()})
+
+
+def stored(name: str, rows: DataFrame) -> DataFrame:
+    """Rows with the columns of the stored relation: ``v`` as floats with its size and norm; unknown columns go."""
+    if "v" in rows.columns:
+        rows = rows.withColumns({"vector": F.col("v").cast("array<float>"), "dim": F.size("v"), "norm": vectors.norm("v")})
+        rows = rows.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()) if "created_at" in rows.columns else F.current_timestamp())
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in SCHEMAS[name]])
+
+
+def unpack_vector(blob: Column) -> Column:
+    """Vectors of an imported library: little-endian float32 bytes as array<float>."""
+    @F.pandas_udf("array<float>")
+    def unpack(x: pd.Series) -> pd.Series:
+        return x.map(lambda raw: None if raw is None else np.frombuffer(raw, "<f4"))
+
+    return unpack(blob)
+
+
+def pack_vector(v: Column) -> Column:
+    """The inverse of ``unpack_vector``, for export."""
+    @F.pandas_udf("binary")
+    def pack(x: pd.Series) -> pd.Series:
+        return x.map(lambda a: None if a is None else np.asarray(a, "<f4").tobytes())
+
+    return pack(v)

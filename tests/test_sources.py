@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from sonoplan import plugins
 from sonoplan.config import Config
+from sonoplan.operators import changes, jobs
+from sonoplan.schema import SCHEMAS
 from sonoplan.sources import audio, playlists, text
-from sonoplan.sources.store import Store
+from sonoplan.sources.store import Store, pack_vector, unpack_vector
 from sonoplan.streaming import scan
 
 
@@ -152,3 +154,103 @@ def test_hashing_vectors(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "b a"), (3, " "), (4, None)], "track_id bigint, text string")
     got = {r["track_id"]: r["v"] for r in text.embed_texts(df, text.hashing_embedder(16), "ollama:h").collect()}
     assert set(got) == {1, 2} and got[1] == got[2] and abs(np.linalg.norm(got[1]) - 1) < 1e-9
+
+
+def stored_library(spark, root):
+    """Two folders of two tracks, each with three chunks, and something in every relation."""
+    s = Store(spark, root)
+    make = lambda name, rows: spark.createDataFrame(rows, SCHEMAS[name])
+    blank = lambda name, **v: tuple(v.get(f.name) for f in SCHEMAS[name])
+    chunks = [(10 * t + i, t, i, float(i), i + 1.0) for t in (1, 2, 3, 4) for i in range(3)]
+    s.write_all({
+        "folders": make("folders", [(1, "/a", None), (2, "/b", None)]),
+        "tracks": make("tracks", [blank("tracks", track_id=t, folder_id=1 + t // 3, path=f"/{t}.wav", status="analyzed", description="d") for t in (1, 2, 3, 4)]),
+        "chunks": make("chunks", chunks),
+        "vectors": make("vectors", [blank("vectors", chunk_id=c[0], model="m", dim=2, vector=[1.0, float(c[2])], norm=1.0) for c in chunks]),
+        "tags": make("tags", [(c[0], "m", "x", 0.5) for c in chunks]),
+        "centroids": make("centroids", [blank("centroids", track_id=t, model="m", vector=[1.0, 0.0]) for t in (1, 2, 3, 4)]),
+        "noise_chunks": make("noise_chunks", [("m", "optics", 10), ("m", "optics", 30)]),
+        "noise_run_tracks": make("noise_run_tracks", [("m", "optics", t, 3, 1, None) for t in (1, 3)]),
+        "playlists": make("playlists", [(1, "p", None, 1, "m"), (2, "q", None, 3, "m")]),
+        "playlist_items": make("playlist_items", [(1, 1, 1, 1.0), (1, 3, 2, 0.5)]),
+        "learning_pairs": make("learning_pairs", [(1, 1, 3), (2, 3, 4)]),
+    })
+    return s
+
+
+def test_a_folder_goes_with_all_that_hangs_on_it(spark, tmp_path):
+    s = stored_library(spark, str(tmp_path))
+    s.put(changes.remove_folder(s.tables(), 1))
+    t = s.tables()
+    left = {n: t[n].count() for n in ("folders", "tracks", "chunks", "vectors", "tags", "centroids", "noise", "noise_run_tracks", "playlists", "playlist_items", "pairs")}
+    assert left == {"folders": 1, "tracks": 2, "chunks": 6, "vectors": 6, "tags": 6, "centroids": 2, "noise": 1, "noise_run_tracks": 1, "playlists": 2, "playlist_items": 1, "pairs": 1}
+    assert {r["playlist_id"]: r["seed_track_id"] for r in t["playlists"].collect()} == {1: None, 2: 3}
+    s.put(changes.clear_analysis(s.tables(), 3))
+    t = s.tables()
+    assert t["chunks"].count() == 3 and t["tags"].count() == 3 and t["noise_run_tracks"].count() == 0 and t["pairs"].count() == 1
+    assert {r["track_id"]: r["status"] for r in t["tracks"].collect()} == {3: "new", 4: "analyzed"}
+
+
+def test_a_failed_change_changes_nothing(spark, tmp_path):
+    s = stored_library(spark, str(tmp_path))
+    before = s.manifest()
+    bad = s.read("tracks").withColumn("status", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        s.write_all({"chunks": s.read("chunks").limit(1), "tracks": bad})
+    assert s.manifest() == before and s.read("chunks").count() == 12
+
+
+def test_vectors_come_from_bytes(spark):
+    df = spark.createDataFrame([(np.array([1.5, -2], "<f4").tobytes(),), (None,), (b"",)], "b binary")
+    assert [r[0] for r in df.select(unpack_vector(F.col("b"))).collect()] == [[1.5, -2.0], None, []]
+    assert [r[0] for r in df.select(pack_vector(unpack_vector(F.col("b")))).collect()] == [r[0] for r in df.collect()]
+
+
+def test_analysis_keeps_what_is_current(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    for k in (1, 2):
+        write_wav(f"{tmp_path}/m/{k}.wav", 2.5 + k)
+    (tmp_path / "m" / "3.wav").write_bytes(b"RIFFbroken")
+
+    class Pitch(plugins.Captions):
+        name, title, dim, calls = "pitch", "Pitch", 2, 0
+
+        def _embed(self, chunks, rate):
+            return [np.array([1.0, len(x)]) for x in chunks]
+
+        def _captions(self, chunks, rate):
+            return [["a tune"] for _ in chunks]
+
+    class Broken(plugins.Plugin):
+        name, title = "broken", "Broken"
+
+        def _embed(self, chunks, rate):
+            raise RuntimeError("out of memory")
+
+    plugins.register("pitch", Pitch)
+    plugins.register("broken", Broken)
+    blank = lambda **v: tuple(v.get(f.name) for f in SCHEMAS["tracks"])
+    s.write("tracks", spark.createDataFrame([blank(track_id=k, folder_id=1, path=f"{tmp_path}/m/{k}.wav", status="new") for k in (1, 2, 3)], SCHEMAS["tracks"]))
+    content = audio.read_contents(spark, str(tmp_path / "m"))
+
+    def run(models, stamp=1.0, **options):
+        files = s.read("tracks").select("track_id", "path").join(content, "path").withColumn("mtime", F.lit(stamp)).withColumn("size", F.lit(9).cast("bigint"))
+        s.put(jobs.analyze(s.tables(), files, models, 1.0, 0.0, **options))
+        return s.tables()
+
+    t = run(["pitch", "broken", "none"])
+    got = {r["track_id"]: r for r in t["tracks"].collect()}
+    assert [got[k]["status"] for k in (1, 2, 3)] == ["analyzed", "analyzed", "error"] and "Decode failed" in got[3]["status_message"]
+    assert got[1]["status_message"] == "Broken failed: out of memory; unknown model 'none' skipped"
+    assert got[1]["description"] == "Music tags: a tune" and got[1]["duration_sec"] == 3.5 and got[1]["sample_rate"] == 8000 and got[1]["last_analyzed_at"]
+    first = {r["chunk_id"] for r in t["chunks"].collect()}
+    assert len(first) == 4 + 5 and t["vectors"].count() == 9 and t["tags"].where("score = 1.0").count() == 9
+    assert sorted((r["track_id"], r["model"]) for r in t["centroids"].collect()) == [(1, "pitch"), (2, "pitch")]
+    # The same plan and file: chunks and vectors stay, one more model is added.
+    t = run(["pitch", "fft"])
+    assert {r["chunk_id"] for r in t["chunks"].collect()} == first
+    assert {r["model"]: r["count"] for r in t["vectors"].groupBy("model").count().collect()} == {"pitch": 9, "fft": 9}
+    # Another file under the same name: the chunks are replaced, and what hung on them goes.
+    t = run(["fft"], stamp=2.0)
+    assert not first & {r["chunk_id"] for r in t["chunks"].collect()}
+    assert [r["model"] for r in t["vectors"].select("model").distinct().collect()] == ["fft"] and t["tags"].count() == 0
