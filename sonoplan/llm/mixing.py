@@ -83,6 +83,10 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 def op2_mix(spark, sf_dir):
+    """doc_id, size, source_size, target and words taken, for every document.
+
+    Nulls, empty and very long texts, repeated rows, ties, empty tables: as in mix_plan.
+    """
     from .common import table
 
     p = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))

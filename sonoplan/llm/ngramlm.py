@@ -110,6 +110,18 @@ def _unpack(raw: memoryview, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _narrow(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts in a byte each; those of 255 and more are listed by their place, in 64 bits."""
+    big = np.flatnonzero(values > 254)
+    return np.minimum(values, 255).astype(np.uint8), big.astype(np.uint32), values[big].astype(np.int64)
+
+
+def _widen(small: np.ndarray, big: np.ndarray, full: np.ndarray) -> np.ndarray:
+    out = small.astype(np.int64)
+    out[big] = full
+    return out
+
+
 def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, with the sums of the values; the order used comes last."""
     order = np.argsort(key)
@@ -130,8 +142,7 @@ def _pair_rows(u: np.ndarray, w: np.ndarray, rows: int) -> Iterator[tuple[int, b
     for a, b in zip([0, *cuts], [*cuts, len(u)]):
         new = np.append(True, u[a + 1 : b] != u[a : b - 1])
         runs = np.diff(np.append(np.flatnonzero(new), b - a)).astype(np.uint32)
-        big = np.flatnonzero(count[a:b] > 254).astype(np.uint32)
-        yield int(bucket[a]), _pack(u[a:b][new], runs, w[a:b], np.minimum(count[a:b], 255).astype(np.uint8), big, count[a:b][big])
+        yield int(bucket[a]), _pack(u[a:b][new], runs, w[a:b], *_narrow(count[a:b]))
 
 
 def bucket_of(u: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
@@ -176,6 +187,7 @@ def fit(texts: DataFrame, bytes_each: int = 16 << 20) -> KneserNey:
     rows = max(2, -(-parts_for(texts, bytes_each, 24) // COLUMNS))
     parts = rows * COLUMNS
     base = shared_dir(spark)
+    base = base.replace("s3a://", "s3://", 1)  # pyarrow's name of that store
     if base.startswith("file:/"):
         base = "/" + base.removeprefix("file:").lstrip("/")
     root = (base if "://" in base else f"file://{os.path.abspath(base)}").rstrip("/") + f"/ngrams-{uuid.uuid4().hex}"
@@ -208,17 +220,17 @@ def fit(texts: DataFrame, bytes_each: int = 16 << 20) -> KneserNey:
     def pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         us, ws, cs = [], [], []
         for raw in table.column("payload"):
-            u, runs, w, c, big, full = _unpack(raw.as_buffer(), "u8", "u4", "u8", "u1", "u4", "i8")
-            c = c.astype(np.int64)
-            c[big] = full
+            u, runs, w, *c = _unpack(raw.as_buffer(), "u8", "u4", "u8", "u1", "u4", "i8")
             us.append(np.repeat(u, runs))
             ws.append(w)
-            cs.append(c)
+            cs.append(_widen(*c))
         u, w, c = map(np.concatenate, (us, ws, cs))
         del us, ws, cs
         k, c, rep = _sums(pair_key(u, w), c)
         u, w = u[rep], w[rep]
-        _store(root, f"pairs-{key[0].as_py()}", k, c.astype(np.uint32))
+        small, big, full = _narrow(c)
+        _store(root, f"pairs-{key[0].as_py()}", k, small)
+        _store(root, f"often-{key[0].as_py()}", k[big], full)
         out = [(2, 0, _pack(_by_count(c), np.array([len(k)])))]
         one, two = (c == 1).astype(np.int64), (c == 2).astype(np.int64)
         for kind, of, values in ((0, u, (c, one, two, 1 - one - two)), (1, w, (c, np.ones_like(c)))):
@@ -228,7 +240,7 @@ def fit(texts: DataFrame, bytes_each: int = 16 << 20) -> KneserNey:
             cuts = np.flatnonzero(np.diff(to[order])) + 1
             for own in np.split(order, cuts):
                 if len(own):
-                    out.append((kind, int(to[own[0]]), _pack(x[own], *(v[own].astype(np.uint32) for v in sums))))
+                    out.append((kind, int(to[own[0]]), _pack(x[own], *(a for v in sums for a in _narrow(v[own])))))
         return pa.table([pa.array(a, t) for a, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "bucket", "payload"])
 
     def totals(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -238,16 +250,16 @@ def fit(texts: DataFrame, bytes_each: int = 16 << 20) -> KneserNey:
             of, n = sum(g[0] for g in got), sum(int(g[1][0]) for g in got)
             return pa.table({"kind": pa.array([2], pa.int32()), "n": [n], "total": [0], "of": [of.tolist()]})
         width = 4 if kind == 0 else 2
-        got = [_unpack(raw.as_buffer(), "u8", *["u4"] * width) for raw in table.column("payload")]
-        x, *sums, _ = _sums(np.concatenate([g[0] for g in got]), *(np.concatenate([g[1 + k] for g in got]).astype(np.int64) for k in range(width)))
+        got = [_unpack(raw.as_buffer(), "u8", *["u1", "u4", "i8"] * width) for raw in table.column("payload")]
+        x, *sums, _ = _sums(np.concatenate([g[0] for g in got]), *(np.concatenate([_widen(*g[1 + 3 * k : 4 + 3 * k]) for g in got]) for k in range(width)))
         _store(root, f"{('contexts', 'words')[kind]}-{bucket}", x, *(s.astype(np.uint64) for s in sums))
         of = _by_count(sums[1]).tolist() if kind == 1 else [0] * 4
         return pa.table({"kind": pa.array([kind], pa.int32()), "n": [len(x)], "total": [int(sums[0].sum())], "of": [of]})
 
     got = (
         texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, sent)
-        .groupBy("bucket").applyInArrow(pairs, passed)
-        .groupBy("kind", "bucket").applyInArrow(totals, "kind int, n bigint, total bigint, of array<bigint>")
+        .repartition(parts, "bucket").groupBy("bucket").applyInArrow(pairs, passed)
+        .repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(totals, "kind int, n bigint, total bigint, of array<bigint>")
         .groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), *[F.sum(F.col("of")[k]).alias(f"of{k}") for k in range(4)])
     )
     by = {r["kind"]: r for r in got.collect()}  # three rows
@@ -287,7 +299,10 @@ def log_probabilities(model: KneserNey, u: np.ndarray, w: np.ndarray) -> tuple[n
     """log10 probability of every token after its previous word, and the tokens' training counts."""
     k, rep, back = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
     uu, ww = u[rep], w[rep]
-    (c,) = _lookup(model, "pairs", k, bucket_of(uu, ww, model.rows), ("u8", "u4"), k)
+    at = bucket_of(uu, ww, model.rows)
+    (c,) = _lookup(model, "pairs", k, at, ("u8", "u1"), k)
+    many = np.flatnonzero(c == 255)
+    (c[many],) = _lookup(model, "often", k[many], at[many], ("u8", "i8"), k[many])
     x, ux = np.unique(uu, return_inverse=True)
     total, n1, n2, n3 = (v[ux] for v in _lookup(model, "contexts", x, ((x >> U64(40)) % U64(model.parts)).astype(np.int64), ("u8",) * 5, x))
     y, wy = np.unique(ww, return_inverse=True)

@@ -80,8 +80,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _read(docs: pa.Table) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words, word hashes and document order of a chunk; an id that is null comes last."""
-    texts = docs.column("text").combine_chunks()
-    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+    texts = docs.column("text").cast(pa.large_string()).combine_chunks()
     words = words_of(texts)
     ids = docs.column("doc_id").fill_null(NO_ID).to_numpy().astype(np.int64)
     return words, words.hashes(), ids
@@ -293,6 +292,10 @@ def dedup_substrings(docs: DataFrame, least_chunk: int = 12 << 20, shard_bytes:
 
 
 def op1_substrings(spark, sf_dir):
+    """doc_id, n_words, n_removed and the hash of the kept text, for every document.
+
+    Nulls, empty and very long texts, repeated rows, empty tables: as in dedup_substrings.
+    """
     from .common import table
 
     out = dedup_substrings(table(spark, sf_dir, "documents"))

@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from sonoplan.llm import ngramlm
 
 
@@ -70,3 +72,24 @@ def test_scores_equal_brute_force(spark, tmp_path):
 def test_empty_and_untrained(spark, tmp_path):
     check(spark, tmp_path / "a", [])
     check(spark, tmp_path / "b", [(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "a b", "s")])
+
+
+def test_counts_of_any_size():
+    v = np.array([0, 1, 254, 255, 256, 5_000_000_000, 3], np.int64)
+    small, big, full = ngramlm._narrow(v)
+    assert small.dtype == np.uint8 and (ngramlm._widen(small, big, full) == v).all()
+    assert (ngramlm._widen(*ngramlm._unpack(ngramlm._pack(*ngramlm._narrow(v)), "u1", "u4", "i8")) == v).all()
+
+
+def test_a_pair_more_frequent_than_a_byte_holds(spark):
+    """One pair 700 times: its score equals the formula on the whole counts."""
+    model = ngramlm.fit(spark.createDataFrame([("a b " * 700,), ("a c",)], "text string"))
+    u, w = (ngramlm.words_of(ngramlm.pa.array([t]), lower=True).hashes() for t in ("a", "b"))
+    logp, seen = ngramlm.log_probabilities(model, u, w)
+    d, low = model.discounts, model.low_discounts
+    total = 701  # a: 700 times before b, once before c
+    left = (d[0] * 1 + d[2] * 1) / total
+    cont = 1 - low[0]  # only a comes before b
+    p = (700 - d[2]) / total + left * (cont / model.pairs + model.low_left / (model.vocabulary + 1))
+    assert seen[0] == 700 and abs(10 ** logp[0] - p) < 1e-12
+    model.delete()
