@@ -39,7 +39,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops recurring line templates, and the documents of which only blanks are left thereby.
 
-    n_chars follows the text.
+    n_chars follows the text. Null, empty and very long texts, ties, repeated rows, clashing columns
+    and empty tables: as in dedup_lines; a null or blank text loses nothing and stays.
     """
     out = dedup_lines(docs)
     out = out.where((F.col("ld_dropped") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
@@ -47,17 +48,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """Keeps one document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Null, empty and very long texts, ties, repeated rows, clashing columns and empty tables: as in
+    keep_one.
+    """
     return keep_one(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item, edited or not."""
+    """Drops the documents that hold a benchmark item, edited or not.
+
+    Null, empty and very long texts, ties, repeated rows, clashing columns and empty tables: as in
+    drop_leaks.
+    """
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that sources meet their target weights; adds mix_copy."""
+    """Repeats documents so that sources meet their target weights; adds mix_copy.
+
+    Null, empty and very long texts, ties, repeated rows, clashing columns and empty tables: as in
+    mix_plan; a document without words is taken as often as others of its source.
+    """
     return mix_sources(docs)
 
 
@@ -70,7 +83,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mix_2", mix),
 ]
 
-#: Language identification is not expressible in SQL; tests/llm holds a brute-force version.
+#: Language identification is not expressible in SQL; tests/llm holds a plain version of each stage.
 ORACLE_SQL = None
 
 
@@ -83,4 +96,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{base}/{k}-{name}")
             docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if 0 < k < len(STAGES) - 1:  # the stage before has been read to its end
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}-{STAGES[k - 1][0]}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return docs
