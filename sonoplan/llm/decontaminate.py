@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, text_key
-from .textcore import U64, blocks, ngrams, words_of
+from .textcore import U64, blocks, ngrams, release, words_of
 
 GRAM = 3
 #: A seed occurs in at most this many times the documents of its item's median n-gram, plus this.
@@ -164,6 +164,7 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame:
                 pair = np.unique(doc * len(total) + gram) if len(gram) else gram
                 total += np.bincount(pair % max(len(total), 1), minlength=len(total))
         own = np.flatnonzero(total)
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["gram", "n"])
 
     found = docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -182,6 +183,7 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame:
                     [s.column(0).take(take), s.column(1).take(take), pa.array([items.ids[o[1]] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], pa.int64()), pa.array([o[4] for o in out], pa.int64())],
                     names=["doc_id", "key", "item_id", "score", "start_word", "end_word"],
                 )
+            release()
 
     rows = docs.select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
     return rows.mapInArrow(search, "doc_id bigint, key binary, item_id bigint, score double, start_word bigint, end_word bigint")

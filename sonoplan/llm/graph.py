@@ -52,13 +52,14 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, dense: bool = True) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: bigint); root is the least node reached.
 
-    Ends when a round changes nothing; nodes without edges don't appear.
+    Ends when a round changes nothing; nodes without edges don't appear. ``dense`` thins the edges
+    batch by batch first, which those that come as stars don't need.
     """
     e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e = cut(e.mapInArrow(_local, "u bigint, v bigint").distinct())
+    e = cut((e.mapInArrow(_local, "u bigint, v bigint") if dense else e).distinct())
     while True:  # the stars settle in a number of rounds that grows with the square of the logarithm
         # Done when every edge is a star edge: no centre is itself a leaf.
         if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks_for, cut, free_name, in_chunks, text_bytes, text_key
 from .graph import components, forest
-from .textcore import U64, blocks, mix, ngrams, words_of
+from .textcore import U64, blocks, mix, ngrams, release, releasing, words_of
 
 #: op3's shingle length and least similarity; the operators below take others.
 SHINGLE = 3
@@ -41,7 +41,7 @@ PERCENT = 90
 BLOCK_SETS, BLOCK_GRAMS = 200, 500_000
 #: Text whose elements meet in one partition, or make up a bucket, and the least of a chunk.
 MEET_BYTES = 8 << 20
-#: More rows than this (17 bytes and some each) meet the texts in a shuffle instead of a broadcast.
+#: More rows than this (some 20 bytes each) meet texts or sets in a shuffle instead of a broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -146,9 +146,10 @@ def _send_elements(shingle: int, buckets: int):
         rest, count = place.astype(np.uint32), np.minimum(count, _MOST).astype(np.uint16)
         return _sent([(key[0].as_py(), k, rest[a:b].tobytes() + count[a:b].tobytes()) for k, a, b in _by_bucket(place)])
 
-    return send
+    return releasing(send)
 
 
+@releasing
 def _count_elements(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
     raw = [x.as_buffer() for x in sent.column("payload")]
     sizes = [x.size // 6 for x in raw]
@@ -184,7 +185,7 @@ def _judge(shingle: int, percent: int, buckets: int):
             sets[i], rare[i] = e.tobytes(), e[order[f[order] > 1]].tobytes()
         return pa.table([docs.column("doc_id"), docs.column("key"), pa.array(n), pa.array(keys), pa.array(sets, pa.binary()), pa.array(rare, pa.binary())], names=["doc_id", "key", "n", "class", "set", "rare"])
 
-    return judge
+    return releasing(judge)
 
 
 # --- candidates: rare elements that sets share --------------------------------------------
@@ -256,6 +257,7 @@ def _meet(batches: Iterator[pa.RecordBatch], held_edges: int = 1 << 20) -> Itera
             us, vs, n = [], [], 0
     if us:
         yield from out()
+    release()
 
 
 # --- the prefix tree ----------------------------------------------------------------------
@@ -355,6 +357,7 @@ def _join_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             held.append((c.as_py(), mine.as_py() or 0, s.as_buffer()))
     if held:
         yield out()
+    release()
 
 
 def _with_blocks(members: DataFrame) -> DataFrame:
@@ -421,10 +424,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     one = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     packed = rows.where("set IS NOT NULL")
     rare = packed.select("class", "n", "rare").mapInArrow(partial(_rare_signatures, percent=percent, buckets=8 * buckets), "p int, s int, c bigint, v bigint")
-    groups = components(rare.repartition(buckets, "p").sortWithinPartitions("p", "s").mapInArrow(_meet, "u bigint, v bigint"))
+    groups = components(rare.repartition(buckets, "p").sortWithinPartitions("p", "s").mapInArrow(_meet, "u bigint, v bigint"), dense=False)
     members = packed.select("class", "n").dropDuplicates(["class"]).join(groups, groups["node"] == F.col("class")).select("root", "class", "n")
     members = cut(_with_blocks(members))
-    sets = packed.select("class", "set").join(members.select("root", "blocks", "class"), "class")
+    known = members.select("root", "blocks", "class")
+    sets = packed.select("class", "set").join(F.broadcast(known) if members.count() <= BROADCAST_ROWS else known, "class")
     parts = buckets
     links = _tries(sets.select("root", F.explode(_first_deal()).alias("to"), "class", "set"), parts, percent)
     found = links.where("not split").select(F.col("u").alias("node"), F.col("v").alias("root"))

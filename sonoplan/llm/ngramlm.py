@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, parts_for, shared_dir
-from .textcore import U64, Words, blocks, mix, words_of
+from .textcore import U64, Words, blocks, mix, release, releasing, words_of
 
 START, END = U64(0x51A7C0FFEE150001), U64(0xE4D0FD0C5EED0003)
 COLUMNS = 8
@@ -216,7 +216,10 @@ def fit(texts: DataFrame, bytes_each: int = 16 << 20) -> KneserNey:
                     held, n = [], 0
         if n:
             yield out()
+        held.clear()
+        release()
 
+    @releasing
     def pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         us, ws, cs = [], [], []
         for raw in table.column("payload"):
@@ -243,6 +246,7 @@ def fit(texts: DataFrame, bytes_each: int = 16 << 20) -> KneserNey:
                     out.append((kind, int(to[own[0]]), _pack(x[own], *(a for v in sums for a in _narrow(v[own])))))
         return pa.table([pa.array(a, t) for a, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "bucket", "payload"])
 
+    @releasing
     def totals(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kind, bucket = key[0].as_py(), key[1].as_py()
         if kind == 2:
@@ -333,6 +337,7 @@ def score(docs: DataFrame, model: KneserNey, keep: tuple[str, ...] = ("doc_id",)
                     [*s.columns[:-1], pa.array(np.bincount(text, minlength=n)), pa.array(add(c > 0).astype(np.int64)), pa.array(add(base)), pa.array(add(logp))],
                     names=[*keep, "n_tokens", "n_known", "base_score", "score"],
                 )
+            release()
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens bigint, n_known bigint, base_score double, score double"])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import chunks_for, in_chunks, text_bytes
 from .fmindex import FmIndex
 from .ngramlm import _pack, _unpack
-from .textcore import U64, Words, mix, ngrams, words_of
+from .textcore import U64, Words, mix, ngrams, releasing, words_of
 
 LENGTH, GRAM = 13, 5
 NO_ID = np.iinfo(np.int64).max
@@ -126,9 +126,10 @@ def _send_anchors(n: int):
         a, many = _anchors(p, _piece_docs(words, p, ids))
         return _rows([(key[0].as_py(), b, _pack(a[own], many[own].astype(np.uint8))) for b, own in _split(_bucket(a, n))])
 
-    return send
+    return releasing(send)
 
 
+@releasing
 def _answer_anchors(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
     got = [_unpack(x.as_buffer(), "u8", "u1") for x in sent.column("payload")]
     a, many = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
@@ -165,9 +166,10 @@ def _send_pieces(n: int):
             out.append((key[0].as_py(), b, _pack(p.name[own], size.astype(np.uint8), doc[own], used, code.view(np.uint8))))
         return _rows(out)
 
-    return send
+    return releasing(send)
 
 
+@releasing
 def _search_shard(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
     """Index of the shard's distinct pieces; answers each chunk's pieces, window by window."""
     got = [_unpack(x.as_buffer(), "u8", "u1", "i8", "u8", "u1") for x in sent.column("payload")]
@@ -217,6 +219,7 @@ def _search_shard(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
 _KEPT = "doc_id bigint, kept_text string, n_words bigint, n_removed bigint, removed array<struct<first:bigint,last:bigint>>"
 
 
+@releasing
 def _removals(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
     words, h, ids = _read(docs)
     p = Pieces(words, h)
