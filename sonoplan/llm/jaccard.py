@@ -472,3 +472,16 @@ def op3_jaccard(spark, sf_dir):
     from .common import table
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.k AS i, b.k AS j, count(*) AS m FROM s a JOIN s b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k),
+l AS (SELECT i, j FROM c JOIN n p ON p.k = i JOIN n q ON q.k = j WHERE 100 * m >= 90 * (p.n + q.n - m)),
+e AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+r AS (SELECT k, k AS o FROM n UNION SELECT r.k, e.j FROM r JOIN e ON r.o = e.i),
+b AS (SELECT r.k, min(doc_id) AS least FROM r JOIN d ON d.k = r.o GROUP BY r.k)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN doc_id ELSE least END AS component_id FROM d LEFT JOIN n USING (k) LEFT JOIN b USING (k)
+"""

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
 from .images import op6_image_copies
-from .jaccard import op3_jaccard
+from .jaccard import OP3_SQL, op3_jaccard
 from .language import op7_language
 from .lengths import op4_token_counts
 from .linededup import OP8_SQL, op8_line_dedup
 from .mixing import OP2_SQL, op2_mix
 from .ngramlm import op5_lm_score
 from .secrets import OP9_SQL, op9_secrets
-from .substrings import op1_substrings
+from .substrings import OP1_SQL, op1_substrings
 
 QUERIES = {
     "op1_substrings": op1_substrings,
@@ -26,6 +26,8 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {
+    "op1_substrings": OP1_SQL,
+    "op3_jaccard": OP3_SQL,
     "op2_mix": OP2_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_secrets": OP9_SQL,

@@ -303,3 +303,14 @@ def op1_substrings(spark, sf_dir):
 
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT k, doc_id, p, array_to_string(w[p:p + 12], ' ') AS t FROM (SELECT k, doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+m AS (SELECT t, min(doc_id) AS least FROM g GROUP BY t),
+gone AS (SELECT DISTINCT k, unnest(range(p, p + 13)) AS pos FROM g JOIN m USING (t) WHERE least < coalesce(doc_id, 9223372036854775807)),
+x AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+o AS (SELECT x.k, count(gone.pos) AS n, string_agg(word, ' ' ORDER BY x.pos) FILTER (gone.pos IS NULL) AS kept FROM x LEFT JOIN gone ON x.k = gone.k AND x.pos = gone.pos GROUP BY x.k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (k)
+"""
