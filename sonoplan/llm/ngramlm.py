@@ -1,14 +1,17 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, memory-mapped by workers.
-
-Counting is one job. A map task reduces its texts to distinct (previous word, word) pairs of
-64-bit word hashes and sends them to buckets on a grid: rows of the grid by the previous
-word, columns by the word, so that neither a frequent word nor a frequent context fills one
-bucket alone. A bucket sums its pairs, writes them as a sorted hash array, and passes on the
-partial sums of its contexts and words, which a second exchange completes and writes the
-same way. Nothing but one row of sums per bucket reaches the driver.
-
-Scoring maps the arrays into memory from the shared folder and looks the distinct pairs of
-each block of texts up by binary search, bucket by bucket.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark, memory-mapped by workers.
+
+Counting is one job. A map task reduces its texts to distinct n-grams, as 64-bit hashes of
+context and word, and sends them to buckets on a grid: rows of the grid by the context,
+columns by the word, so that neither a frequent word nor a frequent context fills one
+bucket alone. A bucket sums its n-grams, writes them as a sorted hash array, and passes on the
+partial sums of its contexts and words, which the next exchange completes and writes the
+same way; of order 3 and more also the n-grams one word shorter, each counted once for every
+word seen before it, which the next exchange treats as it did the longer ones. Nothing but
+one row of sums per bucket reaches the driver.
+
+Scoring maps the arrays into memory from the shared folder and looks the distinct n-grams of
+each block of texts up by binary search, bucket by bucket. Texts begin with as many starts as
+the longest context has words.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from .common import cut, parts_for, shared_dir
 from .textcore import U64, Words, blocks, mix, release, releasing, words_of
 
 START, END = U64(0x51A7C0FFEE150001), U64(0xE4D0FD0C5EED0003)
+ORDER = 3
 COLUMNS = 8
 FLUSH_TOKENS = 3_000_000
 
@@ -38,8 +42,9 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(u * U64(0x9E3779B97F4A7C15) + w)
 
 
-def token_pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous, token, text) of every token: the words of each text, then one END."""
+def token_contexts(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, token, text) of every token: the words of each text, then one END. The contexts
+    are a row each for the hashes of the last 1, 2, ... order - 1 tokens."""
     h, n = words.hashes(), words.counts()
     text = np.repeat(np.arange(len(n)), n + 1)
     ends = np.cumsum(n + 1) - 1
@@ -47,9 +52,11 @@ def token_pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     is_word = np.ones(len(w), bool)
     is_word[ends] = False
     w[is_word], w[ends] = h, END
-    u = np.empty_like(w)
-    u[1:] = w[:-1]
-    u[np.append(0, ends[:-1] + 1) if len(n) else []] = START
+    first = np.append(0, ends[:-1] + 1) if len(n) else np.zeros(0, np.int64)
+    u = np.empty((order - 1, len(w)), U64)
+    for k, row in enumerate(u):
+        row[1:] = pair_key(u[k - 1, :-1], w[:-1]) if k else w[:-1]
+        row[first] = START
     return u, w, text
 
 
@@ -130,37 +137,50 @@ def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[first], *(np.add.reduceat(v[order], first) if len(k) else v for v in values), order[first])
 
 
-def _pair_rows(u: np.ndarray, w: np.ndarray, rows: int) -> Iterator[tuple[int, bytes]]:
-    """Distinct pairs by bucket; each bucket lists its contexts once, with run lengths."""
-    ones = np.ones(len(u), np.int64)
-    _, count, rep = _sums(pair_key(u, w), ones)
-    u, w = u[rep], w[rep]
-    bucket = bucket_of(u, w, rows)
-    order = np.lexsort((u, bucket))
-    u, w, count, bucket = u[order], w[order], count[order], bucket[order]
+def _gram_rows(u: np.ndarray, w: np.ndarray, count: np.ndarray, rows: int) -> Iterator[tuple[int, bytes]]:
+    """Distinct n-grams by bucket with summed counts; a bucket lists its contexts once, with run lengths."""
+    _, count, rep = _sums(pair_key(u[-1], w), count)
+    u, w = u[:, rep], w[rep]
+    bucket = bucket_of(u[-1], w, rows)
+    order = np.lexsort((u[-1], bucket))
+    u, w, count, bucket = u[:, order], w[order], count[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(u)]):
-        new = np.append(True, u[a + 1 : b] != u[a : b - 1])
+    for a, b in zip([0, *cuts], [*cuts, len(w)]):
+        new = np.append(True, u[-1, a + 1 : b] != u[-1, a : b - 1])
         runs = np.diff(np.append(np.flatnonzero(new), b - a)).astype(np.uint32)
-        yield int(bucket[a]), _pack(u[a:b][new], runs, w[a:b], *_narrow(count[a:b]))
+        yield int(bucket[a]), _pack(*u[:, a:b][:, new], runs, w[a:b], *_narrow(count[a:b]))
+
+
+def _read_grams(payloads: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    us, ws, cs = [], [], []
+    for raw in payloads:
+        *u, runs, w, small, big, full = _unpack(raw.as_buffer(), *["u8"] * (order - 1), "u4", "u8", "u1", "u4", "i8")
+        us.append(np.stack([np.repeat(x, runs) for x in u]))
+        ws.append(w)
+        cs.append(_widen(small, big, full))
+    return np.concatenate(us, axis=1), np.concatenate(ws), np.concatenate(cs)
 
 
 def bucket_of(u: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
     return ((u >> U64(24)) % U64(rows) * U64(COLUMNS) + (w >> U64(24)) % U64(COLUMNS)).astype(np.int64)
 
 
+def key_bucket(x: np.ndarray, parts: int) -> np.ndarray:
+    return ((x >> U64(40)) % U64(parts)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class KneserNey:
-    """A fitted model: where its arrays are, and the corpus sums and discounts."""
+    """A fitted model: where its arrays are, the corpus sums, and the discounts of orders 1, 2, ..."""
 
     root: str
+    order: int
     rows: int
     parts: int
     tokens: int
     vocabulary: int
     pairs: int
-    discounts: tuple[float, float, float]
-    low_discounts: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]
     low_left: float
 
     def delete(self) -> None:
@@ -181,8 +201,27 @@ def _by_count(values: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(values, 5), minlength=6)[1:5]
 
 
-def fit(texts: DataFrame, bytes_each: int = 16 << 20) -> KneserNey:
-    """Learns from the column ``text`` of all rows (null: an empty text, which has an END)."""
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(own):
+            yield int(bucket[own[0]]), own
+
+
+GRAMS, CONTEXTS, WORDS, SUMS = range(4)
+_PASSED = "kind int, size int, bucket int, payload binary"
+
+
+def _passed(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["kind", "size", "bucket", "payload"])
+
+
+def fit(texts: DataFrame, order: int = 2, bytes_each: int = 16 << 20) -> KneserNey:
+    """Learns n-grams of up to ``order`` (2 or more) words from the column ``text`` of all rows
+    (null: an empty text, which has an END)."""
+    if order < 2:
+        raise ValueError("an n-gram model has order 2 or more")
     spark: SparkSession = texts.sparkSession
     rows = max(2, -(-parts_for(texts, bytes_each, 24) // COLUMNS))
     parts = rows * COLUMNS
@@ -196,19 +235,17 @@ def fit(texts: DataFrame, bytes_each: int = 16 << 20) -> KneserNey:
     else:
         where, path = pafs.FileSystem.from_uri(root)
         where.create_dir(path)
-    sent = "bucket int, payload binary"
-    passed = "kind int, bucket int, payload binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
-            found = list(_pair_rows(*(np.concatenate(x) for x in zip(*held)), rows))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "payload"])
+            u, w = np.concatenate([u for u, _ in held], axis=1), np.concatenate([w for _, w in held])
+            return _passed([(GRAMS, order, b, x) for b, x in _gram_rows(u, w, np.ones(len(w), np.int64), rows)]).to_batches()[0]
 
         for b in batches:
             for s in blocks(b, "text"):
-                u, w, _ = token_pairs(words_of(s.column(0), lower=True))
+                u, w, _ = token_contexts(words_of(s.column(0), lower=True), order)
                 held.append((u, w))
                 n += len(w)
                 if n >= FLUSH_TOKENS:
@@ -219,73 +256,73 @@ def fit(texts: DataFrame, bytes_each: int = 16 << 20) -> KneserNey:
         held.clear()
         release()
 
-    @releasing
-    def pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        us, ws, cs = [], [], []
-        for raw in table.column("payload"):
-            u, runs, w, *c = _unpack(raw.as_buffer(), "u8", "u4", "u8", "u1", "u4", "i8")
-            us.append(np.repeat(u, runs))
-            ws.append(w)
-            cs.append(_widen(*c))
-        u, w, c = map(np.concatenate, (us, ws, cs))
-        del us, ws, cs
-        k, c, rep = _sums(pair_key(u, w), c)
-        u, w = u[rep], w[rep]
+    def parted(kind: int, size: int, x: np.ndarray, sums: list[np.ndarray]) -> Iterator[tuple]:
+        to = key_bucket(x, parts)
+        for b, own in _by_bucket(to):
+            yield kind, size, b, _pack(x[own], *(a for v in sums for a in _narrow(v[own])))
+
+    def grams(size: int, bucket: int, payloads: pa.ChunkedArray) -> Iterator[tuple]:
+        u, w, c = _read_grams(payloads, size)
+        k, c, rep = _sums(pair_key(u[-1], w), c)
+        u, w = u[:, rep], w[rep]
         small, big, full = _narrow(c)
-        _store(root, f"pairs-{key[0].as_py()}", k, small)
-        _store(root, f"often-{key[0].as_py()}", k[big], full)
-        out = [(2, 0, _pack(_by_count(c), np.array([len(k)])))]
-        one, two = (c == 1).astype(np.int64), (c == 2).astype(np.int64)
-        for kind, of, values in ((0, u, (c, one, two, 1 - one - two)), (1, w, (c, np.ones_like(c)))):
-            x, *sums, _ = _sums(of, *values)
-            to = ((x >> U64(40)) % U64(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.diff(to[order])) + 1
-            for own in np.split(order, cuts):
-                if len(own):
-                    out.append((kind, int(to[own[0]]), _pack(x[own], *(a for v in sums for a in _narrow(v[own])))))
-        return pa.table([pa.array(a, t) for a, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "bucket", "payload"])
-
-    @releasing
-    def totals(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        kind, bucket = key[0].as_py(), key[1].as_py()
-        if kind == 2:
-            got = [_unpack(raw.as_buffer(), "i8", "i8") for raw in table.column("payload")]
-            of, n = sum(g[0] for g in got), sum(int(g[1][0]) for g in got)
-            return pa.table({"kind": pa.array([2], pa.int32()), "n": [n], "total": [0], "of": [of.tolist()]})
-        width = 4 if kind == 0 else 2
-        got = [_unpack(raw.as_buffer(), "u8", *["u1", "u4", "i8"] * width) for raw in table.column("payload")]
-        x, *sums, _ = _sums(np.concatenate([g[0] for g in got]), *(np.concatenate([_widen(*g[1 + 3 * k : 4 + 3 * k]) for g in got]) for k in range(width)))
-        _store(root, f"{('contexts', 'words')[kind]}-{bucket}", x, *(s.astype(np.uint64) for s in sums))
-        of = _by_count(sums[1]).tolist() if kind == 1 else [0] * 4
-        return pa.table({"kind": pa.array([kind], pa.int32()), "n": [len(x)], "total": [int(sums[0].sum())], "of": [of]})
-
-    got = (
-        texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, sent)
-        .repartition(parts, "bucket").groupBy("bucket").applyInArrow(pairs, passed)
-        .repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(totals, "kind int, n bigint, total bigint, of array<bigint>")
-        .groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), *[F.sum(F.col("of")[k]).alias(f"of{k}") for k in range(4)])
-    )
-    by = {r["kind"]: r for r in got.collect()}  # three rows
+        _store(root, f"grams-{size}-{bucket}", k, small)
+        _store(root, f"often-{size}-{bucket}", k[big], full)
+        yield SUMS, size, bucket, _pack(np.array([len(k), 0, *_by_count(c)]))
+        one, two, each = (c == 1).astype(np.int64), (c == 2).astype(np.int64), np.ones_like(c)
+        x, *sums, _ = _sums(u[-1], c, one, two, each - one - two)
+        yield from parted(CONTEXTS, size, x, sums)
+        if size in (2, order):
+            x, *sums, _ = _sums(w, c if size == order else 0 * c, each if size == 2 else 0 * c)
+            yield from parted(WORDS, 1, x, sums)
+        if size > 2:
+            yield from ((GRAMS, size - 1, b, raw) for b, raw in _gram_rows(u[:-1], w, each, rows))
+
+    def step(last: bool):
+        @releasing
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            kind, size, bucket = (k.as_py() for k in key)
+            payloads = table.column("payload")
+            if kind == GRAMS:
+                return _passed(list(grams(size, bucket, payloads)))
+            if kind == SUMS:
+                return _passed([(kind, size, bucket, _pack(sum(_unpack(raw.as_buffer(), "i8")[0] for raw in payloads)))])
+            width = 4 if kind == CONTEXTS else 2
+            got = [_unpack(raw.as_buffer(), "u8", *["u1", "u4", "i8"] * width) for raw in payloads]
+            x, *sums, _ = _sums(np.concatenate([g[0] for g in got]), *(np.concatenate([_widen(*g[1 + 3 * k : 4 + 3 * k]) for g in got]) for k in range(width)))
+            if kind == CONTEXTS:
+                _store(root, f"contexts-{size}-{bucket}", x, *(s.astype(np.uint64) for s in sums))
+                return _passed([])
+            if not last:
+                return _passed(list(parted(WORDS, 1, x, sums)))
+            _store(root, f"words-{bucket}", x, *(s.astype(np.uint64) for s in sums))
+            return _passed([(SUMS, 1, bucket, _pack(np.array([len(x), int(sums[0].sum()), *_by_count(sums[1])])))])
+
+        return run
+
+    got = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, _PASSED)
+    for k in range(order):
+        got = got.repartition(parts, "kind", "size", "bucket").groupBy("kind", "size", "bucket").applyInArrow(step(k == order - 1), _PASSED)
+
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            read = [_unpack(raw.as_buffer(), "i8")[0].tolist() for raw in b.column("payload")]
+            yield pa.RecordBatch.from_arrays([b.column("size"), pa.array(read, pa.list_(pa.int64()))], names=["size", "f"])
+
+    names = ("n", "total", "of1", "of2", "of3", "of4")
+    sums = got.mapInArrow(figures, "size int, f array<bigint>").groupBy("size").agg(*[F.sum(F.col("f")[i]).alias(x) for i, x in enumerate(names)])
+    by = {r["size"]: r for r in sums.collect()}  # a row for each order
     if not by:
-        return KneserNey(root, rows, parts, 0, 0, 0, (0.75,) * 3, (0.75,) * 3, 1.0)
-    n_pairs, low = by[2]["n"], [by[1][f"of{k}"] for k in range(4)]
-    d = discounts(*low)
-    more = by[1]["n"] - low[0] - low[1]
-    left = (d[0] * low[0] + d[1] * low[1] + d[2] * more) / n_pairs
-    return KneserNey(root, rows, parts, by[1]["total"], by[1]["n"], n_pairs, discounts(*(by[2][f"of{k}"] for k in range(4))), d, left)
+        return KneserNey(root, order, rows, parts, 0, 0, 0, ((0.75,) * 3,) * order, 1.0)
+    d = tuple(discounts(*(by[k][x] for x in names[2:])) for k in range(1, order + 1))
+    low, pairs = by[1], by[2]["n"]
+    left = (d[0][0] * low["of1"] + d[0][1] * low["of2"] + d[0][2] * (low["n"] - low["of1"] - low["of2"])) / pairs
+    return KneserNey(root, order, rows, parts, low["total"], low["n"], pairs, d, left)
 
 
 # --- scoring -----------------------------------------------------------------------------
 
 
-def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-        if len(own):
-            yield int(bucket[own[0]]), own
-
-
 def _lookup(model: KneserNey, name: str, x: np.ndarray, bucket: np.ndarray, kinds: tuple[str, ...], keys: np.ndarray) -> list[np.ndarray]:
     out = [np.zeros(len(x)) for _ in kinds[1:]]
     for b, own in _by_bucket(bucket):
@@ -300,22 +337,23 @@ def _lookup(model: KneserNey, name: str, x: np.ndarray, bucket: np.ndarray, kind
 
 
 def log_probabilities(model: KneserNey, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of every token after its previous word, and the tokens' training counts."""
-    k, rep, back = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
-    uu, ww = u[rep], w[rep]
-    at = bucket_of(uu, ww, model.rows)
-    (c,) = _lookup(model, "pairs", k, at, ("u8", "u1"), k)
-    many = np.flatnonzero(c == 255)
-    (c[many],) = _lookup(model, "often", k[many], at[many], ("u8", "i8"), k[many])
-    x, ux = np.unique(uu, return_inverse=True)
-    total, n1, n2, n3 = (v[ux] for v in _lookup(model, "contexts", x, ((x >> U64(40)) % U64(model.parts)).astype(np.int64), ("u8",) * 5, x))
-    y, wy = np.unique(ww, return_inverse=True)
-    seen, cont = (v[wy] for v in _lookup(model, "words", y, ((y >> U64(40)) % U64(model.parts)).astype(np.int64), ("u8",) * 3, y))
+    """log10 probability of every token after its contexts (a row for each length), and the tokens' training counts."""
+    _, rep, back = np.unique(pair_key(u[-1], w), return_index=True, return_inverse=True)
+    u, w = u[:, rep], w[rep]
+    y, wy = np.unique(w, return_inverse=True)
+    seen, cont = (v[wy] for v in _lookup(model, "words", y, key_bucket(y, model.parts), ("u8",) * 3, y))
     take = lambda v, d: v - np.choose(np.minimum(v, 3).astype(int), (0.0, *d))
-    low = take(cont, model.low_discounts) / max(model.pairs, 1) + model.low_left / (model.vocabulary + 1)
-    d = model.discounts
-    left = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
-    p = take(c, d) / np.maximum(total, 1) + left * low
+    p = take(cont, model.discounts[0]) / max(model.pairs, 1) + model.low_left / (model.vocabulary + 1)
+    for size, v, d in zip(range(2, model.order + 1), u, model.discounts[1:]):
+        k, rep, of = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
+        at = bucket_of(v[rep], w[rep], model.rows)
+        (c,) = _lookup(model, f"grams-{size}", k, at, ("u8", "u1"), k)
+        many = np.flatnonzero(c == 255)
+        (c[many],) = _lookup(model, f"often-{size}", k[many], at[many], ("u8", "i8"), k[many])
+        x, vx = np.unique(v, return_inverse=True)
+        total, n1, n2, n3 = (s[vx] for s in _lookup(model, f"contexts-{size}", x, key_bucket(x, model.parts), ("u8",) * 5, x))
+        left = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
+        p = take(c[of], d) / np.maximum(total, 1) + left * p
     return np.log10(p)[back], seen[back]
 
 
@@ -328,7 +366,7 @@ def score(docs: DataFrame, model: KneserNey, keep: tuple[str, ...] = ("doc_id",)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in blocks(b, "text", 4 << 20):
-                u, w, text = token_pairs(words_of(s.column(len(keep)), lower=True))
+                u, w, text = token_contexts(words_of(s.column(len(keep)), lower=True), model.order)
                 logp, c = log_probabilities(model, u, w)
                 base = np.log10((c + 1) / (model.tokens + model.vocabulary + 1))
                 n = s.num_rows
@@ -351,7 +389,7 @@ def op5_lm_score(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = fold(F.col("doc_id"), 7) == 2
-    model = fit(docs.where(~held).select("text"))
+    model = fit(docs.where(~held).select("text"), ORDER)
     out = cut(score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"))
     model.delete()
     return out

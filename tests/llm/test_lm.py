@@ -1,13 +1,15 @@
-"""The bigram model against a dictionary version."""
+"""The n-gram model against a dictionary version."""
 
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from sonoplan.llm import ngramlm
 
@@ -17,54 +19,67 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", low), None]
 
 
-def brute(train, texts):
-    pairs, c, total = Counter(), Counter(), Counter()
+def brute(train, texts, order):
+    top, c = Counter(), Counter()
     for t in train:
-        prev = "<s>"
-        for w in tokens(t):
-            pairs[prev, w] += 1
-            c[w] += 1
-            total[prev] += 1
-            prev = w
-    counts = lambda v: [sum(x == k for x in v) for k in (1, 2, 3, 4)]
-    d = ngramlm.discounts(*counts(pairs.values()))
-    cont, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
-    for (u, w), n in pairs.items():
-        cont[w] += 1
-        kinds[u][min(n, 3) - 1] += 1
-    e = ngramlm.discounts(*counts(cont.values()))
+        ws = tokens(t)
+        c.update(ws)
+        padded = ["<s>"] * (order - 1) + ws
+        top.update(tuple(padded[i : i + order]) for i in range(len(ws)))
+    levels = {order: top}
+    for n in range(order, 1, -1):
+        levels[n - 1] = Counter(g[1:] for g in levels[n])
+    spread = lambda v: ngramlm.discounts(*[sum(x == k for x in v) for k in (1, 2, 3, 4)])
+    d = {n: spread(g.values()) for n, g in levels.items()}
+    total, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
+    for grams in levels.values():
+        for g, n in grams.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]][min(n, 3) - 1] += 1
     cut = lambda n, ds: n - ds[min(n, 3) - 1] if n else 0
-    left = sum(e[min(n, 3) - 1] for n in cont.values()) / len(pairs) if pairs else 1
+
+    def p(g):
+        rest = p(g[1:]) if len(g) > 1 else 1 / (len(c) + 1)
+        ctx, ds = g[:-1], d[len(g)]
+        if not total[ctx]:
+            return rest
+        return cut(levels[len(g)][g], ds) / total[ctx] + sum(x * y for x, y in zip(ds, kinds[ctx])) / total[ctx] * rest
+
     for t in texts:
-        s, b, known, prev = 0.0, 0.0, 0, "<s>"
-        for w in tokens(t):
-            low = (cut(cont[w], e) / len(pairs) if pairs else 0) + left / (len(c) + 1)
-            p = cut(pairs[prev, w], d) / total[prev] + sum(x * y for x, y in zip(d, kinds[prev])) / total[prev] * low if total[prev] else low
-            s += math.log10(p)
-            b += math.log10((c[w] + 1) / (sum(c.values()) + len(c) + 1))
-            known += c[w] > 0
-            prev = w
-        yield len(tokens(t)), known, sum(c.values()), b, s
+        ws = tokens(t)
+        padded = ["<s>"] * (order - 1) + ws
+        s = sum(math.log10(p(tuple(padded[i : i + order]))) for i in range(len(ws)))
+        b = sum(math.log10((c[w] + 1) / (sum(c.values()) + len(c) + 1)) for w in ws)
+        yield len(ws), sum(c[w] > 0 for w in ws), sum(c.values()), b, s
 
 
-def check(spark, tmp_path, rows):
-    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(map(tuple, ngramlm.op5_lm_score(spark, str(tmp_path)).collect()), key=str)
-    held = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
-    train = [t for i, t, _ in rows if not held(i)]
-    want = sorted([(i, held(i), *x) for (i, _, _), x in zip(rows, brute(train, [t for _, t, _ in rows]))], key=str)
+def held_out(i):
+    return zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
+
+
+def equal(got, want):
+    got, want = sorted(map(tuple, got), key=str), sorted(want, key=str)
     assert len(got) == len(want)
     for a, b in zip(got, want):
-        assert a[:5] == b[:5]
-        assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a[5:], b[5:])), (a, b)
+        assert a[:-2] == b[:-2]
+        assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a[-2:], b[-2:])), (a, b)
 
 
-def test_scores_equal_brute_force(spark, tmp_path):
-    import random
+def check(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    train = [t for i, t, _ in rows if not held_out(i)]
+    found = brute(train, [t for _, t, _ in rows], ngramlm.ORDER)
+    equal(ngramlm.op5_lm_score(spark, str(tmp_path)).collect(), [(i, held_out(i), *x) for (i, _, _), x in zip(rows, found)])
 
+
+def texts_of(n):
     rng = random.Random(3)
     vocabulary = [f"W{k}é" if k % 3 else f"w{k}" for k in range(40)]
-    rows = [(i, " ".join(rng.choice(vocabulary[: rng.randint(2, 40)]) for _ in range(rng.randint(0, 60))), "s") for i in range(120)]
+    return [" ".join(rng.choice(vocabulary[: rng.randint(2, 40)]) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+
+
+def test_scores_equal_brute_force(spark, tmp_path):
+    rows = [(i, t, "s") for i, t in enumerate(texts_of(120))]
     rows += [(200, None, None), (201, "", "s"), (202, " \n", "s"), (5, rows[5][1], "s"), (None, "w0 W1é", "s"), (204, "word " * 3000 + "x" * 5000, "s")]
     check(spark, tmp_path, rows)
 
@@ -74,6 +89,21 @@ def test_empty_and_untrained(spark, tmp_path):
     check(spark, tmp_path / "b", [(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "a b", "s")])
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_every_order_equals_brute_force(spark, order):
+    texts = [*texts_of(60), None, "", "w0 w1 w0 w1 w0"]
+    model = ngramlm.fit(spark.createDataFrame([(t,) for t in texts[:40]], "text string"), order)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, n, known, b, s) for i, (n, known, _, b, s) in enumerate(brute(texts[:40], texts, order))]
+    equal(ngramlm.score(docs, model).collect(), want)
+    model.delete()
+
+
+def test_no_order_below_two(spark):
+    with pytest.raises(ValueError):
+        ngramlm.fit(spark.createDataFrame([("a",)], "text string"), 1)
+
+
 def test_counts_of_any_size():
     v = np.array([0, 1, 254, 255, 256, 5_000_000_000, 3], np.int64)
     small, big, full = ngramlm._narrow(v)
@@ -83,10 +113,10 @@ def test_counts_of_any_size():
 
 def test_a_pair_more_frequent_than_a_byte_holds(spark):
     """One pair 700 times: its score equals the formula on the whole counts."""
-    model = ngramlm.fit(spark.createDataFrame([("a b " * 700,), ("a c",)], "text string"))
+    model = ngramlm.fit(spark.createDataFrame([("a b " * 700,), ("a c",)], "text string"), 2)
     u, w = (ngramlm.words_of(ngramlm.pa.array([t]), lower=True).hashes() for t in ("a", "b"))
-    logp, seen = ngramlm.log_probabilities(model, u, w)
-    d, low = model.discounts, model.low_discounts
+    logp, seen = ngramlm.log_probabilities(model, u[None], w)
+    low, d = model.discounts
     total = 701  # a: 700 times before b, once before c
     left = (d[0] * 1 + d[2] * 1) / total
     cont = 1 - low[0]  # only a comes before b
