@@ -1,13 +1,17 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, memory-mapped by workers.
 
-Counting is one job. A map task reduces its texts to distinct n-grams, as 64-bit hashes of
-context and word, and sends them to buckets on a grid: rows of the grid by the context,
-columns by the word, so that neither a frequent word nor a frequent context fills one
-bucket alone. A bucket sums its n-grams, writes them as a sorted hash array, and passes on the
-partial sums of its contexts and words, which the next exchange completes and writes the
-same way; of order 3 and more also the n-grams one word shorter, each counted once for every
-word seen before it, which the next exchange treats as it did the longer ones. Nothing but
-one row of sums per bucket reaches the driver.
+Counting is one job for each order, from the longest n-grams to pairs. A map task reduces its
+texts to distinct n-grams of 64-bit word hashes and sends them, their words coded by a list of
+each payload's distinct ones, to buckets on a grid: rows of the grid by the context, columns by
+the word, so that neither a frequent word nor a frequent context fills one bucket alone. A bucket
+of the longest n-grams sums their counts; one of shorter ones counts the words seen before each.
+It writes them as a sorted hash array, and passes on the partial sums of its contexts and words,
+which a second exchange completes and writes the same way. Nothing but one row of sums per bucket
+reaches the driver. The files of an order's exchanges go when its job ends (also where the session
+keeps them otherwise), so that no more than one order's are there at once.
+
+Arrays of n-grams and contexts hold 48 bits of each hash within a bucket and counts in a byte
+each, with a list of the larger ones; words are held by 64 bits.
 
 Scoring maps the arrays into memory from the shared folder and looks the distinct n-grams of
 each block of texts up by binary search, bucket by bucket. Texts begin with as many starts as
@@ -19,7 +23,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -42,9 +47,9 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(u * U64(0x9E3779B97F4A7C15) + w)
 
 
-def token_contexts(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, token, text) of every token: the words of each text, then one END. The contexts
-    are a row each for the hashes of the last 1, 2, ... order - 1 tokens."""
+def token_grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, text) of every token, the words of each text and one END: a column of grams has the
+    ``size`` tokens that end with it, START where the text has not begun."""
     h, n = words.hashes(), words.counts()
     text = np.repeat(np.arange(len(n)), n + 1)
     ends = np.cumsum(n + 1) - 1
@@ -52,12 +57,24 @@ def token_contexts(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, np
     is_word = np.ones(len(w), bool)
     is_word[ends] = False
     w[is_word], w[ends] = h, END
-    first = np.append(0, ends[:-1] + 1) if len(n) else np.zeros(0, np.int64)
-    u = np.empty((order - 1, len(w)), U64)
-    for k, row in enumerate(u):
-        row[1:] = pair_key(u[k - 1, :-1], w[:-1]) if k else w[:-1]
-        row[first] = START
-    return u, w, text
+    place = np.arange(len(w)) - np.repeat(ends - n, n + 1)
+    x = np.empty((size, len(w)), U64)
+    for back, row in enumerate(x[::-1]):
+        row[back:] = w[: max(len(w) - back, 0)]
+        row[place < back] = START
+    return x, text
+
+
+def context_hash(x: np.ndarray) -> np.ndarray:
+    """Hash of the tokens of each column; a text's beginning is one START, however long."""
+    u = x[0]
+    for row in x[1:]:
+        u = np.where(row == START, START, pair_key(u, row))
+    return u
+
+
+def gram_hash(x: np.ndarray) -> np.ndarray:
+    return pair_key(context_hash(x[:-1]), x[-1])
 
 
 # --- sorted hash arrays ------------------------------------------------------------------
@@ -102,6 +119,40 @@ def _find(keys: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == q
 
 
+def _store_counts(root: str, name: str, x: np.ndarray, *values: np.ndarray) -> None:
+    """Counts by sorted 48-bit keys, a byte each; rows with one of 255 and more are listed whole."""
+    large = np.logical_or.reduce([v > 254 for v in values])
+    _store(root, name, (x >> U64(16)).astype(np.uint32), x.astype(np.uint16), *(np.minimum(v, 255).astype(np.uint8) for v in values))
+    _store(root, f"{name}-large", x[large], *(v[large].astype(np.int64) for v in values))
+
+
+def _read_counts(root: str, name: str, width: int, x: np.ndarray) -> np.ndarray:
+    """The counts (a row for each value) of 48-bit keys; 0 where unknown."""
+    out = np.zeros((width, len(x)))
+    high, low, *values = _load(root, name, ("u4", "u2", *["u1"] * width))
+    if not len(high):
+        return out
+    q, tail = (x >> U64(16)).astype(np.uint32), x.astype(np.uint16)
+    at, open_ = np.searchsorted(high, q), np.arange(len(x))
+    while len(open_):  # several keys may share the first 32 bits
+        i = at[open_]
+        here = i < len(high)
+        here[here] = high[i[here]] == q[open_[here]]
+        open_, i = open_[here], i[here]
+        hit = low[i] == tail[open_]
+        for o, v in zip(out, values):
+            o[open_[hit]] = v[i[hit]]
+        open_ = open_[~hit]
+        at[open_] += 1
+    many = np.flatnonzero((out == 255).any(0))
+    if len(many):
+        keys, *full = _load(root, f"{name}-large", ("u8", *["i8"] * width))
+        place, _ = _find(keys, x[many])
+        for o, v in zip(out, full):
+            o[many] = v[place]
+    return out
+
+
 # --- counting ----------------------------------------------------------------------------
 
 
@@ -137,28 +188,32 @@ def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[first], *(np.add.reduceat(v[order], first) if len(k) else v for v in values), order[first])
 
 
-def _gram_rows(u: np.ndarray, w: np.ndarray, count: np.ndarray, rows: int) -> Iterator[tuple[int, bytes]]:
-    """Distinct n-grams by bucket with summed counts; a bucket lists its contexts once, with run lengths."""
-    _, count, rep = _sums(pair_key(u[-1], w), count)
-    u, w = u[:, rep], w[rep]
-    bucket = bucket_of(u[-1], w, rows)
-    order = np.lexsort((u[-1], bucket))
-    u, w, count, bucket = u[:, order], w[order], count[order], bucket[order]
+def _gram_rows(x: np.ndarray, size: int, counted: bool, rows: int) -> Iterator[tuple[int, bytes]]:
+    """Distinct columns of ``x`` by the bucket of their last ``size`` tokens, as places in a list of
+    the payload's words; with their counts where ``counted``."""
+    _, count, rep = _sums(gram_hash(x), np.ones(x.shape[1], np.int64))
+    x = x[:, rep]
+    bucket = bucket_of(context_hash(x[-size:-1]), x[-1], rows)
+    order = np.argsort((bucket.astype(U64) << U64(40)) | (x[0] >> U64(24)))
+    x, count, bucket = x[:, order], count[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(w)]):
-        new = np.append(True, u[-1, a + 1 : b] != u[-1, a : b - 1])
-        runs = np.diff(np.append(np.flatnonzero(new), b - a)).astype(np.uint32)
-        yield int(bucket[a]), _pack(*u[:, a:b][:, new], runs, w[a:b], *_narrow(count[a:b]))
+    for a, b in zip([0, *cuts], [*cuts, x.shape[1]]):
+        known, at = np.unique(x[:, a:b], return_inverse=True)
+        at = at.reshape(len(x), -1).astype(np.min_scalar_type(len(known)))
+        yield int(bucket[a]), _pack(known, *(v.view(np.uint8) for v in at), *(_narrow(count[a:b]) if counted else ()))
 
 
-def _read_grams(payloads: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    us, ws, cs = [], [], []
+def _read_grams(payloads: pa.ChunkedArray, length: int, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns of all payloads and their summed counts."""
+    xs, cs = [], []
     for raw in payloads:
-        *u, runs, w, small, big, full = _unpack(raw.as_buffer(), *["u8"] * (order - 1), "u4", "u8", "u1", "u4", "i8")
-        us.append(np.stack([np.repeat(x, runs) for x in u]))
-        ws.append(w)
-        cs.append(_widen(small, big, full))
-    return np.concatenate(us, axis=1), np.concatenate(ws), np.concatenate(cs)
+        known, *rest = _unpack(raw.as_buffer(), "u8", *["u1"] * length, *(("u1", "u4", "i8") if counted else ()))
+        xs.append(np.stack([known[v.view(np.min_scalar_type(len(known)))] for v in rest[:length]]))
+        if counted:
+            cs.append(_widen(*rest[length:]))
+    x = np.concatenate(xs, axis=1)
+    _, count, rep = _sums(gram_hash(x), np.concatenate(cs) if counted else np.ones(x.shape[1], np.int64))
+    return x[:, rep], count
 
 
 def bucket_of(u: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
@@ -166,7 +221,7 @@ def bucket_of(u: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
 
 
 def key_bucket(x: np.ndarray, parts: int) -> np.ndarray:
-    return ((x >> U64(40)) % U64(parts)).astype(np.int64)
+    return (mix(x) % U64(parts)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -208,13 +263,9 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[own[0]]), own
 
 
-GRAMS, CONTEXTS, WORDS, SUMS = range(4)
-_PASSED = "kind int, size int, bucket int, payload binary"
-
-
-def _passed(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) or [()] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["kind", "size", "bucket", "payload"])
+CONTEXTS, WORDS, SUMS = range(3)
+_SENT = "bucket int, payload binary"
+_PASSED = "kind int, bucket int, payload binary"
 
 
 def fit(texts: DataFrame, order: int = 2, bytes_each: int = 16 << 20) -> KneserNey:
@@ -235,19 +286,33 @@ def fit(texts: DataFrame, order: int = 2, bytes_each: int = 16 << 20) -> KneserN
     else:
         where, path = pafs.FileSystem.from_uri(root)
         where.create_dir(path)
+    found = {k: _count(texts, k, order, root, rows) for k in range(order, 1, -1)}
+    if not found[2][SUMS]["n"]:
+        return KneserNey(root, order, rows, parts, 0, 0, 0, ((0.75,) * 3,) * order, 1.0)
+    tokens, low, pairs = found[order][WORDS], found[2][WORDS], found[2][SUMS]["n"]
+    spread = lambda r: discounts(*(r[f"of{i}"] for i in range(1, 5)))
+    d = (spread(low), *(spread(found[k][SUMS]) for k in range(2, order + 1)))
+    left = (d[0][0] * low["of1"] + d[0][1] * low["of2"] + d[0][2] * (low["n"] - low["of1"] - low["of2"])) / pairs
+    return KneserNey(root, order, rows, parts, tokens["total"], tokens["n"], pairs, d, left)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _count(texts: DataFrame, size: int, order: int, root: str, rows: int) -> dict[int, dict]:
+    """Counts, stores and sums the n-grams of one size: raw counts in the highest order, the number
+    of different words before them in the others."""
+    counted, parts = size == order, rows * COLUMNS
+    length = size if counted else size + 1
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
-            u, w = np.concatenate([u for u, _ in held], axis=1), np.concatenate([w for _, w in held])
-            return _passed([(GRAMS, order, b, x) for b, x in _gram_rows(u, w, np.ones(len(w), np.int64), rows)]).to_batches()[0]
+            found = list(_gram_rows(np.concatenate(held, axis=1), size, counted, rows))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "payload"])
 
         for b in batches:
             for s in blocks(b, "text"):
-                u, w, _ = token_contexts(words_of(s.column(0), lower=True), order)
-                held.append((u, w))
-                n += len(w)
+                held.append(token_grams(words_of(s.column(0), lower=True), length)[0])
+                n += held[-1].shape[1]
                 if n >= FLUSH_TOKENS:
                     yield out()
                     held, n = [], 0
@@ -256,105 +321,113 @@ def fit(texts: DataFrame, order: int = 2, bytes_each: int = 16 << 20) -> KneserN
         held.clear()
         release()
 
-    def parted(kind: int, size: int, x: np.ndarray, sums: list[np.ndarray]) -> Iterator[tuple]:
-        to = key_bucket(x, parts)
-        for b, own in _by_bucket(to):
-            yield kind, size, b, _pack(x[own], *(a for v in sums for a in _narrow(v[own])))
-
-    def grams(size: int, bucket: int, payloads: pa.ChunkedArray) -> Iterator[tuple]:
-        u, w, c = _read_grams(payloads, size)
-        k, c, rep = _sums(pair_key(u[-1], w), c)
-        u, w = u[:, rep], w[rep]
-        small, big, full = _narrow(c)
-        _store(root, f"grams-{size}-{bucket}", k, small)
-        _store(root, f"often-{size}-{bucket}", k[big], full)
-        yield SUMS, size, bucket, _pack(np.array([len(k), 0, *_by_count(c)]))
+    def table(rows: list[tuple]) -> pa.Table:
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "bucket", "payload"])
+
+    def parted(kind: int, x: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        x, *sums, _ = _sums(x, *values)
+        for b, own in _by_bucket(key_bucket(x, parts)):
+            key = (x[own],) if kind == WORDS else ((x[own] >> U64(32)).astype(np.uint32), (x[own] >> U64(16)).astype(np.uint16))
+            yield kind, b, _pack(*key, *(a for v in sums for a in _narrow(v[own])))
+
+    @releasing
+    def bucket(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+        x, c = _read_grams(sent.column("payload"), length, counted)
+        x = x[-size:]
+        if not counted:
+            _, c, rep = _sums(gram_hash(x), np.ones(x.shape[1], np.int64))
+            x = x[:, rep]
+        u, w = context_hash(x[:-1]), x[-1]
+        k, total, _ = _sums(pair_key(u, w) >> U64(16), c)
+        _store_counts(root, f"grams-{size}-{key[0].as_py()}", k, total)
         one, two, each = (c == 1).astype(np.int64), (c == 2).astype(np.int64), np.ones_like(c)
-        x, *sums, _ = _sums(u[-1], c, one, two, each - one - two)
-        yield from parted(CONTEXTS, size, x, sums)
+        out = [(SUMS, key[0].as_py(), _pack(np.array([len(c), 0, *_by_count(c)])))]
+        out += parted(CONTEXTS, u, c, one, two, each - one - two)
         if size in (2, order):
-            x, *sums, _ = _sums(w, c if size == order else 0 * c, each if size == 2 else 0 * c)
-            yield from parted(WORDS, 1, x, sums)
-        if size > 2:
-            yield from ((GRAMS, size - 1, b, raw) for b, raw in _gram_rows(u[:-1], w, each, rows))
-
-    def step(last: bool):
-        @releasing
-        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            kind, size, bucket = (k.as_py() for k in key)
-            payloads = table.column("payload")
-            if kind == GRAMS:
-                return _passed(list(grams(size, bucket, payloads)))
-            if kind == SUMS:
-                return _passed([(kind, size, bucket, _pack(sum(_unpack(raw.as_buffer(), "i8")[0] for raw in payloads)))])
-            width = 4 if kind == CONTEXTS else 2
-            got = [_unpack(raw.as_buffer(), "u8", *["u1", "u4", "i8"] * width) for raw in payloads]
-            x, *sums, _ = _sums(np.concatenate([g[0] for g in got]), *(np.concatenate([_widen(*g[1 + 3 * k : 4 + 3 * k]) for g in got]) for k in range(width)))
+            out += parted(WORDS, w, c if counted else 0 * c, each if size == 2 else 0 * c)
+        return table(out)
+
+    @releasing
+    def totals(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+        kind, at = key[0].as_py(), key[1].as_py()
+        figures = np.zeros(6, np.int64)
+        if kind == SUMS:
+            figures = sum(_unpack(raw.as_buffer(), "i8")[0] for raw in sent.column("payload"))
+        else:
+            keys, width = (("u8",), 2) if kind == WORDS else (("u4", "u2"), 4)
+            got = [_unpack(raw.as_buffer(), *keys, *["u1", "u4", "i8"] * width) for raw in sent.column("payload")]
+            x = np.concatenate([g[0] if kind == WORDS else (g[0].astype(U64) << U64(16)) | g[1] for g in got])
+            x, *sums, _ = _sums(x, *(np.concatenate([_widen(*g[len(keys) + 3 * i :][:3]) for g in got]) for i in range(width)))
             if kind == CONTEXTS:
-                _store(root, f"contexts-{size}-{bucket}", x, *(s.astype(np.uint64) for s in sums))
-                return _passed([])
-            if not last:
-                return _passed(list(parted(WORDS, 1, x, sums)))
-            _store(root, f"words-{bucket}", x, *(s.astype(np.uint64) for s in sums))
-            return _passed([(SUMS, 1, bucket, _pack(np.array([len(x), int(sums[0].sum()), *_by_count(sums[1])])))])
-
-        return run
-
-    got = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, _PASSED)
-    for k in range(order):
-        got = got.repartition(parts, "kind", "size", "bucket").groupBy("kind", "size", "bucket").applyInArrow(step(k == order - 1), _PASSED)
-
-    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            read = [_unpack(raw.as_buffer(), "i8")[0].tolist() for raw in b.column("payload")]
-            yield pa.RecordBatch.from_arrays([b.column("size"), pa.array(read, pa.list_(pa.int64()))], names=["size", "f"])
+                _store_counts(root, f"contexts-{size}-{at}", x, *sums)
+            else:
+                _store(root, f"words-{size}-{at}", x, *(s.astype(np.uint64) for s in sums))
+                figures = np.array([len(x), sums[0].sum(), *_by_count(sums[1])])
+        return pa.table({"kind": pa.array([kind], pa.int32()), "f": pa.array([figures.tolist()], pa.list_(pa.int64()))})
 
     names = ("n", "total", "of1", "of2", "of3", "of4")
-    sums = got.mapInArrow(figures, "size int, f array<bigint>").groupBy("size").agg(*[F.sum(F.col("f")[i]).alias(x) for i, x in enumerate(names)])
-    by = {r["size"]: r for r in sums.collect()}  # a row for each order
-    if not by:
-        return KneserNey(root, order, rows, parts, 0, 0, 0, ((0.75,) * 3,) * order, 1.0)
-    d = tuple(discounts(*(by[k][x] for x in names[2:])) for k in range(1, order + 1))
-    low, pairs = by[1], by[2]["n"]
-    left = (d[0][0] * low["of1"] + d[0][1] * low["of2"] + d[0][2] * (low["n"] - low["of1"] - low["of2"])) / pairs
-    return KneserNey(root, order, rows, parts, low["total"], low["n"], pairs, d, left)
+    got = (
+        texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(grams, _SENT)
+        .repartition(parts, "bucket").groupBy("bucket").applyInArrow(bucket, _PASSED)
+        .repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(totals, "kind int, f array<bigint>")
+        .groupBy("kind").agg(*[F.sum(F.col("f")[i]).alias(x) for i, x in enumerate(names)])
+    )
+    none = {kind: dict.fromkeys(names, 0) for kind in range(3)}
+    with _freeing(texts.sparkSession):
+        return none | {r["kind"]: r.asDict() for r in got.collect()}  # three rows
+
+
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """Files of exchanges go at the end of the queries run inside."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 # --- scoring -----------------------------------------------------------------------------
 
 
-def _lookup(model: KneserNey, name: str, x: np.ndarray, bucket: np.ndarray, kinds: tuple[str, ...], keys: np.ndarray) -> list[np.ndarray]:
-    out = [np.zeros(len(x)) for _ in kinds[1:]]
+def _lookup(x: np.ndarray, bucket: np.ndarray, width: int, read: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Rows of values for ``x``, read bucket by bucket; 0 where no training n-gram fell into a bucket."""
+    out = np.zeros((width, len(x)))
     for b, own in _by_bucket(bucket):
         try:
-            stored = _load(model.root, f"{name}-{b}", kinds)
-        except FileNotFoundError:  # no training pair fell into it
+            out[:, own] = read(b, x[own])
+        except FileNotFoundError:
             continue
-        at, hit = _find(stored[0], keys[own])
-        for o, column in zip(out, stored[1:]):
-            o[own[hit]] = column[at[hit]]
     return out
 
 
-def log_probabilities(model: KneserNey, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of every token after its contexts (a row for each length), and the tokens' training counts."""
-    _, rep, back = np.unique(pair_key(u[-1], w), return_index=True, return_inverse=True)
-    u, w = u[:, rep], w[rep]
-    y, wy = np.unique(w, return_inverse=True)
-    seen, cont = (v[wy] for v in _lookup(model, "words", y, key_bucket(y, model.parts), ("u8",) * 3, y))
+def log_probabilities(model: KneserNey, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of the last token of each column after those before it, and its training count."""
+    _, rep, back = np.unique(gram_hash(x), return_index=True, return_inverse=True)
+    x = x[:, rep]
+    y, of = np.unique(x[-1], return_inverse=True)
+
+    def words(size: int, column: int) -> np.ndarray:
+        def read(b: int, q: np.ndarray) -> np.ndarray:
+            keys, *values = _load(model.root, f"words-{size}-{b}", ("u8",) * 3)
+            at, hit = _find(keys, q)
+            return np.where(hit, values[column][at], 0) if len(keys) else np.zeros(len(q))
+
+        return _lookup(y, key_bucket(y, model.parts), 1, read)[0, of]
+
     take = lambda v, d: v - np.choose(np.minimum(v, 3).astype(int), (0.0, *d))
-    p = take(cont, model.discounts[0]) / max(model.pairs, 1) + model.low_left / (model.vocabulary + 1)
-    for size, v, d in zip(range(2, model.order + 1), u, model.discounts[1:]):
-        k, rep, of = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
-        at = bucket_of(v[rep], w[rep], model.rows)
-        (c,) = _lookup(model, f"grams-{size}", k, at, ("u8", "u1"), k)
-        many = np.flatnonzero(c == 255)
-        (c[many],) = _lookup(model, f"often-{size}", k[many], at[many], ("u8", "i8"), k[many])
-        x, vx = np.unique(v, return_inverse=True)
-        total, n1, n2, n3 = (s[vx] for s in _lookup(model, f"contexts-{size}", x, key_bucket(x, model.parts), ("u8",) * 5, x))
+    p = take(words(2, 1), model.discounts[0]) / max(model.pairs, 1) + model.low_left / (model.vocabulary + 1)
+    for size, d in zip(range(2, model.order + 1), model.discounts[1:]):
+        u, w = context_hash(x[-size:-1]), x[-1]
+        k, first, gram = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
+        c = _lookup(k, bucket_of(u[first], w[first], model.rows), 1, lambda b, q: _read_counts(model.root, f"grams-{size}-{b}", 1, q >> U64(16)))[0, gram]
+        v, ctx = np.unique(u, return_inverse=True)
+        total, n1, n2, n3 = _lookup(v, key_bucket(v, model.parts), 4, lambda b, q: _read_counts(model.root, f"contexts-{size}-{b}", 4, q >> U64(16)))[:, ctx]
         left = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
-        p = take(c[of], d) / np.maximum(total, 1) + left * p
-    return np.log10(p)[back], seen[back]
+        p = take(c, d) / np.maximum(total, 1) + left * p
+    return np.log10(p)[back], words(model.order, 0)[back]
 
 
 def score(docs: DataFrame, model: KneserNey, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -366,8 +439,8 @@ def score(docs: DataFrame, model: KneserNey, keep: tuple[str, ...] = ("doc_id",)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in blocks(b, "text", 4 << 20):
-                u, w, text = token_contexts(words_of(s.column(len(keep)), lower=True), model.order)
-                logp, c = log_probabilities(model, u, w)
+                x, text = token_grams(words_of(s.column(len(keep)), lower=True), model.order)
+                logp, c = log_probabilities(model, x)
                 base = np.log10((c + 1) / (model.tokens + model.vocabulary + 1))
                 n = s.num_rows
                 add = lambda v: np.bincount(text, v, n)

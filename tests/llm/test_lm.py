@@ -111,11 +111,21 @@ def test_counts_of_any_size():
     assert (ngramlm._widen(*ngramlm._unpack(ngramlm._pack(*ngramlm._narrow(v)), "u1", "u4", "i8")) == v).all()
 
 
+def test_keys_that_share_their_first_bits(tmp_path):
+    """Counts by 48-bit keys: neighbours that differ in the last 16 bits alone, large ones, unknown ones."""
+    x = np.array([5 << 16, (5 << 16) + 1, (5 << 16) + 9, 7 << 16, (1 << 48) - 1], np.uint64)
+    a, b = np.array([1, 255, 3, 70_000, 2]), np.array([0, 1, 254, 5_000_000_000, 9])
+    ngramlm._store_counts(f"file://{tmp_path}", "t", x, a, b)
+    q = np.append(x, [0, (5 << 16) + 2, (7 << 16) + 1, (1 << 48) - 2]).astype(np.uint64)
+    got = ngramlm._read_counts(f"file://{tmp_path}", "t", 2, q)
+    assert got.tolist() == [[*a, 0, 0, 0, 0], [*b, 0, 0, 0, 0]]
+
+
 def test_a_pair_more_frequent_than_a_byte_holds(spark):
     """One pair 700 times: its score equals the formula on the whole counts."""
     model = ngramlm.fit(spark.createDataFrame([("a b " * 700,), ("a c",)], "text string"), 2)
-    u, w = (ngramlm.words_of(ngramlm.pa.array([t]), lower=True).hashes() for t in ("a", "b"))
-    logp, seen = ngramlm.log_probabilities(model, u[None], w)
+    x = np.stack([ngramlm.words_of(ngramlm.pa.array([t]), lower=True).hashes() for t in ("a", "b")])
+    logp, seen = ngramlm.log_probabilities(model, x)
     low, d = model.discounts
     total = 701  # a: 700 times before b, once before c
     left = (d[0] * 1 + d[2] * 1) / total
