@@ -120,30 +120,41 @@ def _find(keys: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _store_counts(root: str, name: str, x: np.ndarray, *values: np.ndarray) -> None:
-    """Counts by sorted 48-bit keys, a byte each; rows with one of 255 and more are listed whole."""
+    """Counts by sorted 48-bit keys, a byte each; rows with one of 255 and more are listed whole, and
+    those whose first count is 1 (the second too then, no other) are keys alone."""
+    one = values[0] == 1
     large = np.logical_or.reduce([v > 254 for v in values])
-    _store(root, name, (x >> U64(16)).astype(np.uint32), x.astype(np.uint16), *(np.minimum(v, 255).astype(np.uint8) for v in values))
+    keys = lambda k: ((k >> U64(16)).astype(np.uint32), k.astype(np.uint16))
+    _store(root, f"{name}-one", *keys(x[one]))
+    _store(root, name, *keys(x[~one]), *(np.minimum(v[~one], 255).astype(np.uint8) for v in values))
     _store(root, f"{name}-large", x[large], *(v[large].astype(np.int64) for v in values))
 
 
+def _find_parted(high: np.ndarray, low: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of ``x`` are known, their places) among sorted 48-bit keys."""
+    q, tail = (x >> U64(16)).astype(np.uint32), x.astype(np.uint16)
+    left, at = np.arange(len(x)), np.searchsorted(high, q)
+    which, where = [], []
+    while len(left):  # several keys may share the first 32 bits
+        here = at < len(high)
+        here[here] = high[at[here]] == q[left[here]]
+        left, at = left[here], at[here]
+        hit = low[at] == tail[left]
+        which.append(left[hit])
+        where.append(at[hit])
+        left, at = left[~hit], at[~hit] + 1
+    return np.concatenate([*which, left]), np.concatenate([*where, at])
+
+
 def _read_counts(root: str, name: str, width: int, x: np.ndarray) -> np.ndarray:
     """The counts (a row for each value) of 48-bit keys; 0 where unknown."""
     out = np.zeros((width, len(x)))
+    which, _ = _find_parted(*_load(root, f"{name}-one", ("u4", "u2")), x)
+    out[:2, which] = 1
     high, low, *values = _load(root, name, ("u4", "u2", *["u1"] * width))
-    if not len(high):
-        return out
-    q, tail = (x >> U64(16)).astype(np.uint32), x.astype(np.uint16)
-    at, open_ = np.searchsorted(high, q), np.arange(len(x))
-    while len(open_):  # several keys may share the first 32 bits
-        i = at[open_]
-        here = i < len(high)
-        here[here] = high[i[here]] == q[open_[here]]
-        open_, i = open_[here], i[here]
-        hit = low[i] == tail[open_]
-        for o, v in zip(out, values):
-            o[open_[hit]] = v[i[hit]]
-        open_ = open_[~hit]
-        at[open_] += 1
+    which, where = _find_parted(high, low, x)
+    for o, v in zip(out, values):
+        o[which] = v[where]
     many = np.flatnonzero((out == 255).any(0))
     if len(many):
         keys, *full = _load(root, f"{name}-large", ("u8", *["i8"] * width))
@@ -153,6 +164,20 @@ def _read_counts(root: str, name: str, width: int, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _store_words(root: str, name: str, x: np.ndarray, values: np.ndarray) -> None:
+    _store(root, name, x, np.minimum(values, 255).astype(np.uint8))
+    _store(root, f"{name}-large", x[values > 254], values[values > 254].astype(np.int64))
+
+
+def _read_words(root: str, name: str, x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    for part, kind in ((name, "u1"), (f"{name}-large", "i8")):
+        keys, values = _load(root, part, ("u8", kind))
+        at, hit = _find(keys, x)
+        out[hit] = values[at[hit]]
+    return out
+
+
 # --- counting ----------------------------------------------------------------------------
 
 
@@ -188,29 +213,55 @@ def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[first], *(np.add.reduceat(v[order], first) if len(k) else v for v in values), order[first])
 
 
+def _code(words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that occur among ``ids``, and the places of all in this list."""
+    if ids.size > len(words) // 8:
+        used = np.zeros(len(words), bool)
+        used[ids] = True
+        return words[used], (np.cumsum(used) - 1)[ids]
+    used, at = np.unique(ids, return_inverse=True)
+    return words[used], at.reshape(ids.shape)
+
+
+def _width(known: np.ndarray) -> int:
+    return max(1, (len(known).bit_length() + 7) // 8)
+
+
 def _gram_rows(x: np.ndarray, size: int, counted: bool, rows: int) -> Iterator[tuple[int, bytes]]:
     """Distinct columns of ``x`` by the bucket of their last ``size`` tokens, as places in a list of
-    the payload's words; with their counts where ``counted``."""
+    the payload's words, byte by byte (the first token's sorted, as steps); with counts where ``counted``."""
     _, count, rep = _sums(gram_hash(x), np.ones(x.shape[1], np.int64))
+    words, ids = np.unique(x[-1], return_inverse=True)
     x = x[:, rep]
+    last, words = ids[rep], np.append(words, START)
+    ids = np.where(x[:-1] == START, len(words) - 1, np.searchsorted(words[:-1], x[:-1]))
+    ids = np.vstack([ids, last])
     bucket = bucket_of(context_hash(x[-size:-1]), x[-1], rows)
-    order = np.argsort((bucket.astype(U64) << U64(40)) | (x[0] >> U64(24)))
-    x, count, bucket = x[:, order], count[order], bucket[order]
+    del x
+    order = np.argsort((bucket << 32) | ids[0])
+    ids, count, bucket = ids[:, order], count[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *cuts], [*cuts, x.shape[1]]):
-        known, at = np.unique(x[:, a:b], return_inverse=True)
-        at = at.reshape(len(x), -1).astype(np.min_scalar_type(len(known)))
-        yield int(bucket[a]), _pack(known, *(v.view(np.uint8) for v in at), *(_narrow(count[a:b]) if counted else ()))
+    for a, b in zip([0, *cuts], [*cuts, len(count)]):
+        known, at = _code(words, ids[:, a:b])
+        at = np.ascontiguousarray(at, "<u4")
+        at[0, 1:] = np.diff(at[0])
+        planes = at.view(np.uint8).reshape(len(at), b - a, 4)[:, :, : _width(known)].transpose(0, 2, 1)
+        yield int(bucket[a]), _pack(known, planes.reshape(-1), *(_narrow(count[a:b]) if counted else ()))
 
 
 def _read_grams(payloads: pa.ChunkedArray, length: int, counted: bool) -> tuple[np.ndarray, np.ndarray]:
     """Distinct columns of all payloads and their summed counts."""
     xs, cs = [], []
     for raw in payloads:
-        known, *rest = _unpack(raw.as_buffer(), "u8", *["u1"] * length, *(("u1", "u4", "i8") if counted else ()))
-        xs.append(np.stack([known[v.view(np.min_scalar_type(len(known)))] for v in rest[:length]]))
+        known, planes, *c = _unpack(raw.as_buffer(), "u8", "u1", *(("u1", "u4", "i8") if counted else ()))
+        planes = planes.reshape(length, _width(known), -1)
+        at = np.zeros((length, planes.shape[2], 4), np.uint8)
+        at[:, :, : planes.shape[1]] = planes.transpose(0, 2, 1)
+        at = at.view("<u4")[:, :, 0]
+        at[0] = np.cumsum(at[0], dtype=np.uint32)
+        xs.append(known[at])
         if counted:
-            cs.append(_widen(*rest[length:]))
+            cs.append(_widen(*c))
     x = np.concatenate(xs, axis=1)
     _, count, rep = _sums(gram_hash(x), np.concatenate(cs) if counted else np.ones(x.shape[1], np.int64))
     return x[:, rep], count
@@ -361,25 +412,28 @@ def _count(texts: DataFrame, size: int, order: int, root: str, rows: int) -> dic
             if kind == CONTEXTS:
                 _store_counts(root, f"contexts-{size}-{at}", x, *sums)
             else:
-                _store(root, f"words-{size}-{at}", x, *(s.astype(np.uint64) for s in sums))
+                if counted:
+                    _store_words(root, f"tokens-{at}", x, sums[0])
+                if size == 2:
+                    _store_words(root, f"kinds-{at}", x, sums[1])
                 figures = np.array([len(x), sums[0].sum(), *_by_count(sums[1])])
         return pa.table({"kind": pa.array([kind], pa.int32()), "f": pa.array([figures.tolist()], pa.list_(pa.int64()))})
 
     names = ("n", "total", "of1", "of2", "of3", "of4")
-    got = (
-        texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(grams, _SENT)
-        .repartition(parts, "bucket").groupBy("bucket").applyInArrow(bucket, _PASSED)
-        .repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(totals, "kind int, f array<bigint>")
-        .groupBy("kind").agg(*[F.sum(F.col("f")[i]).alias(x) for i, x in enumerate(names)])
-    )
-    none = {kind: dict.fromkeys(names, 0) for kind in range(3)}
     with _freeing(texts.sparkSession):
+        got = (
+            texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(grams, _SENT)
+            .repartition(parts, "bucket").groupBy("bucket").applyInArrow(bucket, _PASSED)
+            .repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(totals, "kind int, f array<bigint>")
+            .groupBy("kind").agg(*[F.sum(F.col("f")[i]).alias(x) for i, x in enumerate(names)])
+        )
+        none = {kind: dict.fromkeys(names, 0) for kind in range(3)}
         return none | {r["kind"]: r.asDict() for r in got.collect()}  # three rows
 
 
 @contextmanager
 def _freeing(spark: SparkSession) -> Iterator[None]:
-    """Files of exchanges go at the end of the queries run inside."""
+    """Files of exchanges go at the end of the queries made and run inside."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "true")
@@ -409,16 +463,11 @@ def log_probabilities(model: KneserNey, x: np.ndarray) -> tuple[np.ndarray, np.n
     x = x[:, rep]
     y, of = np.unique(x[-1], return_inverse=True)
 
-    def words(size: int, column: int) -> np.ndarray:
-        def read(b: int, q: np.ndarray) -> np.ndarray:
-            keys, *values = _load(model.root, f"words-{size}-{b}", ("u8",) * 3)
-            at, hit = _find(keys, q)
-            return np.where(hit, values[column][at], 0) if len(keys) else np.zeros(len(q))
-
-        return _lookup(y, key_bucket(y, model.parts), 1, read)[0, of]
+    def words(name: str) -> np.ndarray:
+        return _lookup(y, key_bucket(y, model.parts), 1, lambda b, q: _read_words(model.root, f"{name}-{b}", q))[0, of]
 
     take = lambda v, d: v - np.choose(np.minimum(v, 3).astype(int), (0.0, *d))
-    p = take(words(2, 1), model.discounts[0]) / max(model.pairs, 1) + model.low_left / (model.vocabulary + 1)
+    p = take(words("kinds"), model.discounts[0]) / max(model.pairs, 1) + model.low_left / (model.vocabulary + 1)
     for size, d in zip(range(2, model.order + 1), model.discounts[1:]):
         u, w = context_hash(x[-size:-1]), x[-1]
         k, first, gram = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
@@ -427,7 +476,7 @@ def log_probabilities(model: KneserNey, x: np.ndarray) -> tuple[np.ndarray, np.n
         total, n1, n2, n3 = _lookup(v, key_bucket(v, model.parts), 4, lambda b, q: _read_counts(model.root, f"contexts-{size}-{b}", 4, q >> U64(16)))[:, ctx]
         left = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
         p = take(c, d) / np.maximum(total, 1) + left * p
-    return np.log10(p)[back], words(model.order, 0)[back]
+    return np.log10(p)[back], words("tokens")[back]
 
 
 def score(docs: DataFrame, model: KneserNey, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -114,13 +114,25 @@ def test_counts_of_any_size():
 def test_keys_that_share_their_first_bits(tmp_path):
     """Counts by 48-bit keys: neighbours that differ in the last 16 bits alone, large ones, unknown ones."""
     x = np.array([5 << 16, (5 << 16) + 1, (5 << 16) + 9, 7 << 16, (1 << 48) - 1], np.uint64)
-    a, b = np.array([1, 255, 3, 70_000, 2]), np.array([0, 1, 254, 5_000_000_000, 9])
+    a, b = np.array([1, 255, 3, 70_000, 2]), np.array([1, 1, 254, 5_000_000_000, 9])
     ngramlm._store_counts(f"file://{tmp_path}", "t", x, a, b)
     q = np.append(x, [0, (5 << 16) + 2, (7 << 16) + 1, (1 << 48) - 2]).astype(np.uint64)
     got = ngramlm._read_counts(f"file://{tmp_path}", "t", 2, q)
     assert got.tolist() == [[*a, 0, 0, 0, 0], [*b, 0, 0, 0, 0]]
 
 
+def test_payloads_hold_the_grams():
+    """Few and many distinct words (indices of one to three bytes) come back with their counts."""
+    for kinds in (3, 300, 70_000):
+        words = np.random.default_rng(kinds).integers(1, 2**63, kinds).astype(np.uint64)
+        x = np.resize(words, (3, 2 * kinds + 7)).copy()
+        x[1] = np.roll(x[0], 1)
+        x[0, ::5] = ngramlm.START
+        found = [ngramlm._read_grams([ngramlm.pa.scalar(raw, ngramlm.pa.binary())], 3, True) for _, raw in ngramlm._gram_rows(x, 3, True, 2)]
+        got = Counter({tuple(g): int(n) for grams, counts in found for g, n in zip(grams.T.tolist(), counts)})
+        assert got == Counter(map(tuple, x.T.tolist()))
+
+
 def test_a_pair_more_frequent_than_a_byte_holds(spark):
     """One pair 700 times: its score equals the formula on the whole counts."""
     model = ngramlm.fit(spark.createDataFrame([("a b " * 700,), ("a c",)], "text string"), 2)
