@@ -353,7 +353,8 @@ def q_nearest_point(lib, spark, d):
     return reads.nearest_point(p, 0.1, -0.05, 10.0).select("id", r("d").alias("d"))
 
 
-@query("SELECT 'full' AS model")
+@query("""SELECT model FROM (SELECT model, list_position(['clap', 'full', 'lo'], model) AS place FROM tv GROUP BY model HAVING count(DISTINCT track_id) >= 2)
+ORDER BY model NOT LIKE 'ollama:%', place NULLS LAST, model LIMIT 1""")
 def q_resolve_dataset(lib, spark, d):
     n = similarity.centroids(lib.track_vectors()).groupBy("model").agg(F.countDistinct("track_id").alias("n_tracks"))
     return spark.createDataFrame([(reads.resolve_dataset(n, ("clap", "full", "lo")),)], "model string")
