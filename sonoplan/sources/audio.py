@@ -1,8 +1,8 @@
 """Audio files: discovery, probing and decoding.
 
 Files are found on the driver (so that folders which can't be read are reported), probed and
-decoded where the data is. WAV needs nothing but the standard library; other containers go to
-command-line tools where these are installed.
+decoded where the data is. ``containers`` reads headers and uncompressed samples; what it doesn't
+know goes to command-line tools where these are installed.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import json
 import os
 import shutil
 import subprocess
-import wave
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import AUDIO_EXTENSIONS
+from . import containers
 
 MTIME_SLACK = 1e-6
 
@@ -65,52 +66,65 @@ def changed(found: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def decode_wav(raw: bytes) -> tuple[np.ndarray, int]:
-    """(samples averaged over channels as float32, rate) of a PCM file of 8, 16 or 32 bits."""
-    with wave.open(io.BytesIO(raw)) as w:
-        width, channels, rate, data = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
-    if width == 1:
-        x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
-    elif width in (2, 4):
-        x = np.frombuffer(data, f"<i{width}").astype(np.float64) / (1 << (8 * width - 1))
-    else:
-        raise ValueError(f"{8 * width} bits per sample can't be decoded")
-    return x.reshape(-1, channels).mean(1).astype(np.float32), rate
-
-
-def decode(raw: bytes, path: str, target_rate: int | None = None) -> tuple[np.ndarray, int]:
-    """Mono samples of any file: WAV directly, the rest through a decoder on the path."""
-    if raw[:4] == b"RIFF":
-        x, rate = decode_wav(raw)
-    else:
-        tool = shutil.which("ffmpeg")
-        if tool is None:
-            raise RuntimeError(f"{path}: no decoder for this container")
-        rate = target_rate or 48_000
-        p = subprocess.run([tool, "-v", "error", "-i", "-", "-f", "f32le", "-ac", "1", "-ar", str(rate), "-"], input=raw, capture_output=True, timeout=600)
-        if p.returncode:
-            raise RuntimeError(f"{path}: {p.stderr.decode(errors='replace')[:200]}")
-        x = np.frombuffer(p.stdout, "<f4")
-    if target_rate and rate != target_rate and len(x):
-        n = max(1, int(round(len(x) * target_rate / rate)))
-        x = np.interp(np.linspace(0, max(len(x) - 1, 1), n), np.linspace(0, max(len(x) - 1, 1), len(x)), x).astype(np.float32)
-        rate = target_rate
-    return x, rate
+    """(samples averaged over channels as float32, rate) of an uncompressed WAV file."""
+    if raw[:4] not in (b"RIFF", b"RF64"):
+        raise ValueError("not a WAV file")
+    return decode(raw, "wav")
+
+
+def resampled(x: np.ndarray, rate: int, target_rate: int | None) -> tuple[np.ndarray, int]:
+    """Samples (along the first axis) at another rate, by linear interpolation."""
+    if not target_rate or rate == target_rate or not len(x):
+        return x, rate
+    n = max(1, int(round(len(x) * target_rate / rate)))
+    old, new = np.linspace(0, max(len(x) - 1, 1), len(x)), np.linspace(0, max(len(x) - 1, 1), n)
+    line = lambda c: np.interp(new, old, c).astype(np.float32)
+    return (line(x) if x.ndim == 1 else np.stack([line(c) for c in x.T], 1)), target_rate
+
+
+def decode(raw: bytes, path: str, target_rate: int | None = None, mono: bool = True) -> tuple[np.ndarray, int]:
+    """Float32 samples of any file, averaged over channels or, unless ``mono``, as (n, channels).
+
+    Uncompressed WAV, AIFF and AU directly, the rest through a decoder on the path.
+    """
+    found = containers.samples(raw)
+    if found is not None:
+        x, rate = found
+        x = x.astype(np.float64).mean(1).astype(np.float32) if mono else x
+        return resampled(x, rate, target_rate)
+    tool = shutil.which("ffmpeg")
+    if tool is None:
+        raise RuntimeError(f"{path}: no decoder for this container")
+    about = probe(raw, path)
+    rate, channels = target_rate or about["sample_rate"] or 44_100, 1 if mono else about["channels"] or 2
+    p = subprocess.run([tool, "-v", "error", "-i", "-", "-f", "f32le", "-ac", str(channels), "-ar", str(rate), "-"], input=raw, capture_output=True, timeout=600)
+    if p.returncode:
+        raise RuntimeError(f"{path}: {p.stderr.decode(errors='replace')[:200]}")
+    x = np.frombuffer(p.stdout, "<f4")
+    return (x if mono else x[: len(x) // channels * channels].reshape(-1, channels)), rate
 
 
 def probe(raw: bytes, path: str) -> dict:
     """container, codec, sample_rate, channels, bit_depth, bitrate_kbps, duration_sec; unknown: None."""
-    out: dict = dict.fromkeys(("codec", "sample_rate", "channels", "bit_depth", "bitrate_kbps", "duration_sec"))
+    return probe_file(io.BytesIO(raw), path)
+
+
+def probe_file(f: BinaryIO, path: str) -> dict:
+    """As ``probe``, of a seekable file: by its header, or by a tool on the path where that says nothing."""
+    out: dict = dict.fromkeys(containers.FIELDS)
     out["container"] = os.path.splitext(path)[1].lower().lstrip(".") or None
-    if raw[:4] == b"RIFF":
-        try:
-            with wave.open(io.BytesIO(raw)) as w:
-                r, c, b = w.getframerate(), w.getnchannels(), 8 * w.getsampwidth()
-                out |= {"codec": "pcm", "sample_rate": r, "channels": c, "bit_depth": b, "bitrate_kbps": r * c * b / 1000, "duration_sec": w.getnframes() / r}
-        except (wave.Error, EOFError, ZeroDivisionError):
-            pass
-    elif tool := shutil.which("ffprobe"):
+    try:
+        found = containers.read_header(f)
+    except ValueError:
+        found = None
+    if found is not None:
+        return out | {k: v for k, v in found.items() if k != "container" or out["container"] is None}
+    f.seek(0)
+    head = f.read(4)
+    tool = shutil.which("ffprobe")
+    if tool and head != b"RIFF":
         try:
-            got = json.loads(subprocess.run([tool, "-v", "error", "-print_format", "json", "-show_format", "-show_streams", "-"], input=raw, capture_output=True, timeout=30).stdout or b"{}")
+            got = json.loads(subprocess.run([tool, "-v", "error", "-print_format", "json", "-show_format", "-show_streams", "-"], input=head + f.read(), capture_output=True, timeout=30).stdout or b"{}")
             s = next((s for s in got.get("streams", []) if s.get("codec_type") == "audio"), {})
             num = lambda v, kind: kind(v) if str(v or "").replace(".", "", 1).isdigit() else None
             rate = num(s.get("bit_rate"), float) or num(got.get("format", {}).get("bit_rate"), float)
@@ -190,4 +204,4 @@ def same_plan(stored: DataFrame, planned: DataFrame) -> DataFrame:
     return both.groupBy("track_id").agg(F.bool_and(F.coalesce(fit, F.lit(False))).alias("same"))
 
 
-__all__ = ["changed", "check_read_access", "decode", "decode_chunks", "decode_wav", "find_files", "listing", "probe", "probe_files", "read_contents", "same_plan"]
+__all__ = ["changed", "check_read_access", "decode", "decode_chunks", "decode_wav", "find_files", "listing", "probe", "probe_file", "probe_files", "read_contents", "resampled", "same_plan"]

@@ -14,8 +14,8 @@ from sonoplan import plugins
 from sonoplan.config import Config
 from sonoplan.operators import changes, jobs
 from sonoplan.schema import SCHEMAS
-from sonoplan.sources import audio, playlists, text
-from sonoplan.sources.store import Store, pack_vector, unpack_vector
+from sonoplan.sources import audio, datasource, playlists, text
+from sonoplan.sources.store import Conflict, Store, pack_vector, unpack_vector
 from sonoplan.streaming import scan
 
 
@@ -61,14 +61,73 @@ def test_discovery_and_scan(spark, tmp_path):
     assert third["probed"] == 2 and third["removed"] == 1 and store.read("tracks").count() == 14
 
 
-def test_stream_takes_each_file_once(spark, tmp_path):
-    root, store = tmp_path / "music", Store(spark, str(tmp_path / "store"))
-    write_wav(f"{root}/a.wav")
-    for n, extra in ((1, None), (2, "b")):
-        if extra:
-            write_wav(f"{root}/{extra}.wav")
-        scan.stream(spark, str(root), store, str(tmp_path / "checkpoint")).awaitTermination()
-        assert store.read("tracks").count() == n
+def test_rescans_follow_the_folder(spark, tmp_path):
+    """Files come, change and go between runs; each run opens and writes only what it concerns."""
+    root, store, checkpoint = tmp_path / "music", Store(spark, str(tmp_path / "store")), str(tmp_path / "checkpoint")
+    other = tuple({"track_id": 5, "folder_id": 2, "path": "/elsewhere.wav", "status": "new"}.get(f.name) for f in SCHEMAS["tracks"])
+    store.write("tracks", spark.createDataFrame([other], SCHEMAS["tracks"]))
+    for k in "abc":
+        write_wav(f"{root}/d/{k} ü.wav")
+
+    def tracks():
+        return {os.path.basename(r["path"]): r["duration_sec"] for r in store.read("tracks").where("folder_id = 1").collect()}
+
+    scan.rescan(spark, str(root), store, checkpoint)
+    assert tracks() == {"a ü.wav": 1.0, "b ü.wav": 1.0, "c ü.wav": 1.0}
+    store.set_status(store.read("tracks").where("path LIKE '%c ü.wav'").first()["track_id"], "error", "mine")
+    write_wav(f"{root}/d/b ü.wav", 2.0)
+    os.remove(root / "d" / "a ü.wav")
+    write_wav(f"{root}/e.wav", 3.0)
+    scan.rescan(spark, str(root), store, checkpoint)
+    assert tracks() == {"b ü.wav": 2.0, "c ü.wav": 1.0, "e.wav": 3.0}
+    before = store.versions()
+    scan.rescan(spark, str(root), store, checkpoint)
+    assert store.versions() == before  # nothing to change, nothing written
+    for k in ("d/b ü.wav", "d/c ü.wav", "e.wav"):
+        os.remove(root / k)
+    scan.rescan(spark, str(root), store, checkpoint)
+    assert tracks() == {} and store.read("tracks").count() == 1
+
+
+def test_audio_source(spark, tmp_path):
+    datasource.register(spark)
+    paths = [f"{tmp_path}/m/{k} ü+.wav" for k in range(6)]
+    for k, p in enumerate(paths):
+        write_wav(p, 1.0 + k / 2, channels=2)
+    (tmp_path / "m" / "bad.flac").write_bytes(b"fLaC")
+    (tmp_path / "m" / "notes.txt").write_text("x")
+    got = {r["path"]: r for r in spark.read.format("audio").load(f"{tmp_path}/m").collect()}
+    assert sorted(got) == sorted([*paths, f"{tmp_path}/m/bad.flac"])
+    assert [got[p]["duration_sec"] for p in paths] == [1.0 + k / 2 for k in range(6)] and got[paths[0]]["channels"] == 2
+    assert got[f"{tmp_path}/m/bad.flac"]["codec"] is None and got[f"{tmp_path}/m/bad.flac"]["container"] == "flac"
+    read = spark.read.format("audio").option("partitionBytes", 1).option("openBytes", 1)
+    parts = read.schema("path string, size_bytes bigint").load(f"{tmp_path}/m")
+    assert parts.rdd.getNumPartitions() == 7
+    whole = spark.read.format("audio").schema("content binary, path string").load(f"{tmp_path}/m/3 ü+.wav").collect()
+    assert [(bytes(r["content"]), r["path"]) for r in whole] == [(open(paths[3], "rb").read(), paths[3])]
+    assert spark.read.format("audio").schema("path string").load(f"{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="no such columns"):
+        spark.read.format("audio").schema("path string, colour int").load(f"{tmp_path}/m").collect()
+
+
+def test_a_listing_opens_nothing_and_headers_are_enough(tmp_path, monkeypatch):
+    from pyspark.sql.types import StructType
+
+    from sonoplan.sources import containers
+
+    write_wav(f"{tmp_path}/a.wav", 30.0)
+    files = datasource.list_files(str(tmp_path))
+    part, = datasource.plan(str(tmp_path), files, False, {}, 0)
+    read, seen = containers._take, []
+    monkeypatch.setattr(containers, "_take", lambda f, n: seen.append(n) or read(f, n))
+    schema = datasource.to_arrow_schema(StructType.fromDDL("path string, size_bytes bigint, duration_sec double"))
+    rows = [r for b in datasource.read_files(part, schema.names, schema) for r in b.to_pylist()]
+    assert rows == [{"path": f"{tmp_path}/a.wav", "size_bytes": 480_044, "duration_sec": 30.0}] and sum(seen) < 200
+    seen.clear()
+    list(datasource.read_files(part, schema.names[:2], schema.remove(2)))
+    assert not seen
+    sizes = [(str(k), 100, 0.0) for k in range(10)]
+    assert [len(p.files) for p in datasource.plan("/", sizes, True, {"partitionbytes": "330", "openbytes": "10"}, 0)] == [3, 3, 3, 1]
 
 
 def test_analysis_of_files(spark, tmp_path):
@@ -200,6 +259,141 @@ def test_a_failed_change_changes_nothing(spark, tmp_path):
     assert s.manifest() == before and s.read("chunks").count() == 12
 
 
+def tree_bytes(root):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names)
+
+
+def setting(spark, key, value="v"):
+    return spark.createDataFrame([(key, value)], "key string, value string")
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    a, b = (Store(spark, str(tmp_path)) for _ in range(2))
+    a.write("settings", setting(spark, "k"))
+    # b commits another table while a is at work: both survive.
+    change = a.change()
+    change.write("settings", change.read("settings").unionByName(setting(spark, "from a")))
+    b.write("tags", spark.createDataFrame([(1, "m", "t", 0.5)], SCHEMAS["tags"]))
+    assert change.commit() == 3
+    assert a.read("tags").count() == 1 and b.read("settings").count() == 2
+    # b commits the same table, written or only read: the change is refused whole.
+    for use in ("write", "read"):
+        change = a.change()
+        if use == "write":
+            change.write("settings", setting(spark, "lost"))
+        else:
+            change.read("settings")
+        change.write("folders", spark.createDataFrame([(9, "/x", None)], SCHEMAS["folders"]))
+        b.write("settings", b.read("settings").unionByName(setting(spark, f"from b, {use}")))
+        with pytest.raises(Conflict, match="settings"):
+            change.commit()
+        assert a.read("folders").count() == 0
+    # The same through plain reads and writes.
+    old = a.read("settings")
+    b.put_setting("k", "new")
+    with pytest.raises(Conflict):
+        a.write("settings", old)
+    a.write("settings", a.read("settings").where("key != 'from a'"))
+    assert {r["key"]: r["value"] for r in b.read("settings").collect()} == {"k": "new", "from b, write": "v", "from b, read": "v"}
+
+
+def test_interleaved_calls(spark, tmp_path, monkeypatch):
+    a, b = (Store(spark, str(tmp_path)) for _ in range(2))
+    publish, first = Store._publish, []
+
+    def late(self, state):
+        if self is a and not first:
+            first.append(True)
+            b.write_all({"settings": setting(spark, "b")})
+        return publish(self, state)
+
+    monkeypatch.setattr(Store, "_publish", late)
+    a.write_all({"folders": spark.createDataFrame([(1, "/x", None)], SCHEMAS["folders"])})  # its number is taken meanwhile
+    assert a.versions() == [1, 2] and a.read("settings").count() == 1 and a.read("folders").count() == 1
+    first.clear()
+    with pytest.raises(Conflict):
+        a.write_all({"settings": setting(spark, "a")})
+    assert [r["key"] for r in a.read("settings").collect()] == ["b"]
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def put(k):
+        Store(spark, str(tmp_path), most_parts=100).put_setting(f"k{k % 6}", str(k))
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(put, range(18)))
+    s = Store(spark, str(tmp_path))
+    got = {r["key"]: int(r["value"]) for r in s.read("settings").collect()}
+    assert len(got) == 6 and all(v % 6 == int(k[1:]) for k, v in got.items()) and s.versions() == list(range(1, 19))
+
+
+def test_small_changes_write_little(spark, tmp_path):
+    s = Store(spark, str(tmp_path), most_parts=100)
+    blank = lambda **v: tuple(v.get(f.name) for f in SCHEMAS["tracks"])
+    s.write("tracks", spark.range(20_000).select(F.col("id").alias("track_id"), F.sha2(F.col("id").cast("string"), 256).alias("path"), F.lit("new").alias("status")))
+    s.write("tracks", spark.createDataFrame(s.read("tracks").rdd.map(lambda r: blank(track_id=r["track_id"], path=r["path"], status="new")), SCHEMAS["tracks"]))
+    size, log = tree_bytes(tmp_path / "tracks"), tree_bytes(tmp_path / "_log")
+    s.set_status(7, "analyzed")
+    s.set_status(8, "error", "why")
+    s.put_setting("a", "1")
+    s.put_setting("a", "2")
+    assert tree_bytes(tmp_path / "tracks") - size < 0.05 * size and tree_bytes(tmp_path / "settings") < 10_000 and tree_bytes(tmp_path / "_log") < log + 10_000
+    got = {r["track_id"]: r for r in s.read("tracks").where("status != 'new'").collect()}
+    assert set(got) == {7, 8} and got[7]["last_analyzed_at"] and got[8]["status_message"] == "why" and s.read("tracks").count() == 20_000
+    assert [(r["key"], r["value"]) for r in s.read("settings").collect()] == [("a", "2")]
+    with pytest.raises(ValueError, match="unknown status"):
+        s.set_status(7, "lost")
+
+
+def test_merged_parts_equal_the_full_rewrite(spark, tmp_path):
+    """Changes of all kinds at random, by parts of few and of many, against a dict."""
+    rng = np.random.default_rng(2)
+    schema = "chunk_id bigint, model string, text string, score double"
+    for most in (2, 50):
+        s, want = Store(spark, f"{tmp_path}/{most}", most_parts=most), {}
+        for step in range(6):
+            ids = rng.choice(12, 4, replace=False)
+            rows = [(None if i == 11 else int(i), "m", f"s{step}", float(step)) for i in ids[:3]]
+            gone = [(int(ids[3]),)] if step % 2 else None
+            s.merge("tags", spark.createDataFrame(rows, schema), ["chunk_id"], None if gone is None else spark.createDataFrame(gone, "chunk_id bigint"))
+            for (g,) in gone or ():
+                want.pop(g, None)
+            want |= {r[0]: r for r in rows}
+            if step == 4:  # a list by another key
+                s.merge("tags", None, ["text"], spark.createDataFrame([("s3",)], "text string"))
+                want = {k: r for k, r in want.items() if r[2] != "s3"}
+            assert sorted(map(str, want.values())) == sorted(str(tuple(r)) for r in s.read("tags").collect())
+            assert len(s.manifest()["tables"]["tags"]["parts"]) <= most
+        full = s.read("tags").collect()
+        s.compact("tags")
+        assert len(s.manifest()["tables"]["tags"]["parts"]) == 1 and sorted(map(str, s.read("tags").collect())) == sorted(map(str, full))
+    s.merge("tags", spark.createDataFrame([(1, "m", "again", 0.0)], schema))  # no key: a plain append
+    assert s.read("tags").count() == len(full) + 1
+    with pytest.raises(ValueError, match="key"):
+        s.merge("tags", None, gone=s.read("tags"))
+
+
+def test_tables_of_the_former_layout(spark, tmp_path):
+    setting(spark, "old").write.parquet(f"{tmp_path}/settings/abc")
+    (tmp_path / "MANIFEST").write_text(json.dumps({"tables": {"settings": "abc"}, "old": []}))
+    s = Store(spark, str(tmp_path))
+    s.put_setting("new", "1")
+    assert sorted(r["key"] for r in s.read("settings").collect()) == ["new", "old"]
+
+
+def test_files_last_until_vacuum(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    for k in range(5):
+        s.write("settings", setting(spark, f"k{k}"))
+    old = s.read("settings", version=1)  # a long read, and one back in time
+    assert s.vacuum() == 0 and [r["key"] for r in old.collect()] == ["k0"] and s.versions() == [1, 2, 3, 4, 5]
+    change = s.change()
+    change.write("settings", setting(spark, "never"))  # not committed
+    assert s.vacuum(older_than=-60) == 5 and s.versions() == [5] and [r["key"] for r in s.read("settings").collect()] == ["k4"]
+
+
 def test_vectors_come_from_bytes(spark):
     df = spark.createDataFrame([(np.array([1.5, -2], "<f4").tobytes(),), (None,), (b"",)], "b binary")
     assert [r[0] for r in df.select(unpack_vector(F.col("b"))).collect()] == [[1.5, -2.0], None, []]
