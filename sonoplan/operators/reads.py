@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, vectors
 from ..plans.library import Library
-from ..schema import MODEL_ORDER
+from ..schema import MODEL_ORDER, Dataset
 
 # --- lookups and listings ----------------------------------------------------------------
 
@@ -304,17 +305,82 @@ def nearest_point(points: DataFrame, x: float, y: float, radius: float = 10.0) -
     return points.withColumn("d", d).where(F.col("d") <= radius).orderBy("d", "id").limit(1).select("id", "d")
 
 
+def numbered(rows: DataFrame, order: str, name: str, buckets: int | None = None) -> DataFrame:
+    """``rows`` with their place from 0 on in ``order`` (a number, each once, not null), numbered where
+    they are: quantiles cut the range into buckets, each is numbered by itself, and starts after those
+    before it. The driver holds a border and a count per bucket."""
+    spark = rows.sparkSession
+    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    borders = rows.agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    borders = sorted(set(borders)) if n > 1 else []
+    bucket = reduce(lambda a, b: a + b, [(F.col(order) > b).cast("int") for b in borders], F.lit(0))
+    dealt = rows.withColumn("_bucket", bucket)
+    sizes = {r["_bucket"]: r["n"] for r in dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = [sum(sizes.get(j, 0) for j in range(k)) for k in range(len(borders) + 1)]
+    own = F.row_number().over(W.partitionBy("_bucket").orderBy(order)) - 1
+    return dealt.withColumn(name, own + F.element_at(F.array(*[F.lit(x).cast("bigint") for x in starts]), F.col("_bucket") + 1)).drop("_bucket")
+
+
 def track_colors(points: DataFrame) -> DataFrame:
-    """Colour number of each track, in order of its first point."""
-    first = points.groupBy("track_id").agg(F.min("pos").alias("first"))
-    return first.select("track_id", (F.row_number().over(W.orderBy("first")) - 1).alias("color"))  # a row per track
+    """Colour number of each track, in order of its first point (``pos``, one track's alone)."""
+    return numbered(points.groupBy("track_id").agg(F.min("pos").alias("first")), "first", "color").select("track_id", F.col("color").cast("int").alias("color"))
+
+
+def dataset_tracks(have: DataFrame, seed: int | None = None) -> DataFrame:
+    """Per dataset of ``have`` (track_id, model): its number of tracks, and whether the seed is one."""
+    own = F.lit(False) if seed is None else F.coalesce(F.bool_or(F.col("track_id") == seed), F.lit(False))
+    return have.groupBy("model").agg(F.countDistinct("track_id").alias("n_tracks"), own.alias("has_seed"))
 
 
-def resolve_dataset(counts: DataFrame, order: Sequence[str] = MODEL_ORDER) -> str | None:
-    """What ``auto`` means: a text dataset first, then models in order; two tracks at least."""
-    have = {r["model"] for r in counts.where("n_tracks >= 2").select("model").collect()}  # a row per dataset
-    text = sorted(m for m in have if m.startswith("ollama:"))
-    return next(iter([*text, *(m for m in order if m in have), *sorted(m for m in have if m not in order and not m.startswith(("ollama:", "red:")))]), None)
+def resolve_dataset(have: DataFrame, order: Sequence[str] = MODEL_ORDER, seed: int | None = None, wanted: str = "auto") -> str:
+    """The dataset that a search by centroids uses, of those in ``have`` (track_id, model).
+
+    ``auto`` takes a text dataset first, then models in order, then others by name; reductions never.
+    A dataset needs two tracks, the seed among them where there is one. A dataset that is named must
+    fulfil that too (a reduction or text dataset needs two tracks; what its seed lacks the search says).
+    ValueError if none does.
+    """
+    kind = Dataset(wanted).kind
+    if kind == "reduction" and not wanted[4:].isdigit():
+        raise ValueError(f"unknown reduction {wanted!r}")
+    if kind != "auto":
+        have = have.where(F.col("model") == wanted)
+    fit = {r["model"]: r["has_seed"] for r in dataset_tracks(have, seed).where("n_tracks >= 2").collect()}  # a row per dataset
+    if kind == "model" and seed is not None:
+        fit = {m: own for m, own in fit.items() if own}
+    if kind != "auto":
+        if wanted not in fit:
+            raise ValueError(f"dataset {wanted!r} can't be compared: it needs two analysed tracks" + (f", track {seed} among them" if seed is not None and kind == "model" else ""))
+        return wanted
+    usable = [m for m, own in fit.items() if (own or seed is None) and not m.startswith("red:")]
+    text = sorted(m for m in usable if m.startswith("ollama:"))
+    named = [*text, *(m for m in order if m in usable), *sorted(m for m in usable if m not in order and m not in text)]
+    if not named:
+        raise ValueError("no dataset has two tracks" + (f", track {seed} among them" if seed is not None else ""))
+    return named[0]
+
+
+def dataset_choices(models: Sequence[tuple[str, str]], lib: Library, aggregates: DataFrame, reductions: DataFrame) -> DataFrame:
+    """Rows of a dataset picker: place, dataset, title, n_tracks, enabled, outdated.
+
+    Registered models (name, title) in their order, enabled where there are chunk vectors; reductions,
+    outdated where they cover fewer vectors than their model has now; then text datasets by name.
+    """
+    spark = lib.spark
+    counts = dataset_tracks(aggregates).select(F.col("model").alias("dataset"), "n_tracks")
+    now = lib.vectors.groupBy("model").agg(F.count(F.lit(1)).alias("current"))
+    known = spark.createDataFrame([(k, *m) for k, m in enumerate(models)], "n bigint, dataset string, title string")
+    first = known.join(now.withColumnRenamed("model", "dataset"), "dataset", "left").select(F.lit(0).alias("g"), "n", "dataset", "title", F.col("current").isNotNull().alias("enabled"), F.lit(False).alias("outdated"))
+    alive = lib.reduced.join(lib.vectors.select("chunk_id", "model"), "chunk_id").join(reductions.select("reduction_id", F.col("source_model").alias("model")), ["reduction_id", "model"], "left_semi")
+    covered = alive.groupBy("reduction_id").agg(F.countDistinct("chunk_id").alias("covered"))
+    red = reductions.join(covered, "reduction_id", "left").join(now.withColumnRenamed("model", "source_model"), "source_model", "left")
+    late = F.coalesce("covered", F.lit(0)) < F.coalesce("current", F.lit(0))
+    second = red.select(F.lit(1).alias("g"), F.col("reduction_id").alias("n"), F.concat(F.lit("red:"), F.col("reduction_id").cast("string")).alias("dataset"), F.col("name").alias("title"), F.lit(True).alias("enabled"), late.alias("outdated"))
+    text = counts.where(F.startswith("dataset", F.lit("ollama:")))
+    third = text.select(F.lit(2).alias("g"), F.lit(0).cast("bigint").alias("n"), "dataset", F.concat(F.lit("Description ("), F.substr("dataset", F.lit(8)), F.lit(")")).alias("title"), F.lit(True).alias("enabled"), F.lit(False).alias("outdated"))
+    rows = first.unionByName(second).unionByName(third).join(counts, "dataset", "left")
+    place = F.row_number().over(W.orderBy("g", "n", "dataset"))  # a row per dataset
+    return rows.select(place.alias("place"), "dataset", "title", F.coalesce("n_tracks", F.lit(0)).alias("n_tracks"), "enabled", "outdated")
 
 
 def chunk_grid(lib: Library) -> DataFrame:

@@ -10,7 +10,6 @@ components, for which array expressions are far slower); everything else is expr
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ from ..functions import scalars, vectors
 from ..plans.library import Library
 from ..schema import Dataset, algorithm_of
 from . import reads
+from .derive import matrix_of
 
 #: Cosines are compared after rounding, so that equal objectives stay ties in any engine.
 TIE_DIGITS = 9
@@ -78,55 +78,83 @@ def centroid_matrix(aggregates: DataFrame, model: str) -> DataFrame:
     return a.join(b, ["i", "j"]).where("a < b").select("a", "b", vectors.dot("x", "y").alias("score"))
 
 
-def objectives(track_vectors: DataFrame, aggregates: DataFrame, track_id: int) -> DataFrame:
-    """Cosine of each chunk of a track to its centroid, one value per model of the track in the
-    order of names; -1 where the chunk lacks the model: chunk_id, objectives."""
-    own = track_vectors.where(F.col("track_id") == track_id)
-    c = aggregates.where(F.col("track_id") == track_id).select("model", F.col("v").alias("c"))
-    cos = own.join(F.broadcast(c), "model").select("chunk_id", "model", F.round(vectors.cosine("v", "c"), TIE_DIGITS).alias("o"))
-    names = cos.agg(F.array_sort(F.collect_set("model")).alias("names"))  # one row
-    per = cos.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("model", "o"))).alias("m")).crossJoin(F.broadcast(names))
-    return per.select("chunk_id", F.transform("names", lambda n: F.coalesce(F.element_at("m", n), F.lit(-1.0))).alias("objectives"))
+def _among(column: str, tracks: int | Sequence[int]) -> Column:
+    return F.col(column).isin([tracks] if isinstance(tracks, int) else list(tracks))
 
 
-def pareto_surface(points: DataFrame) -> DataFrame:
-    """Points (chunk_id, objectives) that no other dominates: as good in all, better in one. Ties stay.
+def objectives(track_vectors: DataFrame, aggregates: DataFrame, tracks: int | Sequence[int]) -> DataFrame:
+    """Cosine of each chunk of a track (or of several) to the track's centroid, one value per model of
+    the track in the order of names; -1 where the chunk lacks the model: track_id, chunk_id, objectives."""
+    own = track_vectors.where(_among("track_id", tracks))
+    c = aggregates.where(_among("track_id", tracks)).select("track_id", "model", F.col("v").alias("c"))
+    cos = own.join(c, ["track_id", "model"]).select("track_id", "chunk_id", "model", F.round(vectors.cosine("v", "c"), TIE_DIGITS).alias("o"))
+    names = cos.groupBy("track_id").agg(F.array_sort(F.collect_set("model")).alias("names"))
+    per = cos.groupBy("track_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("model", "o"))).alias("m")).join(names, "track_id")
+    return per.select("track_id", "chunk_id", F.transform("names", lambda n: F.coalesce(F.element_at("m", n), F.lit(-1.0))).alias("objectives"))
+
 
-    The points are the chunks of one track; ragged ones count as -inf where they end.
+def pareto_surface(points: DataFrame) -> DataFrame:
+    """Points (chunk_id, objectives) that no other of their track dominates: as good in all, better in
+    one. Ties stay. Without a track_id all points are one track's; ragged ones count as -inf where they end.
     """
     low = F.lit(float("-inf"))
-    both = points.select(F.col("chunk_id").alias("d"), F.col("objectives").alias("p"))
+    track = F.col("track_id") if "track_id" in points.columns else F.lit(0)
+    points = points.withColumn("_t", track)
+    both = points.select(F.col("_t").alias("_o"), F.col("objectives").alias("p"))
     pair = lambda f: F.forall(F.zip_with("p", "objectives", lambda x, y: F.struct(F.coalesce(x, low).alias("x"), F.coalesce(y, low).alias("y"))), f)
     better = pair(lambda z: z["x"] >= z["y"]) & ~pair(lambda z: z["x"] <= z["y"])
-    return points.join(F.broadcast(both), better, "left_anti")
+    return points.join(both, (F.col("_t") == F.col("_o")) & better, "left_anti").drop("_t")
+
 
+def surface_single(track_vectors: DataFrame, aggregates: DataFrame, tracks: int | Sequence[int], model: str) -> DataFrame:
+    """Chunks of a track (or of several) that are nearest to its centroid in one model, with their cosine."""
+    own = track_vectors.where(_among("track_id", tracks) & (F.col("model") == model))
+    c = aggregates.where(_among("track_id", tracks) & (F.col("model") == model)).select("track_id", F.col("v").alias("c"))
+    cos = own.join(c, "track_id").select("track_id", "chunk_id", F.round(vectors.cosine("v", "c"), TIE_DIGITS).alias("score"))
+    return cos.withColumn("r", F.rank().over(W.partitionBy("track_id").orderBy(F.col("score").desc()))).where("r = 1").select("chunk_id", "score")
 
-def surface_single(track_vectors: DataFrame, aggregates: DataFrame, track_id: int, model: str) -> DataFrame:
-    """Chunks of a track that are nearest to its centroid in one model, with their cosine."""
-    own = track_vectors.where((F.col("track_id") == track_id) & (F.col("model") == model))
-    c = aggregates.where((F.col("track_id") == track_id) & (F.col("model") == model)).select(F.col("v").alias("c"))
-    cos = own.crossJoin(F.broadcast(c)).select("chunk_id", F.round(vectors.cosine("v", "c"), TIE_DIGITS).alias("score"))  # one centroid
-    return cos.withColumn("r", F.rank().over(W.orderBy(F.col("score").desc()))).where("r = 1").drop("r")
 
+#: Unit vectors of a track: per model (size, matrix) for each size that occurs.
+Matrices = dict[str, list[tuple[int, np.ndarray]]]
 
-def seed_matrices(rows: DataFrame, seed: int) -> dict[str, list[tuple[int, np.ndarray]]]:
-    """Unit vectors of one track on the driver, per model as (size, matrix) for each size that occurs."""
-    by: dict[str, dict[int, list]] = {}
-    for r in rows.where(F.col("track_id") == seed).select("model", vectors.unit("v").alias("v"), "chunk_id").orderBy("model", "chunk_id").collect():
-        by.setdefault(r["model"], {}).setdefault(len(r["v"]), []).append(r["v"])
-    return {m: [(d, np.asarray(v, np.float64)) for d, v in sorted(sizes.items())] for m, sizes in by.items()}
 
+def seed_matrices(rows: DataFrame, seeds: Sequence[int]) -> dict[int, Matrices]:
+    """Unit vectors of stated tracks on the driver, read in one pass."""
+    by: dict[int, dict[str, dict[int, list]]] = {}
+    own = rows.where(_among("track_id", seeds)).select("track_id", "model", vectors.unit("v").alias("v"), "chunk_id")
+    for r in own.orderBy("track_id", "model", "chunk_id").collect():
+        by.setdefault(r["track_id"], {}).setdefault(r["model"], {}).setdefault(len(r["v"]), []).append(r["v"])
+    return {t: {m: [(d, np.asarray(v, np.float64)) for d, v in sorted(sizes.items())] for m, sizes in models.items()} for t, models in by.items()}
 
-_MET = "track_id bigint, model string, n bigint, low double, misfit boolean, best array<double>"
 
+_MET = "seed bigint, track_id bigint, model string, n bigint, low double, misfit boolean, best array<double>"
+#: Seed vectors that a batch meets at once.
+MEET_COLUMNS = 1024
 
-def _meet(rows: DataFrame, own: dict[str, list[tuple[int, np.ndarray]]]) -> DataFrame:
-    """Cosines of all chunks with the seed's vectors, block by block as matrix products.
 
-    A row per batch, track and model: n chunks, ``low`` the sum of their least costs, ``best``
+def _groups(own: dict[int, Matrices], model: str) -> Iterator[list[tuple[int, list[tuple[int, np.ndarray]]]]]:
+    """The seeds that have a model, so many at once that their vectors stay under MEET_COLUMNS."""
+    group, width = [], 0
+    for seed, models in own.items():
+        if parts := models.get(model):
+            size = sum(len(s) for _, s in parts)
+            if group and width + size > MEET_COLUMNS:
+                yield group
+                group, width = [], 0
+            group.append((seed, parts))
+            width += size
+    if group:
+        yield group
+
+
+def _meet(rows: DataFrame, own: dict[int, Matrices]) -> DataFrame:
+    """Cosines of all chunks with the seeds' vectors, block by block as matrix products.
+
+    A row per batch, seed, track and model: n chunks, ``low`` the sum of their least costs, ``best``
     the highest cosine that each seed vector meets, ``misfit`` if some sizes differ (those
     cosines are 0). What leaves a batch doesn't grow with its pairs.
     """
+    names = sorted({m for models in own.values() for m in models})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,56 +162,71 @@ def _meet(rows: DataFrame, own: dict[str, list[tuple[int, np.ndarray]]]) -> Data
             off = b.column(2).offsets.to_numpy()
             flat = b.column(2).values.to_numpy(zero_copy_only=False)
             out = []
-            for m, parts in own.items():
+            for m in names:
                 mine = np.flatnonzero(model == m)
                 if not len(mine):
                     continue
-                size = np.diff(off)[mine]
-                cos = np.zeros((len(mine), sum(len(s) for _, s in parts)))
-                at = 0
-                for d, s in parts:
-                    k = np.flatnonzero(size == d)
-                    v = flat[off[mine[k]][:, None] + np.arange(d)].astype(np.float64)
-                    norm = np.linalg.norm(v, axis=1, keepdims=True)
-                    cos[k, at : at + len(s)] = np.clip(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ s.T, -1, 1)
-                    at += len(s)
-                misfit = np.ones(len(mine), bool) if len(parts) > 1 else size != parts[0][0]
-                order = np.argsort(track[mine], kind="stable")
-                t = track[mine][order]
-                for g in np.split(order, np.flatnonzero(np.diff(t)) + 1):
-                    c = cos[g]
-                    out.append((int(track[mine[g[0]]]), m, len(g), float((1 - c.max(1)).sum()), bool(misfit[g].any()), c.max(0).tolist()))
-            cols = list(zip(*out)) or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.float64()))
+                mine = mine[np.argsort(track[mine], kind="stable")]
+                size, tracks = np.diff(off)[mine], track[mine]
+                ends = np.flatnonzero(np.diff(tracks, append=tracks[-1] + 1)) + 1
+                units: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                for group in _groups(own, m):
+                    cos, place, spans = np.zeros((len(mine), sum(len(s) for _, parts in group for _, s in parts))), 0, []
+                    wide: dict[int, list[tuple[int, np.ndarray]]] = {}
+                    for seed, parts in group:
+                        start = place
+                        for d, s in parts:
+                            wide.setdefault(d, []).append((place, s))
+                            place += len(s)
+                        spans.append((seed, start, place, np.ones(len(mine), bool) if len(parts) > 1 else size != parts[0][0]))
+                    for d, parts in wide.items():
+                        if d not in units:
+                            k = np.flatnonzero(size == d)
+                            v = flat[off[mine[k]][:, None] + np.arange(d)].astype(np.float64)
+                            norm = np.linalg.norm(v, axis=1, keepdims=True)
+                            units[d] = k, np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+                        k, v = units[d]
+                        columns = np.concatenate([np.arange(at, at + len(s)) for at, s in parts])
+                        cos[np.ix_(k, columns)] = np.clip(v @ np.concatenate([s for _, s in parts]).T, -1, 1)
+                    begin = 0
+                    for end in ends:
+                        best = cos[begin:end].max(0)
+                        for seed, first, last, misfit in spans:
+                            c = cos[begin:end, first:last]
+                            out.append((seed, int(tracks[begin]), m, int(end - begin), float((1 - c.max(1)).sum()), bool(misfit[begin:end].any()), best[first:last]))
+                        begin = end
+            cols = list(zip(*out)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _MET.split(", ")])
 
-    mine = rows.where(F.col("model").isin(list(own))) if own else rows.limit(0)
+    mine = rows.where(F.col("model").isin(names)) if names else rows.limit(0)
     return mine.select("track_id", "model", "v").mapInArrow(run, _MET)
 
 
 def _best_mean(met: DataFrame, value) -> DataFrame:
-    """Per track and model the mean over the seed's vectors of what they meet best."""
-    best = met.select("track_id", "model", F.posexplode("best").alias("k", "x")).groupBy("track_id", "model", "k").agg(F.max("x").alias("x"))
-    return best.groupBy("track_id", "model").agg(F.avg(value(F.col("x"))).alias("x"))
+    """Per seed, track and model the mean over the seed's vectors of what they meet best."""
+    best = met.select("seed", "track_id", "model", F.posexplode("best").alias("k", "x")).groupBy("seed", "track_id", "model", "k").agg(F.max("x").alias("x"))
+    return best.groupBy("seed", "track_id", "model").agg(F.avg(value(F.col("x"))).alias("x"))
 
 
-def psvi_scores(rows: DataFrame, seed: int, surface: DataFrame) -> DataFrame:
-    """Per candidate: over the common models the mean of (mean over the seed's surface chunks of
+def psvi_scores(rows: DataFrame, seeds: Sequence[int], surface: DataFrame) -> DataFrame:
+    """Per seed and candidate: over the common models the mean of (mean over the seed's surface chunks of
     the best cosine any chunk of the candidate reaches). Unequal sizes give 0."""
-    own = seed_matrices(rows.join(F.broadcast(surface.select("chunk_id")), "chunk_id", "left_semi"), seed)  # chunks of one track
-    met = _meet(rows.where(F.col("track_id") != seed), own)
-    return _best_mean(met, lambda x: x).groupBy("track_id").agg(F.avg("x").alias("score"))
+    own = seed_matrices(rows.where(_among("track_id", seeds)).join(surface.select("chunk_id"), "chunk_id", "left_semi"), seeds)
+    met = _meet(rows.where(~_among("track_id", seeds)), own)
+    return _best_mean(met, lambda x: x).groupBy("seed", "track_id").agg(F.avg("x").alias("score"))
 
 
-def chamfer_scores(rows: DataFrame, seed: int) -> DataFrame:
+def chamfer_scores(rows: DataFrame, seeds: Sequence[int]) -> DataFrame:
     """1 / (1 + mean over common models of the chamfer distance); models of unequal size drop out."""
-    met = _meet(rows.where(F.col("track_id") != seed), seed_matrices(rows, seed))
-    mine = met.groupBy("track_id", "model").agg((F.sum("low") / F.sum("n")).alias("a"), F.bool_or("misfit").alias("misfit")).where(~F.col("misfit"))
-    d = mine.join(_best_mean(met, lambda x: 1 - x), ["track_id", "model"]).groupBy("track_id").agg(F.avg((F.col("a") + F.col("x")) / 2).alias("d"))
-    return d.select("track_id", (1 / (1 + F.col("d"))).alias("score"))
+    met = _meet(rows.where(~_among("track_id", seeds)), seed_matrices(rows, seeds))
+    key = ["seed", "track_id", "model"]
+    mine = met.groupBy(*key).agg((F.sum("low") / F.sum("n")).alias("a"), F.bool_or("misfit").alias("misfit")).where(~F.col("misfit"))
+    d = mine.join(_best_mean(met, lambda x: 1 - x), key).groupBy("seed", "track_id").agg(F.avg((F.col("a") + F.col("x")) / 2).alias("d"))
+    return d.select("seed", "track_id", (1 / (1 + F.col("d"))).alias("score"))
 
 
-def unit_matrix(rows: Sequence) -> np.ndarray:
+def unit_matrix(rows: Sequence | np.ndarray) -> np.ndarray:
     """Rows at unit length (zero rows stay); empty or ragged input is refused."""
     if not len(rows) or len({len(r) for r in rows}) != 1 or not len(rows[0]):
         raise ValueError("a set of vectors must be non-empty and of one size")
@@ -219,22 +262,67 @@ def earth_movers(a: Sequence, b: Sequence, reg: float = 0.05) -> float:
     return total if np.isfinite(total) else float(c.mean())
 
 
-def emd_scores(rows: DataFrame, seed: int, reg: float = 0.05) -> DataFrame:
-    """As chamfer_scores by earth mover's distance, a candidate and model at a time (Arrow)."""
-    own = {m: parts[0][1].tolist() for m, parts in seed_matrices(rows, seed).items() if len(parts) == 1}
+def emd_scores(rows: DataFrame, seeds: int | Sequence[int], reg: float = 0.05, most: int | None = None) -> DataFrame:
+    """As chamfer_scores by earth mover's distance, a candidate and model at a time (Arrow).
 
-    def distance(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        mine, theirs = own.get(key[1].as_py()), t.column("v").to_pylist()
-        ok = mine and len({len(x) for x in [*mine, *theirs]}) == 1
-        return pa.table({"track_id": pa.array([key[0].as_py()] if ok else [], pa.int64()), "d": pa.array([earth_movers(mine, theirs, reg)] if ok else [], pa.float64())})
+    With ``most`` and one seed, only candidates that can be among the ``most`` best are left, and
+    transport is solved for these alone: see ``emd_candidates``.
+    """
+    seeds = [seeds] if isinstance(seeds, int) else list(seeds)
+    own = {t: {m: parts for m, parts in models.items() if len(parts) == 1} for t, models in seed_matrices(rows, seeds).items()}
+    rest = rows.where(~_among("track_id", seeds))
+    if most is not None and len(seeds) == 1:
+        rest = rest.join(emd_candidates(rest, own, reg, most), "track_id", "left_semi")
+    return _transport(rest, own, reg).select("seed", "track_id", (1 / (1 + F.col("d"))).alias("score"))
 
-    rest = rows.where(F.col("track_id") != seed).where(F.col("model").isin(list(own)) if own else F.lit(False))
-    d = rest.select("track_id", "model", "v").groupBy("track_id", "model").applyInArrow(distance, "track_id bigint, d double").groupBy("track_id").agg(F.avg("d").alias("d"))
-    return d.select("track_id", (1 / (1 + F.col("d"))).alias("score"))
 
+def _transport(rest: DataFrame, own: dict[int, Matrices], reg: float) -> DataFrame:
+    """Mean over the common models of the transport costs: seed, track_id, d."""
+    names = sorted({m for models in own.values() for m in models})
 
-def _scores(lib: Library, seed: int, dataset: str, algorithm: str, methods: Sequence[str]) -> DataFrame:
-    """Untruncated scores of all candidates of one reference."""
+    def distance(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        column = t.column("v").combine_chunks()
+        sizes = np.unique(np.diff(column.offsets.to_numpy()))
+        theirs = matrix_of(column) if len(sizes) == 1 else None
+        found = []
+        for seed, models in own.items():
+            for d, mine in models.get(key[1].as_py(), ()):
+                if theirs is not None and d == sizes[0] > 0:
+                    found.append((seed, key[0].as_py(), earth_movers(mine, theirs, reg)))
+        seed, track, d = zip(*found) if found else ((), (), ())
+        return pa.table({"seed": pa.array(seed, pa.int64()), "track_id": pa.array(track, pa.int64()), "d": pa.array(d, pa.float64())})
+
+    rest = rest.where(F.col("model").isin(names) if names else F.lit(False))
+    d = rest.select("track_id", "model", "v").groupBy("track_id", "model").applyInArrow(distance, "seed bigint, track_id bigint, d double")
+    return d.groupBy("seed", "track_id").agg(F.avg("d").alias("d"))
+
+
+def emd_bounds(rest: DataFrame, own: dict[int, Matrices]) -> DataFrame:
+    """What transport costs a seed at least, from block products alone: seed, track_id, low.
+
+    Every vector of the seed sends its whole mass, at no less than its least cost. The mean over the
+    models is taken as for the distances themselves.
+    """
+    met = _meet(rest, own)
+    key = ["seed", "track_id", "model"]
+    fit = met.groupBy(*key).agg(F.bool_or("misfit").alias("misfit")).where(~F.col("misfit"))
+    return fit.join(_best_mean(met, lambda x: 1 - x), key).groupBy("seed", "track_id").agg(F.avg("x").alias("low"))
+
+
+def emd_candidates(rest: DataFrame, own: dict[int, Matrices], reg: float, most: int) -> DataFrame:
+    """track_id of the candidates whose lower bound doesn't exceed the ``most``-th least distance found
+    among the ``most`` of least bound: no other can be among the ``most`` best."""
+    low = emd_bounds(rest, own)
+    first = [r["track_id"] for r in low.orderBy("low", "track_id").limit(most).collect()]
+    if len(first) < most:
+        return low.select("track_id")
+    far = _transport(rest.where(F.col("track_id").isin(first)), own, reg).agg(F.max("d")).first()[0]
+    return low.where(F.col("low") <= F.lit(far) + 1e-9).select("track_id")
+
+
+def _scores(lib: Library, seeds: Sequence[int], dataset: str, algorithm: str, methods: Sequence[str], most: int | None = None) -> DataFrame:
+    """Untruncated scores (seed, track_id, score) of all tracks but the seeds, to each seed that has
+    vectors, in one pass over the library. ``most``: of one seed, so many best are enough."""
     d = Dataset(dataset)
     rows = lib.track_vectors()
     if d.kind == "reduction":
@@ -244,40 +332,54 @@ def _scores(lib: Library, seed: int, dataset: str, algorithm: str, methods: Sequ
         rows = rows.where(F.col("model") == dataset)
     noise = reads.noise_union(lib.noise, dataset, methods) if methods and lib.noise is not None and d.kind != "text" else None
     clean = rows if noise is None else reads.without_noise(rows, noise)
-    if noise is not None and clean.where(F.col("track_id") == seed).isEmpty() and not rows.where(F.col("track_id") == seed).isEmpty():
-        raise ValueError(f"noise filtering leaves nothing: every chunk of the seed {seed} is noise")
-    stored = lib.centroids if lib.centroids is not None else centroids(rows)
+    of_seeds = lambda df: df.where(_among("track_id", seeds))
+    have = lambda df: {r["track_id"] for r in of_seeds(df).select("track_id").distinct().collect()}
+    if noise is not None and (wiped := have(rows) - have(clean)):
+        raise ValueError(f"noise filtering leaves nothing: every chunk of the seed {min(wiped)} is noise")
     if d.kind == "text" or algorithm == "centroid":
-        return centroid_scores(stored if noise is None else centroids(clean), seed, dataset, lib.weights)
+        stored = centroids(clean) if noise is not None else lib.centroids if lib.centroids is not None else centroids(rows)
+        return all_centroid_scores(stored, seeds, dataset, lib.weights).where(~_among("track_id", seeds))
     if algorithm == "pareto":
         if d.kind == "auto":  # centroids with the noise, surface without it
-            points = objectives(clean, centroids(rows.where(F.col("track_id") == seed)), seed)
-            surface = pareto_surface(points)
+            surface = pareto_surface(objectives(clean, centroids(of_seeds(rows)), seeds))
         else:
-            surface = surface_single(clean, centroids(clean.where(F.col("track_id") == seed)), seed, dataset)
-        return psvi_scores(weighted(clean, lib.weights), seed, surface)
+            surface = surface_single(clean, centroids(of_seeds(clean)), seeds, dataset)
+        return psvi_scores(weighted(clean, lib.weights), seeds, surface)
     clean = weighted(clean, lib.weights)
-    return chamfer_scores(clean, seed) if algorithm == "chamfer" else emd_scores(clean, seed)
+    return chamfer_scores(clean, seeds) if algorithm == "chamfer" else emd_scores(clean, seeds, most=most)
 
 
-def _named(lib: Library, dataset: str, algorithm: str, methods: Sequence[str]) -> tuple[str, str, Sequence[str]]:
+def _named(lib: Library, dataset: str, algorithm: str, methods: Sequence[str], seed: int | None = None) -> tuple[str, str, Sequence[str]]:
+    """The dataset, algorithm and noise methods that a search takes; ValueError where it has nothing to go by."""
     algorithm = algorithm_of(algorithm)
-    if dataset == "auto" and algorithm == "centroid":
-        stored = lib.centroids if lib.centroids is not None else reads.track_models(lib)
-        dataset = reads.resolve_dataset(stored.groupBy("model").agg(F.countDistinct("track_id").alias("n_tracks")))
-        if dataset is None:
-            raise ValueError("no dataset has two tracks")
     if Dataset(dataset).kind == "text":
         algorithm, methods = "centroid", ()
+    if (named := Dataset(dataset)).kind == "reduction":
+        if lib.reduced is None or not dataset[4:].isdigit():
+            raise ValueError(f"unknown reduction {dataset!r}")
+        have = reads.reduced_rows(lib, named.reduction_id).select("track_id", F.lit(dataset).alias("model"))
+    else:
+        have = lib.centroids.select("track_id", "model") if lib.centroids is not None else reads.track_models(lib)
+    if algorithm == "centroid":
+        dataset = reads.resolve_dataset(have, seed=seed, wanted=dataset)
+        if Dataset(dataset).kind == "text":
+            methods = ()
+    kind = Dataset(dataset).kind
+    if seed is not None and not (algorithm == "centroid" and kind == "model"):  # else it has been seen above
+        own = have if kind == "auto" else have.where(F.col("model") == dataset)
+        if own.where(F.col("track_id") == seed).isEmpty():
+            raise ValueError(f"track {seed} has no vectors in dataset {dataset!r}")
     return dataset, algorithm, methods
 
 
 def similar_tracks(lib: Library, seed: int, dataset: str = "auto", algorithm: str = "centroid", limit: int = 15, discard_noise: Sequence[str] = ()) -> DataFrame:
-    """Tracks most similar to one seed, which comes first: up to limit + 1 rows."""
+    """Tracks most similar to one seed, which comes first: up to limit + 1 rows.
+
+    ``auto`` is a dataset that the seed has; a seed without vectors in the dataset is refused."""
     from ..schema import noise_methods_of
 
-    dataset, algorithm, methods = _named(lib, dataset, algorithm, noise_methods_of(discard_noise))
-    scores = _scores(lib, seed, dataset, algorithm, methods)
+    dataset, algorithm, methods = _named(lib, dataset, algorithm, noise_methods_of(discard_noise), seed)
+    scores = _scores(lib, [seed], dataset, algorithm, methods, max(1, int(limit))).select("track_id", "score")
     return top(scores, lib, seed, dataset if algorithm == "centroid" else f"{algorithm}:{dataset}", limit)
 
 
@@ -285,7 +387,7 @@ def similar_to_all(lib: Library, seeds: Sequence[int], dataset: str = "auto", al
     """Tracks similar to all references: geometric mean of the scores to each; references excluded.
 
     A candidate needs a score to every usable reference; those without vectors are skipped.
-    One reference is the plain search; none is refused.
+    One reference is the plain search; none is refused. All references are met in one pass.
     """
     from ..schema import noise_methods_of
 
@@ -295,10 +397,7 @@ def similar_to_all(lib: Library, seeds: Sequence[int], dataset: str = "auto", al
     if len(seeds) == 1:
         return similar_tracks(lib, seeds[0], dataset, algorithm, limit, discard_noise)
     dataset, algorithm, methods = _named(lib, dataset, algorithm, noise_methods_of(discard_noise))
-    if algorithm == "centroid" and not methods:
-        each = all_centroid_scores(lib.centroids if lib.centroids is not None else centroids(lib.track_vectors().where(F.col("model") == dataset)), seeds, dataset, lib.weights)
-    else:
-        each = reduce(DataFrame.unionByName, [_scores(lib, s, dataset, algorithm, methods).withColumn("seed", F.lit(s).cast("bigint")) for s in seeds])
+    each = _scores(lib, seeds, dataset, algorithm, methods)
     return top(combine(each, seeds), lib, None, dataset if algorithm == "centroid" else f"{algorithm}:{dataset}", limit)
 
 

@@ -42,7 +42,12 @@ class Library:
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> Library:
-        """From a folder with one Parquet table per relation; absent ones are empty."""
+        """From a folder with one Parquet table per relation, or a ``Store``'s; absent ones are empty."""
+        from ..sources.store import Store
+
+        log = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_log")
+        if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+            return cls.of(Store(spark, root).tables())
         names = {"pairs": "learning_pairs", "weights": "learning_weights", "noise": "noise_chunks", "reduced": "reduced_vectors"}
 
         def one(field: str) -> DataFrame:

@@ -356,8 +356,35 @@ def q_nearest_point(lib, spark, d):
 @query("""SELECT model FROM (SELECT model, list_position(['clap', 'full', 'lo'], model) AS place FROM tv GROUP BY model HAVING count(DISTINCT track_id) >= 2)
 ORDER BY model NOT LIKE 'ollama:%', place NULLS LAST, model LIMIT 1""")
 def q_resolve_dataset(lib, spark, d):
-    n = similarity.centroids(lib.track_vectors()).groupBy("model").agg(F.countDistinct("track_id").alias("n_tracks"))
-    return spark.createDataFrame([(reads.resolve_dataset(n, ("clap", "full", "lo")),)], "model string")
+    have = reads.track_models(lib).select("track_id", "model")
+    return spark.createDataFrame([(reads.resolve_dataset(have, ("clap", "full", "lo")),)], "model string")
+
+
+_HAVE = """, have AS (SELECT DISTINCT track_id, model FROM tv WHERE model <> 'full' OR track_id % 3 <> 1 UNION SELECT track_id, 'ollama:' || (track_id % 2) FROM tv),
+fit AS (SELECT s.track_id AS seed, h.model FROM (SELECT DISTINCT track_id FROM have) s, have h GROUP BY s.track_id, h.model HAVING bool_or(h.track_id = s.track_id) AND count(DISTINCT h.track_id) >= 2)
+SELECT seed, model FROM fit QUALIFY row_number() OVER (PARTITION BY seed ORDER BY model NOT LIKE 'ollama:%' OR seed % 2 = 1, coalesce(list_position(['clap', 'full', 'lo'], model), 99), model) = 1"""
+
+
+@query(_HAVE.replace("OR seed % 2 = 1", "") + " AND seed < 3 UNION ALL SELECT -seed, model FROM (SELECT * FROM fit WHERE model NOT LIKE 'ollama:%' QUALIFY row_number() OVER (PARTITION BY seed ORDER BY coalesce(list_position(['clap', 'full', 'lo'], model), 99), model) = 1) WHERE seed < 3 AND seed > 0")
+def q_resolve_dataset_seed(lib, spark, d):
+    """What auto means to a seed that has, or lacks, the first dataset; text datasets come first (ids
+    over 0: all datasets; the same negated: without texts)."""
+    plain = reads.track_models(lib).select("track_id", "model").where("model != 'full' OR track_id % 3 != 1")
+    texts = plain.select("track_id", F.concat(F.lit("ollama:"), (F.col("track_id") % 2).cast("string")).alias("model")).distinct()
+    order = ("clap", "full", "lo")
+    rows = [(seed, reads.resolve_dataset(plain.unionByName(texts), order, seed)) for seed in range(3)]
+    return spark.createDataFrame(rows + [(-seed, reads.resolve_dataset(plain, order, seed)) for seed in (1, 2)], "seed bigint, model string")
+
+
+@query("""SELECT 1 AS place, 'full' AS dataset, 'Full' AS title, (SELECT count(DISTINCT track_id) FROM chunks) AS n_tracks, true AS enabled, false AS outdated
+UNION ALL SELECT 2, 'clap', 'Clap', 0, false, false
+UNION ALL SELECT 3, 'red:1', 'three', 0, true, (SELECT count(*) FROM reduced WHERE chunk_id IN (SELECT chunk_id FROM e)) < (SELECT count(*) FROM e)
+UNION ALL SELECT 4, 'red:2', 'none yet', 0, true, true
+UNION ALL SELECT 5, 'ollama:t', 'Description (t)', (SELECT count(DISTINCT track_id) FROM chunks), true, false""")
+def q_dataset_choices(lib, spark, d):
+    reductions = spark.createDataFrame([(1, "three", "full"), (2, "none yet", "full")], "reduction_id bigint, name string, source_model string")
+    c = similarity.centroids(lib.track_vectors().where("model = 'full'"))
+    return reads.dataset_choices([("full", "Full"), ("clap", "Clap")], lib, c.unionByName(c.withColumn("model", F.lit("ollama:t"))), reductions)
 
 
 # --- scalars -----------------------------------------------------------------------------
@@ -573,7 +600,7 @@ surf AS (SELECT DISTINCT chunk_id FROM o WHERE chunk_id NOT IN (SELECT chunk_id
 
 def _objectives(lib: Library) -> DataFrame:
     tv = lib.track_vectors()
-    return similarity.objectives(tv, similarity.centroids(tv.where(F.col("track_id") == SEED)), SEED)
+    return similarity.objectives(tv, similarity.centroids(tv.where(F.col("track_id") == SEED)), SEED).drop("track_id")
 
 
 @query(_OBJ + f"SELECT chunk_id, (row_number() OVER (PARTITION BY chunk_id ORDER BY model) - 1)::INT AS pos, round(o, {DIGITS}) + 0.0 AS x FROM ov")
@@ -1068,3 +1095,6 @@ def q_noise_sweep(lib, spark, d):
     t = changes.store_noise_run(t, "full", "hdbscan", v.limit(0), reads.signatures(v.where("track_id = 1")))
     t = t | jobs.noise_sweep(t, "hdbscan")
     return t["noise_run_tracks"].select("track_id", F.col("n_chunks").alias("n"))
+
+
+from . import files  # noqa: E402,F401 - registers its queries

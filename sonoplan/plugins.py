@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from .functions import signal
 from .schema import MODEL_ORDER
+from .sources.audio import resampled
 
 
 class Plugin:
@@ -80,6 +81,47 @@ class Spectrum(Plugin):
         return [signal.feature_vector(c, rate, float(self.config.get("fft_window_sec", 1.0))) for c in chunks]
 
 
+class Windowed(Plugin):
+    """A model for windows of limited length: override ``_embed_windows``.
+
+    Chunks are resampled to the model's rate and cut as ``signal.window_starts`` cuts; the windows of
+    all chunks go through the model together, ``batch`` at a time, whichever chunk they are of. A chunk's
+    vector is the mean of its windows' at unit length; without samples, or where the mean is zero, zero.
+    """
+
+    window_sec, overlap_sec, batch = 10.0, 1.0, 8
+
+    def _embed_windows(self, windows: list[np.ndarray], rate: int) -> np.ndarray:
+        raise NotImplementedError
+
+    def _embed(self, chunks, rate):
+        size, overlap = (max(1, int(s * self.sample_rate)) if s else 0 for s in (self.window_sec, self.overlap_sec))
+        parts = [resampled(np.asarray(c, np.float32), rate, self.sample_rate)[0] for c in chunks]
+        cuts = [(i, s) for i, x in enumerate(parts) if len(x) for s in window_places(len(x), size, overlap)]
+        total, count = np.zeros((len(parts), self.dim)), np.zeros(len(parts))
+        for at in range(0, len(cuts), self.batch):
+            some = cuts[at : at + self.batch]
+            v = np.asarray(self._embed_windows([parts[i][s : s + size] for i, s in some], self.sample_rate), np.float64)
+            owner = [i for i, _ in some]
+            np.add.at(total, owner, v)
+            np.add.at(count, owner, 1)
+        mean = total / np.maximum(count, 1)[:, None]
+        norm = np.linalg.norm(mean, axis=1, keepdims=True)
+        return list(np.divide(mean, norm, out=np.zeros_like(mean), where=norm > 0))
+
+
+def window_places(n: int, size: int, overlap: int) -> list[int]:
+    """``signal.window_starts`` of one length."""
+    step = max(size - overlap, 1)
+    starts = list(range(0, max(n - size, 0) + 1, step))
+    rest = n - size - starts[-1]
+    if rest >= size // 4 and rest > 0:
+        starts.append(n - size)
+    elif rest > 0:
+        starts[-1] = n - size
+    return starts
+
+
 _CLASSES: dict[str, Callable[[], Plugin]] = {"fft": Spectrum}
 _MADE: dict[str, Plugin] = {}
 

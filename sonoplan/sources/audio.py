@@ -187,6 +187,27 @@ def decode_chunks(files: DataFrame, seconds: float = 20.0, overlap_percent: floa
     return files.select("path", "content").mapInArrow(run, _CHUNK)
 
 
+_CHANNEL = "path string, channel int, rate int, samples array<float>, error string"
+
+
+def decode_channels(files: DataFrame, target_rate: int | None = None) -> DataFrame:
+    """Samples of ``files`` (path, content) by channel, from 0 on; errors as rows without samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _CHANNEL.split(", ")]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.string())
+        for b in batches:
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                try:
+                    x, rate = decode(raw.as_py() or b"", path, target_rate, mono=False)
+                    rows = [(path, c, rate, np.ascontiguousarray(x[:, c]), None) for c in range(x.shape[1])]
+                except Exception as e:  # noqa: BLE001
+                    rows = [(path, None, None, None, str(e)[:200])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return files.select("path", "content").mapInArrow(run, _CHANNEL)
+
+
 def read_contents(spark: SparkSession, root: str) -> DataFrame:
     """path and content of the audio files below a folder."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -204,4 +225,4 @@ def same_plan(stored: DataFrame, planned: DataFrame) -> DataFrame:
     return both.groupBy("track_id").agg(F.bool_and(F.coalesce(fit, F.lit(False))).alias("same"))
 
 
-__all__ = ["changed", "check_read_access", "decode", "decode_chunks", "decode_wav", "find_files", "listing", "probe", "probe_file", "probe_files", "read_contents", "resampled", "same_plan"]
+__all__ = ["changed", "check_read_access", "decode", "decode_channels", "decode_chunks", "decode_wav", "find_files", "listing", "probe", "probe_file", "probe_files", "read_contents", "resampled", "same_plan"]

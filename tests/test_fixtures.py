@@ -118,6 +118,97 @@ def test_set_distance_search(spark):
     assert "dim" not in emd and "dim" not in cha
 
 
+def test_searches_with_nothing_to_go_by_are_refused(spark, plain):
+    for dataset in ("auto", "clap"):
+        for algorithm in ("centroid", "pareto", "chamfer", "emd"):
+            with pytest.raises(ValueError):
+                similarity.similar_tracks(plain, 5, dataset, algorithm)  # a track without vectors
+    for dataset in ("mert", "red:x", "ollama:none", "red:1"):
+        with pytest.raises(ValueError):
+            similarity.similar_tracks(plain, 1, dataset)
+    alone = library(spark, {"a": [{"clap": (1, 0), "fft": (1, 0)}], "b": [{"fft": (0, 1)}], "c": [{"fft": (1, 1)}]})
+    with pytest.raises(ValueError, match="two analysed tracks"):
+        similarity.similar_tracks(alone, 1, "clap")
+    got = similarity.similar_tracks(alone, 1, "auto").collect()  # clap comes first, but only the seed has it
+    assert {r["method"] for r in got} == {"fft"} and [r["artist"] for r in got] == ["a", "c", "b"]
+
+
+def test_auto_is_a_dataset_of_the_seed(spark):
+    rows = [(1, "clap"), (2, "clap"), (3, "mert"), (4, "mert"), (5, "mert"), (1, "mert"), (3, "ollama:x"), (9, "ollama:x"), (2, "ollama:alone"), (1, "red:1"), (2, "red:1"), (6, "zeta"), (7, "zeta")]
+    have = spark.createDataFrame(rows, "track_id bigint, model string")
+    assert reads.resolve_dataset(have) == "ollama:x"
+    found = {seed: reads.resolve_dataset(have, seed=seed) for seed in (1, 2, 3, 4, 6, 9)}
+    assert found == {1: "clap", 2: "clap", 3: "ollama:x", 4: "mert", 6: "zeta", 9: "ollama:x"}
+    for seed in (8, 10):
+        with pytest.raises(ValueError, match=str(seed)):
+            reads.resolve_dataset(have, seed=seed)
+    assert reads.resolve_dataset(have, seed=4, wanted="red:1") == "red:1" and reads.resolve_dataset(have, wanted="zeta") == "zeta"
+    with pytest.raises(ValueError):
+        reads.resolve_dataset(have, seed=4, wanted="clap")
+
+
+def test_picker_shows_what_is_outdated(spark):
+    lib = library(spark, {"a": [{"fft": (1, 0)}, {"fft": (0, 1)}], "b": [{"fft": (1, 1)}]})
+    reductions = spark.createDataFrame([(1, "all", "fft"), (2, "less", "fft"), (3, "other", "clap")], "reduction_id bigint, name string, source_model string")
+    lib.reduced = spark.createDataFrame([(1, 1, [1.0]), (1, 2, [1.0]), (1, 3, [1.0]), (2, 1, [1.0]), (2, 99, [1.0]), (2, 98, [1.0])], "reduction_id bigint, chunk_id bigint, v array<double>")
+    texts = spark.createDataFrame([(1, "ollama:b", [1.0]), (1, "ollama:a", [1.0])], "track_id bigint, model string, v array<double>")
+    got = reads.dataset_choices([("clap", "CLAP"), ("fft", "FFT")], lib, similarity.centroids(lib.track_vectors()).unionByName(texts), reductions)
+    assert [tuple(r) for r in got.orderBy("place").collect()] == [
+        (1, "clap", "CLAP", 0, False, False), (2, "fft", "FFT", 2, True, False), (3, "red:1", "all", 0, True, False), (4, "red:2", "less", 0, True, True),
+        (5, "red:3", "other", 0, True, False), (6, "ollama:a", "Description (a)", 1, True, False), (7, "ollama:b", "Description (b)", 1, True, False),
+    ]
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    rng = np.random.default_rng(3)
+    own = lambda k: [{"fft": rng.normal(size=6) + 3 * np.eye(6)[k % 6], **({"clap": rng.normal(size=4) + np.eye(4)[k % 4]} if k % 3 else {})} for _ in range(1 + k % 4)]
+    return library(spark, {f"t{k}": own(k) for k in range(60)} | {"odd": [{"fft": (1, 2)}], "mixed": [{"fft": (1, 2)}, {"fft": (1,) * 6}]})
+
+
+@pytest.mark.parametrize("dataset", ["fft", "auto"])
+@pytest.mark.parametrize("algorithm", ["pareto", "chamfer", "emd"])
+def test_references_in_one_pass_equal_one_by_one(spark, crowd, monkeypatch, dataset, algorithm):
+    seeds = [1, 7, 20, 61, 62, 999]
+    monkeypatch.setattr(similarity, "MEET_COLUMNS", 5)  # several groups of seeds
+    both = similarity._scores(crowd, seeds, dataset, algorithm, ()).collect()
+    every = {(r["seed"], r["track_id"]): r["score"] for r in both}
+    assert len(every) == len(both)
+    monkeypatch.undo()
+    for seed in seeds[:-1]:
+        one = {(seed, r["track_id"]): r["score"] for r in similarity._scores(crowd, [seed], dataset, algorithm, ()).collect() if r["track_id"] not in seeds}
+        mine = {k: v for k, v in every.items() if k[0] == seed}
+        assert one.keys() == mine.keys() and all(abs(one[k] - mine[k]) < 1e-9 for k in one)
+    assert not any(k[0] == 999 for k in every)
+
+
+@pytest.mark.parametrize("dataset", ["fft", "auto"])
+def test_few_transports_give_the_same_best(spark, crowd, dataset):
+    rows = crowd.track_vectors() if dataset == "auto" else crowd.track_vectors().where("model = 'fft'")
+    for seed in (2, 5, 11):
+        full = {r["track_id"]: r["score"] for r in similarity.emd_scores(rows, seed).collect()}
+        own = {t: {m: p for m, p in x.items() if len(p) == 1} for t, x in similarity.seed_matrices(rows, [seed]).items()}
+        rest = rows.where(F.col("track_id") != seed)
+        low = {r["track_id"]: r["low"] for r in similarity.emd_bounds(rest, own).collect()}
+        assert low.keys() == full.keys() and all(low[t] <= 1 / full[t] - 1 + 1e-9 for t in full)
+        solved = similarity.emd_candidates(rest, own, 0.05, 5).count()
+        assert 5 <= solved < len(full) * 0.7
+        best = lambda x: sorted(((-round(v, 9), k) for k, v in x.items()))[:5]
+        pruned = {r["track_id"]: r["score"] for r in similarity.emd_scores(rows, seed, most=5).collect()}
+        assert len(pruned) == solved and best(pruned) == best(full)
+
+
+def test_numbers_without_one_task(spark):
+    rows = spark.createDataFrame([(int(x), f"k{x}") for x in np.random.default_rng(0).permutation(1000) * 7 - 500], "x bigint, name string").repartition(3)
+    out = reads.numbered(rows, "x", "place")
+    assert [(r["x"], r["place"]) for r in out.orderBy("x").collect()] == [(7 * k - 500, k) for k in range(1000)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "hashpartitioning(_bucket" in plan
+    for n in (0, 1, 2):
+        assert sorted(r["place"] for r in reads.numbered(rows.limit(n), "x", "place").collect()) == list(range(n))
+    assert sorted(r["place"] for r in reads.numbered(rows, "x", "place", 1).collect()) == list(range(1000))
+
+
 @pytest.fixture(scope="module")
 def junk(spark):
     rng = np.random.default_rng(7)
