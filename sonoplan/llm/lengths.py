@@ -9,6 +9,7 @@ without reading a document again.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from decimal import Decimal
 from functools import lru_cache
@@ -34,13 +35,29 @@ def encoder(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Fixed value: white space as the pattern knows it. Runs of so many would exhaust its backtracking.
+LONG_RUN = 1000
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
+
+def n_tokens(encoding, text: str) -> int:
+    """Number of tokens of a text. Long runs of white space are cut out as the pattern would cut them:
+    whole at the end of the text, else but for their last sign, with which the next piece begins."""
+    n = at = 0
+    for m in _RUN.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at : m.start()])) + len(encoding._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:]))
+
+
 def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and n_tokens of every document; a null text has 0 tokens."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encoding = encoder(vocabulary)
         for b in batches:
-            n = pa.array([len(encode(t.as_py())) if t.is_valid else 0 for t in b.column(len(keep))], pa.int64())
+            n = pa.array([n_tokens(encoding, t.as_py()) if t.is_valid else 0 for t in b.column(len(keep))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*keep, "n_tokens"])
 
     kinds = dict(docs.dtypes)
@@ -50,14 +67,15 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(n_tokens, n_docs), exact over all documents; pre-aggregated batch by batch.
 
-    A null or empty text has 0 tokens, a very long one is encoded whole, repeated rows count each.
+    A null or empty text has 0 tokens, a very long one is encoded whole (also one of blanks alone),
+    repeated rows count each.
     Other columns are not read. Empty table: empty result.
     """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encoding = encoder(vocabulary)
         for b in batches:
-            size, n = np.unique([len(encode(t.as_py())) if t.is_valid else 0 for t in b.column(0)], return_counts=True)
+            size, n = np.unique([n_tokens(encoding, t.as_py()) if t.is_valid else 0 for t in b.column(0)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), pa.array(n, pa.int64())], names=["n_tokens", "n_docs"])
 
     part = docs.select("text").mapInArrow(counts, "n_tokens bigint, n_docs bigint")

@@ -25,7 +25,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -288,12 +288,35 @@ class KneserNey:
     pairs: int
     discounts: tuple[tuple[float, float, float], ...]
     low_left: float
+    #: Per kind of array a bit for each bucket that was stored.
+    stored: dict[str, bytes] = field(default_factory=dict)
+
+    def holds(self, kind: str, bucket: int) -> bool:
+        """Whether a bucket was stored: only others may be absent, and count as zero."""
+        bits = self.stored.get(kind, b"")
+        return bucket >> 3 < len(bits) and bool(bits[bucket >> 3] >> (bucket & 7) & 1)
 
     def delete(self) -> None:
         where, path = pafs.FileSystem.from_uri(self.root)
         where.delete_dir(path)
 
 
+def _stored(root: str) -> dict[str, bytes]:
+    """The buckets whose arrays are in a model's folder, as a bit each."""
+    where, path = pafs.FileSystem.from_uri(root)
+    by: dict[str, list[int]] = {}
+    for info in where.get_file_info(pafs.FileSelector(path)):
+        kind, _, bucket = info.base_name.rpartition("-")
+        if bucket.isdigit():
+            by.setdefault(kind, []).append(int(bucket))
+    out = {}
+    for kind, buckets in by.items():
+        bits = np.zeros(max(buckets) + 1, np.uint8)
+        bits[buckets] = 1
+        out[kind] = np.packbits(bits, bitorder="little").tobytes()
+    return out
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from counts of counts; 0.75 where these are not enough."""
     if not (n1 and n2 and n3 and n4):
@@ -344,7 +367,7 @@ def fit(texts: DataFrame, order: int = 2, bytes_each: int = 16 << 20) -> KneserN
     spread = lambda r: discounts(*(r[f"of{i}"] for i in range(1, 5)))
     d = (spread(low), *(spread(found[k][SUMS]) for k in range(2, order + 1)))
     left = (d[0][0] * low["of1"] + d[0][1] * low["of2"] + d[0][2] * (low["n"] - low["of1"] - low["of2"])) / pairs
-    return KneserNey(root, order, rows, parts, tokens["total"], tokens["n"], pairs, d, left)
+    return KneserNey(root, order, rows, parts, tokens["total"], tokens["n"], pairs, d, left, _stored(root))
 
 
 def _count(texts: DataFrame, size: int, order: int, root: str, rows: int) -> dict[int, dict]:
@@ -446,14 +469,13 @@ def _freeing(spark: SparkSession) -> Iterator[None]:
 # --- scoring -----------------------------------------------------------------------------
 
 
-def _lookup(x: np.ndarray, bucket: np.ndarray, width: int, read: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Rows of values for ``x``, read bucket by bucket; 0 where no training n-gram fell into a bucket."""
+def _lookup(model: KneserNey, kind: str, x: np.ndarray, bucket: np.ndarray, width: int, read: Callable[[str, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Rows of values for ``x``, read bucket by bucket; 0 where no training n-gram fell into a bucket. A
+    bucket that was stored and isn't there raises."""
     out = np.zeros((width, len(x)))
     for b, own in _by_bucket(bucket):
-        try:
-            out[:, own] = read(b, x[own])
-        except FileNotFoundError:
-            continue
+        if model.holds(kind, int(b)):
+            out[:, own] = read(f"{kind}-{b}", x[own])
     return out
 
 
@@ -464,16 +486,16 @@ def log_probabilities(model: KneserNey, x: np.ndarray) -> tuple[np.ndarray, np.n
     y, of = np.unique(x[-1], return_inverse=True)
 
     def words(name: str) -> np.ndarray:
-        return _lookup(y, key_bucket(y, model.parts), 1, lambda b, q: _read_words(model.root, f"{name}-{b}", q))[0, of]
+        return _lookup(model, name, y, key_bucket(y, model.parts), 1, lambda f, q: _read_words(model.root, f, q))[0, of]
 
     take = lambda v, d: v - np.choose(np.minimum(v, 3).astype(int), (0.0, *d))
     p = take(words("kinds"), model.discounts[0]) / max(model.pairs, 1) + model.low_left / (model.vocabulary + 1)
     for size, d in zip(range(2, model.order + 1), model.discounts[1:]):
         u, w = context_hash(x[-size:-1]), x[-1]
         k, first, gram = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
-        c = _lookup(k, bucket_of(u[first], w[first], model.rows), 1, lambda b, q: _read_counts(model.root, f"grams-{size}-{b}", 1, q >> U64(16)))[0, gram]
+        c = _lookup(model, f"grams-{size}", k, bucket_of(u[first], w[first], model.rows), 1, lambda f, q: _read_counts(model.root, f, 1, q >> U64(16)))[0, gram]
         v, ctx = np.unique(u, return_inverse=True)
-        total, n1, n2, n3 = _lookup(v, key_bucket(v, model.parts), 4, lambda b, q: _read_counts(model.root, f"contexts-{size}-{b}", 4, q >> U64(16)))[:, ctx]
+        total, n1, n2, n3 = _lookup(model, f"contexts-{size}", v, key_bucket(v, model.parts), 4, lambda f, q: _read_counts(model.root, f, 4, q >> U64(16)))[:, ctx]
         left = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
         p = take(c, d) / np.maximum(total, 1) + left * p
     return np.log10(p)[back], words("tokens")[back]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 import zlib
@@ -145,3 +146,21 @@ def test_a_pair_more_frequent_than_a_byte_holds(spark):
     p = (700 - d[2]) / total + left * (cont / model.pairs + model.low_left / (model.vocabulary + 1))
     assert seen[0] == 700 and abs(10 ** logp[0] - p) < 1e-12
     model.delete()
+
+
+def test_a_lost_file_raises(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 60)}" for _ in range(30)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = ngramlm.fit(df.select("text"), 3)
+    folder = model.root.removeprefix("file://")
+    kinds = {n.rsplit("-", 1)[0] for n in os.listdir(folder) if n.rsplit("-", 1)[1].isdigit()}
+    assert kinds == set(model.stored) and all(model.holds(n.rsplit("-", 1)[0], int(n.rsplit("-", 1)[1])) for n in os.listdir(folder) if n.rsplit("-", 1)[1].isdigit())
+    before = ngramlm.score(df, model).agg({"score": "sum"}).first()[0]
+    assert before < 0 and not model.holds("tokens", 10**6) and not model.holds("none", 0)
+    lost = sorted(n for n in os.listdir(folder) if n.startswith("grams-3-") and n.endswith("-one") and os.path.getsize(f"{folder}/{n}") > 8)[0]
+    os.remove(f"{folder}/{lost}")
+    ngramlm._load.cache_clear()
+    with pytest.raises(Exception, match="(?i)no such file|FileNotFound"):
+        ngramlm.score(df.repartition(7), ngramlm.KneserNey(**{**model.__dict__, "root": model.root + "/."})).agg({"score": "sum"}).first()
+    model.delete()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,29 @@ def test_lengths_and_limits(spark, tmp_path):
     assert sorted(r["n_tokens"] for r in per) == n
 
 
+@pytest.mark.skipif(not os.path.exists(lengths.VOCABULARY), reason="no vocabulary")
+def test_long_runs_count_as_the_pattern_cuts_them(monkeypatch):
+    e = lengths.encoder(lengths.VOCABULARY)
+    rng = random.Random(2)
+    monkeypatch.setattr(lengths, "_RUN", lengths.re.compile(lengths._RUN.pattern.replace("{1000,}", "{3,}")))
+    signs = [" ", "  ", "\n", "\t", "\u3000", "\xa0", "\x1c", "\x85", "a", "Bc", "é", "'s", "12", "!?", "\r\n"]
+    for _ in range(3000):
+        t = "".join(rng.choice(signs) * rng.choice([1, 1, 1, 4]) for _ in range(rng.randint(0, 12)))
+        assert lengths.n_tokens(e, t) == len(e.encode_ordinary(t)), repr(t)
+
+
+@pytest.mark.skipif(not os.path.exists(lengths.VOCABULARY), reason="no vocabulary")
+def test_a_million_signs_of_a_kind(spark):
+    n = 1_000_000
+    texts = [" " * n + "a", " " * n, "\n" * n + "x", "a" * n, "\t " * (n // 2) + "end", "!" * n, "x" + " " * n + "y" + "\n" * n]
+    start = time.time()
+    got = lengths.token_lengths(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert time.time() - start < 120
+    by = {r["doc_id"]: r["n_tokens"] for r in got}
+    few = lambda t: len(lengths.encoder(lengths.VOCABULARY).encode_ordinary(t))
+    assert len(by) == 7 and by[1] == few(" " * 1000) * 1000 and by[0] == few(" " * 999) + few(" " * 1000) * 999 + few(" a")
+
+
 def speech(rng, letters, n):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
 

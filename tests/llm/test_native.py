@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -68,6 +69,23 @@ def test_mix_meets_its_targets(spark):
     assert mixed.count() == p.agg(F.sum("mix_copies")).first()[0] and mixed.columns == ["doc_id", "text", "source", "mix_copy"]
 
 
+@pytest.mark.parametrize("equal", [False, True])
+def test_rows_without_ids_meet_their_target(spark, equal):
+    rows = [(None, "w " * 10 if equal else f"w{i} " * 10, "none") for i in range(1000)] + [(7, "same id " * (1 + i % 3) + str(i), "one") for i in range(1000)] + [(i, "x " * 15, "ids") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    total = lambda: {r["source"]: (r["taken"], r["target"]) for r in mixing.mix_plan(df).groupBy("source").agg(F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.first("mix_target").alias("target")).collect()}
+    got = total()
+    assert len(got) == 3 and all(abs(taken - target) < 0.1 * target for taken, target in got.values()) and got == total()
+
+
+def test_equal_rows_are_numbered_once_each(spark):
+    df = spark.createDataFrame([(b"k%d" % (i % 4 if i < 400 else i),) for i in range(500)], "k binary").repartition(7)
+    got = {}
+    for r in mixing.numbered_copies(df, "k", "n").collect():
+        got.setdefault(bytes(r["k"]), []).append(r["n"])
+    assert len(got) == 104 and sorted(len(x) for x in got.values())[-4:] == [100] * 4 and all(sorted(x) == list(range(1, len(x) + 1)) for x in got.values())
+
+
 def test_lines_that_differ_in_one_field_share_a_template(spark):
     rows = [(i, f"Dear reader {name} please note the office closes at five today\nunique line number {name} {name * 2}\n") for i, name in enumerate(["ann", "bob", "cyd", "dan"])]
     out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
@@ -80,6 +98,28 @@ def test_extra_columns_stay(spark):
     assert got["text"] == "a b c\nd e f"
 
 
+def test_quick_expressions_match_the_same(spark, tmp_path):
+    """Tokens of three parts among starts that fail, against DuckDB, which runs the plain expression."""
+    rng = random.Random(6)
+    bits = ["eyJ", "eyJ", "eyJabcdefgh", ".", ".", ".eyJ", "ab_-9", "abcdefgh", " ", "é", "eyeyJ", "-"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(1, 40)))) for i in range(1500)]
+    rows += [(5000, "eyJ" + "a" * 5000 + "eyJ" + "b" * 9 + ".eyJ" + "c" * 9 + "." + "d" * 9), (5001, ("eyJ" + "a" * 2500) * 3 + ".eyJ12345678.12345678.eyJ12345678.eyJ12345678.12345678")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.execute(f"SELECT doc_id, spans FROM ({secrets.OP9_SQL})").fetchall())
+    got = {r["doc_id"]: r["spans"] for r in secrets.op9_secrets(spark, str(tmp_path)).collect()}
+    assert got == want and sum("jwt" in x for x in got.values()) > 50
+
+
+def test_a_million_starts_of_a_token(spark):
+    texts = ["eyJ" * 330_000 + ".eyJ", ("eyJ" + "z" * 1990) * 500 + ".eyJ ", "password" + " " * 1_000_000 + ":x", "eyJabcdefgh.eyJabcdefgh.abcdefgh " + "eyJ" * 330_000]
+    start = time.time()
+    got = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert time.time() - start < 60
+    assert {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in got} == {0: [], 1: [], 2: [], 3: [("jwt", 0, 32)]}
+
+
 def evaluate(query, grams):
     if query == secrets.ALL:
         return True
