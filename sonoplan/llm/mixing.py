@@ -3,7 +3,7 @@
 Words (or any token size) are summed per source; a capped proportional split gives
 every source its target; the repetition rate of a source is target / size. A document
 is emitted floor(rate) times plus one more time with probability equal to the
-fraction, decided by a hash of its id, its text and a seed, so reruns agree.
+fraction, decided by a hash of its id, text, source and a seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -49,6 +49,13 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
+def row_key(id_col: Column, text: Column, source: Column) -> Column:
+    """Key of 128 bits (binary) of a row's id, text and source, null or not: rows that share it are taken
+    at the same rate, so it doesn't matter which of them is which."""
+    own = F.concat(F.lower(F.hex(text_key(id_col, text))), F.when(source.isNull(), "-").otherwise("+"), F.coalesce(source, F.lit("")))
+    return F.unhex(F.md5(own.cast("binary")))
+
+
 def uniform(key: Column, number: Column, seed: int) -> Column:
     """Number in [0, 1) from 52 bits of the hash of a row's key (binary) and its number among equal rows."""
     text = F.concat(F.lit(f"mix{seed}:"), F.lower(F.hex(key)), F.lit(":"), number.cast("string"))
@@ -79,12 +86,13 @@ def mix_plan(docs: DataFrame, seed: int = 17, size: Column | None = None, weight
     """``docs`` with size, source_size, target, rate and copies added (prefixed ``mix_``).
 
     Null text: size 0. A source without words has target 0 and no copies. Null sources
-    form one source. Every row has a draw of its own: by its id (null ones too) and text, and, where
-    rows are equal in both, by a number among these. Empty table: empty result. Columns of ``docs``
+    form one source. Every row has a draw of its own: by its id (null ones too), text and source, and,
+    where rows are equal in all, by a number among these. Empty table: empty result. Columns of ``docs``
     that are called mix_... give way.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    sized = docs.withColumn("mix_size", n_words(F.col("text")) if size is None else size).withColumn("mix_key", text_key(F.col("doc_id"), F.col("text")))
+    sized = docs.withColumn("mix_size", n_words(F.col("text")) if size is None else size)
+    sized = sized.withColumn("mix_key", row_key(F.col("doc_id"), F.col("text"), F.col("source")))
     targets = cut(source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, max_repeat))
     targets = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     if targets.count() <= BROADCAST_SOURCES:
@@ -119,7 +127,7 @@ def op2_mix(spark, sf_dir):
 
 
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || CASE WHEN text IS NULL THEN '-' ELSE '+' END || coalesce(text, '')) AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(md5(coalesce(doc_id::VARCHAR, '') || CASE WHEN text IS NULL THEN '-' ELSE '+' END || coalesce(text, '')) || CASE WHEN source IS NULL THEN '-' ELSE '+' END || coalesce(source, '')) AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY encode(source) ASC NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 q AS (SELECT *, source_size * 3 AS cap, (sum(source_size) OVER ())::BIGINT AS total, (sum(weight) OVER ())::BIGINT AS all_weight,
   coalesce(sum(source_size * 3) OVER r, 0)::BIGINT AS cap_before, coalesce(sum(weight) OVER r, 0)::BIGINT AS weight_before

@@ -110,9 +110,13 @@ def mix_stage(rows):
             left -= target[s]
         free -= over
     out = []
+    seen = {}
     for r in rows:
         rate = target[r[3]] / total[r[3]]
-        u = int(hashlib.md5(f"mix17:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        key = md5(md5(f"{'' if r[0] is None else r[0]}{'-' if r[1] is None else '+'}{r[1] or ''}") + ("-" if r[3] is None else "+" + r[3]))
+        seen[key] = seen.get(key, 0) + 1  # equal rows have numbers
+        u = int(md5(f"mix17:{key}:{seen[key]}")[:13], 16) / (1 << 52)
         out += [(*r, k + 1) for k in range(min(3, int(rate) + (u < rate - int(rate))))]
     return out
 
