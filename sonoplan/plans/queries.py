@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import plugins
 from ..functions import scalars, signal, vectors
-from ..operators import changes, derive, jobs, noise, reads, similarity
+from ..operators import changes, derive, jobs, nearest, noise, reads, similarity
 from ..schema import SCHEMAS
 from ..sources import audio, playlists, store, text
 from .library import DUCK_TABLES, Library, from_tables
@@ -688,6 +688,14 @@ def q_centroid_matrix(lib, spark, d):
     return _rounded(similarity.centroid_matrix(similarity.centroids(lib.track_vectors()), "full"))
 
 
+_PAIR = "SELECT a.track_id, b.track_id AS other, round(list_cosine_similarity(a.v, b.v), 9) + 0.0 AS score FROM centroids a JOIN centroids b ON a.model = b.model AND a.track_id <> b.track_id WHERE a.model = 'full'"
+
+
+@query(f"SELECT track_id, rank, other, round(score, {DIGITS}) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, other)::INT AS rank FROM ({_PAIR})) WHERE rank <= 5")
+def q_centroid_neighbors(lib, spark, d):
+    return _rounded(nearest.nearest_tracks(similarity.centroids(lib.track_vectors()), "full", 5))
+
+
 @query(f"SELECT 77::BIGINT AS playlist_id, track_id, row_number() OVER (ORDER BY score DESC, track_id)::INT AS position, round(score, {DIGITS}) + 0.0 AS similarity FROM (SELECT * FROM (SELECT * FROM ({_CENTROID}) ORDER BY score DESC, track_id LIMIT 5) UNION ALL SELECT 1, 1.0)")
 def q_playlist_build(lib, spark, d):
     lib.weights = None
