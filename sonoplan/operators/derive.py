@@ -6,7 +6,7 @@ depends on earlier ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ from ..functions import vectors
 
 FLAT = 1e-9
 TSNE_MOST, UMAP_MOST = 15_000, 200_000
+#: Landmarks whose places weigh in for a vector that is no landmark, and bytes of distances at once.
+PLACED_BY, PLACE_BYTES = 8, 32 << 20
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
@@ -188,12 +190,15 @@ def _neighbours(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(idx), np.concatenate(dist)
 
 
-def tsne(rows: DataFrame, k: int = 2, perplexity: float = 30.0, steps: int = 300) -> DataFrame:
-    """t-SNE (van der Maaten and Hinton 2008) on the driver, for TSNE_MOST vectors at most."""
+def tsne(rows: DataFrame, k: int = 2, perplexity: float = 30.0, steps: int = 300, landmarks: int | None = None) -> DataFrame:
+    """t-SNE (van der Maaten and Hinton 2008), for TSNE_MOST vectors at most, or of any number by landmarks."""
     if not 1 <= k <= 3:
         raise ValueError("t-SNE gives 1 to 3 components")
-    ids, x = _matrix(rows, TSNE_MOST, "t-SNE")
-    x, n = _standard(x), len(x)
+    return _laid_out(rows, TSNE_MOST, "t-SNE", landmarks, lambda x: _tsne(x, k, perplexity, steps))
+
+
+def _tsne(x: np.ndarray, k: int, perplexity: float, steps: int) -> np.ndarray:
+    n = len(x)
     perplexity = min(perplexity, max(5.0, (n - 1) / 4), n - 1.5)
     near = min(n - 1, int(3 * perplexity) + 1)
     idx, dist = _neighbours(x, near)
@@ -218,15 +223,18 @@ def tsne(rows: DataFrame, k: int = 2, perplexity: float = 30.0, steps: int = 300
         gain = np.maximum(np.where(np.sign(grad) != np.sign(move), gain + 0.2, gain * 0.8), 0.01)
         move = (0.5 if t < 100 else 0.8) * move - rate * gain * grad
         y = y + move
-    return _placed(rows, ids, y)
+    return y
 
 
-def umap(rows: DataFrame, k: int = 2, n_neighbors: int = 15, min_dist: float = 0.1, steps: int = 200) -> DataFrame:
-    """UMAP (McInnes et al. 2018) on the driver, for UMAP_MOST vectors at most."""
+def umap(rows: DataFrame, k: int = 2, n_neighbors: int = 15, min_dist: float = 0.1, steps: int = 200, landmarks: int | None = None) -> DataFrame:
+    """UMAP (McInnes et al. 2018), for UMAP_MOST vectors at most, or of any number by landmarks."""
     if not 1 <= k <= 32 or n_neighbors < 2 or not 0 <= min_dist <= 1:
         raise ValueError("UMAP gives 1 to 32 components from 2 neighbours or more, min_dist 0 to 1")
-    ids, x = _matrix(rows, UMAP_MOST, "UMAP")
-    x, n = _standard(x), len(x)
+    return _laid_out(rows, UMAP_MOST, "UMAP", landmarks, lambda x: _umap(x, k, n_neighbors, min_dist, steps))
+
+
+def _umap(x: np.ndarray, k: int, n_neighbors: int, min_dist: float, steps: int) -> np.ndarray:
+    n = len(x)
     near = min(n_neighbors, n - 1)
     idx, dist = _neighbours(x, near)
     rho, want = dist[:, 0], np.log2(near)
@@ -267,7 +275,51 @@ def umap(rows: DataFrame, k: int = 2, n_neighbors: int = 15, min_dist: float = 0
             push = np.where(i != o, 2 * b / ((0.001 + r) * (1 + a * np.maximum(r, 1e-12) ** b)), 0)
             np.add.at(step, i, np.clip(push[:, None] * d, -4, 4))
         y = y + alpha * step / max(1.0, near / 4)
-    return _placed(rows, ids, y)
+    return y
+
+
+def _laid_out(rows: DataFrame, most: int, what: str, landmarks: int | None, layout: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(chunk_id, v) by a layout that needs all its vectors at once.
+
+    Without ``landmarks`` it is fitted to all vectors, on the driver, and more than ``most`` are refused.
+    With them it is fitted to that many vectors of the largest size (``most`` at most, those of least
+    hashed chunk_id, so reruns agree), and every other vector is placed where it is stored: at the mean
+    of its PLACED_BY nearest landmarks, by one over the squared distance. A vector equal to a landmark
+    lies on it; null vectors and those of other sizes have no place.
+    """
+    if landmarks is None:
+        ids, x = _matrix(rows, most, what)
+        return _placed(rows, ids, layout(_standard(x)))
+    if not 4 <= landmarks <= most:
+        raise ValueError(f"{what} takes 4 to {most} landmarks")
+    own, pivot = _largest(rows)
+    _, x = _matrix(own.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(landmarks), most, what)
+    mean, std = x.mean(0), np.where(x.std(0) == 0, 1, x.std(0))
+    z = (x - mean) / std
+    y = layout(z)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PLACE_BYTES // (8 * max(len(z), PLACED_BY * z.shape[1])))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = (matrix_of(b.column(1)) - mean) / std
+            at = np.concatenate([_placed_by(v[low : low + step], z, y) for low in range(0, len(v), step)])
+            ends = pa.array(np.arange(len(at) + 1) * at.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(at.ravel()))], names=["chunk_id", "v"])
+
+    return own.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "v").mapInArrow(place, "chunk_id bigint, v array<double>")
+
+
+def _placed_by(v: np.ndarray, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of rows v among landmarks z, which lie at y."""
+    k = min(PLACED_BY, len(z))
+    d = (v * v).sum(1)[:, None] + (z * z).sum(1) - 2 * v @ z.T
+    near = np.argpartition(d, k - 1, 1)[:, :k]
+    d = ((v[:, None] - z[near]) ** 2).sum(2)  # of the few, without what the products lose
+    w = 1 / np.maximum(d, 1e-300)
+    w = np.where((d == 0).any(1, keepdims=True), d == 0, w / w.max(1, keepdims=True))
+    return (w[:, :, None] * y[near]).sum(1) / w.sum(1, keepdims=True)
 
 
 def _placed(rows: DataFrame, ids: list[int], y: np.ndarray) -> DataFrame:

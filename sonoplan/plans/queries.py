@@ -771,6 +771,12 @@ def q_umap(lib, spark, d):
     return long(derive.umap(lib.vectors.where("model = 'lo'"), 2), "v", "chunk_id")
 
 
+@query()
+def q_umap_landmarks(lib, spark, d):
+    """Fitted to 200 landmarks; every other vector is placed where it is stored."""
+    return long(derive.umap(lib.vectors.where("model = 'lo'"), 2, landmarks=200), "v", "chunk_id")
+
+
 @query()
 def q_text_embed_similar(lib, spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("track_id"), "text")
