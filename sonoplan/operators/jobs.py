@@ -15,6 +15,7 @@ from .. import plugins
 from ..plans.library import Library
 from ..schema import Dataset
 from ..sources import audio
+from ..sources.store import Store
 from . import changes, derive, noise, reads, similarity
 
 Tables = dict[str, DataFrame]
@@ -107,16 +108,22 @@ def _noise_tables(tables: Tables) -> Tables:
 # --- analysis ----------------------------------------------------------------------------
 
 
-def analyze(tables: Tables, files: DataFrame, models: Sequence[str], seconds: float = 20.0, overlap_percent: float = 50.0, force: bool = False, options: dict | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> Tables:
+def analyze(tables: Tables, files: DataFrame, models: Sequence[str], seconds: float = 20.0, overlap_percent: float = 50.0, force: bool = False, options: dict | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, held: list[DataFrame] | None = None) -> Tables:
     """Analyses the tracks of ``files`` (track_id, path, content, mtime, size), all in one set of plans.
 
     A track whose file and chunk plan are as stored keeps its chunks, and models that cover them
     are skipped (unless ``force``); else its chunks are replaced and all that hangs on them goes.
     Tags give the description. A track ends ``analyzed`` if some model covers all its chunks, else
     ``error`` with what went wrong; one track's failure doesn't stop the others.
+
+    Samples are decoded and embedded once and kept on the executors until the caller is done: what
+    is kept is added to ``held``, to be released (``analyze_into`` does so). Ids and plans are settled on
+    keys alone; samples meet nothing but the tracks that need no work.
     """
+    held = [] if held is None else held
     f = files.select("track_id", "path", "content", F.col("mtime").alias("new_mtime"), F.col("size").alias("new_size"))
-    decoded = audio.decode_chunks(f, seconds, overlap_percent).join(f.select("path", "track_id", "new_mtime", "new_size"), "path").persist()  # decoded once for all that follows
+    decoded = audio.decode_chunks(f, seconds, overlap_percent, keep=["track_id", "new_mtime", "new_size"]).persist()
+    held.append(decoded)
     failed = decoded.where("error IS NOT NULL").select("track_id", F.concat(F.lit("Decode failed: "), "error").alias("problem"))
     good = decoded.where("error IS NULL")
     empty = f.join(decoded.select("track_id"), "track_id", "left_anti").select("track_id", F.lit("the file has no samples").alias("problem"))
@@ -128,8 +135,10 @@ def analyze(tables: Tables, files: DataFrame, models: Sequence[str], seconds: fl
     # New ids where chunks are replaced: what hung on the old ones must not seem to hang on these.
     fresh = F.abs(F.xxhash64("track_id", "idx", "start_sec", "end_sec", "new_mtime", "new_size", F.lit("chunk")))
     old = stored.join(same, "track_id", "left_semi").select("track_id", "idx", F.col("chunk_id").alias("old_id"))
-    samples = good.join(old, ["track_id", "idx"], "left").withColumn("chunk_id", F.coalesce("old_id", fresh))
-    chunks = samples.select("chunk_id", "track_id", "idx", "start_sec", "end_sec")
+    samples = good.withColumn("chunk_id", fresh)
+    keys = samples.select(F.col("chunk_id").alias("new_id"), "track_id", "idx", "start_sec", "end_sec").join(old, ["track_id", "idx"], "left").withColumn("chunk_id", F.coalesce("old_id", "new_id"))
+    named = keys.select("new_id", "chunk_id")
+    chunks = keys.select("chunk_id", "track_id", "idx", "start_sec", "end_sec")
     lost = stored.join(same, "track_id", "left_anti").select("chunk_id")
     vectors = changes.without(tables["vectors"].select("chunk_id", "model", "v"), lost, "chunk_id")
     tags = changes.without(tables["tags"], lost, "chunk_id")
@@ -150,11 +159,14 @@ def analyze(tables: Tables, files: DataFrame, models: Sequence[str], seconds: fl
         done = have.join(total, "track_id").where("n >= total").select("track_id") if not force else have.limit(0).select("track_id")
         todo = samples.join(done, "track_id", "left_anti")
         made = plugins.embed_chunks(todo, plugin, errors=True).persist()
+        held.append(made)
+        made = made.withColumnRenamed("chunk_id", "new_id").join(named, "new_id").drop("new_id")
         broken = made.where("error IS NOT NULL").join(chunks, "chunk_id").groupBy("track_id").agg(F.concat(F.lit(f"{plugin.title} failed: "), F.min("error")).alias("problem"))
         notes.append(broken)
         vectors = changes.replace_rows(vectors, made.where("error IS NULL").select("chunk_id", "model", "v"), ["chunk_id", "model"])
         if plugin.describes:
             new = plugins.describe_chunks(todo.join(broken, "track_id", "left_anti"), plugin)
+            new = new.withColumnRenamed("chunk_id", "new_id").join(named, "new_id").drop("new_id")
             tags = changes.replace_rows(tags, new.select(*tags.columns), ["chunk_id", "model"])
 
     out = tables | {"chunks": changes.replace_rows(tables["chunks"], chunks.select(*tables["chunks"].columns), ["track_id"]), "vectors": vectors, "tags": tags}
@@ -181,3 +193,13 @@ def analyze(tables: Tables, files: DataFrame, models: Sequence[str], seconds: fl
     out["tracks"] = both.select(*[F.when(F.col("mine"), value[c]).otherwise(F.col(c)).cast(dict(tracks.dtypes)[c]).alias(c) if c in value else F.col(c) for c in tracks.columns])
     out["centroids"] = refresh_centroids(out, embed)
     return {n: out[n] for n in ("tracks", "chunks", "vectors", "tags", "reduced", "noise", "centroids") if n in out}
+
+
+def analyze_into(store: Store, files: DataFrame, models: Sequence[str], *args, **options) -> None:
+    """``analyze`` with its result stored as one commit; what it kept on the executors is released, come what may."""
+    held: list[DataFrame] = []
+    try:
+        store.put(analyze(store.tables(), files, models, *args, **options, held=held))
+    finally:
+        for df in held:
+            df.unpersist()

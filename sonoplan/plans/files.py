@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import plugins
-from ..operators import reads
+from ..operators import jobs, reads
+from ..schema import SCHEMAS
 from ..sources import audio, datasource
 from ..sources.store import Store
-from .queries import _SERIES, RATE, query, r, series
+from .queries import _SERIES, RATE, _waves, query, r, series
 
 KINDS = ("wav", "aiff", "au", "flac", "ogg", "mp3")
 
@@ -152,3 +153,36 @@ def q_window_pooling(lib, spark, d):
 def q_numbered(lib, spark, d):
     """Places of all chunks in the order of ids, without one task for all."""
     return reads.numbered(lib.chunks.select("chunk_id", "track_id"), "chunk_id", "place").select("chunk_id", "track_id", F.col("place").cast("bigint").alias("place"))
+
+
+class _Levels(plugins.Plugin):
+    """Mean, mean square and largest value of a chunk."""
+
+    name, title, dim = "levels", "Levels", 3
+
+    def _embed(self, chunks, rate):
+        return [np.array([c.mean(dtype=np.float64), np.square(c.astype(np.float64)).mean(), c.max()]) for c in chunks]
+
+
+@query(_SERIES + """, w AS (SELECT user_id, x, len(x) AS n, greatest(0, ceil((len(x) - 32) / 16.0)::BIGINT) AS l FROM s),
+c AS (SELECT user_id, x, n, CASE WHEN l > 0 AND n - l * 16 < 8 THEN l - 1 ELSE l END AS last FROM w),
+k AS (SELECT user_id, x, n, last, unnest(range(0, last + 1)) AS idx FROM c),
+p AS (SELECT user_id, idx, unnest(x[idx * 16 + 1:CASE WHEN idx = last THEN n ELSE least(idx * 16 + 32, n) END]) AS v FROM k),
+y AS (SELECT user_id, idx, (trunc(greatest(-1, least(1, v / 100)) * 32767) / 32768)::FLOAT::DOUBLE AS y FROM p),
+f AS (SELECT user_id, idx, avg(y) AS a, avg(y * y) AS b, max(y) AS c FROM y GROUP BY user_id, idx)
+SELECT user_id::BIGINT AS track_id, 'analyzed' AS status, NULL AS status_message, idx::INT AS idx, unnest([0, 1, 2]) AS pos, round(unnest([a, b, c])::FLOAT::DOUBLE, 6) + 0.0 AS x FROM f
+UNION ALL SELECT -1, 'error', 'Decode failed', NULL, NULL, NULL""")
+def q_analyze_job(lib, spark, d):
+    """The analysis job over a rendered file per user and a broken one, as stored: chunks, vectors (floats of 4 bytes), status."""
+    plugins.register("levels", _Levels)
+    waves = _waves(spark, d).withColumn("track_id", F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("bigint"))
+    broken = spark.range(1).select(F.lit("/waves/broken.wav").alias("path"), F.lit(b"RIFFbroken").alias("content"), F.lit(-1).cast("bigint").alias("track_id"))
+    files = waves.unionByName(broken).withColumn("mtime", F.lit(1.0)).withColumn("size", F.length("content").cast("bigint"))
+    store = Store(spark, _scratch(spark))
+    blank = lambda f: F.lit("new" if f.name == "status" else None).cast(f.dataType)
+    store.write("tracks", files.select(*[F.col(f.name) if f.name in ("track_id", "path") else blank(f).alias(f.name) for f in SCHEMAS["tracks"]]))
+    jobs.analyze_into(store, files, ["levels"], 32 / RATE, 50.0)
+    out = store.tables()
+    x = out["vectors"].join(out["chunks"], "chunk_id").select("track_id", "idx", F.posexplode("v").alias("pos", "x"))
+    message = F.regexp_extract("status_message", "^[^:]*", 0)
+    return out["tracks"].select("track_id", "status", message.alias("status_message")).join(x, "track_id", "left").withColumn("x", r("x"))

@@ -12,7 +12,7 @@ import json
 import os
 import shutil
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import BinaryIO
 
 import numpy as np
@@ -159,8 +159,11 @@ def probe_files(files: DataFrame) -> DataFrame:
 _CHUNK = "path string, idx int, start_sec double, end_sec double, rate int, samples array<float>, error string"
 
 
-def decode_chunks(files: DataFrame, seconds: float = 20.0, overlap_percent: float = 50.0, target_rate: int | None = None) -> DataFrame:
-    """Chunks of samples of ``files`` (path, content), one row each; errors as rows without samples."""
+def decode_chunks(files: DataFrame, seconds: float = 20.0, overlap_percent: float = 50.0, target_rate: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Chunks of samples of ``files`` (path, content), one row each; errors as rows without samples.
+
+    Columns of ``files`` that ``keep`` names go with each of their chunks, so that samples needn't be joined.
+    """
     hop_share = 1 - min(max(float(overlap_percent), 0.0), 95.0) / 100
 
     def plan(n: int, rate: int) -> list[tuple[int, int]]:
@@ -175,16 +178,18 @@ def decode_chunks(files: DataFrame, seconds: float = 20.0, overlap_percent: floa
         names = [f.split()[0] for f in _CHUNK.split(", ")]
         kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.float32()), pa.string())
         for b in batches:
-            for path, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            for at, (path, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
                 try:
                     x, rate = decode(raw.as_py() or b"", path, target_rate)
                     rows = [(path, i, s / rate, e / rate, rate, x[s:e], None) for i, (s, e) in enumerate(plan(len(x), rate))]
                 except Exception as e:  # noqa: BLE001
                     rows = [(path, None, None, None, None, None, str(e)[:200])]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    own = [c.take(pa.array([at] * len(rows))) for c in b.columns[2:]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), kinds)), *own], names=[*names, *keep])
 
-    return files.select("path", "content").mapInArrow(run, _CHUNK)
+    kept = [f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep]
+    return files.select("path", "content", *keep).mapInArrow(run, ", ".join([_CHUNK, *kept]))
 
 
 _CHANNEL = "path string, channel int, rate int, samples array<float>, error string"

@@ -429,7 +429,9 @@ def test_analysis_keeps_what_is_current(spark, tmp_path):
 
     def run(models, stamp=1.0, **options):
         files = s.read("tracks").select("track_id", "path").join(content, "path").withColumn("mtime", F.lit(stamp)).withColumn("size", F.lit(9).cast("bigint"))
-        s.put(jobs.analyze(s.tables(), files, models, 1.0, 0.0, **options))
+        before = {r.id() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
+        jobs.analyze_into(s, files, models, 1.0, 0.0, **options)
+        assert {r.id() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo()} <= before
         return s.tables()
 
     t = run(["pitch", "broken", "none"])
