@@ -18,6 +18,8 @@ from ..functions import vectors
 
 FLAT = 1e-9
 TSNE_MOST, UMAP_MOST = 15_000, 200_000
+#: Vectors that t-SNE and UMAP fit on the driver.
+WHOLE_MOST = 2000
 #: Landmarks whose places weigh in for a vector that is no landmark, and bytes of distances at once.
 PLACED_BY, PLACE_BYTES = 8, 32 << 20
 
@@ -190,18 +192,17 @@ def _neighbours(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(idx), np.concatenate(dist)
 
 
-def tsne(rows: DataFrame, k: int = 2, perplexity: float = 30.0, steps: int = 300, landmarks: int | None = None) -> DataFrame:
-    """t-SNE (van der Maaten and Hinton 2008), for TSNE_MOST vectors at most, or of any number by landmarks."""
+def tsne(rows: DataFrame, k: int = 2, perplexity: float = 30.0, steps: int = 300, landmarks: int | None = None, limited: bool = True) -> DataFrame:
+    """t-SNE (van der Maaten and Hinton 2008), for TSNE_MOST vectors at most unless ``limited`` is false, or by landmarks."""
     if not 1 <= k <= 3:
         raise ValueError("t-SNE gives 1 to 3 components")
-    return _laid_out(rows, TSNE_MOST, "t-SNE", landmarks, lambda x: _tsne(x, k, perplexity, steps))
+    spread = lambda: layout.tsne(rows, k, perplexity, steps)
+    return _laid_out(rows, TSNE_MOST, "t-SNE", landmarks, lambda x: _tsne(x, k, perplexity, steps), spread, limited)
 
 
-def _tsne(x: np.ndarray, k: int, perplexity: float, steps: int) -> np.ndarray:
-    n = len(x)
-    perplexity = min(perplexity, max(5.0, (n - 1) / 4), n - 1.5)
-    near = min(n - 1, int(3 * perplexity) + 1)
-    idx, dist = _neighbours(x, near)
+def perplexed(dist: np.ndarray, perplexity: float) -> np.ndarray:
+    """Shares of each row's neighbours, whose distances are ascending, at the bandwidth of that perplexity."""
+    n = len(dist)
     lo, hi, beta = np.zeros(n), np.full(n, np.inf), np.ones(n)
     for _ in range(60):
         p = np.exp(-beta[:, None] * (dist**2 - dist[:, :1] ** 2))
@@ -209,6 +210,15 @@ def _tsne(x: np.ndarray, k: int, perplexity: float, steps: int) -> np.ndarray:
         high = -(p * np.log(np.maximum(p, 1e-300))).sum(1) > np.log(perplexity)
         lo, hi = np.where(high, beta, lo), np.where(high, hi, beta)
         beta = np.where(np.isinf(hi), beta * 2, (lo + hi) / 2)
+    return p
+
+
+def _tsne(x: np.ndarray, k: int, perplexity: float, steps: int) -> np.ndarray:
+    n = len(x)
+    perplexity = min(perplexity, max(5.0, (n - 1) / 4), n - 1.5)
+    near = min(n - 1, int(3 * perplexity) + 1)
+    idx, dist = _neighbours(x, near)
+    p = perplexed(dist, perplexity)
     big = np.zeros((n, n), np.float32)
     np.put_along_axis(big, idx, p.astype(np.float32), 1)
     big = np.maximum((big + big.T) / (2 * n), 1e-12)
@@ -226,24 +236,38 @@ def _tsne(x: np.ndarray, k: int, perplexity: float, steps: int) -> np.ndarray:
     return y
 
 
-def umap(rows: DataFrame, k: int = 2, n_neighbors: int = 15, min_dist: float = 0.1, steps: int = 200, landmarks: int | None = None) -> DataFrame:
-    """UMAP (McInnes et al. 2018), for UMAP_MOST vectors at most, or of any number by landmarks."""
+def umap(rows: DataFrame, k: int = 2, n_neighbors: int = 15, min_dist: float = 0.1, steps: int = 200, landmarks: int | None = None, limited: bool = True) -> DataFrame:
+    """UMAP (McInnes et al. 2018), for UMAP_MOST vectors at most unless ``limited`` is false, or by landmarks."""
     if not 1 <= k <= 32 or n_neighbors < 2 or not 0 <= min_dist <= 1:
         raise ValueError("UMAP gives 1 to 32 components from 2 neighbours or more, min_dist 0 to 1")
-    return _laid_out(rows, UMAP_MOST, "UMAP", landmarks, lambda x: _umap(x, k, n_neighbors, min_dist, steps))
+    spread = lambda: layout.umap(rows, k, n_neighbors, min_dist, steps)
+    return _laid_out(rows, UMAP_MOST, "UMAP", landmarks, lambda x: _umap(x, k, n_neighbors, min_dist, steps), spread, limited)
 
 
-def _umap(x: np.ndarray, k: int, n_neighbors: int, min_dist: float, steps: int) -> np.ndarray:
-    n = len(x)
-    near = min(n_neighbors, n - 1)
-    idx, dist = _neighbours(x, near)
+def fuzzy(dist: np.ndarray) -> np.ndarray:
+    """Memberships of each row's neighbours, whose distances are ascending; they sum to log2 of their number."""
+    n, near = dist.shape
     rho, want = dist[:, 0], np.log2(near)
     lo, hi, sigma = np.zeros(n), np.full(n, np.inf), np.ones(n)
     for _ in range(64):
         total = np.exp(-np.maximum(dist - rho[:, None], 0) / sigma[:, None]).sum(1)
         lo, hi = np.where(total > want, lo, sigma), np.where(total > want, sigma, hi)
         sigma = np.where(np.isinf(hi), sigma * 2, (lo + hi) / 2)
-    w = np.exp(-np.maximum(dist - rho[:, None], 0) / np.maximum(sigma, 1e-12)[:, None])
+    return np.exp(-np.maximum(dist - rho[:, None], 0) / np.maximum(sigma, 1e-12)[:, None])
+
+
+def curve(min_dist: float) -> tuple[float, float]:
+    """a, b of the low-dimensional curve, by least squares on a grid."""
+    grid = np.linspace(0, 3, 300)[1:]
+    shape = np.where(grid <= min_dist, 1, np.exp(-(grid - min_dist)))
+    return min(((a, b) for a in np.linspace(0.3, 6, 60) for b in np.linspace(0.4, 1.6, 40)), key=lambda c: ((1 / (1 + c[0] * grid ** (2 * c[1])) - shape) ** 2).sum())
+
+
+def _umap(x: np.ndarray, k: int, n_neighbors: int, min_dist: float, steps: int) -> np.ndarray:
+    n = len(x)
+    near = min(n_neighbors, n - 1)
+    idx, dist = _neighbours(x, near)
+    w = fuzzy(dist)
     a_of, b_of = np.repeat(np.arange(n), near), idx.ravel()
     key = np.concatenate([a_of * n + b_of, b_of * n + a_of])
     pair, back = np.unique(key, return_inverse=True)
@@ -252,10 +276,7 @@ def _umap(x: np.ndarray, k: int, n_neighbors: int, min_dist: float, steps: int)
     np.maximum.at(p[:, 1], back[n * near :], w.ravel())
     weight = p.sum(1) - p.prod(1)
     head, tail = pair // n, pair % n
-    # a, b of the low-dimensional curve, by least squares on a grid.
-    grid = np.linspace(0, 3, 300)[1:]
-    shape = np.where(grid <= min_dist, 1, np.exp(-(grid - min_dist)))
-    a, b = min(((a, b) for a in np.linspace(0.3, 6, 60) for b in np.linspace(0.4, 1.6, 40)), key=lambda c: ((1 / (1 + c[0] * grid ** (2 * c[1])) - shape) ** 2).sum())
+    a, b = curve(min_dist)
     rng = np.random.default_rng(0)
     y = _principal(x, k)
     y = np.pad(y, ((0, 0), (0, k - y.shape[1]))) / max(np.abs(y).max(), 1e-12) * 10 + rng.normal(0, 1e-4, (n, k))
@@ -278,25 +299,31 @@ def _umap(x: np.ndarray, k: int, n_neighbors: int, min_dist: float, steps: int)
     return y
 
 
-def _laid_out(rows: DataFrame, most: int, what: str, landmarks: int | None, layout: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(chunk_id, v) by a layout that needs all its vectors at once.
+def _laid_out(rows: DataFrame, most: int, what: str, landmarks: int | None, fit: Callable[[np.ndarray], np.ndarray], spread: Callable[[], DataFrame], limited: bool) -> DataFrame:
+    """(chunk_id, v) by a layout that is fitted to all vectors together.
 
-    Without ``landmarks`` it is fitted to all vectors, on the driver, and more than ``most`` are refused.
+    Without ``landmarks`` all vectors are fitted: up to WHOLE_MOST on the driver, more in the cluster (see
+    ``layout``); more than ``most`` are refused unless ``limited`` is false.
     With them it is fitted to that many vectors of the largest size (``most`` at most, those of least
     hashed chunk_id, so reruns agree), and every other vector is placed where it is stored: at the mean
     of its PLACED_BY nearest landmarks, by one over the squared distance. A vector equal to a landmark
     lies on it; null vectors and those of other sizes have no place.
     """
     if landmarks is None:
+        n = rows.limit(most + 1).count()
+        if limited and n > most:
+            raise ValueError(f"{what} takes at most {most} vectors")
+        if n > WHOLE_MOST:
+            return spread()
         ids, x = _matrix(rows, most, what)
-        return _placed(rows, ids, layout(_standard(x)))
+        return _placed(rows, ids, fit(_standard(x)))
     if not 4 <= landmarks <= most:
         raise ValueError(f"{what} takes 4 to {most} landmarks")
     own, pivot = _largest(rows)
     _, x = _matrix(own.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(landmarks), most, what)
     mean, std = x.mean(0), np.where(x.std(0) == 0, 1, x.std(0))
     z = (x - mean) / std
-    y = layout(z)
+    y = fit(z)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, PLACE_BYTES // (8 * max(len(z), PLACED_BY * z.shape[1])))
@@ -336,3 +363,6 @@ def reduce_rows(rows: DataFrame, method: str, k: int, **options) -> tuple[DataFr
     if method in ("tsne", "umap"):
         return {"tsne": tsne, "umap": umap}[method](rows, k, **options), []
     raise ValueError(f"unknown reduction {method!r}")
+
+
+from . import layout  # noqa: E402  (it uses what is above)

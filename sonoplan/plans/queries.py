@@ -763,7 +763,7 @@ def q_similar_reduced(lib, spark, d):
 
 @query()
 def q_tsne(lib, spark, d):
-    return long(derive.tsne(lib.vectors.where("model = 'lo'"), 2), "v", "chunk_id")
+    return long(derive.tsne(lib.vectors.where("model = 'lo'"), 2, limited=False), "v", "chunk_id")
 
 
 @query()
