@@ -768,7 +768,7 @@ def q_tsne(lib, spark, d):
 
 @query()
 def q_umap(lib, spark, d):
-    return long(derive.umap(lib.vectors.where("model = 'lo'"), 2), "v", "chunk_id")
+    return long(derive.umap(lib.vectors.where("model = 'lo'"), 2, limited=False), "v", "chunk_id")
 
 
 @query()
