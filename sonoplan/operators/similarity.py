@@ -122,14 +122,20 @@ def seed_matrices(rows: DataFrame, seeds: Sequence[int]) -> dict[int, Matrices]:
     """Unit vectors of stated tracks on the driver, read in one pass."""
     by: dict[int, dict[str, dict[int, list]]] = {}
     own = rows.where(_among("track_id", seeds)).select("track_id", "model", vectors.unit("v").alias("v"), "chunk_id")
-    for r in own.orderBy("track_id", "model", "chunk_id").collect():
-        by.setdefault(r["track_id"], {}).setdefault(r["model"], {}).setdefault(len(r["v"]), []).append(r["v"])
-    return {t: {m: [(d, np.asarray(v, np.float64)) for d, v in sorted(sizes.items())] for m, sizes in models.items()} for t, models in by.items()}
+    for b in own.orderBy("track_id", "model", "chunk_id").toArrow().to_batches():
+        off, flat = b.column("v").offsets.to_numpy(), b.column("v").values.to_numpy(zero_copy_only=False)
+        track, model, size = b.column("track_id").to_numpy(), np.array(b.column("model").to_pylist(), object), np.diff(off)
+        ends = np.flatnonzero((np.diff(track, append=track[-1:] + 1) != 0) | np.append(model[1:] != model[:-1], True)) + 1 if len(track) else []
+        for low, end in zip([0, *ends], ends):
+            for d in np.unique(size[low:end]).tolist():
+                k = low + np.flatnonzero(size[low:end] == d)
+                by.setdefault(int(track[low]), {}).setdefault(model[low], {}).setdefault(d, []).append(flat[off[k][:, None] + np.arange(d)])
+    return {t: {m: [(d, np.concatenate(v).astype(np.float64)) for d, v in sorted(sizes.items())] for m, sizes in models.items()} for t, models in by.items()}
 
 
 _MET = "seed bigint, track_id bigint, model string, n bigint, low double, misfit boolean, best array<double>"
-#: Seed vectors that a batch meets at once.
-MEET_COLUMNS = 1024
+#: Seed vectors of several seeds that go together; bytes of cosines at once, and of rows that leave together.
+MEET_COLUMNS, MEET_BYTES = 1024, 16 << 20
 
 
 def _groups(own: dict[int, Matrices], model: str) -> Iterator[list[tuple[int, list[tuple[int, np.ndarray]]]]]:
@@ -148,7 +154,7 @@ def _groups(own: dict[int, Matrices], model: str) -> Iterator[list[tuple[int, li
 
 
 def _meet(rows: DataFrame, own: dict[int, Matrices]) -> DataFrame:
-    """Cosines of all chunks with the seeds' vectors, block by block as matrix products.
+    """Cosines of all chunks with the seeds' vectors, block by block as matrix products of MEET_BYTES.
 
     A row per batch, seed, track and model: n chunks, ``low`` the sum of their least costs, ``best``
     the highest cosine that each seed vector meets, ``misfit`` if some sizes differ (those
@@ -156,12 +162,17 @@ def _meet(rows: DataFrame, own: dict[int, Matrices]) -> DataFrame:
     """
     names = sorted({m for models in own.values() for m in models})
 
+    def sent(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out)) or [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _MET.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             track, model = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), object)
             off = b.column(2).offsets.to_numpy()
             flat = b.column(2).values.to_numpy(zero_copy_only=False)
-            out = []
+            out, held = [], 0
             for m in names:
                 mine = np.flatnonzero(model == m)
                 if not len(mine):
@@ -171,14 +182,16 @@ def _meet(rows: DataFrame, own: dict[int, Matrices]) -> DataFrame:
                 ends = np.flatnonzero(np.diff(tracks, append=tracks[-1] + 1)) + 1
                 units: dict[int, tuple[np.ndarray, np.ndarray]] = {}
                 for group in _groups(own, m):
-                    cos, place, spans = np.zeros((len(mine), sum(len(s) for _, parts in group for _, s in parts))), 0, []
-                    wide: dict[int, list[tuple[int, np.ndarray]]] = {}
-                    for seed, parts in group:
+                    place, spans = 0, []
+                    wide: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+                    for g, (seed, parts) in enumerate(group):
                         start = place
                         for d, s in parts:
-                            wide.setdefault(d, []).append((place, s))
+                            wide.setdefault(d, []).append((g, place, s))
                             place += len(s)
                         spans.append((seed, start, place, np.ones(len(mine), bool) if len(parts) > 1 else size != parts[0][0]))
+                    best, high = np.full((len(ends), place), -np.inf), np.full((len(group), len(mine)), -np.inf)
+                    step = max(1, MEET_BYTES // (8 * len(mine)))
                     for d, parts in wide.items():
                         if d not in units:
                             k = np.flatnonzero(size == d)
@@ -186,18 +199,27 @@ def _meet(rows: DataFrame, own: dict[int, Matrices]) -> DataFrame:
                             norm = np.linalg.norm(v, axis=1, keepdims=True)
                             units[d] = k, np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
                         k, v = units[d]
-                        columns = np.concatenate([np.arange(at, at + len(s)) for at, s in parts])
-                        cos[np.ix_(k, columns)] = np.clip(v @ np.concatenate([s for _, s in parts]).T, -1, 1)
+                        theirs = parts[0][2] if len(parts) == 1 else np.concatenate([s for _, _, s in parts])
+                        columns = np.concatenate([np.arange(at, at + len(s)) for _, at, s in parts])
+                        owner = np.repeat([g for g, _, _ in parts], [len(s) for _, _, s in parts])
+                        for low in range(0, len(columns), step):
+                            some = slice(low, low + step)
+                            cos = np.zeros((len(mine), len(columns[some])))
+                            cos[k] = np.clip(v @ theirs[some].T, -1, 1)
+                            best[:, columns[some]] = np.maximum.reduceat(cos, np.append(0, ends[:-1]), axis=0)
+                            first = np.flatnonzero(np.diff(owner[some], prepend=-1))
+                            own_of = owner[some][first]
+                            high[own_of] = np.maximum(high[own_of], np.maximum.reduceat(cos, first, axis=1).T)
                     begin = 0
-                    for end in ends:
-                        best = cos[begin:end].max(0)
-                        for seed, first, last, misfit in spans:
-                            c = cos[begin:end, first:last]
-                            out.append((seed, int(tracks[begin]), m, int(end - begin), float((1 - c.max(1)).sum()), bool(misfit[begin:end].any()), best[first:last]))
+                    for t, end in enumerate(ends):
+                        for g, (seed, first, last, misfit) in enumerate(spans):
+                            out.append((seed, int(tracks[begin]), m, int(end - begin), float((1 - high[g, begin:end]).sum()), bool(misfit[begin:end].any()), best[t, first:last]))
+                            held += 8 * (last - first)
                         begin = end
-            cols = list(zip(*out)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _MET.split(", ")])
+                        if held >= MEET_BYTES:
+                            yield sent(out)
+                            out, held = [], 0
+            yield sent(out)
 
     mine = rows.where(F.col("model").isin(names)) if names else rows.limit(0)
     return mine.select("track_id", "model", "v").mapInArrow(run, _MET)
@@ -244,22 +266,39 @@ def chamfer(a: Sequence, b: Sequence) -> float:
     return float((c.min(1).mean() + c.min(0).mean()) / 2)
 
 
+#: Costs that a transport keeps; those of larger sets are made anew in every round, as strips of so many.
+KERNEL_CELLS = 1 << 21
+
+
 def earth_movers(a: Sequence, b: Sequence, reg: float = 0.05) -> float:
-    """Entropic transport cost between uniform masses (Sinkhorn); mean cost if it diverges."""
-    c = cost_matrix(a, b)
-    k = np.exp(-c / min(max(reg, 0.01), 2.0))
-    p, q = np.full(len(c), 1 / len(c)), np.full(c.shape[1], 1 / c.shape[1])
-    u, v = np.ones_like(p), np.ones_like(q)
+    """Entropic transport cost between uniform masses (Sinkhorn); mean cost if it diverges.
+
+    Costs are met in strips of columns, once a round: a strip's masses follow from the rows', and it adds
+    its share to those of the next round. So memory grows with the sets, not with their product."""
+    a, b = unit_matrix(a), unit_matrix(b)
+    reg = min(max(reg, 0.01), 2.0)
+    width = max(1, KERNEL_CELLS // len(a))
+
+    def strip(low: int) -> tuple[slice, np.ndarray, np.ndarray]:
+        c = np.clip(1 - a @ b[low : low + width].T, 0, 2)
+        return slice(low, low + width), c, np.exp(-c / reg)
+
+    kept = [strip(0)] if width >= len(b) else None
+    strips = lambda: kept or map(strip, range(0, len(b), width))
+    u, v = np.ones(len(a)), np.ones(len(b))
     with np.errstate(all="ignore"):
         for _ in range(500):
-            v = q / (k.T @ u)
-            new = p / (k @ v)
+            met = np.zeros(len(a))
+            for at, _, k in strips():
+                v[at] = 1 / len(b) / (k.T @ u)
+                met += k @ v[at]
+            new = 1 / len(a) / met
             done = np.abs(new - u).sum() < 1e-9
             u = new
             if done:
                 break
-        total = float((u[:, None] * k * v * c).sum())
-    return total if np.isfinite(total) else float(c.mean())
+        total = sum(float(u @ (k * c) @ v[at]) for at, c, k in strips())
+    return total if np.isfinite(total) else sum(float(c.sum()) for _, c, _ in strips()) / (len(a) * len(b))
 
 
 def emd_scores(rows: DataFrame, seeds: int | Sequence[int], reg: float = 0.05, most: int | None = None) -> DataFrame:
