@@ -67,6 +67,19 @@ def newest_first(df: DataFrame, id_column: str) -> DataFrame:
     return df.orderBy(F.col("created_at").desc(), F.col(id_column).desc())
 
 
+def newest_numbered(df: DataFrame, id_column: str, name: str) -> DataFrame:
+    """``df`` with its place from 1 on in the order of newest_first, numbered where rows lie: ranges of the
+    whole order (so equal times are parted by id) are numbered each by itself, after those before it. The
+    ranges are kept on the executors; the driver holds a count per range."""
+    order = [F.col("created_at").desc(), F.col(id_column).desc()]
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).persist()
+    sizes = {r["_range"]: r["n"] for r in dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = [F.lit(sum(n for k, n in sizes.items() if k < j)).cast("bigint") for j in range(parts)]
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, own + F.element_at(F.array(*starts), F.col("_range") + 1)).drop("_range")
+
+
 def path_filter(tracks: DataFrame, needle: str) -> DataFrame:
     """Tree nodes (path, is_file) that a search shows: a match, what is above it and below it.
 

@@ -1007,7 +1007,7 @@ def q_playlist_delete(lib, spark, d):
 
 @query("SELECT playlist_id, name, row_number() OVER (ORDER BY created_at DESC, playlist_id DESC)::INT AS place FROM playlists")
 def q_newest_playlists(lib, spark, d):
-    return reads.newest_first(lib.playlists, "playlist_id").select("playlist_id", "name", F.row_number().over(W.orderBy(F.col("created_at").desc(), F.col("playlist_id").desc())).alias("place"))
+    return reads.newest_numbered(lib.playlists, "playlist_id", "place").select("playlist_id", "name", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT path FROM (SELECT DISTINCT regexp_extract(path, '^/[^/]+/[^/]+') AS path FROM tracks) UNION SELECT '/music/PROMO'")
