@@ -94,14 +94,24 @@ def hashing_embedder(dim: int = 64) -> Callable[[Sequence[str]], list[list[float
     return embed
 
 
+def in_turn(b: pa.RecordBatch, size: int) -> Iterator[list[tuple[int, str]]]:
+    """(id, text) of a batch of two columns, ``size`` that are not blank at a time; no more are Python objects."""
+    held: list[tuple[int, str]] = []
+    for at in range(0, b.num_rows, size):
+        held += [(i, t) for i, t in zip(*(c.to_pylist() for c in b.slice(at, size).columns)) if t and t.strip()]
+        if len(held) >= size:
+            yield held[:size]
+            held = held[size:]
+    if held:
+        yield held
+
+
 def embed_texts(texts: DataFrame, embed: Callable[[Sequence[str]], list[list[float]]], model: str, batch: int = 64) -> DataFrame:
     """``texts`` (track_id, text) to (track_id, model, v); blanks are skipped, failed batches too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, t) for i, t in zip(*(c.to_pylist() for c in b.columns)) if t and t.strip()]
-            for at in range(0, len(rows), batch):
-                part = rows[at : at + batch]
+            for part in in_turn(b, batch):
                 try:
                     vs = embed([t for _, t in part])
                 except (OSError, RuntimeError, ValueError):
