@@ -174,14 +174,17 @@ SELECT user_id::BIGINT AS track_id, 'analyzed' AS status, NULL AS status_message
 UNION ALL SELECT -1, 'error', 'Decode failed', NULL, NULL, NULL""")
 def q_analyze_job(lib, spark, d):
     """The analysis job over a rendered file per user and a broken one, as stored: chunks, vectors (floats of 4 bytes), status."""
-    plugins.register("levels", _Levels)
     waves = _waves(spark, d).withColumn("track_id", F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("bigint"))
     broken = spark.range(1).select(F.lit("/waves/broken.wav").alias("path"), F.lit(b"RIFFbroken").alias("content"), F.lit(-1).cast("bigint").alias("track_id"))
     files = waves.unionByName(broken).withColumn("mtime", F.lit(1.0)).withColumn("size", F.length("content").cast("bigint"))
     store = Store(spark, _scratch(spark))
     blank = lambda f: F.lit("new" if f.name == "status" else None).cast(f.dataType)
     store.write("tracks", files.select(*[F.col(f.name) if f.name in ("track_id", "path") else blank(f).alias(f.name) for f in SCHEMAS["tracks"]]))
-    jobs.analyze_into(store, files, ["levels"], 32 / RATE, 50.0)
+    plugins.register("levels", _Levels)
+    try:
+        jobs.analyze_into(store, files, ["levels"], 32 / RATE, 50.0)
+    finally:
+        plugins.unregister("levels")
     out = store.tables()
     x = out["vectors"].join(out["chunks"], "chunk_id").select("track_id", "idx", F.posexplode("v").alias("pos", "x"))
     message = F.regexp_extract("status_message", "^[^:]*", 0)

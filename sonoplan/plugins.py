@@ -131,6 +131,11 @@ def register(name: str, make: Callable[[], Plugin]) -> None:
     _MADE.pop(name, None)
 
 
+def unregister(name: str) -> None:
+    _CLASSES.pop(name, None)
+    _MADE.pop(name, None)
+
+
 def get_plugin(name: str) -> Plugin:
     """One instance per process; KeyError for an unknown name."""
     if name not in _MADE:
