@@ -1,20 +1,27 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, memory-mapped by workers.
 
-Counting is one job for each order, from the longest n-grams to pairs. A map task reduces its
+Words are counted first. Triples and pairs are then counted together: triples go to buckets by
+their middle word, so a bucket has all of a context (its first two words) and of a pair (its last
+two) at once, and an exchange of triples yields both sizes. A word with too large a share of all
+tokens is spread over several buckets by the last word; sums of its contexts, and of the words
+that end pairs, are completed at the end. Buckets are dealt to rounds, a job each: a round reads
+all texts and exchanges its own buckets' triples, whose files go before the next round.
+
+Longer n-grams (and pairs alone, in order 2) are counted by one job for each size. A map task reduces its
 texts to distinct n-grams of 64-bit word hashes and sends them, their words coded by a list of
 each payload's distinct ones, to buckets on a grid: rows of the grid by the context, columns by
 the word, so that neither a frequent word nor a frequent context fills one bucket alone. A bucket
 of the longest n-grams sums their counts; one of shorter ones counts the words seen before each.
 It writes them as a sorted hash array, and passes on the partial sums of its contexts and words,
-which a second exchange completes and writes the same way. Nothing but one row of sums per bucket
-reaches the driver. The files of an order's exchanges go when its job ends (also where the session
-keeps them otherwise), so that no more than one order's are there at once.
+which a second exchange completes and writes the same way. Nothing but sums and the frequent words
+(two a bucket at most) reaches the driver. The files of a job's exchanges go when it ends (also where
+the session keeps them otherwise), so that no more than one job's are there at once.
 
 Arrays of n-grams and contexts hold 48 bits of each hash within a bucket and counts in a byte
 each, with a list of the larger ones; words are held by 64 bits.
 
-Scoring maps the arrays into memory from the shared folder and looks the distinct n-grams of
-each block of texts up by binary search, bucket by bucket. Texts begin with as many starts as
+Scoring maps the arrays into memory from the shared folder and looks the n-grams of each block of
+texts up by binary search, bucket by bucket and nearly in order. Texts begin with as many starts as
 the longest context has words.
 """
 
@@ -41,15 +48,19 @@ START, END = U64(0x51A7C0FFEE150001), U64(0xE4D0FD0C5EED0003)
 ORDER = 3
 COLUMNS = 8
 FLUSH_TOKENS = 3_000_000
+ROUNDS = 4
+ROUND_BUCKETS = 16
+MERGE = 4_000_000
+#: Candidates for frequent words that a bucket of words names; 2 are frequent on average at most.
+NAMED = 16
 
 
 def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(u * U64(0x9E3779B97F4A7C15) + w)
 
 
-def token_grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, text) of every token, the words of each text and one END: a column of grams has the
-    ``size`` tokens that end with it, START where the text has not begun."""
+def tokens_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place in its text, text) of every token: the words of each text and one END."""
     h, n = words.hashes(), words.counts()
     text = np.repeat(np.arange(len(n)), n + 1)
     ends = np.cumsum(n + 1) - 1
@@ -57,12 +68,22 @@ def token_grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     is_word = np.ones(len(w), bool)
     is_word[ends] = False
     w[is_word], w[ends] = h, END
-    place = np.arange(len(w)) - np.repeat(ends - n, n + 1)
-    x = np.empty((size, len(w)), U64)
+    return w, np.arange(len(w)) - np.repeat(ends - n, n + 1), text
+
+
+def shifted(w: np.ndarray, place: np.ndarray, size: int, start: int) -> np.ndarray:
+    """A column per token: the ``size`` tokens that end with it, ``start`` where the text has not begun."""
+    x = np.empty((size, len(w)), w.dtype)
     for back, row in enumerate(x[::-1]):
         row[back:] = w[: max(len(w) - back, 0)]
-        row[place < back] = START
-    return x, text
+        row[place < back] = start
+    return x
+
+
+def token_grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, text) of every token, START where the text has not begun."""
+    w, place, text = tokens_of(words)
+    return shifted(w, place, size, START), text
 
 
 def context_hash(x: np.ndarray) -> np.ndarray:
@@ -101,9 +122,9 @@ def _load(root: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
             while part := src.read(1 << 24):
                 own.write(part)
             own.flush()
-            raw = np.memmap(own, np.uint8, "r")
+            raw = np.memmap(own, np.uint8, "r").view(np.ndarray)
     else:
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
     n, at, out = int(raw[:8].view(np.int64)[0]), 8, []
     for kind in kinds:
         end = at + n * np.dtype(kind).itemsize
@@ -205,14 +226,25 @@ def _widen(small: np.ndarray, big: np.ndarray, full: np.ndarray) -> np.ndarray:
     return out
 
 
+def _starts(k: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+
+
 def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, with the sums of the values; the order used comes last."""
     order = np.argsort(key)
     k = key[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    first = _starts(k)
     return (k[first], *(np.add.reduceat(v[order], first) if len(k) else v for v in values), order[first])
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and the place of each among them."""
+    coded = pa.array(x).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def _code(words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words that occur among ``ids``, and the places of all in this list."""
     if ids.size > len(words) // 8:
@@ -239,7 +271,11 @@ def _gram_rows(x: np.ndarray, size: int, counted: bool, rows: int) -> Iterator[t
     bucket = bucket_of(context_hash(x[-size:-1]), x[-1], rows)
     del x
     order = np.argsort((bucket << 32) | ids[0])
-    ids, count, bucket = ids[:, order], count[order], bucket[order]
+    yield from _payloads(words, ids[:, order], count[order], bucket[order], counted)
+
+
+def _payloads(words: np.ndarray, ids: np.ndarray, count: np.ndarray, bucket: np.ndarray, counted: bool) -> Iterator[tuple[int, bytes]]:
+    """Columns sorted by bucket and first token, a payload for each bucket."""
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(count)]):
         known, at = _code(words, ids[:, a:b])
@@ -249,9 +285,45 @@ def _gram_rows(x: np.ndarray, size: int, counted: bool, rows: int) -> Iterator[t
         yield int(bucket[a]), _pack(known, planes.reshape(-1), *(_narrow(count[a:b]) if counted else ()))
 
 
+def _mid_rows(words: np.ndarray, ids: np.ndarray, counted: bool, by: Spread, own: range) -> Iterator[tuple[int, bytes]]:
+    """Distinct columns of places in ``words`` whose bucket, by the last word but one, is in ``own``; with
+    counts where ``counted``. A column is sorted as one integer; too many words for that are halved."""
+    base, splits = by.base(words), by.splits(words)
+    bucket_of = lambda mid, last: (base[mid] + spread_by(words[last]) % splits[mid]) % by.parts
+    if len(own) < by.parts:
+        bucket = base[ids[-2]]
+        many = np.flatnonzero((splits > 1)[ids[-2]])
+        bucket[many] = bucket_of(ids[-2][many], ids[-1][many])
+        ids = ids[:, (bucket >= own.start) & (bucket < own.stop)]
+    bits = max(1, (len(words) - 1).bit_length())
+    if bits * len(ids) > 64:
+        half = ids.shape[1] // 2
+        for part in (ids[:, :half], ids[:, half:]):
+            yield from _mid_rows(*_code(words, part), counted, by, range(by.parts))
+        return
+    key = np.zeros(ids.shape[1], U64)
+    for row in ids:
+        key = (key << U64(bits)) | row.astype(U64)
+    key.sort()
+    first = _starts(key)
+    count, key = np.diff(np.append(first, len(key))), key[first]
+    ids = np.stack([((key >> U64(bits * back)) & U64((1 << bits) - 1)).astype(np.int32) for back in range(len(ids) - 1, -1, -1)])
+    bucket = bucket_of(ids[-2], ids[-1])
+    order = np.argsort(bucket.astype(np.uint16) if by.parts <= 1 << 16 else bucket, kind="stable")
+    if len(order):
+        yield from _payloads(words, ids[:, order], count[order], bucket[order], counted)
+
+
 def _read_grams(payloads: pa.ChunkedArray, length: int, counted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct columns of all payloads and their summed counts."""
-    xs, cs = [], []
+    """Distinct columns of all payloads and their summed counts. They are summed whenever some MERGE have
+    come, so that memory follows the distinct ones."""
+    xs, cs, new = [], [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        x = np.concatenate(xs, axis=1)
+        _, count, rep = _sums(gram_hash(x), np.concatenate(cs) if counted else np.ones(x.shape[1], np.int64))
+        return x[:, rep], count
+
     for raw in payloads:
         known, planes, *c = _unpack(raw.as_buffer(), "u8", "u1", *(("u1", "u4", "i8") if counted else ()))
         planes = planes.reshape(length, _width(known), -1)
@@ -262,9 +334,11 @@ def _read_grams(payloads: pa.ChunkedArray, length: int, counted: bool) -> tuple[
         xs.append(known[at])
         if counted:
             cs.append(_widen(*c))
-    x = np.concatenate(xs, axis=1)
-    _, count, rep = _sums(gram_hash(x), np.concatenate(cs) if counted else np.ones(x.shape[1], np.int64))
-    return x[:, rep], count
+        new += at.shape[1]
+        if new >= max(MERGE, xs[0].shape[1]):
+            x, count = merged()
+            xs, cs, new = [x], [count], 0
+    return merged()
 
 
 def bucket_of(u: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
@@ -275,6 +349,28 @@ def key_bucket(x: np.ndarray, parts: int) -> np.ndarray:
     return (mix(x) % U64(parts)).astype(np.int64)
 
 
+def spread_by(w: np.ndarray) -> np.ndarray:
+    return (w >> U64(40)).astype(np.int64)
+
+
+@dataclass(frozen=True, eq=False)
+class Spread:
+    """Buckets of triples and pairs: by the middle word, those of a frequent one over ``shares`` buckets by the last."""
+
+    parts: int
+    frequent: np.ndarray
+    shares: np.ndarray
+
+    def base(self, mid: np.ndarray) -> np.ndarray:
+        return key_bucket(mid, self.parts)
+
+    def splits(self, mid: np.ndarray) -> np.ndarray:
+        out = np.ones(len(mid), np.int64)
+        at, hit = _find(self.frequent, mid)
+        out[hit] = self.shares[at[hit]]
+        return out
+
+
 @dataclass(frozen=True)
 class KneserNey:
     """A fitted model: where its arrays are, the corpus sums, and the discounts of orders 1, 2, ..."""
@@ -290,6 +386,8 @@ class KneserNey:
     low_left: float
     #: Per kind of array a bit for each bucket that was stored.
     stored: dict[str, bytes] = field(default_factory=dict)
+    #: Where triples and pairs are, if they were counted together.
+    spread: Spread | None = None
 
     def holds(self, kind: str, bucket: int) -> bool:
         """Whether a bucket was stored: only others may be absent, and count as zero."""
@@ -340,11 +438,40 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 CONTEXTS, WORDS, SUMS = range(3)
 _SENT = "bucket int, payload binary"
 _PASSED = "kind int, bucket int, payload binary"
+NAMES = ("n", "total", "of1", "of2", "of3", "of4")
+
+
+def _followed(c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What grams of these counts add to their contexts."""
+    one, two = (c == 1).astype(np.int64), (c == 2).astype(np.int64)
+    return c, one, two, 1 - one - two
+
 
+def _passed(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "bucket", "payload"])
 
-def fit(texts: DataFrame, order: int = 2, bytes_each: int = 16 << 20) -> KneserNey:
+
+def _parted(kind: int, parts: int, x: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Partial sums by word (64 bits) or context (48 bits), for the bucket of each."""
+    x, *sums, _ = _sums(x, *values)
+    for b, own in _by_bucket(key_bucket(x, parts)):
+        key = (x[own],) if kind % 3 == WORDS else ((x[own] >> U64(32)).astype(np.uint32), (x[own] >> U64(16)).astype(np.uint16))
+        yield kind, b, _pack(*key, *(a for v in sums for a in _narrow(v[own])))
+
+
+def _read_parted(kind: int, payloads: pa.ChunkedArray, width: int) -> tuple[np.ndarray, ...]:
+    """Sorted keys and their whole sums."""
+    words = kind % 3 == WORDS
+    keys = ("u8",) if words else ("u4", "u2")
+    got = [_unpack(raw.as_buffer(), *keys, *["u1", "u4", "i8"] * width) for raw in payloads]
+    x = np.concatenate([g[0] if words else (g[0].astype(U64) << U64(16)) | g[1] for g in got])
+    return _sums(x, *(np.concatenate([_widen(*g[len(keys) + 3 * i :][:3]) for g in got]) for i in range(width)))[:-1]
+
+
+def fit(texts: DataFrame, order: int = 2, bytes_each: int = 8 << 20, rounds: int | None = None) -> KneserNey:
     """Learns n-grams of up to ``order`` (2 or more) words from the column ``text`` of all rows
-    (null: an empty text, which has an END)."""
+    (null: an empty text, which has an END). The texts are read once for the words, once in each of
+    ``rounds`` for triples and pairs (None: up to ROUNDS, fewer for small texts), once for each longer size."""
     if order < 2:
         raise ValueError("an n-gram model has order 2 or more")
     spark: SparkSession = texts.sparkSession
@@ -360,19 +487,23 @@ def fit(texts: DataFrame, order: int = 2, bytes_each: int = 16 << 20) -> KneserN
     else:
         where, path = pafs.FileSystem.from_uri(root)
         where.create_dir(path)
-    found = {k: _count(texts, k, order, root, rows) for k in range(order, 1, -1)}
+    texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
+    found = {k: _count(texts, k, order, root, rows) for k in range(order, 3 if order > 2 else 1, -1)}
+    tokens, by = (found[2][WORDS], None) if order == 2 else _count_words(texts, root, parts)
+    if by:
+        found |= _count_triples(texts, order, root, by, rounds or min(ROUNDS, parts // ROUND_BUCKETS))
     if not found[2][SUMS]["n"]:
         return KneserNey(root, order, rows, parts, 0, 0, 0, ((0.75,) * 3,) * order, 1.0)
-    tokens, low, pairs = found[order][WORDS], found[2][WORDS], found[2][SUMS]["n"]
+    low, pairs = found[2][WORDS], found[2][SUMS]["n"]
     spread = lambda r: discounts(*(r[f"of{i}"] for i in range(1, 5)))
     d = (spread(low), *(spread(found[k][SUMS]) for k in range(2, order + 1)))
     left = (d[0][0] * low["of1"] + d[0][1] * low["of2"] + d[0][2] * (low["n"] - low["of1"] - low["of2"])) / pairs
-    return KneserNey(root, order, rows, parts, tokens["total"], tokens["n"], pairs, d, left, _stored(root))
+    return KneserNey(root, order, rows, parts, tokens["total"], tokens["n"], pairs, d, left, _stored(root), by)
 
 
 def _count(texts: DataFrame, size: int, order: int, root: str, rows: int) -> dict[int, dict]:
-    """Counts, stores and sums the n-grams of one size: raw counts in the highest order, the number
-    of different words before them in the others."""
+    """Counts, stores and sums the n-grams of one size (above 3, or 2 alone): raw counts in the highest
+    order, the number of different words before them in the others."""
     counted, parts = size == order, rows * COLUMNS
     length = size if counted else size + 1
 
@@ -395,15 +526,6 @@ def _count(texts: DataFrame, size: int, order: int, root: str, rows: int) -> dic
         held.clear()
         release()
 
-    def table(rows: list[tuple]) -> pa.Table:
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "bucket", "payload"])
-
-    def parted(kind: int, x: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        x, *sums, _ = _sums(x, *values)
-        for b, own in _by_bucket(key_bucket(x, parts)):
-            key = (x[own],) if kind == WORDS else ((x[own] >> U64(32)).astype(np.uint32), (x[own] >> U64(16)).astype(np.uint16))
-            yield kind, b, _pack(*key, *(a for v in sums for a in _narrow(v[own])))
-
     @releasing
     def bucket(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
         x, c = _read_grams(sent.column("payload"), length, counted)
@@ -414,12 +536,11 @@ def _count(texts: DataFrame, size: int, order: int, root: str, rows: int) -> dic
         u, w = context_hash(x[:-1]), x[-1]
         k, total, _ = _sums(pair_key(u, w) >> U64(16), c)
         _store_counts(root, f"grams-{size}-{key[0].as_py()}", k, total)
-        one, two, each = (c == 1).astype(np.int64), (c == 2).astype(np.int64), np.ones_like(c)
         out = [(SUMS, key[0].as_py(), _pack(np.array([len(c), 0, *_by_count(c)])))]
-        out += parted(CONTEXTS, u, c, one, two, each - one - two)
-        if size in (2, order):
-            out += parted(WORDS, w, c if counted else 0 * c, each if size == 2 else 0 * c)
-        return table(out)
+        out += _parted(CONTEXTS, parts, u, *_followed(c))
+        if size == 2:
+            out += _parted(WORDS, parts, w, c, np.ones_like(c))
+        return _passed(out)
 
     @releasing
     def totals(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
@@ -428,32 +549,159 @@ def _count(texts: DataFrame, size: int, order: int, root: str, rows: int) -> dic
         if kind == SUMS:
             figures = sum(_unpack(raw.as_buffer(), "i8")[0] for raw in sent.column("payload"))
         else:
-            keys, width = (("u8",), 2) if kind == WORDS else (("u4", "u2"), 4)
-            got = [_unpack(raw.as_buffer(), *keys, *["u1", "u4", "i8"] * width) for raw in sent.column("payload")]
-            x = np.concatenate([g[0] if kind == WORDS else (g[0].astype(U64) << U64(16)) | g[1] for g in got])
-            x, *sums, _ = _sums(x, *(np.concatenate([_widen(*g[len(keys) + 3 * i :][:3]) for g in got]) for i in range(width)))
+            x, *sums = _read_parted(kind, sent.column("payload"), 2 if kind == WORDS else 4)
             if kind == CONTEXTS:
                 _store_counts(root, f"contexts-{size}-{at}", x, *sums)
             else:
-                if counted:
-                    _store_words(root, f"tokens-{at}", x, sums[0])
-                if size == 2:
-                    _store_words(root, f"kinds-{at}", x, sums[1])
+                _store_words(root, f"tokens-{at}", x, sums[0])
+                _store_words(root, f"kinds-{at}", x, sums[1])
                 figures = np.array([len(x), sums[0].sum(), *_by_count(sums[1])])
         return pa.table({"kind": pa.array([kind], pa.int32()), "f": pa.array([figures.tolist()], pa.list_(pa.int64()))})
 
-    names = ("n", "total", "of1", "of2", "of3", "of4")
     with _freeing(texts.sparkSession):
         got = (
-            texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(grams, _SENT)
+            texts.mapInArrow(grams, _SENT)
             .repartition(parts, "bucket").groupBy("bucket").applyInArrow(bucket, _PASSED)
             .repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(totals, "kind int, f array<bigint>")
-            .groupBy("kind").agg(*[F.sum(F.col("f")[i]).alias(x) for i, x in enumerate(names)])
+            .groupBy("kind").agg(*[F.sum(F.col("f")[i]).alias(x) for i, x in enumerate(NAMES)])
         )
-        none = {kind: dict.fromkeys(names, 0) for kind in range(3)}
+        none = {kind: dict.fromkeys(NAMES, 0) for kind in range(3)}
         return none | {r["kind"]: r.asDict() for r in got.collect()}  # three rows
 
 
+def _in_flushes(batches: Iterator[pa.RecordBatch], rows: Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, bytes]]]) -> Iterator[pa.RecordBatch]:
+    """``rows`` of the tokens and their places in their texts, FLUSH_TOKENS or little more at a time."""
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        found = list(rows(*(np.concatenate(c) for c in zip(*held))))
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "payload"])
+
+    for b in batches:
+        for s in blocks(b, "text"):
+            w, place, _ = tokens_of(words_of(s.column(0), lower=True))
+            held.append((w, np.minimum(place, 255).astype(np.uint8)))
+            n += len(w)
+            if n >= FLUSH_TOKENS:
+                yield out()
+                held, n = [], 0
+    if n:
+        yield out()
+    held.clear()
+    release()
+
+
+def _kept(root: str) -> str:
+    """Where Spark keeps what is needed until the counting ends, in a model's folder."""
+    return f"{root.replace('s3://', 's3a://', 1)}/passed"
+
+
+def _count_words(texts: DataFrame, root: str, parts: int) -> tuple[dict, Spread]:
+    """Counts and stores the words. A word with more than half a bucket's mean share of the tokens is
+    frequent; this decides where its triples go, no count depends on it."""
+
+    def rows(w: np.ndarray, _: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        w = np.sort(w)
+        first = _starts(w)
+        for _, b, payload in _parted(WORDS, parts, w[first], np.diff(np.append(first, len(w)))):
+            yield b, payload
+
+    @releasing
+    def bucket(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+        x, c = _read_parted(WORDS, sent.column("payload"), 1)
+        _store_words(root, f"tokens-{key[0].as_py()}", x, c)
+        top = np.argsort(-c, kind="stable")[:NAMED]
+        lists = [pa.array([v.tolist()], pa.list_(pa.int64())) for v in (x[top].view(np.int64), c[top])]
+        return pa.table([pa.array([len(x)], pa.int64()), pa.array([c.sum()], pa.int64()), *lists], names=["n", "total", "words", "counts"])
+
+    spark, kinds = texts.sparkSession, "n bigint, total bigint, words array<bigint>, counts array<bigint>"
+    with _freeing(spark):
+        sent = texts.mapInArrow(lambda batches: _in_flushes(batches, rows), _SENT)
+        sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(bucket, kinds).write.parquet(f"{_kept(root)}/words")
+        found = spark.read.schema(kinds).parquet(f"{_kept(root)}/words")
+        sums = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "total")]).first().asDict()
+        named = found.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where(F.col("x.counts") * 2 * parts > sums["total"])
+        counts = {r["x"]["words"] % (1 << 64): r["x"]["counts"] for r in named.collect()}
+    if int(END) in counts:  # as many texts begin as end
+        counts[int(START)] = counts[int(END)]
+    keys = np.array(sorted(counts), U64)
+    return sums, Spread(parts, keys, np.array([min(parts, -(-2 * parts * counts[int(k)] // sums["total"])) for k in keys], np.int64))
+
+
+def _count_triples(texts: DataFrame, order: int, root: str, by: Spread, rounds: int) -> dict[int, dict]:
+    """Counts, stores and sums triples (raw counts in order 3, else the number of different words before
+    them) and pairs (the number of different words before them), as ``_count`` does."""
+    spark, parts, counted, length = texts.sparkSession, by.parts, order == 3, min(order, 4)
+    kept = _kept(root)
+
+    def of_round(own: range) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def rows(w: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
+            words, ids = _distinct(w)
+            return _mid_rows(np.append(words, START), shifted(ids, place, length, len(words)), counted, by, own)
+
+        return lambda batches: _in_flushes(batches, rows)
+
+    @releasing
+    def bucket(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+        at = key[0].as_py()
+        out = []
+
+        def keep(size: int, k: np.ndarray, u: np.ndarray, mid: np.ndarray, c: np.ndarray) -> None:
+            """Grams by sorted hashes; contexts here too, unless a frequent word has spread them."""
+            k = k >> U64(16)
+            first = _starts(k)
+            _store_counts(root, f"grams-{size}-{at}", k[first], np.add.reduceat(c, first))
+            out.append((3 * size + SUMS, at, _pack(np.array([len(c), 0, *_by_count(c)]))))
+            spread, values = by.splits(mid) > 1, _followed(c)
+            x, *sums, _ = _sums(u[~spread] >> U64(16), *(v[~spread] for v in values))
+            _store_counts(root, f"contexts-{size}-{at}", x, *sums)
+            out.extend(_parted(3 * size + CONTEXTS, parts, u[spread], *(v[spread] for v in values)))
+
+        x, c = _read_grams(sent.column("payload"), length, counted)
+        x = x[-3:]
+        k = gram_hash(x)
+        if not counted:
+            k, c, rep = _sums(k, np.ones(len(k), np.int64))
+            x = x[:, rep]
+        keep(3, k, context_hash(x[:-1]), x[-2], c)
+        k, c, rep = _sums(pair_key(x[-2], x[-1]), np.ones(len(k), np.int64))
+        mid, last = x[-2:, rep]
+        keep(2, k, mid, mid, c)
+        out += _parted(3 * 2 + WORDS, parts, last, np.ones_like(c))
+        return _passed(out)
+
+    @releasing
+    def totals(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+        (size, kind), at = divmod(key[0].as_py(), 3), key[1].as_py()
+        figures = np.zeros(6, np.int64)
+        if kind == SUMS:
+            figures = sum(_unpack(raw.as_buffer(), "i8")[0] for raw in sent.column("payload"))
+        else:
+            x, *sums = _read_parted(kind, sent.column("payload"), 1 if kind == WORDS else 4)
+            if kind == CONTEXTS:
+                _store_counts(root, f"spread-{size}-{at}", x, *sums)
+            else:
+                _store_words(root, f"kinds-{at}", x, sums[0])
+                figures = np.array([len(x), sums[0].sum(), *_by_count(sums[0])])
+        return pa.table({"kind": key[:1], "f": pa.array([figures.tolist()], pa.list_(pa.int64()))})
+
+    found = {size: {kind: dict.fromkeys(NAMES, 0) for kind in range(3)} for size in (2, 3)}
+    with _freeing(spark):
+        for r in range(rounds):
+            own = range(r * parts // rounds, (r + 1) * parts // rounds)
+            texts.mapInArrow(of_round(own), _SENT).repartition(parts, "bucket").groupBy("bucket").applyInArrow(bucket, _PASSED).write.parquet(f"{kept}/{r}")
+        got = (
+            spark.read.schema(_PASSED).parquet(*[f"{kept}/{r}" for r in range(rounds)])
+            .repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(totals, "kind int, f array<bigint>")
+            .groupBy("kind").agg(*[F.sum(F.col("f")[i]).alias(x) for i, x in enumerate(NAMES)])
+        )
+        for r in got.collect():  # five rows
+            found[r["kind"] // 3][r["kind"] % 3] = r.asDict()
+    where, path = pafs.FileSystem.from_uri(root)
+    where.delete_dir(f"{path}/passed")
+    return found
+
+
 @contextmanager
 def _freeing(spark: SparkSession) -> Iterator[None]:
     """Files of exchanges go at the end of the queries made and run inside."""
@@ -469,36 +717,63 @@ def _freeing(spark: SparkSession) -> Iterator[None]:
 # --- scoring -----------------------------------------------------------------------------
 
 
+def _near_order(bucket: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """An order by bucket and, as far as the bits go, by ``x``: searches in it run along the arrays."""
+    bits = len(x).bit_length()
+    if not len(x) or int(bucket.max()) >= 1 << 16 or bits > 32:
+        return np.lexsort((x, bucket))
+    key = ((bucket.astype(U64) << U64(48)) | (x >> U64(16))) >> U64(bits) << U64(bits) | np.arange(len(x), dtype=U64)
+    key.sort()
+    return (key & U64((1 << bits) - 1)).astype(np.int64)
+
+
 def _lookup(model: KneserNey, kind: str, x: np.ndarray, bucket: np.ndarray, width: int, read: Callable[[str, np.ndarray], np.ndarray]) -> np.ndarray:
     """Rows of values for ``x``, read bucket by bucket; 0 where no training n-gram fell into a bucket. A
     bucket that was stored and isn't there raises."""
     out = np.zeros((width, len(x)))
-    for b, own in _by_bucket(bucket):
-        if model.holds(kind, int(b)):
+    order = _near_order(bucket, x)
+    for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(own) and model.holds(kind, b := int(bucket[own[0]])):
             out[:, own] = read(f"{kind}-{b}", x[own])
     return out
 
 
 def log_probabilities(model: KneserNey, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of the last token of each column after those before it, and its training count."""
-    _, rep, back = np.unique(gram_hash(x), return_index=True, return_inverse=True)
-    x = x[:, rep]
-    y, of = np.unique(x[-1], return_inverse=True)
+    w = x[-1]
+    y, of = _distinct(w)
+    mids, mid = _distinct(x[-2])
+    spread = model.spread
+    if spread:
+        base, splits = spread.base(mids), spread.splits(mids)
+        triples = (base[mid] + spread_by(w) % splits[mid]) % model.parts
 
     def words(name: str) -> np.ndarray:
-        return _lookup(model, name, y, key_bucket(y, model.parts), 1, lambda f, q: _read_words(model.root, f, q))[0, of]
+        return _lookup(model, name, y, key_bucket(y, model.parts), 1, lambda f, q: _read_words(model.root, f, q))[0]
 
-    take = lambda v, d: v - np.choose(np.minimum(v, 3).astype(int), (0.0, *d))
-    p = take(words("kinds"), model.discounts[0]) / max(model.pairs, 1) + model.low_left / (model.vocabulary + 1)
+    def counts(kind: str, q: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
+        return _lookup(model, kind, q, where, width, lambda f, q: _read_counts(model.root, f, width, q >> U64(16)))
+
+    take = lambda v, d: v - np.array((0.0, *d))[np.minimum(v, 3).astype(np.int64)]
+    p = (take(words("kinds"), model.discounts[0]) / max(model.pairs, 1) + model.low_left / (model.vocabulary + 1))[of]
     for size, d in zip(range(2, model.order + 1), model.discounts[1:]):
-        u, w = context_hash(x[-size:-1]), x[-1]
-        k, first, gram = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
-        c = _lookup(model, f"grams-{size}", k, bucket_of(u[first], w[first], model.rows), 1, lambda f, q: _read_counts(model.root, f, 1, q >> U64(16)))[0, gram]
-        v, ctx = np.unique(u, return_inverse=True)
-        total, n1, n2, n3 = _lookup(model, f"contexts-{size}", v, key_bucket(v, model.parts), 4, lambda f, q: _read_counts(model.root, f, 4, q >> U64(16)))[:, ctx]
+        u = context_hash(x[-size:-1])
+        by = spread if size < 4 else None
+        c = counts(f"grams-{size}", pair_key(u, w), triples if by else bucket_of(u, w, model.rows), 1)[0]
+        v, which = (mids, np.arange(len(mids))) if size == 2 else (u, mid)
+        if by:
+            many, found = (splits > 1)[which], np.zeros((4, len(v)))
+            found[:, ~many] = counts(f"contexts-{size}", v[~many], base[which[~many]], 4)
+            found[:, many] = counts(f"spread-{size}", v[many], key_bucket(v[many], model.parts), 4)
+        else:
+            found = counts(f"contexts-{size}", v, key_bucket(v, model.parts), 4)
+        total, n1, n2, n3 = found
         left = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
-        p = take(c, d) / np.maximum(total, 1) + left * p
-    return np.log10(p)[back], words("tokens")[back]
+        total = np.maximum(total, 1)
+        if size == 2:
+            left, total = left[mid], total[mid]
+        p = take(c, d) / total + left * p
+    return np.log10(p), words("tokens")[of]
 
 
 def score(docs: DataFrame, model: KneserNey, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

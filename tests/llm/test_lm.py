@@ -164,3 +164,74 @@ def test_a_lost_file_raises(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)no such file|FileNotFound"):
         ngramlm.score(df.repartition(7), ngramlm.KneserNey(**{**model.__dict__, "root": model.root + "/."})).agg({"score": "sum"}).first()
     model.delete()
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("order,rounds", [(3, 1), (3, 3), (4, 2)])
+def test_rounds_and_frequent_words_equal_brute_force(spark, tmp_path, order, rounds):
+    """Words with a large share of all tokens, in the middle of most triples, are spread over buckets of several rounds."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "the", "of", f"w{rng.randint(0, 300)}"]) for _ in range(rng.randint(0, 80))) for _ in range(150)]
+    texts += ["the " * 400, "of the", ""]
+    spark.createDataFrame([(t,) for t in texts[:120]], "text string").write.parquet(f"{tmp_path}/texts.parquet")
+    before = shuffle_files(spark)
+    model = ngramlm.fit(spark.read.parquet(f"{tmp_path}/texts.parquet"), order, rounds=rounds)
+    assert not shuffle_files(spark) - before  # an exchange's files go with its job
+    the = ngramlm.words_of(ngramlm.pa.array(["the"])).hashes()
+    assert model.spread.splits(the)[0] > 4 and 1 < len(model.spread.frequent) <= 2 * model.parts
+    folder = model.root.removeprefix("file://")
+    names = os.listdir(folder)
+    assert "passed" not in names and any(n.startswith("spread-3-") and os.path.getsize(f"{folder}/{n}") > 8 for n in names)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, n, known, b, s) for i, (n, known, _, b, s) in enumerate(brute(texts[:120], texts, order))]
+    equal(ngramlm.score(docs, model).collect(), want)
+    model.delete()
+
+
+def test_a_round_exchanges_its_share_alone():
+    """The rounds' payloads hold every triple once, and none has much more than its part of the bytes."""
+    rng = np.random.default_rng(1)
+    words = np.append(rng.integers(1, 2**63, 5000).astype(np.uint64), ngramlm.START)
+    ids = rng.integers(0, 5001, (3, 60_000)).astype(np.int32)
+    ids[1, ::3] = 7
+    by = ngramlm.Spread(32, words[7:8], np.array([20]))
+    whole = list(ngramlm._mid_rows(words, ids, True, by, range(32)))
+    rounds = [list(ngramlm._mid_rows(words, ids, True, by, range(a, a + 8))) for a in range(0, 32, 8)]
+    size = lambda rows: sum(len(x) for _, x in rows)
+    assert all(a <= b < a + 8 for a, rows in zip(range(0, 32, 8), rounds) for b, _ in rows)
+    assert sorted(sum(rounds, [])) == sorted(whole) and max(map(size, rounds)) < 0.4 * size(whole)
+    found = [ngramlm._read_grams([ngramlm.pa.scalar(raw, ngramlm.pa.binary())], 3, True) for _, raw in whole]
+    got = Counter({tuple(g): int(n) for grams, counts in found for g, n in zip(grams.T.tolist(), counts)})
+    assert got == Counter(map(tuple, words[ids].T.tolist()))
+    assert max(size([r]) for r in whole) < 0.1 * size(whole)  # a third of all have one middle word
+
+
+def test_too_many_words_for_one_integer():
+    """Grams whose words' numbers don't fit 64 bits are counted in halves; sums are the same."""
+    rng = np.random.default_rng(2)
+    words = rng.integers(1, 2**63, 70_000).astype(np.uint64)
+    ids = rng.integers(0, 70_000, (4, 90_000)).astype(np.int32)
+    ids[:, 45_000:] = ids[:, :45_000]
+    by = ngramlm.Spread(24, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rows = {}
+    for b, raw in ngramlm._mid_rows(words, ids, True, by, range(24)):
+        rows.setdefault(b, []).append(ngramlm.pa.scalar(raw, ngramlm.pa.binary()))
+    found = [ngramlm._read_grams(raws, 4, True) for raws in rows.values()]
+    got = Counter({tuple(g): int(n) for grams, counts in found for g, n in zip(grams.T.tolist(), counts)})
+    assert got == Counter(map(tuple, words[ids].T.tolist()))
+
+
+def test_many_payloads_of_a_bucket_are_summed_as_they_come(monkeypatch):
+    """Merging after every few columns gives the grams and counts of one merge."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 2**63, 30).astype(np.uint64)
+    parts = [words[rng.integers(0, 30, (3, 400))] for _ in range(9)]
+    raws = [ngramlm.pa.scalar(raw, ngramlm.pa.binary()) for x in parts for _, raw in ngramlm._gram_rows(x, 3, True, 2)]
+    monkeypatch.setattr(ngramlm, "MERGE", 100)
+    x, counts = ngramlm._read_grams(raws, 3, True)
+    got = dict(zip(map(tuple, x.T.tolist()), counts.tolist()))
+    assert len(got) == x.shape[1] and got == Counter(map(tuple, np.concatenate(parts, axis=1).T.tolist()))
