@@ -47,7 +47,7 @@ from .textcore import U64, Words, blocks, mix, release, releasing, words_of
 START, END = U64(0x51A7C0FFEE150001), U64(0xE4D0FD0C5EED0003)
 ORDER = 3
 COLUMNS = 8
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 4_000_000
 ROUNDS = 4
 ROUND_BUCKETS = 16
 MERGE = 4_000_000
@@ -171,12 +171,15 @@ def _read_counts(root: str, name: str, width: int, x: np.ndarray) -> np.ndarray:
     """The counts (a row for each value) of 48-bit keys; 0 where unknown."""
     out = np.zeros((width, len(x)))
     which, _ = _find_parted(*_load(root, f"{name}-one", ("u4", "u2")), x)
-    out[:2, which] = 1
+    for o in out[:2]:
+        o[which] = 1
+    rest = np.flatnonzero(out[0] == 0)  # a key is in one of the arrays
     high, low, *values = _load(root, name, ("u4", "u2", *["u1"] * width))
-    which, where = _find_parted(high, low, x)
-    for o, v in zip(out, values):
-        o[which] = v[where]
-    many = np.flatnonzero((out == 255).any(0))
+    which, where = _find_parted(high, low, x[rest])
+    which, found = rest[which], [v[where] for v in values]
+    for o, v in zip(out, found):
+        o[which] = v
+    many = which[np.logical_or.reduce([v == 255 for v in found])]
     if len(many):
         keys, *full = _load(root, f"{name}-large", ("u8", *["i8"] * width))
         place, _ = _find(keys, x[many])
@@ -734,7 +737,8 @@ def _lookup(model: KneserNey, kind: str, x: np.ndarray, bucket: np.ndarray, widt
     order = _near_order(bucket, x)
     for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         if len(own) and model.holds(kind, b := int(bucket[own[0]])):
-            out[:, own] = read(f"{kind}-{b}", x[own])
+            for o, v in zip(out, read(f"{kind}-{b}", x[own])):
+                o[own] = v
     return out
 
 
@@ -749,7 +753,7 @@ def log_probabilities(model: KneserNey, x: np.ndarray) -> tuple[np.ndarray, np.n
         triples = (base[mid] + spread_by(w) % splits[mid]) % model.parts
 
     def words(name: str) -> np.ndarray:
-        return _lookup(model, name, y, key_bucket(y, model.parts), 1, lambda f, q: _read_words(model.root, f, q))[0]
+        return _lookup(model, name, y, key_bucket(y, model.parts), 1, lambda f, q: [_read_words(model.root, f, q)])[0]
 
     def counts(kind: str, q: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
         return _lookup(model, kind, q, where, width, lambda f, q: _read_counts(model.root, f, width, q >> U64(16)))
