@@ -9,10 +9,11 @@ components, for which array expressions are far slower); everything else is expr
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -204,12 +205,16 @@ def _meet(rows: DataFrame, own: dict[int, Matrices]) -> DataFrame:
                         owner = np.repeat([g for g, _, _ in parts], [len(s) for _, _, s in parts])
                         for low in range(0, len(columns), step):
                             some = slice(low, low + step)
-                            cos = np.zeros((len(mine), len(columns[some])))
-                            cos[k] = np.clip(v @ theirs[some].T, -1, 1)
+                            cos = v @ theirs[some].T
+                            np.clip(cos, -1, 1, out=cos)
+                            if len(k) < len(mine):
+                                met, cos = cos, np.zeros((len(mine), len(columns[some])))
+                                cos[k] = met
                             best[:, columns[some]] = np.maximum.reduceat(cos, np.append(0, ends[:-1]), axis=0)
                             first = np.flatnonzero(np.diff(owner[some], prepend=-1))
                             own_of = owner[some][first]
-                            high[own_of] = np.maximum(high[own_of], np.maximum.reduceat(cos, first, axis=1).T)
+                            most = cos.max(1)[None] if len(first) == 1 else np.maximum.reduceat(cos, first, axis=1).T
+                            high[own_of] = np.maximum(high[own_of], most)
                     begin = 0
                     for t, end in enumerate(ends):
                         for g, (seed, first, last, misfit) in enumerate(spans):
@@ -310,14 +315,30 @@ def emd_scores(rows: DataFrame, seeds: int | Sequence[int], reg: float = 0.05, m
     seeds = [seeds] if isinstance(seeds, int) else list(seeds)
     own = {t: {m: parts for m, parts in models.items() if len(parts) == 1} for t, models in seed_matrices(rows, seeds).items()}
     rest = rows.where(~_among("track_id", seeds))
-    if most is not None and len(seeds) == 1:
-        rest = rest.join(emd_candidates(rest, own, reg, most), "track_id", "left_semi")
-    return _transport(rest, own, reg).select("seed", "track_id", (1 / (1 + F.col("d"))).alias("score"))
+    score = (1 / (1 + F.col("d"))).alias("score")
+    if most is None or len(seeds) != 1:
+        return _transport(rest, own, reg).select("seed", "track_id", score)
+    first, low = _emd_first(rest, own, reg, most)
+    found = [r["track_id"] for r in first]
+    d = _transport(rest.join(low.where(~_among("track_id", found)), "track_id", "left_semi"), own, reg)
+    return rows.sparkSession.createDataFrame(first, _COSTS).unionByName(d).select("seed", "track_id", score)
+
+
+_COSTS = "seed bigint, track_id bigint, d double"
+#: Costs between two sets from which on their transport is solved by the whole cluster, a job a round; seed
+#: vectors of the transports that are solved together; rows of a block of costs; vectors of a stored strip.
+LARGE_CELLS, TOGETHER, BLOCK_ROWS, STRIP_ROWS = 1 << 24, 1 << 20, 1024, 1024
 
 
 def _transport(rest: DataFrame, own: dict[int, Matrices], reg: float) -> DataFrame:
     """Mean over the common models of the transport costs: seed, track_id, d."""
     names = sorted({m for models in own.values() for m in models})
+    rest = rest.where(F.col("model").isin(names) if names else F.lit(False)).select("track_id", "model", "v")
+    sizes = rest.groupBy("track_id", "model").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("d"), F.max(F.size("v")).alias("most")).where("d = most AND d > 0")
+    fits = lambda m, d: [(seed, parts[0][1]) for seed, models in own.items() if (parts := models.get(m)) and parts[0][0] == d]
+    widest = {m: max(len(parts[0][1]) for models in own.values() if (parts := models.get(m))) for m in names}
+    least = F.element_at(F.create_map(*(F.lit(x) for m in names for x in (m, LARGE_CELLS // max(1, widest[m])))), F.col("model")) if names else F.lit(0)
+    large = [(r["track_id"], r["model"], r["n"], r["d"]) for r in sizes.where(F.col("n") > least).collect() if fits(r["model"], r["d"])]
 
     def distance(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         column = t.column("v").combine_chunks()
@@ -331,9 +352,172 @@ def _transport(rest: DataFrame, own: dict[int, Matrices], reg: float) -> DataFra
         seed, track, d = zip(*found) if found else ((), (), ())
         return pa.table({"seed": pa.array(seed, pa.int64()), "track_id": pa.array(track, pa.int64()), "d": pa.array(d, pa.float64())})
 
-    rest = rest.where(F.col("model").isin(names) if names else F.lit(False))
-    d = rest.select("track_id", "model", "v").groupBy("track_id", "model").applyInArrow(distance, "seed bigint, track_id bigint, d double")
-    return d.groupBy("seed", "track_id").agg(F.avg("d").alias("d"))
+    small = rest
+    if large:
+        spark = rest.sparkSession
+        which = F.broadcast(spark.createDataFrame([(t, m) for t, m, _, _ in large], "track_id bigint, model string"))
+        small = rest.join(which, ["track_id", "model"], "left_anti")
+        apart = [(seed, track, m, n, mine) for track, m, n, d in large for seed, mine in fits(m, d)]
+        costs = large_transports(rest.join(which, ["track_id", "model"], "left_semi"), apart, reg)
+        solved = spark.createDataFrame([(seed, track, d) for (seed, track, *_), d in zip(apart, costs)], _COSTS)
+    d = small.groupBy("track_id", "model").applyInArrow(distance, _COSTS)
+    return (d.unionByName(solved) if large else d).groupBy("seed", "track_id").agg(F.avg("d").alias("d"))
+
+
+class Masses:
+    """Logarithms of a seed's masses on their way to those that a round doesn't change.
+
+    Rounds are mixed (Anderson 1965), so that a third of the plain ones is enough, first with costs of single
+    precision; the end is judged in double precision as in ``earth_movers``, or where no digit is left."""
+
+    KEPT, COARSE, ROUNDS = 5, 1e-7, 500
+
+    def __init__(self, n: int) -> None:
+        self.log, self.plain, self.coarse, self.rounds = np.zeros(n), None, True, 0
+        self.at, self.gap, self.steps, self.new = None, np.inf, [], None
+
+    def take(self, met: np.ndarray) -> None:
+        """``met``: what the rows meet, of the masses of now."""
+        with np.errstate(all="ignore"):
+            new = -np.log(len(met) * met)
+            u, old = np.exp(new), np.exp(self.log)
+        self.rounds += 1
+        if not np.isfinite(u).all() or not np.isfinite(new).all():
+            if self.plain is not None:  # mixing went too far
+                self.log, self.plain, self.at, self.steps = self.plain, None, None, []
+            elif self.coarse:
+                self.__init__(len(met))
+                self.coarse = False
+            else:
+                self.new = new
+            return
+        gap, step = float(np.abs(u - old).sum()), new - self.log
+        if self.coarse and (gap < self.COARSE * u.sum() or self.rounds > 30):
+            self.coarse, self.log, self.plain, self.at, self.gap = False, new, None, None, np.inf
+            return
+        if not self.coarse and (gap < max(1e-9, 1e-14 * u.sum()) or self.rounds >= self.ROUNDS):
+            self.new = new
+            return
+        if self.at is not None:
+            self.steps = [*self.steps, (self.log - self.at[0], step - self.at[1])][-self.KEPT :]
+        if gap > 2 * self.gap:
+            self.steps = []
+        self.at, self.gap, self.plain = (self.log, step), gap, None
+        self.log = new
+        if self.steps:
+            moved, changed = (np.stack(c, 1) for c in zip(*self.steps))
+            self.plain = new
+            self.log = new - (moved + changed) @ np.linalg.lstsq(changed, step, rcond=None)[0]
+
+
+def _exponents(mine: np.ndarray, theirs: np.ndarray, reg: float, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product is -cost / reg."""
+    left = np.hstack([mine / reg, np.full((len(mine), 1), -1 / reg)]).astype(kind)
+    return left, np.ascontiguousarray(np.vstack([theirs.T, np.ones((1, len(theirs)))]).astype(kind))
+
+
+def _strip_round(mine: np.ndarray, theirs: np.ndarray, n: int, reg: float, log: np.ndarray, coarse: bool) -> np.ndarray:
+    """What the seed's rows meet of some of a set's n vectors, whose masses follow from the rows'."""
+    kind = np.float32 if coarse else np.float64
+    left, right = _exponents(mine, theirs, reg, kind)
+    width, out = max(1, KERNEL_CELLS // len(mine)), np.zeros(len(mine))
+    with np.errstate(all="ignore"):
+        u, cells = np.exp(log).astype(kind), np.empty(len(mine) * min(width, len(theirs)), kind)
+        for low in range(0, len(theirs), width):
+            some = np.ascontiguousarray(right[:, low : low + width])
+            k, met = cells[: len(mine) * some.shape[1]].reshape(len(mine), -1), np.zeros(some.shape[1])
+            for r in range(0, len(mine), BLOCK_ROWS):
+                block = np.matmul(left[r : r + BLOCK_ROWS], some, out=k[r : r + BLOCK_ROWS])
+                met += u[r : r + BLOCK_ROWS] @ np.exp(block, out=block)
+            out += k @ (1 / n / met).astype(kind)
+    return out
+
+
+def _strip_cost(mine: np.ndarray, theirs: np.ndarray, n: int, reg: float, log: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """(cost of the transport to some of a set's n vectors, sum of all costs to them)."""
+    left, right = _exponents(mine, theirs, reg, np.float64)
+    total, plain = 0.0, 0.0
+    with np.errstate(all="ignore"):
+        u, fresh = np.exp(log), np.exp(new)
+        for low in range(0, len(theirs), BLOCK_ROWS):
+            some = np.ascontiguousarray(right[:, low : low + BLOCK_ROWS])
+            met, cost = np.zeros(some.shape[1]), np.zeros(some.shape[1])
+            for r in range(0, len(mine), BLOCK_ROWS):
+                c = left[r : r + BLOCK_ROWS] @ some
+                k = np.exp(c)
+                c *= -reg
+                plain += float(c.sum())
+                met += u[r : r + BLOCK_ROWS] @ k
+                cost += fresh[r : r + BLOCK_ROWS] @ np.multiply(k, c, out=k)
+            total += float(cost @ (1 / n / met))
+    return np.array([total, plain])
+
+
+def large_transports(rows: DataFrame, apart: Sequence[tuple[int, int, str, int, np.ndarray]], reg: float) -> list[float]:
+    """Costs of the transports (seed, track_id, model, size of the track's set, the seed's vectors).
+
+    The sets lie in the cluster, in strips dealt out by ranges; every round is a job over them, to which
+    the seed's masses are broadcast, and each partition returns one array for a transport that it has part of.
+    The driver holds masses, no vectors but the seed's and no costs; TOGETHER bounds them."""
+    context = rows.sparkSession.sparkContext
+    reg = min(max(reg, 0.01), 2.0)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = b.column(0).to_numpy() if b.num_rows else np.zeros(0, np.int64)
+            model = np.array(b.column(1).to_pylist(), object)
+            for t, m in sorted(set(zip(code.tolist(), model.tolist()))):
+                own = np.flatnonzero((code == t) & (model == m))
+                for low in range(0, len(own), STRIP_ROWS):
+                    v = unit_matrix(matrix_of(b.column(2).take(pa.array(own[low : low + STRIP_ROWS]))))
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([m]), pa.array([v.shape[1]]), pa.array([v.tobytes()])], names=["track_id", "model", "d", "v"])
+
+    parts = 4 * context.defaultParallelism
+    dealt = rows.select("track_id", "model", "v").repartitionByRange(parts, "model", "track_id", F.xxhash64("v"))
+    strips = dealt.mapInArrow(pack, "track_id bigint, model string, d bigint, v binary").rdd.map(lambda r: (r["track_id"], r["model"], r["d"], bytes(r["v"])))
+    strips.persist(StorageLevel.MEMORY_AND_DISK)
+    out: list[float] = []
+    while len(out) < len(apart):
+        end, size = len(out), 0
+        while end < len(apart) and (not size or size + len(apart[end][4]) <= TOGETHER):
+            size += len(apart[end][4])
+            end += 1
+        out += _solved(strips, apart[len(out) : end], reg)
+    strips.unpersist()
+    return out
+
+
+def _solved(strips: RDD, apart: Sequence[tuple[int, int, str, int, np.ndarray]], reg: float) -> list[float]:
+    seeds = strips.context.broadcast({(seed, m): mine for seed, _, m, _, mine in apart})
+    of: dict[tuple[int, str], list[tuple[int, int, int]]] = {}
+    for i, (seed, track, m, n, _) in enumerate(apart):
+        of.setdefault((track, m), []).append((i, seed, n))
+
+    def summed(f: Callable[..., np.ndarray], given: dict[int, tuple]) -> dict[int, np.ndarray]:
+        sent = strips.context.broadcast(given)
+
+        def run(part: Iterator[tuple[int, str, int, bytes]]) -> Iterator[tuple[int, np.ndarray]]:
+            got: dict[int, np.ndarray] = {}
+            for track, m, d, v in part:
+                for i, seed, n in of.get((track, m), ()):
+                    if i in sent.value:
+                        x = f(seeds.value[seed, m], np.frombuffer(v).reshape(-1, d), n, reg, *sent.value[i])
+                        got[i] = got[i] + x if i in got else x
+            yield from got.items()
+
+        total: dict[int, np.ndarray] = {}
+        for i, x in strips.mapPartitions(run).collect():
+            total[i] = total[i] + x if i in total else x
+        sent.destroy()
+        return total
+
+    masses = [Masses(len(mine)) for *_, mine in apart]
+    while open_ := {i: (x.log, x.coarse) for i, x in enumerate(masses) if x.new is None}:
+        for i, met in summed(_strip_round, open_).items():
+            masses[i].take(met)
+    costs = summed(_strip_cost, {i: (x.log, x.new) for i, x in enumerate(masses)})
+    seeds.destroy()
+    return [float(c[0]) if np.isfinite((c := costs[i])[0]) else float(c[1]) / (n * len(mine)) for i, (*_, n, mine) in enumerate(apart)]
 
 
 def emd_bounds(rest: DataFrame, own: dict[int, Matrices]) -> DataFrame:
@@ -351,12 +535,17 @@ def emd_bounds(rest: DataFrame, own: dict[int, Matrices]) -> DataFrame:
 def emd_candidates(rest: DataFrame, own: dict[int, Matrices], reg: float, most: int) -> DataFrame:
     """track_id of the candidates whose lower bound doesn't exceed the ``most``-th least distance found
     among the ``most`` of least bound: no other can be among the ``most`` best."""
-    low = emd_bounds(rest, own)
+    return _emd_first(rest, own, reg, most)[1]
+
+
+def _emd_first(rest: DataFrame, own: dict[int, Matrices], reg: float, most: int) -> tuple[list, DataFrame]:
+    """(distances of the ``most`` of least bound, the candidates as above)."""
+    low = emd_bounds(rest, own).persist(StorageLevel.MEMORY_AND_DISK)  # a row a track, read several times
     first = [r["track_id"] for r in low.orderBy("low", "track_id").limit(most).collect()]
+    solved = _transport(rest.where(_among("track_id", first)), own, reg).collect()
     if len(first) < most:
-        return low.select("track_id")
-    far = _transport(rest.where(F.col("track_id").isin(first)), own, reg).agg(F.max("d")).first()[0]
-    return low.where(F.col("low") <= F.lit(far) + 1e-9).select("track_id")
+        return solved, low.select("track_id")
+    return solved, low.where(F.col("low") <= F.lit(max(r["d"] for r in solved)) + 1e-9).select("track_id")
 
 
 def _scores(lib: Library, seeds: Sequence[int], dataset: str, algorithm: str, methods: Sequence[str], most: int | None = None) -> DataFrame:

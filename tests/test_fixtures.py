@@ -400,3 +400,50 @@ def test_formats(spark):
     df = spark.createDataFrame([(None, None, " ?? "), (59.5, 500, "A b/c é"), (3725.0, 1536, "x"), (600.0, 3 << 30, "")], "s double, n bigint, name string")
     got = df.select(scalars.format_duration("s"), scalars.format_size("n"), scalars.slug("name")).collect()
     assert [tuple(r) for r in got] == [("?", "?", "playlist"), ("01:00", "500 B", "A_b_c_é"), ("1:02:05", "1.5 KB", "x"), ("10:00", "3.0 GB", "playlist")]
+
+
+def test_large_sets_are_solved_in_strips_by_the_cluster(spark, crowd, monkeypatch):
+    """Round by round over all partitions, and no set goes through one task; the costs are those of the plain rounds."""
+    rows = crowd.track_vectors().where("track_id < 14").repartition(2).persist()
+    scores = lambda df: {(r["seed"], r["track_id"]): r["score"] for r in df.collect()}
+    plain = scores(similarity.emd_scores(rows, [8, 12]))
+    monkeypatch.setattr(similarity, "LARGE_CELLS", 4)
+    monkeypatch.setattr(similarity, "STRIP_ROWS", 2)
+    monkeypatch.setattr(similarity, "earth_movers", lambda a, b, reg: 1 / 0 if len(a) * len(b) > 4 else float(similarity.cost_matrix(a, b).mean()))
+    got = scores(similarity.emd_scores(rows, [8, 12]))
+    assert got.keys() == plain.keys() and len(got) > 10
+    assert all(abs(got[k] - plain[k]) < 1e-6 for k in got)  # plain rounds end 1e-7 before their limit where they are slow
+    monkeypatch.setattr(similarity, "TOGETHER", 12)  # several groups of transports
+    few = scores(similarity.emd_scores(rows, 8, most=4))
+    best = lambda x: [k for _, k in sorted((-v, k) for k, v in x.items() if k[0] == 8 and k[1] != 12)[:3]]
+    assert best(few) == best(plain)
+    rows.unpersist()
+
+
+@pytest.mark.parametrize("reg", [0.01, 0.05, 0.5])
+@pytest.mark.parametrize("kind", ["plain", "clusters", "opposite", "copies", "zero"])
+def test_mixed_rounds_end_where_plain_ones_do(kind, reg):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(90, 5)), rng.normal(size=(70, 5))
+    if kind == "clusters":
+        a, b = a * 0.1 + np.eye(5)[rng.integers(0, 5, 90)], b * 0.1 + np.eye(5)[rng.integers(0, 2, 70)]
+    elif kind == "opposite":
+        a, b = np.abs(a), -np.abs(b)
+    elif kind == "copies":
+        a[:40], b[:30] = a[0], a[0]
+    elif kind == "zero":
+        a[:5], b[:2] = 0, 0
+    mine, theirs, masses = similarity.unit_matrix(a), similarity.unit_matrix(b), similarity.Masses(len(a))
+    while masses.new is None:
+        masses.take(sum(similarity._strip_round(mine, x, len(b), reg, masses.log, masses.coarse) for x in (theirs[:33], theirs[33:])))
+    got = similarity._strip_cost(mine, theirs, len(b), reg, masses.log, masses.new)
+    c = similarity.cost_matrix(a, b)
+    k, u = np.exp(-c / reg), np.ones(len(a))
+    for _ in range(20_000):  # plain rounds to their end
+        v = 1 / len(b) / (k.T @ u)
+        u, old = 1 / len(a) / (k @ v), u
+        if np.abs(u - old).sum() < 1e-14 * u.sum():
+            break
+    assert abs(got[0] - u @ (k * c) @ v) < 1e-8 and abs(got[1] - c.sum()) < 1e-9
+    if reg > 0.01:
+        assert abs(got[0] - similarity.earth_movers(a, b, reg)) < 1e-8
